@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .factor import Factor, full, helper
@@ -71,17 +70,10 @@ def position() -> Factor:
 
 
 def centred(col: str, *deps: Factor) -> Factor:
-    """Values less the mean of their symbol (or chunk). Moments and line fits
-    do not change under a shift, and their sums stay well conditioned."""
-    return helper(
-        f"ctr_{col.lstrip('_')}",
-        lambda w: c(col) - F.avg(c(col)).over(unordered(w)),
-        *deps,
-    )
-
-
-def unordered(w):
-    return w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    """Values less the symbol's first value. Moments and line fits do not
+    change under a shift, and their sums stay well conditioned."""
+    base = helper(f"base_{col.lstrip('_')}", lambda: ("first", c(col)), *deps, kind="running")
+    return helper(f"ctr_{col.lstrip('_')}", lambda w: c(col) - c(base.name), base, *deps)
 
 
 def _central_moments(w, x: str, n: int):

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import Bars, by_symbol, last_n, running, windowed
+from .frames import Bars, by_symbol, last_n, numbered, running, windowed
 from .scalar import c
 
 
@@ -132,7 +132,7 @@ def _in_one_pass(bars: Bars, factors: Sequence[Factor]) -> DataFrame:
 
 def _in_phases(bars: Bars, factors: Sequence[Factor]) -> DataFrame:
     """Chunked evaluation: neighbouring window levels share one split."""
-    df = bars.df
+    df = numbered(bars).df
     pending: list[list[Factor]] = []
 
     def flush(frame: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def _apply_grouped(bars: Bars, factors: list[Factor]) -> DataFrame:
         safe = [f"c{i}" for i in range(len(names))]
         fields = [T.StructField(s, f.dataType) for s, f in zip(safe, df.schema.fields)]
         fields += [T.StructField(f"g{i}", T.DoubleType()) for i in range(len(builders))]
-        keys = [s for s, n in zip(safe, names) if n in ("symbol", "_chunk")]
+        keys = [s for s, n in zip(safe, names) if n in ("symbol", "__chunk")]
 
         def fold(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf.columns = names

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.session import cut_lineage
+
 # Rows one task may sort for one group before the split path takes over.
 SINGLE_TASK_ROWS = 1_000_000
 # Days per block while row numbers are assigned; (symbol, date) is unique, so a
@@ -66,46 +68,48 @@ def up_to_now(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(W.unboundedPreceding, 0)
 
 
-def number_rows(df: DataFrame, out: str = "_idx") -> DataFrame:
+def number_rows(df: DataFrame, out: str = "__idx") -> DataFrame:
     """0-based position of each row within its symbol, without a window over
     the whole symbol: block counts give offsets, blocks number themselves."""
-    blocked = df.withColumn("_blk", F.floor(F.unix_date("date") / F.lit(BLOCK_DAYS)))
+    if out in df.columns:
+        return df
+    blocked = df.withColumn("__blk", F.floor(F.unix_date("date") / F.lit(BLOCK_DAYS)))
     offsets = (
-        blocked.groupBy("symbol", "_blk")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        blocked.groupBy("symbol", "__blk")
+        .agg(F.count(F.lit(1)).alias("__n"))
         .withColumn(
-            "_off",
+            "__off",
             F.coalesce(
-                F.sum("_n").over(
-                    W.partitionBy("symbol").orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
+                F.sum("__n").over(
+                    W.partitionBy("symbol").orderBy("__blk").rowsBetween(W.unboundedPreceding, -1)
                 ),
                 F.lit(0),
             ),
         )
-        .drop("_n")
+        .drop("__n")
     )
-    here = F.row_number().over(W.partitionBy("symbol", "_blk").orderBy("date")) - 1
+    here = F.row_number().over(W.partitionBy("symbol", "__blk").orderBy("date")) - 1
     return (
-        blocked.withColumn("_pos", here)
-        .join(offsets, ["symbol", "_blk"])
-        .withColumn(out, F.col("_off") + F.col("_pos"))
-        .drop("_blk", "_off", "_pos")
+        blocked.withColumn("__at", here)
+        .join(offsets, ["symbol", "__blk"])
+        .withColumn(out, F.col("__off") + F.col("__at"))
+        .drop("__blk", "__off", "__at")
     )
 
 
 def chunked(df: DataFrame, back: int, ahead: int, limit: int) -> DataFrame:
     """Split each symbol into chunks of rows; copy border rows to neighbours.
 
-    Adds _chunk and _own (false on the copied border rows).
+    Adds __chunk and __own (false on the copied border rows).
     """
     size = max(limit, 4 * (back + ahead), 1)
-    idx = F.col("_idx")
+    idx = F.col("__idx")
     first = F.greatest(F.floor((idx - ahead) / F.lit(size)), F.lit(0))
     last = F.floor((idx + back) / F.lit(size))
     return (
         number_rows(df)
-        .withColumn("_chunk", F.explode(F.sequence(first, last)))
-        .withColumn("_own", F.col("_chunk") == F.floor(idx / F.lit(size)))
+        .withColumn("__chunk", F.explode(F.sequence(first, last)))
+        .withColumn("__own", F.col("__chunk") == F.floor(idx / F.lit(size)))
     )
 
 
@@ -113,14 +117,20 @@ def windowed(bars: Bars, back: int, ahead: int, build) -> DataFrame:
     """Run build(df, w) where w sees `back` rows before and `ahead` after."""
     if bars.symbol_fits:
         return build(bars.df, by_symbol())
-    df = build(chunked(bars.df, back, ahead, bars.limit), by_symbol("_chunk"))
-    return df.filter("_own").drop("_idx", "_chunk", "_own")
+    df = build(chunked(bars.df, back, ahead, bars.limit), by_symbol("__chunk"))
+    helpers = ["__chunk", "__own"] + ([] if "__idx" in bars.df.columns else ["__idx"])
+    return df.filter("__own").drop(*helpers)
+
+
+def numbered(bars: Bars) -> Bars:
+    """Row numbers written out once, so later steps do not rebuild them."""
+    return bars.with_df(cut_lineage(number_rows(bars.df)))
 
 
 def running(bars: Bars, cols: dict[str, tuple[str, object]]) -> DataFrame:
     """Add running aggregates from the first bar: name -> (kind, column).
 
-    Kinds: sum, max, min, last (latest non-NULL value). When a symbol is too
+    Kinds: sum, max, min, first and last (earliest, latest non-NULL value). When a symbol is too
     long for one task, each chunk is scanned alone and receives the totals of
     the chunks before it.
     """
@@ -129,45 +139,50 @@ def running(bars: Bars, cols: dict[str, tuple[str, object]]) -> DataFrame:
         aggs = {n: _scan(kind, x).over(up_to_now(w)) for n, (kind, x) in cols.items()}
         return bars.df.withColumns(aggs)
     staged = number_rows(bars.df).withColumn(
-        "_chunk", F.floor(F.col("_idx") / F.lit(max(bars.limit, 1)))
+        "__chunk", F.floor(F.col("__idx") / F.lit(max(bars.limit, 1)))
     )
-    staged = staged.withColumns({f"_x_{n}": x for n, (_, x) in cols.items()})
-    local = up_to_now(by_symbol("_chunk"))
+    staged = staged.withColumns({f"__x_{n}": x for n, (_, x) in cols.items()})
+    local = up_to_now(by_symbol("__chunk"))
     staged = staged.withColumns(
-        {f"_l_{n}": _scan(kind, F.col(f"_x_{n}")).over(local) for n, (kind, _) in cols.items()}
+        {f"__l_{n}": _scan(kind, F.col(f"__x_{n}")).over(local) for n, (kind, _) in cols.items()}
     )
-    totals = staged.groupBy("symbol", "_chunk").agg(
-        *[_total(kind, F.col(f"_x_{n}")).alias(f"_t_{n}") for n, (kind, _) in cols.items()]
+    staged = cut_lineage(staged)  # read twice below
+    totals = staged.groupBy("symbol", "__chunk").agg(
+        *[_total(kind, F.col(f"__x_{n}")).alias(f"__t_{n}") for n, (kind, _) in cols.items()]
     )
-    before = W.partitionBy("symbol").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("symbol").orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(
         "symbol",
-        "_chunk",
-        *[_scan(kind, F.col(f"_t_{n}")).over(before).alias(f"_c_{n}") for n, (kind, _) in cols.items()],
+        "__chunk",
+        *[_scan(kind, F.col(f"__t_{n}")).over(before).alias(f"__c_{n}") for n, (kind, _) in cols.items()],
     )
-    joined = staged.join(totals, ["symbol", "_chunk"])
+    joined = staged.join(totals, ["symbol", "__chunk"])
     out = joined.withColumns(
-        {n: _merge(kind, F.col(f"_c_{n}"), F.col(f"_l_{n}")) for n, (kind, _) in cols.items()}
+        {n: _merge(kind, F.col(f"__c_{n}"), F.col(f"__l_{n}")) for n, (kind, _) in cols.items()}
     )
-    helpers = [f"_{p}_{n}" for n in cols for p in "xlc"]
-    return out.drop("_idx", "_chunk", *helpers)
+    helpers = [f"__{p}_{n}" for n in cols for p in "xlc"]
+    helpers += [] if "__idx" in bars.df.columns else ["__idx"]
+    return out.drop("__chunk", *helpers)
 
 
 def _scan(kind: str, x):
-    if kind == "last":
-        return F.last(x, ignorenulls=True)
+    if kind in ("first", "last"):
+        return (F.first if kind == "first" else F.last)(x, ignorenulls=True)
     return {"sum": F.sum, "max": F.max, "min": F.min}[kind](x)
 
 
 def _total(kind: str, x):
-    if kind == "last":
-        return F.max_by(x, F.when(x.isNotNull(), F.col("date")))
+    if kind in ("first", "last"):
+        pick = F.min_by if kind == "first" else F.max_by
+        return pick(x, F.when(x.isNotNull(), F.col("date")))
     return _scan(kind, x)
 
 
 def _merge(kind: str, carry, local):
     if kind == "last":
         return F.coalesce(local, carry)
+    if kind == "first":
+        return F.coalesce(carry, local)
     if kind == "sum":
         return F.when(
             carry.isNotNull() | local.isNotNull(),

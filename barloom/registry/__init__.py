@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("factors",)
+_MODULES = ("factors", "analysis")
 
 
 def _merged(kind: str) -> dict:

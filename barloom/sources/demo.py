@@ -76,3 +76,8 @@ def with_daily_change(bars: Bars) -> Bars:
     )
     df = df.join(totals, "symbol").withColumn("turnOver", div("volume", "_total")).drop("_total")
     return bars.with_df(df)
+
+
+def ship_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bar dates from one column of the source, without building bars."""
+    return table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct()

@@ -76,10 +76,11 @@ def daily_top_ic(
 
 def ic_summary(ic: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     n = F.count("ic")
+    # A correlation of rounding size is zero, not positive.
     stats = ic.groupBy(*keys).agg(
         F.avg("ic").alias("m"),
         F.stddev_samp("ic").alias("s"),
-        F.sum((F.col("ic") > 0).cast("double")).alias("up"),
+        F.sum((F.col("ic") > 1e-12).cast("double")).alias("up"),
         n.alias("n_days"),
     )
     enough = F.col("n_days") >= 2

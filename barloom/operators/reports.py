@@ -78,46 +78,41 @@ def recent_signals(bars: Bars, signal: str, holdings: DataFrame | None = None, l
     return per.select("symbol", "last_date", action.alias("action")).filter(F.col("action").isNotNull())
 
 
-def volatility_snapshot(
-    bars: Bars, factor: Factor, stale_before: DataFrame | None = None
-) -> DataFrame:
-    """Latest volatility per symbol with its share of rank and a status code:
-    ok, insufficient_history, or stale."""
+def volatility_snapshot(bars: Bars, factor: Factor) -> DataFrame:
+    """Latest volatility per symbol, its share of rank and a status code."""
     computed = with_factors(bars, [factor]).df
+    value = c(factor.name)
     per = computed.groupBy("symbol").agg(
+        F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
         F.count(F.lit(1)).alias("bar_count"),
-        F.max_by(c(factor.name), "date").alias("volatility"),
+        F.max_by(value, F.when(value.isNotNull(), F.col("date"))).alias("volatility"),
     )
-    status = F.when(F.col("volatility").isNull(), "insufficient_history")
-    if stale_before is not None:
-        per = per.join(F.broadcast(stale_before), F.lit(True))
-        status = status.when(F.col("last_date") < F.col("recent_complete_date"), "stale")
-    per = per.withColumns({"status": status.otherwise("ok"), "__all": F.lit(1)})
-    ranked = avg_rank(per, ["__all"], "volatility", "rank_pct", bars.date_fits, pct=True)
-    return ranked.select("symbol", "last_date", "bar_count", "volatility", "rank_pct", "status")
+    status = F.when(F.col("volatility").isNull(), "insufficient_history").otherwise("ok")
+    per = per.withColumns({"status": status, "__all": F.lit(1)})
+    return avg_rank(per, ["__all"], "volatility", "vol_pct_rank", bars.date_fits, pct=True).drop("__all")
 
 
-def quarterly_groups(values: DataFrame, value: str, bands: Sequence[tuple[float, str]], top: str) -> DataFrame:
-    """Band of each symbol at its quarter's last row, valid for the next quarter.
+# Volatility bands, lower bound included.
+VOLATILITY_BANDS = ((0.00, 0.06, "bond"), (0.06, 0.20, "low"), (0.20, 0.36, "mid"), (0.36, 1.00, "high"))
 
-    bands: (upper bound exclusive, label) in rising order.
-    """
+
+def quarterly_groups(values: DataFrame, value: str, bands=VOLATILITY_BANDS) -> DataFrame:
+    """Band of each symbol on the last date of a quarter, valid for the next
+    quarter; values outside all bands give no row."""
     quarter = F.to_date(F.date_trunc("quarter", "date"))
-    last = (
-        values.withColumn("quarter", quarter)
-        .groupBy("symbol", "quarter")
-        .agg(F.max_by(F.struct(c(value).alias("v"), F.col("date").alias("d")), "date").alias("x"))
-    )
-    label = F.lit(top)
-    for bound, name in reversed(bands):
-        label = F.when(F.col("x.v") < bound, name).otherwise(label)
-    return last.filter(F.col("x.v").isNotNull()).select(
+    dates = values.select("date").distinct().withColumn("quarter", quarter)
+    ends = dates.groupBy("quarter").agg(F.max("date").alias("date"))
+    label = F.lit(None).cast("string")
+    for lo, hi, name in bands:
+        label = F.when((c(value) >= lo) & (c(value) < hi), name).otherwise(label)
+    rows = values.join(F.broadcast(ends), "date").withColumn("group", label)
+    return rows.filter(F.col("group").isNotNull()).select(
         "symbol",
-        F.col("x.d").alias("as_of"),
+        F.col("date").alias("as_of"),
         F.to_date(F.add_months("quarter", 3)).alias("applies_from"),
-        F.col("x.v").alias("value"),
-        label.alias("group"),
+        c(value).alias("value"),
+        "group",
     )
 
 
@@ -133,10 +128,10 @@ def quarterly_groups_wide(groups: DataFrame, quarters: Sequence) -> DataFrame:
 
 # Metric, weight and whether higher is better.
 COMPARISON_METRICS = (
-    ("strategy_annualised_return", 0.35, True),
-    ("sharpe", 0.3, True),
-    ("max_drawdown_pct", 0.2, False),
-    ("win_rate", 0.15, True),
+    ("information_ratio", 0.50, True),
+    ("excess_cumulative_return", 0.35, True),
+    ("max_drawdown_pct", 0.10, False),
+    ("win_rate", 0.05, True),
 )
 
 
@@ -146,13 +141,16 @@ def compare_strategies(
     """Rank strategies by a weighted sum of z-scores of their mean metrics plus
     0.05 times the z-score of coverage.
 
-    rows: (strategy, symbol, metric columns...). One row per strategy remains,
-    so the final windows are over the list of strategies.
+    rows: (strategy, symbol, metric columns..., error). Rows with an error count
+    as not covered. One row per strategy remains, so the final windows are over
+    the list of strategies.
     """
-    total = sum(w for _, w, _ in metrics)
-    valid = F.lit(False)
+    total = sum(max(w, 0.0) for _, w, _ in metrics)
+    if total <= 0:
+        raise ValueError("at least one weight must be positive")
+    valid = c("error").isNull() if "error" in rows.columns else F.lit(True)
     for m, _, _ in metrics:
-        valid = valid | c(m).isNotNull()
+        rows = rows.withColumn(m, F.when(valid, c(m)))
     aggs = [F.count(F.lit(1)).alias("symbols_total"), F.sum(valid.cast("long")).alias("symbols_valid")]
     for m, _, _ in metrics:
         aggs += [F.avg(c(m)).alias(f"{m}_mean"), F.percentile(c(m), F.lit(0.5)).alias(f"{m}_median")]
@@ -166,7 +164,7 @@ def compare_strategies(
 
     score = 0.05 * z("coverage")
     for m, weight, higher in metrics:
-        score = score + (weight / total) * (z(f"{m}_mean") if higher else -z(f"{m}_mean"))
+        score = score + (max(weight, 0.0) / total) * (z(f"{m}_mean") if higher else -z(f"{m}_mean"))
     stats = stats.withColumn("composite_score", score)
     order = [F.col("composite_score").desc(), F.col("coverage").desc(), F.col("symbols_valid").desc(), F.col("strategy")]
     return stats.withColumn("rank", F.row_number().over(W.orderBy(*order)))

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import c, compare, div
+from ..sources.session import cut_lineage
 from .panel import calendar
 
 
@@ -108,15 +109,39 @@ def rebalance_scales(
     return rows.select("variant", "period", scale.alias("scale"), "gross")
 
 
-def equity_levels(
+@dataclass(frozen=True)
+class Executed:
+    """Target weights carried through every execution."""
+
+    weights: DataFrame
+    rebalances: DataFrame
+    dates: DataFrame
+    holdings: DataFrame
+    scales: DataFrame
+
+
+def execute(
     weights: DataFrame, rebalances: DataFrame, dates: DataFrame, bars: DataFrame, commission: float = 0.0
-) -> DataFrame:
+) -> Executed:
+    """Holdings, growth and costs of all variants.
+
+    Calendar, targets and holdings are a small part of the bars and are read by
+    several later steps, so each is written out once instead of being rebuilt
+    from the bars every time.
+    """
+    dates = cut_lineage(dates.select("date").distinct())
+    rebalances = cut_lineage(rebalances)
+    weights = cut_lineage(weights.select("variant", "period", "symbol", "weight"))
+    holdings = cut_lineage(holding_days(weights, rebalances, dates, bars))
+    scales = cut_lineage(rebalance_scales(weights, rebalances, holdings, commission))
+    return Executed(weights, rebalances, dates, holdings, scales)
+
+
+def equity_levels(run: Executed) -> DataFrame:
     """(variant, date, equity): portfolio level at each close from the first
     execution on, starting at 1 before costs."""
-    holdings = holding_days(weights, rebalances, dates, bars)
-    scales = rebalance_scales(weights, rebalances, holdings, commission)
     w = W.partitionBy("variant").orderBy("period")
-    chained = scales.withColumn(
+    chained = run.scales.withColumn(
         "base",
         F.product(F.col("scale")).over(w.rowsBetween(W.unboundedPreceding, 0))
         * F.coalesce(
@@ -124,15 +149,15 @@ def equity_levels(
             F.lit(1.0),
         ),
     )
-    spans = rebalances.select(
+    spans = run.rebalances.select(
         "period",
         F.col("execution_date").alias("start"),
         F.lead("execution_date").over(W.orderBy("period")).alias("end"),
     )
     inside = (F.col("date") >= F.col("start")) & (F.col("end").isNull() | (F.col("date") < F.col("end")))
-    days = F.broadcast(spans).join(calendar(dates).select("date"), inside).select("period", "date")
+    days = F.broadcast(spans).join(run.dates, inside).select("period", "date")
     value = (
-        holdings.filter(~F.coalesce("is_exit", F.lit(False)))
+        run.holdings.filter(~F.coalesce("is_exit", F.lit(False)))
         .groupBy("variant", "period", "date")
         .agg(F.sum(F.col("weight") * div("close", "entry_open")).alias("ratio"))
     )
@@ -163,17 +188,9 @@ def turnover(weights: DataFrame, rebalances: DataFrame) -> DataFrame:
     return rows.select("variant", "period", value.alias("turnover"))
 
 
-def rebalance_log(
-    weights: DataFrame,
-    rebalances: DataFrame,
-    dates: DataFrame,
-    bars: DataFrame,
-    commission: float = 0.0,
-    counts: DataFrame | None = None,
-) -> DataFrame:
+def rebalance_log(run: Executed, counts: DataFrame | None = None) -> DataFrame:
     """One row per variant and rebalance: targets, turnover, costs, growth."""
-    holdings = holding_days(weights, rebalances, dates, bars)
-    scales = rebalance_scales(weights, rebalances, holdings, commission)
+    weights, rebalances, scales = run.weights, run.rebalances, run.scales
     entry = F.map_from_entries(F.sort_array(F.collect_list(F.struct("symbol", "weight"))))
     targets = weights.groupBy("variant", "period").agg(entry.alias("target_weights"))
     out = (

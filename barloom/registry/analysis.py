@@ -93,7 +93,7 @@ SUMMARY = (
     "CASE WHEN count(ic) >= 2 THEN avg(ic) END AS mean, stddev_samp(ic) AS std,"
     " CASE WHEN stddev_samp(ic) > 0 THEN avg(ic) / stddev_samp(ic) END AS ir,"
     " CASE WHEN stddev_samp(ic) > 0 THEN avg(ic) / stddev_samp(ic) * sqrt(count(ic)) END AS t_stat,"
-    " CASE WHEN count(ic) >= 2 THEN sum(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) / count(ic) END AS pos_ratio,"
+    " CASE WHEN count(ic) >= 2 THEN sum(CASE WHEN round(ic, 12) > 0 THEN 1.0 ELSE 0.0 END) / count(ic) END AS pos_ratio,"
     " count(ic) AS n_days"
 )
 
@@ -238,11 +238,13 @@ def _scan_sql(body: str) -> str:
 
 def queries() -> dict:
     q = {}
-    q["panel_build"] = lambda s, d: _round(_panel(s, d).df)
+    q["panel_build"] = lambda s, d: _round(_panel(s, d).df.select("symbol", "date", "factor", "volume", "bar_count"))
     q["panel_symbol_meta"] = lambda s, d: _round(P.symbol_meta(_panel(s, d)))
     q["panel_summary"] = lambda s, d: _round(P.panel_summary(_panel(s, d)))
     q["panel_date_slice"] = lambda s, d: _round(
-        P.build_panel(load_bars(s, d), make(FACTOR[0], **FACTOR[1]), 252, "1997-01-01", "1998-12-31").df
+        P.build_panel(load_bars(s, d), make(FACTOR[0], **FACTOR[1]), 252, "1997-01-01", "1998-12-31").df.select(
+            "symbol", "date", "factor", "volume", "bar_count"
+        )
     )
     q["panel_forward_returns"] = lambda s, d: _round(
         _with_periods(s, d).df.select("symbol", "date", *[f"fwd_{p}" for p in PERIODS])
@@ -288,7 +290,9 @@ def queries() -> dict:
         )
     )
     q["group_cumulative"] = lambda s, d: _round(
-        grouping.cumulative_curves(grouping.quantile_returns(_with_fwd(s, d, 1))).select(
+        grouping.cumulative_curves(
+            grouping.quantile_returns(_with_fwd(s, d, 1)).withColumn("ret", F.col("ret") * 0.01)
+        ).select(
             "date", F.col("group").alias("grp"), F.log("cum").alias("log_cum")
         )
     )
@@ -303,7 +307,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     f5, f1 = _fwd(5), _fwd(1)
     o = {}
-    o["panel_build"] = panel_sql(f"SELECT date, symbol, {rounds('factor', 'close', 'volume')}, bar_count FROM panel")
+    o["panel_build"] = panel_sql(f"SELECT date, symbol, {rounds('factor', 'volume')}, bar_count FROM panel")
     o["panel_symbol_meta"] = panel_sql(
         "SELECT symbol, max(bar_count) AS bar_count, min(CASE WHEN factor IS NOT NULL THEN date END) AS first_valid_date FROM panel GROUP BY symbol"
     )
@@ -312,7 +316,7 @@ def oracle_sql() -> dict[str, str]:
         f" {r('count(factor) * 1.0 / count(DISTINCT date) / count(DISTINCT symbol)')} AS coverage_mean FROM panel"
     )
     o["panel_date_slice"] = panel_sql(
-        f"SELECT date, symbol, {rounds('factor', 'close', 'volume')}, bar_count FROM panel WHERE date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'"
+        f"SELECT date, symbol, {rounds('factor', 'volume')}, bar_count FROM panel WHERE date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'"
     )
     joins = " ".join(
         f"LEFT JOIN pt b{p} ON b{p}.symbol = a.symbol AND b{p}.t = a.t + {p}" for p in PERIODS
@@ -434,7 +438,7 @@ def oracle_sql() -> dict[str, str]:
     )
     o["group_cumulative"] = panel_sql(
         f"SELECT date, grp, {r('CASE WHEN ret IS NOT NULL THEN lc END')} AS log_cum FROM (SELECT date, grp, ret,"
-        " sum(ln(1 + coalesce(ret, 0))) OVER (PARTITION BY grp ORDER BY date ROWS UNBOUNDED PRECEDING) AS lc FROM qr)",
+        " sum(ln(1 + coalesce(ret * 0.01, 0))) OVER (PARTITION BY grp ORDER BY date ROWS UNBOUNDED PRECEDING) AS lc FROM qr)",
         *g1,
     )
     o["group_monotonicity"] = panel_sql(

@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.frames import Bars, windowed
+from ..functions.frames import Bars, running, windowed
 from ..functions.scalar import div
 
 YEAR = 252  # bars per year
@@ -192,7 +193,6 @@ def position_from_signals(bars: Bars, entry: Column, exit: Column) -> Bars:
     toggle, none keeps. The state is the last set value plus the parity of the
     toggles after it, so only running scans are needed.
     """
-    from ..functions.frames import running
 
     e, x = F.coalesce(entry, F.lit(False)), F.coalesce(exit, F.lit(False))
     df = bars.df.withColumns(
@@ -214,6 +214,54 @@ def position_from_signals(bars: Bars, entry: Column, exit: Column) -> Bars:
     )
 
 
+def drawdown_exit(lookback: int = 60, multiple: float = 3.0, atr: str = "atr"):
+    """Window column for the rule: leave when the close is more than a multiple
+    of the ATR below the highest close of the last bars. Needs no memory, so it
+    is a window column; a short history uses the bars there are."""
+
+    def column(w):
+        high = F.max("close").over(w.rowsBetween(-(lookback - 1), 0))
+        return high - F.col("close") > multiple * F.coalesce(F.col(atr), F.lit(0.0))
+
+    return column
+
+
+def lookback_positions(
+    bars: Bars, entry: Column, lookback: int = 60, multiple: float = 3.0, atr: str = "atr"
+) -> Bars:
+    """Enter on the entry signal, leave on a fall of `multiple` ATRs from the
+    highest close of the last `lookback` bars."""
+    rule = drawdown_exit(lookback, multiple, atr)
+    marked = windowed(bars, lookback - 1, 0, lambda d, w: d.withColumn("__x", rule(w)))
+    out = position_from_signals(bars.with_df(marked), entry, F.col("__x"))
+    return out.with_df(out.df.drop("__x"))
+
+
+def peak_positions(bars: Bars, entry: str, multiple: float = 3.0, atr: str = "atr") -> Bars:
+    """The same with the highest close since the entry. Whether a bar matters
+    depends on the state before it, so each symbol is walked in order."""
+    if not bars.symbol_fits:
+        raise ValueError("the peak rule walks a symbol in order; use lookback_positions for longer ones")
+    fields = bars.df.schema.fields + [T.StructField("position", T.IntegerType())]
+
+    def walk(pdf):
+        pdf = pdf.sort_values("date", ignore_index=True)
+        held, peak, out = 0, 0.0, []
+        rows = zip(pdf["close"], pdf[entry].fillna(False).astype(bool), pdf[atr].fillna(0.0))
+        for close, enter, gap in rows:
+            if not held:
+                if enter:
+                    held, peak = 1, close
+            else:
+                peak = max(peak, close)
+                if peak - close > multiple * gap:
+                    held = 0
+            out.append(held)
+        return pdf.assign(position=out)
+
+    return bars.with_df(bars.df.groupBy("symbol").applyInPandas(walk, T.StructType(fields)))
+
+
 def strategy_returns(bars: Bars, warmup: int = 0) -> Bars:
     """Position of the previous bar times the bar's return, warm-up trimmed."""
 
@@ -224,7 +272,6 @@ def strategy_returns(bars: Bars, warmup: int = 0) -> Bars:
 
     df = windowed(bars, 1, 0, build).withColumn("ret", F.col("__held") * F.col("__ret"))
     if warmup:
-        from ..functions.frames import running
 
         df = running(bars.with_df(df), {"__n": ("sum", F.lit(1.0))}).filter(F.col("__n") > warmup)
         df = df.drop("__n")
@@ -237,7 +284,6 @@ def trade_table(bars: Bars) -> DataFrame:
     A position taken on a bar's signal is filled at that bar's close and closed
     at the close of the bar that turns flat.
     """
-    from ..functions.frames import running
 
     def build(d, w):
         before = F.coalesce(F.lag("position", 1).over(w), F.lit(0))

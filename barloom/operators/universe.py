@@ -313,7 +313,7 @@ def cluster_stats(pairs: DataFrame, labels: DataFrame, index_names: DataFrame |
         "cluster", "n_symbols", "intra_corr_mean", "inter_corr_mean", "corr_diff",
         F.coalesce("unique_index_count", F.lit(0)).alias("unique_index_count"),
         F.coalesce("top.index_name", F.lit("")).alias("dominant_index"),
-        F.coalesce(div("top.n", "n_symbols"), F.lit(0.0)).alias("dominant_index_ratio"),
+        F.coalesce(div(F.col("top.n"), "n_symbols"), F.lit(0.0)).alias("dominant_index_ratio"),
         ratio.alias("same_index_pair_ratio"),
     )
 

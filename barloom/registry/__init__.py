@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("factors", "analysis", "strategy")
+_MODULES = ("factors", "analysis", "strategy", "research")
 
 
 def _merged(kind: str) -> dict:

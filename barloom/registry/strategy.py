@@ -190,6 +190,33 @@ def _timing(spark, sf):
     return R.position_from_signals(feats, F.col("close") > c(ma.name), c(vr.name) > 1.2)
 
 
+def _breakout(spark, sf):
+    high, atr = make("NewHigh", use_long_filter=False), make("ATR", window=14)
+    out = with_factors(load_bars(spark, sf), [high, atr])
+    return out.with_df(out.df.withColumnsRenamed({high.name: "nh", atr.name: "atr"}).withColumn("enter", F.col("nh") == 1))
+
+
+def _lookback(spark, sf):
+    return R.lookback_positions(_breakout(spark, sf), F.col("enter"), 60, 1.5)
+
+
+def _peak(spark, sf):
+    return R.peak_positions(_breakout(spark, sf), "enter", 1.5)
+
+
+_TOP = "CASE WHEN count(close) OVER w50 = 50 THEN close >= max(close) OVER w50 END"
+BREAKOUT_SQL = (
+    f"bk AS MATERIALIZED (SELECT symbol, date, rn, close, coalesce({_TOP}, FALSE) AS e, max(close) OVER w60 AS h60,"
+    " coalesce(CASE WHEN count(tr) OVER w14 = 14 THEN avg(tr) OVER w14 END, 0) AS atr FROM s0"
+    " WINDOW w50 AS (PARTITION BY symbol ORDER BY date ROWS 49 PRECEDING), w60 AS (PARTITION BY symbol ORDER BY date ROWS 59 PRECEDING), w14 AS (PARTITION BY symbol ORDER BY date ROWS 13 PRECEDING))",
+    "lk AS (SELECT symbol, date, rn, CASE WHEN e THEN 1 ELSE 0 END AS position FROM bk WHERE rn = 1 UNION ALL SELECT t.symbol, t.date, t.rn,"
+    " CASE WHEN p.position = 0 AND t.e THEN 1 WHEN p.position = 1 AND t.h60 - t.close > 1.5 * t.atr THEN 0 ELSE p.position END FROM lk p JOIN bk t ON t.symbol = p.symbol AND t.rn = p.rn + 1)",
+    "pk AS (SELECT symbol, date, rn, CASE WHEN e THEN 1 ELSE 0 END AS position, CASE WHEN e THEN close ELSE 0 END AS peak FROM bk WHERE rn = 1 UNION ALL SELECT t.symbol, t.date, t.rn,"
+    " CASE WHEN p.position = 0 THEN CASE WHEN t.e THEN 1 ELSE 0 END WHEN greatest(p.peak, t.close) - t.close > 1.5 * t.atr THEN 0 ELSE 1 END,"
+    " CASE WHEN p.position = 0 THEN CASE WHEN t.e THEN t.close ELSE 0 END ELSE greatest(p.peak, t.close) END FROM pk p JOIN bk t ON t.symbol = p.symbol AND t.rn = p.rn + 1)",
+)
+
+
 TIMING_SQL = (
     "tm AS MATERIALIZED (SELECT symbol, date, rn, close, ret, coalesce(CASE WHEN count(close) OVER w20 = 20 THEN close > avg(close) OVER w20 END, FALSE) AS e,"
     " coalesce(CASE WHEN count(volume) OVER w5 = 5 THEN volume / avg(volume) OVER w5 > 1.2 END, FALSE) AS x FROM s0"
@@ -336,6 +363,8 @@ def queries() -> dict:
     q["timing_metrics"] = lambda s, d: _metric_cols(R.return_metrics(_timing_returns(s, d).withColumn("ret", F.col("ret") * 0.1), ["symbol"]), "symbol")
     q["timing_trades"] = lambda s, d: _round(R.trade_table(_timing(s, d)).drop("entry_price", "exit_price"))
     q["timing_trade_counts"] = lambda s, d: _round(R.trade_counts(R.trade_table(_timing(s, d))))
+    q["timing_lookback_exit"] = lambda s, d: _lookback(s, d).df.select("symbol", "date", F.col("position").cast("long").alias("position"))
+    q["timing_peak_exit"] = lambda s, d: _peak(s, d).df.select("symbol", "date", F.col("position").cast("long").alias("position"))
     q["perf_buy_and_hold"] = lambda s, d: _round(R.buy_and_hold(load_bars(s, d)).df)
     q["perf_weighted_benchmark"] = lambda s, d: _round(_benchmark(s, d))
     q["perf_metrics"] = lambda s, d: _metric_cols(R.return_metrics(_scaled_benchmark(s, d)))
@@ -487,6 +516,9 @@ def oracle_sql() -> dict[str, str]:
         f" {r('count(CASE WHEN pnl > 0 THEN 1 END) * 1.0 / count(*)')} AS win_rate FROM tt GROUP BY symbol",
         *trades,
     )
+    brk = f"WITH RECURSIVE {BARS},\n{S0}" + "".join(",\n" + x for x in BREAKOUT_SQL)
+    o["timing_lookback_exit"] = brk + "\nSELECT symbol, date, CAST(position AS BIGINT) AS position FROM lk"
+    o["timing_peak_exit"] = brk + "\nSELECT symbol, date, CAST(position AS BIGINT) AS position FROM pk"
     o["perf_buy_and_hold"] = bars_sql(f"SELECT symbol, date, {r('ret')} AS ret FROM s0 WHERE ret IS NOT NULL")
     o["perf_weighted_benchmark"] = bars_sql(f"SELECT date, {r('ret')} AS ret FROM bm", *BENCH)
     o["perf_metrics"] = bars_sql(f"SELECT {METRIC_SQL} FROM b1", *SCALED)

@@ -81,3 +81,7 @@ def with_daily_change(bars: Bars) -> Bars:
 def ship_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All bar dates from one column of the source, without building bars."""
     return table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct()
+
+
+def weekly(spark: SparkSession, sf_dir: str) -> Bars:
+    return load_bars(spark, sf_dir, period="week")

@@ -125,6 +125,8 @@ def quantiles(
     whole = not keys
     if whole:
         df, keys = df.withColumn("__all", F.lit(1)), ["__all"]
+    df = cut_lineage(df.select(*keys, c(value).alias(value)))
+    every = df.groupBy(*keys).agg(F.lit(1).alias("__one")).drop("__one")
     dist = _distinct_positions(df, keys, value)
 
     def at(index: Column) -> Column:
@@ -141,7 +143,9 @@ def quantiles(
         + (F.col(f"__q{3 * i + 1}") - F.col(f"__q{3 * i}")) * F.col(f"__q{3 * i + 2}")
         for i in range(len(probs))
     ]
-    return grouped.select(*([] if whole else keys), F.array(*value_of).alias(out))
+    # A group without any value keeps its row, as in the form above.
+    marks = grouped.select(*keys, F.array(*value_of).alias(out))
+    return every.join(marks, list(keys), "left").select(*([] if whole else keys), out)
 
 
 def quantile_group(

@@ -214,6 +214,17 @@ def rebalance_log(run: Executed, counts: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def _opens_at_executions(bars: DataFrame, rebalances: DataFrame) -> DataFrame:
+    """(symbol, period, open): the last open after the previous execution and
+    up to this one; missing when the symbol had no bar in between."""
+    runs = rebalances.select("period", F.col("execution_date").alias("date"))
+    ahead = W.orderBy("date").rowsBetween(0, W.unboundedFollowing)
+    steps = bars.select("date").distinct().join(F.broadcast(runs), "date", "left")
+    steps = steps.withColumn("period", F.first("period", ignorenulls=True).over(ahead))
+    rows = bars.select("symbol", "date", "open").join(F.broadcast(steps.dropna(subset=["period"])), "date")
+    return rows.groupBy("symbol", "period").agg(F.max_by("open", "date").alias("open"))
+
+
 def hold_overlap_weights(
     weights: DataFrame, rebalances: DataFrame, bars: DataFrame, commission: float = 0.0
 ) -> DataFrame:
@@ -225,8 +236,8 @@ def hold_overlap_weights(
     """
     names = weights.select("variant", "symbol").distinct()
     marks = names.join(F.broadcast(rebalances.select("period", "execution_date")), F.lit(True))
-    opens = bars.select("symbol", F.col("date").alias("execution_date"), "open")
-    marks = marks.join(opens, ["symbol", "execution_date"], "left").join(
+    opens = _opens_at_executions(bars, rebalances)
+    marks = marks.join(opens, ["symbol", "period"], "left").join(
         weights.select("variant", "period", "symbol", "weight"), ["variant", "period", "symbol"], "left"
     )
     known = W.partitionBy("variant", "symbol").orderBy("period").rowsBetween(W.unboundedPreceding, 0)

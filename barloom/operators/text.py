@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.scalar import c, div
 
@@ -86,7 +87,7 @@ def name_tokens(name: str | Column, keywords: Sequence[str] = ()) -> Column:
     return F.when(F.size(tokens) > 0, tokens).otherwise(whole)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of characters in matching blocks, over distinct pairs of a batch."""
     seen: dict[tuple, float] = {}

@@ -17,8 +17,11 @@ from .sqlbase import factor_sql, full, lag, ov, upto
 DIGITS = {"VPT": 3, "RSRS": 5, "CCI": 5, "VolumeSkew": 5, "ReturnKurtosis": 5}
 
 
-def _query(factor: Factor, digits: int = 6):
+def _query(build, digits: int = 6):
+    """build makes the factor when the query runs, as columns need a session."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        factor = build()
         df = with_factors(load_bars(spark, sf_dir), [factor]).df
         return df.select("symbol", "date", rounded(c(factor.name).cast("double"), digits).alias("value"))
 
@@ -311,37 +314,37 @@ FACTOR_SQL: dict[str, tuple] = {
 }
 
 # Further outputs of factors that have several.
-OUTPUTS: dict[str, tuple[Factor, tuple]] = {
-    "PriceReturn_skip": (momentum.price_return(60, 5), ("p1 / p2 - 1", {"p1": lag("close", 5), "p2": lag("close", 65)})),
-    "RollingOLS_r2": (trend.rolling_ols(20, output="r2"), (_line("r2", "close", 20),)),
+OUTPUTS: dict[str, tuple] = {
+    "PriceReturn_skip": (lambda: momentum.price_return(60, 5), ("p1 / p2 - 1", {"p1": lag("close", 5), "p2": lag("close", 65)})),
+    "RollingOLS_r2": (lambda: trend.rolling_ols(20, output="r2"), (_line("r2", "close", 20),)),
     "Stochastic_D": (
-        oscillators.stochastic(output="D"),
+        lambda: oscillators.stochastic(output="D"),
         (full("avg", "k", 3), _channel(14, "", "")[1], {"k": _channel(14, "(close - lo) / (hi - lo) * 100.0", "50.0")[0]}),
     ),
-    "ADX_plus_di": (trend.adx(output="plus_di"), ("pdi", *_DI)),
-    "ADX_minus_di": (trend.adx(output="minus_di"), ("mdi", *_DI)),
-    "ADX_dx": (trend.adx(output="dx"), ("dx", *_DI)),
-    "RSRS_signal": (trend.rsrs(output="signal"), ("sig", *_RSRS, _RSRS_SIGNAL)),
-    "RSRS_beta": (trend.rsrs(output="beta"), ("cov / nullif(vl, 0)", *_RSRS)),
-    "RSRS_r_square": (trend.rsrs(output="r_square"), ("cov * cov / nullif(vl * vh, 0)", *_RSRS)),
+    "ADX_plus_di": (lambda: trend.adx(output="plus_di"), ("pdi", *_DI)),
+    "ADX_minus_di": (lambda: trend.adx(output="minus_di"), ("mdi", *_DI)),
+    "ADX_dx": (lambda: trend.adx(output="dx"), ("dx", *_DI)),
+    "RSRS_signal": (lambda: trend.rsrs(output="signal"), ("sig", *_RSRS, _RSRS_SIGNAL)),
+    "RSRS_beta": (lambda: trend.rsrs(output="beta"), ("cov / nullif(vl, 0)", *_RSRS)),
+    "RSRS_r_square": (lambda: trend.rsrs(output="r_square"), ("cov * cov / nullif(vl * vh, 0)", *_RSRS)),
     "RsrsDerived_return": (
-        trend.rsrs_derived(output="return_since_buy"),
+        lambda: trend.rsrs_derived(output="return_since_buy"),
         _since((*_RSRS, _RSRS_SIGNAL), "close / ec - 1"),
     ),
     "RsrsDerived_trend": (
-        trend.rsrs_derived(output="zscore_trend"),
+        lambda: trend.rsrs_derived(output="zscore_trend"),
         ("e5 - e20", *_RSRS, {**_ewm("z", 2 / 6, "e5", 218), **_ewm("z", 2 / 21, "e20", 218)}),
     ),
     "ATR_pct": (
-        volatility.average_true_range(normalize_by_close=True),
+        lambda: volatility.average_true_range(normalize_by_close=True),
         (f"({full('avg', 'tr', 25)}) / close",),
     ),
     "ATR_tr_pct": (
-        volatility.average_true_range(normalize_by_close=True, normalize_first=True),
+        lambda: volatility.average_true_range(normalize_by_close=True, normalize_first=True),
         (full("avg", "x", 25), {"x": "tr / close"}),
     ),
-    "Volatility_ann": (volatility.volatility(annualize=True), (f"({full('stddev_samp', 'ret', 20)}) * sqrt(252)",)),
-    "NewHigh_nofilter": (breakout.new_high(use_long_filter=False), ("sig", *_new_high(False))),
+    "Volatility_ann": (lambda: volatility.volatility(annualize=True), (f"({full('stddev_samp', 'ret', 20)}) * sqrt(252)",)),
+    "NewHigh_nofilter": (lambda: breakout.new_high(use_long_filter=False), ("sig", *_new_high(False))),
 }
 
 
@@ -354,12 +357,10 @@ def _scaled(factor: Factor) -> Factor:
 def queries() -> dict:
     out = {}
     for name in FACTORS:
-        factor = make(name)
-        if name == "AmihudIlliquidity":
-            factor = _scaled(factor)
-        out[f"factor_{name}"] = _query(factor, DIGITS.get(name, 6))
-    for name, (factor, _) in OUTPUTS.items():
-        out[f"factor_{name}"] = _query(factor, DIGITS.get(name.split("_")[0], 6))
+        build = lambda name=name: _scaled(make(name)) if name == "AmihudIlliquidity" else make(name)
+        out[f"factor_{name}"] = _query(build, DIGITS.get(name, 6))
+    for name, (build, _) in OUTPUTS.items():
+        out[f"factor_{name}"] = _query(build, DIGITS.get(name.split("_")[0], 6))
     return out
 
 

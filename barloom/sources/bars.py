@@ -59,7 +59,8 @@ def read_csv_bars(
         .csv(path)
         .withColumn("symbol", symbol_from_path())
     )
-    df = df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    usable = F.col("_corrupt_record").isNull() & F.col("date").isNotNull()
+    df = df.filter(usable).drop("_corrupt_record")
     if symbols is not None:
         df = df.filter(F.col("symbol").isin(list(symbols)))
     return typed(df)

@@ -13,12 +13,12 @@ def bar_frame(symbols=3, rows=420, seed=42):
     for k in range(symbols):
         steps = rng.normal(0.0005, 0.015, rows)
         close = np.round(10 * np.exp(np.cumsum(steps)), 2)
-        if k == 1:
+        if k == 1 and rows > 140:
             close[100:140] = close[100]
         open_ = np.round(close * (1 + rng.normal(0, 0.004, rows)), 2)
         high = np.round(np.maximum(open_, close) * (1 + np.abs(rng.normal(0, 0.006, rows))), 2)
         low = np.round(np.minimum(open_, close) * (1 - np.abs(rng.normal(0, 0.006, rows))), 2)
-        if k == 1:
+        if k == 1 and rows > 140:
             open_[100:140] = high[100:140] = low[100:140] = close[100]
         volume = rng.integers(1, 40, rows).astype(float)
         if k == 2:

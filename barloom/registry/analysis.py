@@ -12,7 +12,8 @@ from ..operators.crosssection import quantile_group
 from ..operators.crosscorr import pair_correlations
 from ..plans.trend_scan import cross_section_ic, symbol_rows, summarize
 from ..sources.demo import load_bars, ship_dates
-from .sqlbase import BARS, S0, r, with_bars
+from .flagship import rank_ic_weekly
+from .sqlbase import BARS, S0, r
 
 PERIODS = (1, 5, 10)
 FACTOR = ("PriceReturn", {"window": 20})
@@ -236,8 +237,21 @@ def _scan_sql(body: str) -> str:
     return panel_sql(body, *ctes)
 
 
+WEEKLY = """WITH trades AS (
+  SELECT p_brand AS symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, l_extendedprice / l_quantity AS price,
+         (l_orderkey, l_linenumber, l_extendedprice, l_quantity) AS k, CAST(l_shipdate AS DATE) AS day
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+wk AS MATERIALIZED (SELECT symbol, date, arg_max(price, k) AS close FROM trades GROUP BY symbol, date),
+cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t FROM (SELECT DISTINCT date FROM wk)),
+pt AS MATERIALIZED (SELECT symbol, date, t, close, (close - lag(close, 20) OVER w) / lag(close, 20) OVER w AS factor
+  FROM wk JOIN cal USING (date) WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+fp AS MATERIALIZED (SELECT a.*, b.close / a.close - 1 AS fwd FROM pt a LEFT JOIN pt b ON a.symbol = b.symbol AND b.t = a.t + 5),
+"""
+
+
 def queries() -> dict:
     q = {}
+    q["flagship_rank_ic_weekly"] = rank_ic_weekly
     q["panel_build"] = lambda s, d: _round(_panel(s, d).df.select("symbol", "date", "factor", "volume", "bar_count"))
     q["panel_symbol_meta"] = lambda s, d: _round(P.symbol_meta(_panel(s, d)))
     q["panel_summary"] = lambda s, d: _round(P.panel_summary(_panel(s, d)))
@@ -307,6 +321,10 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     f5, f1 = _fwd(5), _fwd(1)
     o = {}
+    o["flagship_rank_ic_weekly"] = (
+        WEEKLY + ic_sql("fp", "date", "ic")
+        + f" SELECT {rounds('mean', 'std', 'ir', 't_stat', 'pos_ratio')}, n_days FROM (SELECT {SUMMARY} FROM ic)"
+    )
     o["panel_build"] = panel_sql(f"SELECT date, symbol, {rounds('factor', 'volume')}, bar_count FROM panel")
     o["panel_symbol_meta"] = panel_sql(
         "SELECT symbol, max(bar_count) AS bar_count, min(CASE WHEN factor IS NOT NULL THEN date END) AS first_valid_date FROM panel GROUP BY symbol"

@@ -33,16 +33,21 @@ class Bars:
     rows_per_symbol: int
     rows_per_date: int
     limit: int = SINGLE_TASK_ROWS
+    symbols: int | None = None  # distinct symbols and dates, None when not counted
+    dates: int | None = None
 
     @classmethod
     def measure(cls, df: DataFrame, limit: int = SINGLE_TASK_ROWS) -> "Bars":
-        """Find the largest group per symbol and per date (two small jobs)."""
+        """Largest group and number of groups per symbol and date (two small
+        jobs over partial counts)."""
 
-        def largest(key: str) -> int:
-            n = df.groupBy(key).count().agg(F.max("count")).first()[0]
-            return int(n or 0)
+        def groups(key: str) -> tuple[int, int]:
+            sizes = df.groupBy(key).count()
+            most, many = sizes.agg(F.max("count"), F.count("count")).first()
+            return int(most or 0), int(many)
 
-        return cls(df, largest("symbol"), largest("date"), limit)
+        (per_symbol, symbols), (per_date, dates) = groups("symbol"), groups("date")
+        return cls(df, per_symbol, per_date, limit, symbols, dates)
 
     def with_df(self, df: DataFrame) -> "Bars":
         return replace(self, df=df)
@@ -55,6 +60,15 @@ class Bars:
     def date_fits(self) -> bool:
         return self.rows_per_date <= self.limit
 
+    @property
+    def symbols_fit(self) -> bool:
+        """Whether one row per symbol fits a task; unknown counts as no."""
+        return self.symbols is not None and self.symbols <= self.limit
+
+    @property
+    def total_fits(self) -> bool:
+        return self.symbols is not None and self.symbols * self.rows_per_symbol <= self.limit
+
 
 def by_symbol(*extra: str) -> WindowSpec:
     return W.partitionBy("symbol", *extra).orderBy("date")

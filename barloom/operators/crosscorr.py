@@ -36,7 +36,7 @@ def pair_correlations(
     if end is not None:
         cal = cal.filter(F.col("date") <= F.lit(end))
     sampled = cal.filter(F.col("t") % interval == 0).select("date")
-    df = bars.df.join(small(sampled, bars.rows_per_symbol), "date")
+    df = bars.df.join(small(sampled, bars.dates), "date")
     pairs = list(only) if only is not None else list(itertools.combinations(factors, 2))
     if not pairs:
         raise ValueError("no factor pairs")

@@ -91,8 +91,13 @@ def correlation_pairs(
     series: (symbol, date, x). Values are centred per symbol first, which leaves
     the correlation as it is and keeps the sums accurate.
     """
-    blocks = max(1, math.ceil(series.rows_per_date / block_symbols))
-    spans = max(1, math.ceil(series.rows_per_symbol / block_dates))
+    symbols, dates = series.symbols, series.dates
+    if symbols is None:
+        symbols = series.df.groupBy("symbol").count().count()
+    if dates is None:
+        dates = series.df.groupBy("date").count().count()
+    blocks = max(1, math.ceil(symbols / block_symbols))
+    spans = max(1, math.ceil(dates / block_dates))
     # Two aggregations over the same rows instead of a window per symbol.
     means = series.df.groupBy("symbol").agg(F.avg("x").alias("__m"))
     df = series.df.filter(F.col("x").isNotNull()).join(means, "symbol")

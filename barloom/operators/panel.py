@@ -16,9 +16,9 @@ from ..functions.scalar import c, div
 BROADCAST_ROWS = 1_000_000
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table whose row bound was checked; otherwise plain join."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int | None) -> DataFrame:
+    """Broadcast a table whose row count was checked; otherwise a plain join."""
+    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
 
 
 def calendar(dates: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def forward_returns(
     building the dense date x symbol grid.
     """
     cal = calendar(panel.df if dates is None else dates)
-    df = panel.df.join(small(cal, panel.rows_per_symbol), "date")
+    df = panel.df.join(small(cal, panel.dates), "date")
     back = max(periods)
 
     def build(d, w):

@@ -18,10 +18,6 @@ DAILY_POINTS = (5, 25, 50, 75, 95)
 LAGS = (1, 5, 10, 20)
 
 
-def _total_fits(panel: Bars) -> bool:
-    return panel.rows_per_symbol * panel.rows_per_date <= panel.limit
-
-
 def coverage(panel: Bars) -> DataFrame:
     """Share of the panel's symbols with a value, per date."""
     symbols = panel.df.groupBy("symbol").agg(F.lit(1).alias("one")).agg(F.count("one").alias("n_symbols"))
@@ -43,7 +39,7 @@ def distribution_stats(panel: Bars) -> DataFrame:
         F.max(x).alias("max"),
     )
     probs = [p / 100 for p in DISTRIBUTION_POINTS.values()]
-    marks = quantiles(panel.df, [], "factor", probs, "q", _total_fits(panel))
+    marks = quantiles(panel.df, [], "factor", probs, "q", panel.total_fits)
     points = [F.col("q")[i].alias(n) for i, n in enumerate(DISTRIBUTION_POINTS)]
     return moments.join(F.broadcast(marks), F.lit(True)).select(*moments.columns, *points)
 
@@ -91,14 +87,14 @@ def missing_by_volume(panel: Bars, n_groups: int = 3) -> DataFrame:
     per_symbol = panel.df.groupBy("symbol").agg(
         F.avg("volume").alias("measure"), F.count("factor").alias("n_values")
     )
-    return _missing_rate(panel, _tercile(per_symbol, "measure", n_groups, panel.date_fits))
+    return _missing_rate(panel, _tercile(per_symbol, "measure", n_groups, panel.symbols_fit))
 
 
 def missing_by_bar_count(panel: Bars, n_groups: int = 3) -> DataFrame:
     per_symbol = panel.df.groupBy("symbol").agg(
         F.max("bar_count").cast("double").alias("measure"), F.count("factor").alias("n_values")
     )
-    return _missing_rate(panel, _tercile(per_symbol, "measure", n_groups, panel.date_fits))
+    return _missing_rate(panel, _tercile(per_symbol, "measure", n_groups, panel.symbols_fit))
 
 
 def rank_autocorrelation(panel: Bars, lags: Sequence[int] = LAGS) -> DataFrame:
@@ -133,7 +129,7 @@ def rank_autocorrelation(panel: Bars, lags: Sequence[int] = LAGS) -> DataFrame:
         .agg(corr_agg("r0", "r1").alias("r"), F.count(F.lit(1)).alias("n"))
         .filter((F.col("n") >= 20) & (F.col("n") > 10))
     )
-    middle = quantiles(per_symbol, ["lag"], "r", [0.5], "q", panel.date_fits)
+    middle = quantiles(per_symbol, ["lag"], "r", [0.5], "q", panel.symbols_fit)
     stats = per_symbol.groupBy("lag").agg(
         F.avg("r").alias("mean_autocorr"), F.stddev_samp("r").alias("std_autocorr")
     )

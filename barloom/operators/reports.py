@@ -90,7 +90,7 @@ def volatility_snapshot(bars: Bars, factor: Factor) -> DataFrame:
     )
     status = F.when(F.col("volatility").isNull(), "insufficient_history").otherwise("ok")
     per = per.withColumns({"status": status, "__all": F.lit(1)})
-    return avg_rank(per, ["__all"], "volatility", "vol_pct_rank", bars.date_fits, pct=True).drop("__all")
+    return avg_rank(per, ["__all"], "volatility", "vol_pct_rank", bars.symbols_fit, pct=True).drop("__all")
 
 
 # Volatility bands, lower bound included.

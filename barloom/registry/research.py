@@ -287,8 +287,8 @@ def queries() -> dict:
             )
         )
     )
-    q["universe_concentration"] = lambda s, d: _round(U.concentration(_pairs(s, d), load_bars(s, d).rows_per_date))
-    q["universe_dominant_share"] = lambda s, d: _round(U.dominant_share(_pairs(s, d), load_bars(s, d).rows_per_date))
+    q["universe_concentration"] = lambda s, d: _round(U.concentration(_pairs(s, d), load_bars(s, d).symbols))
+    q["universe_dominant_share"] = lambda s, d: _round(U.dominant_share(_pairs(s, d), load_bars(s, d).symbols))
     q["universe_threshold_clusters"] = lambda s, d: U.threshold_clusters(_pairs(s, d), _symbols(s, d), 0.98)
     q["universe_neighbour_distances"] = lambda s, d: _round(_kdist(s, d))
     q["universe_estimate_eps"] = lambda s, d: _round(U.estimate_eps(_kdist(s, d)))
@@ -398,7 +398,7 @@ def queries() -> dict:
         table(s, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date")), ship_dates(s, d)
     ).select("o_orderkey", "date")
     q["join_lookup_names"] = lambda s, d: joins.lookup(
-        load_bars(s, d).df.select("symbol", "date"), _labels(s, d).filter("cluster > 0"), "symbol", {"cluster": -1}, load_bars(s, d).rows_per_date
+        load_bars(s, d).df.select("symbol", "date"), _labels(s, d).filter("cluster > 0"), "symbol", {"cluster": -1}, load_bars(s, d).symbols
     )
     q["join_name_cells"] = lambda s, d: joins.name_cells(
         _index_map(s, d).groupBy("index_name").agg(F.sort_array(F.collect_list("symbol")).alias("symbols")),

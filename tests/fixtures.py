@@ -45,7 +45,7 @@ def to_bars(spark, pdf, limit=1_000_000):
     df = spark.createDataFrame(pdf)
     per_symbol = int(pdf.groupby("symbol").size().max())
     per_date = int(pdf.groupby("date").size().max())
-    return Bars(df, per_symbol, per_date, limit)
+    return Bars(df, per_symbol, per_date, limit, pdf["symbol"].nunique(), pdf["date"].nunique())
 
 
 def per_symbol(pdf, fn):

@@ -268,23 +268,30 @@ def rotation_signal(
     min_score: float | None = None,
     drop_missing: bool = False,
     keys: Sequence[str] = ("date",),
+    fits: bool = True,
 ) -> DataFrame:
     """Target weights from a weighted mean of rank shares.
 
     A missing value ranks highest unless drop_missing is set; a column with
     fewer than two values on a date is left out there.
     """
-    group = W.partitionBy(*keys)
     parts, weights = [], []
     for i, (field, weight) in enumerate(score_cols):
-        x = c(field)
-        w = group.orderBy(x.asc_nulls_last())
-        present = F.count(x).over(group)
-        # Counting rows instead of values ranks the missing ones after the rest.
-        share = (F.rank().over(w) + F.count(F.lit(1)).over(w)) / (2.0 * F.count(F.lit(1)).over(group))
+        x, n, present = c(field), F.col("__n"), F.col("__k")
+        df = avg_rank(df, keys, field, "__r", fits)
+        counts = {"__n": F.count(F.lit(1)), "__k": F.count(x)}
+        if fits:
+            df = df.withColumns({k: v.over(W.partitionBy(*keys)) for k, v in counts.items()})
+        else:
+            sizes = df.groupBy(*keys).agg(*[v.alias(k) for k, v in counts.items()])
+            df = df.join(sizes, list(keys))
         if drop_missing:
-            share = F.when(x.isNotNull(), (F.rank().over(w) + F.count(x).over(w)) / (2.0 * present))
-        df = df.withColumns({f"__s{i}": F.when(present >= 2, share), f"__u{i}": (present >= 2).cast("double")})
+            share = div("__r", present)
+        else:
+            # The missing ones share the mean of the ranks after the rest.
+            share = div(F.coalesce(F.col("__r"), (n + present + 1) / F.lit(2.0)), n)
+        used = (present >= 2).cast("double")
+        df = df.withColumns({f"__s{i}": F.when(present >= 2, share), f"__u{i}": used}).drop("__r", "__n", "__k")
         parts.append(F.when(F.col(f"__u{i}") == 1, F.col(f"__s{i}") * weight).otherwise(0.0))
         weights.append(F.col(f"__u{i}") * weight)
     total = sum(weights[1:], weights[0])

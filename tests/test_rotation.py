@@ -169,3 +169,22 @@ def test_filters_and_allocators(spark):
     assert w == {"s9": 0.5, "s8": 0.25, "s7": 0.25}
     capped = S.exposure_caps(S.allocate(top, "equal"), 0.0, 0.3, 0.6).collect()
     assert sum(r["weight"] for r in capped) == pytest.approx(0.6)
+
+
+@pytest.mark.parametrize("fits", [True, False])
+def test_rotation_signal(spark, fits):
+    pdf = pd.DataFrame({"date": ["d1"] * 6 + ["d2"] * 6, "symbol": list("abcdef") * 2})
+    pdf["x"] = [1.0, 2.0, 2.0, np.nan, 5.0, np.nan, 3.0, 1.0, 4.0, 1.0, 5.0, 9.0]
+    pdf["y"] = [3.0, np.nan, 1.0, 2.0, 2.0, 7.0] + [np.nan] * 5 + [1.0]
+    df = spark.createDataFrame(pdf)
+    df = df.select("date", "symbol", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in "xy"])
+    out = S.rotation_signal(df, [("x", 1.0), ("y", 0.5)], 3, weighting="score", fits=fits).toPandas()
+    for day, g in pdf.groupby("date"):
+        cols = [(c, w) for c, w in (("x", 1.0), ("y", 0.5)) if g[c].notna().sum() >= 2]
+        score = sum(g[c].rank(pct=True, na_option="bottom") * w for c, w in cols) / sum(w for _, w in cols)
+        best = pd.DataFrame({"s": g["symbol"], "v": score}).sort_values(["v", "s"], ascending=[False, True]).head(3)
+        got = out[out["date"] == day].set_index("symbol")
+        assert set(got.index) == set(best["s"])
+        for r in best.itertuples():
+            assert abs(got.loc[r.s, "score"] - r.v) < 1e-12
+            assert abs(got.loc[r.s, "weight"] - r.v / best["v"].sum()) < 1e-12

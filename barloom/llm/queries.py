@@ -6,16 +6,99 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .shared import chosen
+from . import bpe, jaccard, langid, mixing, quality, sharding, simhash, topk, urlfilter, warc
+from .shared import chosen, held_out
 
+#: Vocabulary of op9.
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Shards of op4; weights and epochs of op8; queries and results of op10.
+SHARDS, WEIGHTS, EPOCHS = 40, (5, 2, 1), 3
+QUERY_EVERY, TOP, SCALE = 20, 20, 64
+#: Hamming radius of op3's neighbours.
+RADIUS = 3
+# The rules of op6.
+RULES = (
+    urlfilter.Rule("org/", "allow"),
+    urlfilter.Rule("example.org/es/", "block"),
+    urlfilter.Rule("example.org/en/1", "allow"),
+    urlfilter.Rule("com/fr/", "allow"),
+    urlfilter.Rule("com/de/", "block"),
+)
+#: A word: anything between blanks.
+_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return chosen(spark.read.parquet(f"{sf_dir}/{name}.parquet"), *columns)
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """Learns from labelled documents that are not held out."""
+    return quality.fit(chosen(docs, "doc_id", "text"), chosen(labels, "doc_id", "quality").filter(~held_out()))
+
+
+def op1_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality_model(docs, _table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def language_model(docs: DataFrame) -> langid.Model:
+    """Learns from documents of known language that are not held out."""
+    return langid.fit(chosen(docs, "doc_id", "text", "lang").filter(~held_out()))
+
+
+def op2_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), language_model(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_spans")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_fingerprints(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("f0", "f1")
+
+
+def op4_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law `rows`: the shuffle is uniform over rows; equal texts are rows like
+    any others and may lie in several shards."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text").select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
+    out = sharding.shuffle_into_shards(docs, SHARDS, seed=7)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small labelled table comes from the URLs that the rules decide."""
+    pages = _table(spark, sf_dir, "pages", "page_id", "url")
+    model = urlfilter.train(urlfilter.labelled_by_rules(pages, RULES))
+    return urlfilter.judge(pages, RULES, model)
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, size in words."""
+    words = F.size(F.split(F.btrim(F.coalesce(F.col("text"), F.lit("")), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+"))
+    empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(_WORD)
+    return docs.select("doc_id", "source", F.when(empty, 0).otherwise(words).cast("long").alias("size"), *more)
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = sized(_table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    made = mixing.mix(docs, WEIGHTS, EPOCHS, seed=11)
+    return mixing.taken_words(made).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def bpe_round_trip(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded bytes."""
     import public_tokenizers
@@ -28,10 +111,19 @@ def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", SCALE)
+    return topk.top_k(vectors, F.col("vec_id") % QUERY_EVERY == 0, TOP)
+
+
 def queries() -> dict:
     return {
-        "op9_byte_level_bpe": op9_byte_level_bpe,
-    }
+        f.__name__: f
+        for f in (
+            op1_additive_quality, op2_language_spans, op3_simhash, op4_uniform_shards, op5_warc,
+            op6_url_filter, op7_jaccard_join, op8_source_mix, op9_byte_level_bpe, op10_pivot_top_k,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +44,16 @@ def sample_below(df: DataFrame, key, rows: int, total: int, seed: str):
         return F.lit(True)
     limit = int((rows / total) * 2**32)
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2**32)) < limit
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Jobs started inside hand Python workers so many rows at a time, at most:
+    for rows of several texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import on_workers
+
 #: Pieces and token pairs remembered by one worker; full memories start anew.
 MEMORY = 300_000
 #: Characters of text whose new pieces are encoded in one go.
@@ -375,12 +377,6 @@ class Prefixes:
         return out[::-1]
 
 
-def _broadcast(df: DataFrame, ranks: dict[bytes, int], pattern: str):
-    # One vocabulary, fixed in size; a worker keeps it, and what it has
-    # memorised, from task to task.
-    return df.sparkSession.sparkContext.broadcast(Encoder(ranks, pattern))
-
-
 def _mapped(df: DataFrame, column: str, make, types: dict[str, str]) -> DataFrame:
     """df without columns of the new names, plus the new ones: make gives a
     dictionary for each of a list of values."""
@@ -409,10 +405,10 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     A null or empty text has no tokens. Repeated rows are encoded alike; columns
     named n_tokens or ids are replaced. Any length of text is encoded whole in
     time proportional to its length. An empty table stays empty."""
-    shared = _broadcast(df, ranks, pattern)
+    encoder = on_workers(df.sparkSession, Encoder(ranks, pattern))
 
     def make(values):
-        for ids in shared.value.encode_all(values):
+        for ids in encoder().encode_all(values):
             yield {"n_tokens": len(ids) // 4, "ids": ids}
 
     return _mapped(df, text, make, {"n_tokens": "bigint", "ids": "binary"})
@@ -420,10 +416,10 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
 
 def decode(df: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "ids") -> DataFrame:
     """df plus decoded: the bytes of the ids. Null ids decode to no bytes."""
-    shared = _broadcast(df, ranks, pattern)
+    encoder = on_workers(df.sparkSession, Encoder(ranks, pattern))
 
     def make(values):
-        return ({"decoded": shared.value.decode(v or b"")} for v in values)
+        return ({"decoded": encoder().decode(v or b"")} for v in values)
 
     return _mapped(df, ids, make, {"decoded": "binary"})
 
@@ -432,14 +428,14 @@ def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
     """df plus n_tokens, ids_sha256 and decoded_sha256: encode and decode in one
     pass, for uses that need the digests and not the ids. Nulls, empty texts and
     clashing names as in `encode`."""
-    shared = _broadcast(df, ranks, pattern)
+    encoder = on_workers(df.sparkSession, Encoder(ranks, pattern))
 
     def make(values):
-        for ids in shared.value.encode_all(values):
+        for ids in encoder().encode_all(values):
             yield {
                 "n_tokens": len(ids) // 4,
                 "ids_sha256": hashlib.sha256(ids).hexdigest(),
-                "decoded_sha256": hashlib.sha256(shared.value.decode(ids)).hexdigest(),
+                "decoded_sha256": hashlib.sha256(encoder().decode(ids)).hexdigest(),
             }
 
     return _mapped(df, text, make, {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"})

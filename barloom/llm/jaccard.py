@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow_rows, written
+from .shared import arrow_rows, on_workers, written
 from .shingles import batches_of, mix, set_id, shingle_sets
 
 #: Similar: 100 * intersection >= 75 * union.
@@ -339,10 +339,10 @@ def _filtered(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     place = F.pmod(F.xxhash64("doc_id", "th"), F.lit(FILTER)).cast("int")
     hit = np.zeros(FILTER, bool)
     hit[[r.p for r in wanted.select(place.alias("p")).distinct().collect()]] = True
-    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(hit))
+    shared = on_workers(texts.sparkSession, np.packbits(hit))
 
     def run(batches):
-        bits = np.unpackbits(shared.value).view(bool)
+        bits = np.unpackbits(shared()).view(bool)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)], names=["doc_id", "th", "text"]).filter(pa.array(bits[batch.column(3).to_numpy()]))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sample_below
+from .shared import on_workers, sample_below
 
 # First and last code point of the ranges of scripts.
 SCRIPT_RANGES = (
@@ -229,14 +229,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     chosen = F.lit(False)
     for name in languages:
         chosen = chosen | ((F.col("lang") == name) & sample_below(known, F.col("key").cast("string"), documents, totals[name], "langid"))
-    spark = labelled.sparkSession
-    tables = spark.sparkContext.broadcast((lower, script))
+    tables = on_workers(labelled.sparkSession, (lower, script))
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for text_, lang_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = read_words([text_], *tables.value)
+                words = read_words([text_], *tables())
                 add = sums.setdefault(lang_, np.zeros(BUCKETS + len(SCRIPTS), np.int64))
                 add[:BUCKETS] += np.bincount(words.grams, minlength=BUCKETS)
                 add[BUCKETS:] += np.bincount(words.script, words.last - words.first, len(SCRIPTS)).astype(np.int64)
@@ -270,7 +269,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = Fa
     text that is null or has no letter, and every text under a model without
     languages, is `und` with score 0. Texts of any length are labelled whole;
     repeated rows alike; columns of the new names are replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = on_workers(docs.sparkSession, model)
     new = ["lang_pred", "score", "n_spans", *(["spans"] if spans else [])]
     rest = [c for c in dict.fromkeys(docs.columns) if c not in new]
     base = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("_in"))
@@ -280,7 +279,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = Fa
 
     def run(batches):
         for batch in batches:
-            found = list(label_texts(batch.column(len(rest)).to_pylist(), shared.value))
+            found = list(label_texts(batch.column(len(rest)).to_pylist(), shared()))
             made = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([len(f[2]) for f in found], pa.int32())]
             made += [pa.array([f[2] for f in found], span_type)] if spans else []
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), *made], names=[*rest, *new])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +59,18 @@ def arrow_rows(spark: SparkSession, rows: int):
         yield
     finally:
         spark.conf.set(name, before)
+
+
+def on_workers(spark: SparkSession, made: object):
+    """A function that gives the object inside tasks. It is broadcast with its
+    class, so workers need not have this package, and a worker keeps it, and what
+    it has memorised, from task to task. For objects of bounded size."""
+    held = spark.sparkContext.broadcast({"pickled": cloudpickle.dumps(made)})
+
+    def get():
+        value = held.value
+        if "object" not in value:
+            value["object"] = pickle.loads(value["pickled"])
+        return value["object"]
+
+    return get

@@ -183,6 +183,9 @@ def viterbi(scores: list[np.ndarray], prior: np.ndarray, switch: float = SWITCH)
 
 def label_texts(texts: list[str | None], model: Model):
     """(language, score, spans) per text, in groups of bounded size."""
+    if not model.languages:
+        yield from (("und", 0.0, []) for _ in texts)
+        return
     at = 0
     while at < len(texts):
         stop, words, held = at, [], 0
@@ -205,7 +208,7 @@ def label_texts(texts: list[str | None], model: Model):
 
 
 def _summary(labels: np.ndarray, first: np.ndarray, last: np.ndarray, languages: list[str]):
-    if not len(labels) or not languages:
+    if not len(labels):
         return "und", 0.0, []
     letters = np.bincount(labels, last - first, len(languages))
     best = int(letters.argmax())

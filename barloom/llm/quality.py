@@ -141,21 +141,26 @@ def _tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _pair_tree(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
-    """A cut across one axis, then one across the other on either side."""
-    best = (0.0, np.zeros_like(g))
+    """The best cut across one axis with the best cuts across the other on both
+    sides of it: what it gains, and the step per cell."""
+    best: tuple[float, np.ndarray] = (0.0, np.zeros_like(g))
     for turned in (False, True):
         gg, hh = (g.T, h.T) if turned else (g, h)
-        _, at = _cut(gg.sum(1), hh.sum(1))
-        step, gain = np.zeros_like(gg), 0.0
-        for rows in (slice(0, at), slice(at, len(gg))):
-            g1, h1 = gg[rows].sum(0), hh[rows].sum(0)
-            won, across = _cut(g1, h1)
-            for cols in (slice(0, across), slice(across, len(g1))) if won > 0 else (slice(0, len(g1)),):
-                a, b = g1[cols].sum(), h1[cols].sum()
-                gain += a * a / (b + PENALTY)
-                step[rows, cols] = -a / (b + PENALTY)
-        if gain > best[0]:
-            best = (gain, step.T if turned else step)
+        up_g, up_h = np.cumsum(gg, 0), np.cumsum(hh, 0)
+        for at in range(1, len(gg)):
+            sides = ((up_g[at - 1], up_h[at - 1]), (up_g[-1] - up_g[at - 1], up_h[-1] - up_h[at - 1]))
+            cuts = [_cut(*side) for side in sides]
+            leaves, gain = [], 0.0
+            for rows, (won, across), (g1, h1) in zip((slice(0, at), slice(at, len(gg))), cuts, sides, strict=True):
+                for cols in (slice(0, across), slice(across, len(g1))) if won > 0 else (slice(0, len(g1)),):
+                    a, b = g1[cols].sum(), h1[cols].sum()
+                    gain += a * a / (b + PENALTY)
+                    leaves.append((rows, cols, -a / (b + PENALTY)))
+            if gain > best[0]:
+                step = np.zeros_like(gg)
+                for rows, cols, value in leaves:
+                    step[rows, cols] = value
+                best = (gain, step.T if turned else step)
     return best
 
 

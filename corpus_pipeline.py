@@ -2,35 +2,109 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents.
+one's docs. All but the last return the columns of documents, further columns of
+docs included. Nulls, empty texts and repeated rows go through as the operators
+define them; an empty table stays empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from barloom.llm import jaccard, langid, mixing, quality
 from barloom.llm import queries as q
 from barloom.llm.shared import written
 
+#: Least share of a text's letters in its language.
+LEAST_SHARE = 0.5
+#: A table of documents to leave out above so many rows is joined by a shuffle.
+BROADCAST_ROWS = 10_000
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def _judged(docs: DataFrame, judge, keep: Column) -> DataFrame:
+    """Rows of docs that the judged text lets stay; columns can't clash."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    return judge(rows).filter(keep).select("_row.*")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the learned languages stay: those go that have no
+    letter, or no language for at least LEAST_SHARE of their letters."""
+    model = q.language_model(docs)
+    return _judged(docs, lambda rows: langid.identify(rows, model), (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay that the quality model finds more likely good than not."""
+    model = q.quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _judged(docs, lambda rows: quality.score(rows, model), F.col("predicted") == 1)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates stays: the one with the
+    smallest doc_id. Documents without words stay all."""
+    found = written(jaccard.near_duplicates(docs).filter("n_shingles > 0").select("doc_id", "th", "stays"), "near-duplicates")
+    rows = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+
+    def without(rows: DataFrame, which: DataFrame, how: str) -> DataFrame:
+        which = which.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h")).distinct()
+        which = F.broadcast(which) if which.count() <= BROADCAST_ROWS else which
+        return rows.join(which, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), how)
+
+    rows = without(rows, found.filter("not stays"), "left_anti")
+    again = written(found.filter("stays").groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
+    if not again.isEmpty():
+        rows = without(rows, again, "left_anti").unionByName(without(rows, again, "left_semi").dropDuplicates(["doc_id", "_th"]))
+    return rows.drop("_th")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: a row for each epoch that takes
+    words of it, cut to these words (joined by blanks) if they aren't all.
+    Documents without words aren't taken."""
+    key = F.struct("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"))
+    sizes = q.sized(docs.withColumn("_key", key), "_key").drop("doc_id").withColumnRenamed("_key", "doc_id")
+    made = mixing.mix(sizes, q.WEIGHTS, q.EPOCHS, seed=11)
+    taken = made.pieces.groupBy("sid", "start", "epoch").agg(
+        F.first("doc_id").alias("_taken"), F.min("from_word").alias("_from"), F.max("to_word").alias("_to"), F.first("size").alias("_size")
+    )
+    taken = taken.select("_taken.doc_id", "_taken.th", "_from", "_to", "_size").withColumnsRenamed({"doc_id": "_d", "th": "_h"})
+    # Repeated rows share their key; each epoch of each of them is one row here.
+    rows = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).dropDuplicates(["doc_id", "_th"])
+    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")))
+    words = F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
+    part = F.concat_ws(" ", F.slice(words, F.col("_from").cast("int") + 1, (F.col("_to") - F.col("_from")).cast("int")))
+    cut = (F.col("_from") > 0) | (F.col("_to") < F.col("_size"))
+    rows = rows.withColumn("text", F.when(cut, part).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document of the mix."""
     return q.bpe_round_trip(docs)
 
 
 STAGES = [
-    ("byte-level BPE", encode),
+    ("language ID", language),
+    ("quality classifier", good),
+    ("n-gram Jaccard join", distinct),
+    ("mixing sources to target weights", mixed),
+    ("byte-level BPE", encoded),
 ]
 
-#: No stage but the join can be stated in SQL; tests use brute force.
+#: Learned models decide the first stages, which SQL can't state; tests check
+#: each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -45,7 +45,9 @@ def daily_ic(
     else:
         raise ValueError(f"unknown method {method!r}")
     daily = df.groupBy(*by).agg(F.count("__x").alias("n"), corr_agg(x, y).alias("r"))
-    return daily.select(*by, "n", F.when(F.col("n") >= min_pairs, F.col("r")).alias("ic"))
+    # Digits beyond the twelfth are rounding noise of the sums; without them an
+    # uncorrelated day is exactly 0.
+    return daily.select(*by, "n", F.when(F.col("n") >= min_pairs, F.round("r", 12)).alias("ic"))
 
 
 def daily_top_ic(
@@ -76,11 +78,10 @@ def daily_top_ic(
 
 def ic_summary(ic: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     n = F.count("ic")
-    # A correlation of rounding size is zero, not positive.
     stats = ic.groupBy(*keys).agg(
         F.avg("ic").alias("m"),
         F.stddev_samp("ic").alias("s"),
-        F.sum((F.col("ic") > 1e-12).cast("double")).alias("up"),
+        F.sum((F.col("ic") > 0).cast("double")).alias("up"),
         n.alias("n_days"),
     )
     enough = F.col("n_days") >= 2
@@ -149,8 +150,10 @@ def parameter_grid_ic(
     keep = [f"fwd_{p}" for p in periods]
     long = long_factors(computed, list(labels), keep)
     if min_bars:
-        enough = F.count("factor").over(W.partitionBy("factor_name", "symbol")) >= min_bars
-        long = long.with_df(long.df.withColumn("__ok", enough).filter("__ok").drop("__ok"))
+        # Partial counts, so that no symbol's history meets in one task.
+        counts = long.df.groupBy("factor_name", "symbol").agg(F.count("factor").alias("__n"))
+        enough = counts.filter(F.col("__n") >= min_bars).select("factor_name", "symbol")
+        long = long.with_df(long.df.join(enough, ["factor_name", "symbol"], "left_semi"))
     long = by_period(long, periods)
     ic = daily_ic(long, keys=["factor_name", "period"])
     label = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
@@ -166,5 +169,6 @@ def grid_matrix(records: DataFrame, periods: Sequence[int]) -> DataFrame:
 
 def best_params(records: DataFrame) -> DataFrame:
     return records.filter(F.col("ic_mean").isNotNull()).agg(
-        F.max_by(F.struct("param_label", "period", "ic_mean"), "ic_mean").alias("b")
+        # Of equally good sets the last name and period.
+        F.max_by(F.struct("param_label", "period", "ic_mean"), F.struct("ic_mean", "param_label", "period")).alias("b")
     ).select("b.*")

@@ -227,7 +227,8 @@ def dynamic_ranking(
     best = (
         known.filter(F.col("__m").isNotNull())
         .groupBy("date")
-        .agg(F.max_by(F.struct("factor_name"), F.struct(F.col("__m"))).alias("b"))
+        # Of equally good factors the last name.
+        .agg(F.max_by(F.struct("factor_name"), F.struct(F.col("__m"), F.col("factor_name"))).alias("b"))
     )
     return signal_dates.select("date").join(best, "date", "left").select(
         "date", F.coalesce(F.col("b.factor_name"), F.lit(default)).alias("ranking_factor")

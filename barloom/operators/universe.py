@@ -20,7 +20,7 @@ from .pairs import both_ways
 EIGEN_SYMBOLS = 2_000
 
 
-def connected_components(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(pairs: DataFrame) -> DataFrame:
     """(symbol, component): smallest symbol reachable over the pairs.
 
     Alternating star contraction: every round links nodes to the smallest
@@ -33,7 +33,7 @@ def connected_components(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
     ).distinct()
     edges = cut_lineage(edges)
     before = None
-    for _ in range(max_rounds):
+    while True:
         back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
         whole = edges.unionByName(back)
         low = whole.groupBy("u").agg(F.min("v").alias("m"))
@@ -52,8 +52,6 @@ def connected_components(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
         if before == tuple(state):
             break
         before = tuple(state)
-    else:
-        raise RuntimeError("components did not settle")
     members = edges.select(F.col("u").alias("symbol"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("symbol"), F.col("v").alias("component")).distinct()
     return members.unionByName(roots)
@@ -371,7 +369,8 @@ def greedy_low_correlation(
         mean = full.filter(F.col("b").isin(chosen)).groupBy(F.col("a").alias("symbol")).agg(
             F.avg("corr").alias("mean_corr")
         )
-        ranked = free.join(mean, "symbol", "left").orderBy("mean_corr", *tie, "symbol")
+        # A symbol without a known correlation to those chosen comes last.
+        ranked = free.join(mean, "symbol", "left").orderBy(F.col("mean_corr").asc_nulls_last(), *tie, "symbol")
         row = None
         if len(clusters) < n_clusters:
             # A cluster not yet covered may only enter with its leader.
@@ -429,7 +428,7 @@ def base_conflicts(
 
 
 def largest_compatible_sets(
-    pairs: DataFrame, symbols: DataFrame, threshold: float, lower: float | None = None, max_size: int = 50
+    pairs: DataFrame, symbols: DataFrame, threshold: float, lower: float | None = None
 ) -> DataFrame:
     """The largest sets in which every pair is compatible, as sorted arrays.
 
@@ -446,7 +445,7 @@ def largest_compatible_sets(
     lower_side = edges.groupBy("b").agg(F.collect_list("a").alias("before"))
     steps = cut_lineage(edges.join(lower_side, "b"))
     level = symbols.select(F.array("symbol").alias("members")).distinct()
-    for _ in range(max_size):
+    while True:
         grown = (
             level.withColumn("a", F.element_at("members", -1))
             .join(steps, "a")
@@ -457,7 +456,6 @@ def largest_compatible_sets(
         if grown.isEmpty():
             return level
         level = grown
-    raise RuntimeError("sets grew past max_size")
 
 
 def combo_summary(

@@ -14,13 +14,6 @@ from ..functions.scalar import c, clean
 PRICES = ("open", "high", "low", "close")
 NUMBERS = (*PRICES, "volume", "value", "range", "gain", "change", "turnOver")
 
-# Text first: a bad number becomes missing instead of failing the read.
-CSV_SCHEMA = T.StructType(
-    [T.StructField("date", T.StringType())]
-    + [T.StructField(n, T.StringType()) for n in NUMBERS]
-    + [T.StructField("_corrupt_record", T.StringType())]
-)
-
 # Vendor column names.
 VENDOR_COLUMNS = {
     "日期": "date",
@@ -43,24 +36,61 @@ def symbol_from_path(path: str | Column | None = None) -> Column:
     return F.regexp_extract(F.url_decode(source), r"([^/\\]+?)(?:\.[A-Za-z]+)*$", 1)
 
 
+def csv_layouts(spark: SparkSession, path: str, recursive: bool = False) -> dict[tuple[str, ...], list[str]]:
+    """Files below path by the column names in their header, a line one of whose
+    names is the date's. Files without such a line are left out. The driver holds
+    a name per file, as Spark's own listing does."""
+    names = [n for n, to in VENDOR_COLUMNS.items() if to == "date"] + ["date"]
+    lines = (
+        spark.read.option("recursiveFileLookup", recursive)
+        .option("ignoreMissingFiles", True)
+        .text(path)
+        .select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", "[\\uFEFF\\s\"]", ""), ",").alias("names"))
+    )
+    headers = lines.filter(F.exists("names", lambda x: F.lower(x).isin(names)))
+    first = headers.groupBy("file").agg(F.min_by("names", F.array_join("names", ",")).alias("names"))
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for row in first.orderBy("file").toLocalIterator():
+        layouts.setdefault(tuple(row.names), []).append(row.file)
+    return layouts
+
+
 def read_csv_bars(
     spark: SparkSession, path: str, symbols: Sequence[str] | None = None, recursive: bool = False
 ) -> DataFrame:
-    """One CSV per symbol, all files in one scan; damaged rows and files that
-    vanish do not stop it."""
-    df = (
-        spark.read.schema(CSV_SCHEMA)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .option("ignoreMissingFiles", True)
-        .option("recursiveFileLookup", recursive)
-        .csv(path)
-        .withColumn("symbol", symbol_from_path())
-    )
-    usable = F.col("_corrupt_record").isNull() & F.col("date").isNotNull()
-    df = df.filter(usable).drop("_corrupt_record")
+    """One CSV per symbol, one scan per layout of columns.
+
+    Columns are matched by name in any order, vendor names too; further columns
+    are kept as text. Columns a file lacks are missing; damaged rows, files
+    without a header and files that vanish do not stop the read. Text comes first:
+    a bad number becomes missing instead of failing the read."""
+    parts = []
+    for names, files in csv_layouts(spark, path, recursive).items():
+        seen: list[str] = []
+        for name in names:
+            name = VENDOR_COLUMNS.get(name, name) or "unnamed"
+            name = "date" if name.lower() == "date" else name
+            while name.lower() in (x.lower() for x in seen):
+                name += "_"
+            seen.append(name)
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*seen, "_corrupt_record"]])
+        df = (
+            spark.read.schema(schema)
+            .option("header", True)
+            .option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_corrupt_record")
+            .option("ignoreMissingFiles", True)
+            .csv(files)
+            .withColumn("symbol", symbol_from_path())
+        )
+        parts.append(df.filter(F.col("_corrupt_record").isNull() & F.col("date").isNotNull()).drop("_corrupt_record"))
+    if not parts:
+        empty = T.StructType([T.StructField(n, T.StringType()) for n in ("date", *NUMBERS, "symbol")])
+        parts = [spark.createDataFrame([], empty)]
+    df = parts[0]
+    for part in parts[1:]:
+        df = df.unionByName(part, allowMissingColumns=True)
+    df = df.withColumns({n: F.lit(None).cast("string") for n in NUMBERS if n not in df.columns})
     if symbols is not None:
         df = df.filter(F.col("symbol").isin(list(symbols)))
     return typed(df)
@@ -205,7 +235,8 @@ def write_bars(df: DataFrame, path: str, fmt: str = "parquet", min_rows: int = 0
     if min_rows:
         kept = df.groupBy("symbol").count().filter(F.col("count") >= min_rows).select("symbol")
         df = df.join(kept, "symbol", "left_semi")
-    writer = df.write.mode(mode).partitionBy("symbol")
+    # Clustered first: a folder gets a file from few tasks, not from all.
+    writer = df.repartition("symbol").write.mode(mode).partitionBy("symbol")
     (writer.option("header", True).csv if fmt == "csv" else writer.parquet)(path)
 
 

@@ -6,9 +6,8 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from ..functions.frames import Bars
+from ..functions.frames import Bars, windowed
 from ..functions.scalar import div
 from .session import written
 
@@ -83,16 +82,19 @@ def load_bars(spark: SparkSession, sf_dir: str, period: str | None = None) -> Ba
 
 def with_daily_change(bars: Bars) -> Bars:
     """Add the vendor columns gain, change, range and turnOver."""
-    w = W.partitionBy("symbol").orderBy("date")
-    prev = F.lag("close", 1).over(w)
     totals = bars.df.groupBy("symbol").agg(F.sum("volume").alias("_total"))
-    df = bars.df.withColumns(
-        {
-            "change": F.col("close") - prev,
-            "gain": (div("close", prev) - 1) * 100.0,
-            "range": div(F.col("high") - F.col("low"), prev) * 100.0,
-        }
-    )
+
+    def build(df: DataFrame, w) -> DataFrame:
+        prev = F.lag("close", 1).over(w)
+        return df.withColumns(
+            {
+                "change": F.col("close") - prev,
+                "gain": (div("close", prev) - 1) * 100.0,
+                "range": div(F.col("high") - F.col("low"), prev) * 100.0,
+            }
+        )
+
+    df = windowed(bars, 1, 0, build)
     df = df.join(totals, "symbol").withColumn("turnOver", div("volume", "_total")).drop("_total")
     return bars.with_df(df)
 

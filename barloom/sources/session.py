@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,17 +26,13 @@ def local_session(cores: int = 8, app: str = "barloom") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder in spark.checkpoint.dir; only a local session
-    without one gets a temporary folder."""
+    """Use the shared folder in spark.checkpoint.dir; a session without that
+    setting uses its warehouse, which executors share as well."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="barloom-checkpoint-")
-    sc.setCheckpointDir(shared)
+    sc.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir") + "/barloom-checkpoints")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

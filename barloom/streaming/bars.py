@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,16 +51,20 @@ def dedupe_ticks(ticks: DataFrame, lateness: str = "1 day") -> DataFrame:
     return ticks.dropDuplicates(["tick_id"])
 
 
-def upsert_sink(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
+def upsert_sink(
+    spark: SparkSession, path: str, keys: Sequence[str] = ("symbol", "start")
+) -> Callable[[DataFrame, int], None]:
     """foreachBatch function that merges each batch into versions of a table.
 
     Every batch writes a complete new version folder named by its id, so a
-    repeated batch replaces its own output and readers never see half a table.
+    repeated batch replaces its own output. A version counts from its commit mark
+    on, so readers never see half a table. keys: what identifies a row; those of
+    `bars_from_ticks` by default.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         old = read_version(spark, path, batch_id)
-        out = batch if old is None else upsert(old, batch)
+        out = batch if old is None else upsert(old, batch, keys)
         out.write.mode("overwrite").parquet(f"{path}/v={batch_id:010d}")
 
     return merge
@@ -75,16 +79,18 @@ def read_version(spark: SparkSession, path: str, before: int | None = None) -> D
         return None
     names = [s.getPath().getName() for s in fs.listStatus(root)]
     ids = sorted(int(n[2:]) for n in names if n.startswith("v="))
-    ids = [i for i in ids if before is None or i < before]
+    done = lambda i: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/v={i:010d}/_SUCCESS"))
+    ids = [i for i in ids if (before is None or i < before) and done(i)]
     return spark.read.parquet(f"{path}/v={ids[-1]:010d}") if ids else None
 
 
 def signal_sink(
-    spark: SparkSession, history: str, factor: Factor, emit: Callable[[DataFrame, int], None]
+    spark: SparkSession, history: str, factor: Factor, emit: Callable[[DataFrame, int], None],
+    keys: Sequence[str] = ("symbol", "date"),
 ) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: the latest factor value of the symbols a batch
     touched, computed from the stored bars plus the batch."""
-    merge = upsert_sink(spark, history)
+    merge = upsert_sink(spark, history, keys)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         merge(batch, batch_id)

@@ -30,6 +30,21 @@ def test_csv_bars(spark, tmp_path):
     assert B.normalize_bars(B.read_csv_bars(spark, str(tmp_path))).count() == 2
 
 
+def test_csv_layouts_in_one_folder(spark, tmp_path):
+    """Columns in another order, vendor names, further columns and bad files."""
+    (tmp_path / "a.csv").write_text("date,open,close,high,low,volume,value,turnOver,gain,change\n2020-01-02,1,1.5,2,0.5,10,15,1,2,3\n")
+    (tmp_path / "b.csv").write_text("\ufeff日期,股票代码,开盘,收盘,最高,最低,成交量\n2020-01-02,b,3,4,5,2,7\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("open,date,note,close\n8,2020-01-03,fine,9\n")
+    (tmp_path / "bad.csv").write_text("no header here\n1,2\n")
+    (tmp_path / "empty.csv").write_text("")
+    rows = {r["symbol"]: r.asDict() for r in B.read_csv_bars(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"a", "b", "c"}
+    assert [rows["a"][x] for x in ("open", "close", "high", "low", "turnOver")] == [1.0, 1.5, 2.0, 0.5, 1.0]
+    assert [rows["b"][x] for x in ("open", "close", "high", "low", "volume", "value", "股票代码")] == [3.0, 4.0, 5.0, 2.0, 7.0, None, "b"]
+    assert (rows["c"]["open"], rows["c"]["close"], rows["c"]["high"], rows["c"]["note"]) == (8.0, 9.0, None, "fine")
+    assert B.read_csv_bars(spark, str(tmp_path / "bad.csv")).count() == 0
+
+
 def test_dimension_reader(spark, tmp_path):
     (tmp_path / "list.csv").write_text("﻿symbol,name,enabled\n7,a,TRUE\n000008,b,no\n9,c, y \n", encoding="utf-8")
     got = B.read_dimension(spark, str(tmp_path / "list.csv"), enabled="enabled").orderBy("symbol").collect()
@@ -94,19 +109,18 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = _replay(spark, tmp_path, doubled)
     store = str(tmp_path / "store")
     streamed = bars_from_ticks(dedupe_ticks(stream, "60 days"), lateness=None)
-    run_to_end(streamed, upsert_sink_by_start(spark, store), str(tmp_path / "cp"), mode="update")
+    run_to_end(streamed, upsert_sink(spark, store), str(tmp_path / "cp"), mode="update")
     got = read_version(spark, store).toPandas().sort_values(["symbol", "start"], ignore_index=True)
     want = bars_from_ticks(ticks).toPandas().sort_values(["symbol", "start"], ignore_index=True)
     pd.testing.assert_frame_equal(got[want.columns], want, check_exact=False)
 
 
-def upsert_sink_by_start(spark, path):
-    def merge(batch, batch_id):
-        old = read_version(spark, path, batch_id)
-        out = batch if old is None else B.upsert(old, batch, ("symbol", "start"))
-        out.write.mode("overwrite").parquet(f"{path}/v={batch_id:010d}")
-
-    return merge
+def test_unfinished_versions_are_not_read(spark, tmp_path):
+    store = tmp_path / "store"
+    bars = bars_from_ticks(ticks_from_events(table(spark, SF, "events")))
+    upsert_sink(spark, str(store))(bars, 0)
+    (store / "v=0000000001").mkdir()
+    assert read_version(spark, str(store)).count() == bars.count()
 
 
 def test_append_bars_close_after_the_watermark(spark, tmp_path):

@@ -83,13 +83,17 @@ def correlation_pairs(
     series: Bars,
     min_rows: int = 2,
     min_corr: float | None = None,
+    max_corr: float | None = None,
+    sides: tuple[DataFrame, DataFrame] | None = None,
     block_symbols: int = BLOCK_SYMBOLS,
     block_dates: int = BLOCK_DATES,
 ) -> DataFrame:
     """(a, b, corr, n) for a < b over the dates both have.
 
     series: (symbol, date, x). Values are centred per symbol first, which leaves
-    the correlation as it is and keeps the sums accurate.
+    the correlation as it is and keeps the sums accurate. Only wanted pairs leave
+    a task: those within min_corr and max_corr (both included) and, with sides,
+    those of a symbol of the first side and one of the second.
     """
     symbols, dates = series.symbols, series.dates
     if symbols is None:
@@ -106,14 +110,17 @@ def correlation_pairs(
         F.unix_date("date").alias("day"),
         (F.col("x") - F.col("__m")).alias("x"),
         F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int").alias("block"),
+        *_side_flags(sides),
     )
+    if sides is not None:
+        df = df.filter("in1 or in2")
     df = df.withColumn("span", F.pmod(F.col("day"), F.lit(spans)))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
     tiles = df.select("*", other).select(
-        "symbol", "day", "x", "block", "span",
+        "symbol", "day", "x", "block", "span", "in1", "in2",
         F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"),
     )
-    finish, floor = spans == 1, min_corr
+    finish, floor, ceiling = spans == 1, min_corr, max_corr
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot(index="day", columns="symbol", values="x")
@@ -132,14 +139,19 @@ def correlation_pairs(
         out["a"], out["b"] = np.where(swap, b, a), np.where(swap, a, b)
         for p, q in (("sx", "sy"), ("sxx", "syy")):
             out[p], out[q] = np.where(swap, out[q], out[p]), np.where(swap, out[p], out[q])
-        out = out[out["n"] > 0]
+        one, two = (pdf.groupby("symbol")[f].first() for f in ("in1", "in2"))
+        one_l, two_l = one.reindex(names_l).to_numpy(bool), two.reindex(names_l).to_numpy(bool)
+        one_r, two_r = one.reindex(names_r).to_numpy(bool), two.reindex(names_r).to_numpy(bool)
+        out = out[(out["n"] > 0) & ((one_l[i] & two_r[j]) | (two_l[i] & one_r[j]))]
         if finish:
             vx = out["n"] * out["sxx"] - out["sx"] ** 2
             vy = out["n"] * out["syy"] - out["sy"] ** 2
             ok = (vx > 0) & (vy > 0) & (out["n"] >= min_rows)
+            r = (out["n"] * out["sxy"] - out["sx"] * out["sy"]) / np.sqrt((vx * vy).where(ok))
             if floor is not None:
-                r = (out["n"] * out["sxy"] - out["sx"] * out["sy"]) / np.sqrt((vx * vy).where(ok))
                 ok &= r >= floor
+            if ceiling is not None:
+                ok &= r <= ceiling
             out = out[ok]
         return out[["a", "b", *_SUMS]]
 
@@ -153,7 +165,16 @@ def correlation_pairs(
     corr = F.when((vx > 0) & (vy > 0), cov / F.sqrt(F.nullif(vx * vy, F.lit(0.0))))
     out = parts.select("a", "b", corr.alias("corr"), n.cast("long").alias("n"))
     out = out.filter((F.col("n") >= min_rows) & F.col("corr").isNotNull())
-    return out if min_corr is None else out.filter(F.col("corr") >= min_corr)
+    out = out if min_corr is None else out.filter(F.col("corr") >= min_corr)
+    return out if max_corr is None else out.filter(F.col("corr") <= max_corr)
+
+
+def _side_flags(sides: tuple[DataFrame, DataFrame] | None) -> list:
+    """Whether a row's symbol is on the first and on the second side. A side is a
+    list of symbols such as holdings, not a universe."""
+    if sides is None:
+        return [F.lit(True).alias("in1"), F.lit(True).alias("in2")]
+    return [F.col("symbol").isin([r.symbol for r in side.select("symbol").distinct().collect()]).alias(f"in{i}") for i, side in enumerate(sides, 1)]
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:

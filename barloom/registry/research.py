@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.factor import with_factors
 from ..functions.library import expand_transforms, from_recipe, make
-from ..functions.scalar import c, rounded
+from ..functions.frames import Bars
+from ..functions.scalar import c, div, rounded
 from ..operators import crosscorr as X, joins, pairs as PR, panel as P, performance as R, predictive, reports, text as T
 from ..operators import universe as U
 from ..plans.factor_report import headline, run_factor_analysis
@@ -112,8 +113,8 @@ def _expanded(s, d):
 THRESHOLD = 0.03
 
 
-def _pairs(s, d):
-    return PR.correlation_pairs(PR.daily_returns(load_bars(s, d)), min_rows=100)
+def _pairs(s, d, **bounds):
+    return PR.correlation_pairs(PR.daily_returns(load_bars(s, d)), min_rows=100, **bounds)
 
 
 def _symbols(s, d):
@@ -246,17 +247,20 @@ def _catalogue(s, d):
 
 def _strategies(s, d):
     """Three exposures of the same timing rule, one row per symbol each."""
-    from .strategy import _timing_returns
+    from .strategy import _scaled_benchmark, _timing_returns
 
     ret = _timing_returns(s, d)
     parts = []
     for name, scale in (("full", 0.01), ("half", 0.005), ("inverse", -0.01)):
         parts.append(ret.withColumns({"strategy": F.lit(name), "ret": F.col("ret") * scale}))
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    m = R.return_metrics(rows, ["strategy", "symbol"])
-    return m.select(
-        "strategy", "symbol", F.col("sharpe").alias("information_ratio"),
-        F.col("annualised_volatility").alias("excess_cumulative_return"),
+    keys = ["strategy", "symbol"]
+    bench = _scaled_benchmark(s, d)
+    m = R.return_metrics(rows, keys).join(R.information_ratio(rows, bench, keys), keys)
+    same = rows.select(*keys, "date").join(bench, "date").groupBy(*keys).agg((F.product(1 + F.col("ret")) - 1).alias("b"))
+    excess = div(F.col("cumulative_return") + 1, F.col("b") + 1) - 1
+    return m.join(same, keys).select(
+        *keys, "information_ratio", excess.alias("excess_cumulative_return"),
         (F.col("max_drawdown") * 100).alias("max_drawdown_pct"), "win_rate",
     )
 
@@ -265,6 +269,12 @@ def _ticks(s, d):
     return ticks_from_events(table(s, d, "events"))
 
 
+def _tick_bars(s, d):
+    """Daily bars of the ticks, dated by their day."""
+    bars = bars_from_ticks(dedupe_ticks(_ticks(s, d)))
+    return Bars.measure(bars.withColumn("date", F.to_date("start")).drop("start"))
+
+
 def queries() -> dict:
     q = {f"meta_{k}": _meta(v) for k, v in RECIPES.items()}
     q["meta_expanded_grid"] = _expanded
@@ -273,9 +283,9 @@ def queries() -> dict:
         PR.correlation_pairs(PR.log_returns(PR.common_dates(demo.weekly(s, d)))), 5
     )
     q["universe_duplicate_pairs"] = lambda s, d: _round(PR.duplicate_pairs(load_bars(s, d), THRESHOLD, 100), 5)
-    q["universe_components"] = lambda s, d: U.connected_components(_pairs(s, d).filter(F.col("corr") >= THRESHOLD))
+    q["universe_components"] = lambda s, d: U.connected_components(_pairs(s, d, min_corr=THRESHOLD))
     q["universe_merged_clusters"] = lambda s, d: _round(
-        U.merged_clusters(_pairs(s, d).filter(F.col("corr") >= 0.045), _first_dates(s, d), _one_index(s, d)).select(
+        U.merged_clusters(_pairs(s, d, min_corr=0.045), _first_dates(s, d), _one_index(s, d)).select(
             "component", "representative", F.array_join("members", ",").alias("members"),
             F.array_join("merged_indices", ",").alias("merged_indices"), "max_corr",
         )
@@ -289,7 +299,7 @@ def queries() -> dict:
     )
     q["universe_concentration"] = lambda s, d: _round(U.concentration(_pairs(s, d), load_bars(s, d).symbols))
     q["universe_dominant_share"] = lambda s, d: _round(U.dominant_share(_pairs(s, d), load_bars(s, d).symbols))
-    q["universe_threshold_clusters"] = lambda s, d: U.threshold_clusters(_pairs(s, d), _symbols(s, d), 0.98)
+    q["universe_threshold_clusters"] = lambda s, d: U.threshold_clusters(_pairs(s, d, min_corr=1 - 0.98**2), _symbols(s, d), 0.98)
     q["universe_neighbour_distances"] = lambda s, d: _round(_kdist(s, d))
     q["universe_estimate_eps"] = lambda s, d: _round(U.estimate_eps(_kdist(s, d)))
     q["universe_density_clusters"] = lambda s, d: U.density_clusters(_dist(s, d), _symbols(s, d), EPS, 4)
@@ -311,9 +321,9 @@ def queries() -> dict:
     ext = lambda s, d: _symbols(s, d).filter(~F.col("symbol").isin("Brand#1", "Brand#2"))
     q["universe_pair_table"] = lambda s, d: _round(U.pair_table(_pairs(s, d), _symbols(s, d), 0.02, -0.05))
     q["universe_base_conflicts"] = lambda s, d: _round(
-        U.base_conflicts(_pairs(s, d), base(s, d), ext(s, d), 0.02).withColumn("conflicts", F.array_join("conflicts", ","))
+        U.base_conflicts(_pairs(s, d, sides=(base(s, d), ext(s, d))), base(s, d), ext(s, d), 0.02).withColumn("conflicts", F.array_join("conflicts", ","))
     )
-    q["universe_compatible_sets"] = lambda s, d: U.largest_compatible_sets(_pairs(s, d), _symbols(s, d), -0.01).select(
+    q["universe_compatible_sets"] = lambda s, d: U.largest_compatible_sets(_pairs(s, d, max_corr=-0.01), _symbols(s, d), -0.01).select(
         F.array_join("members", ",").alias("members")
     )
     q["universe_combo_summary"] = lambda s, d: _round(
@@ -441,7 +451,7 @@ def queries() -> dict:
     q["report_latest_values"] = lambda s, d: reports.latest_values(load_bars(s, d).df, ["close", "volume"])
     q["ticks_to_bars"] = lambda s, d: _round(bars_from_ticks(dedupe_ticks(_ticks(s, d))).withColumn("start", F.to_date("start")), 4)
     q["ticks_latest_signal"] = lambda s, d: _round(
-        latest_signal(load_bars(s, d), make("PriceReturn", window=20))
+        latest_signal(_tick_bars(s, d), make("PriceReturn", window=5))
     )
     return q
 
@@ -475,7 +485,8 @@ def _add_list(s, d):
     latest = reports.latest_values(bars.df, ["ATR_14"]).select("symbol", "ATR_14")
     labels = _labels(s, d)
     return reports.add_list(
-        labels.filter("cluster <> 1"), labels.filter("cluster = 1"), _pairs(s, d), latest, labels, 100000.0, 0.01, "ATR_14", 2.0
+        labels.filter("cluster <> 1"), labels.filter("cluster = 1"),
+        _pairs(s, d, sides=(labels.filter("cluster <> 1"), labels.filter("cluster = 1"))), latest, labels, 100000.0, 0.01, "ATR_14", 2.0
     )
 
 
@@ -706,15 +717,17 @@ def oracle_sql() -> dict[str, str]:
         " SELECT st.factor_name, st.date, st.x, n.close / st.close - 1 AS y FROM st JOIN z n ON n.symbol = st.symbol AND n.t = st.t + 5 WHERE st.x IS NOT NULL)) GROUP BY 1, 2)"
         " WHERE contains(lower(factor_name), 'vol') GROUP BY 1"
     )
-    from .strategy import timing_sql
+    from .strategy import SCALED, timing_sql
 
     o["report_compare_strategies"] = timing_sql(
         "SELECT strategy, 25 AS symbols_total, 1.0::DOUBLE AS coverage,"
         f" {r('0.5 * zi + 0.35 * ze - 0.1 * zm + 0.05 * zw', 4)} AS composite_score, {r('wm', 4)} AS win_rate_median, row_number() OVER (ORDER BY 0.5 * zi + 0.35 * ze - 0.1 * zm + 0.05 * zw DESC, strategy) AS rank FROM (SELECT strategy, wm,"
         " (i - avg(i) OVER ()) / stddev_pop(i) OVER () AS zi, (e - avg(e) OVER ()) / stddev_pop(e) OVER () AS ze, (m - avg(m) OVER ()) / stddev_pop(m) OVER () AS zm, (w - avg(w) OVER ()) / stddev_pop(w) OVER () AS zw FROM"
-        " (SELECT strategy, avg(ann / vol) AS i, avg(vol) AS e, avg(dd) AS m, avg(wr) AS w, quantile_cont(wr, 0.5) AS wm FROM (SELECT strategy, symbol, pow(product(1 + ret), 252.0 / count(*)) - 1 AS ann, stddev_samp(ret) * sqrt(252) AS vol,"
+        " (SELECT strategy, avg(ir) AS i, avg(ex) AS e, avg(dd) AS m, avg(wr) AS w, quantile_cont(wr, 0.5) AS wm FROM (SELECT strategy, symbol, product(1 + ret) AS grown,"
         " avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS wr, abs(min(eq / pk - 1)) * 100 AS dd FROM (SELECT *, max(eq) OVER (PARTITION BY strategy, symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS pk FROM"
-        " (SELECT *, product(1 + ret) OVER (PARTITION BY strategy, symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS eq FROM xs)) GROUP BY 1, 2) GROUP BY 1))",
+        " (SELECT *, product(1 + ret) OVER (PARTITION BY strategy, symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS eq FROM xs)) GROUP BY 1, 2) JOIN (SELECT strategy, symbol, (pow(product(1 + xs.ret - b1.ret), 252.0 / count(*)) - 1) / (stddev_samp(xs.ret - b1.ret) * sqrt(252)) AS ir, product(1 + b1.ret) AS bg FROM xs JOIN b1 USING (date) GROUP BY 1, 2) USING (strategy, symbol)"
+        " CROSS JOIN LATERAL (SELECT grown / bg - 1 AS ex) GROUP BY 1))",
+        *SCALED,
         "xs AS (SELECT symbol, date, 'full' AS strategy, ret * 0.01 AS ret FROM sr UNION ALL SELECT symbol, date, 'half', ret * 0.005 FROM sr UNION ALL SELECT symbol, date, 'inverse', ret * -0.01 FROM sr)",
     )
     trend = (
@@ -757,8 +770,9 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(ts AS DATE) AS start, {r('arg_min(value, (ts, event_id))', 4)} AS open, {r('max(value)', 4)} AS high, {r('min(value)', 4)} AS low, {r('arg_max(value, (ts, event_id))', 4)} AS close,"
         f" {r('count(*)', 4)} AS volume, {r('sum(value)', 4)} AS value FROM events WHERE value > 0 GROUP BY user_id, CAST(ts AS DATE)"
     )
-    o["ticks_latest_signal"] = usql(
-        f"SELECT symbol, date, {r('x')} AS signal FROM (SELECT symbol, date, (close - lag(close, 20) OVER w) / lag(close, 20) OVER w AS x, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)) WHERE n = 1"
+    o["ticks_latest_signal"] = (
+        f"SELECT symbol, date, {r('x')} AS signal FROM (SELECT symbol, date, (close - lag(close, 5) OVER w) / lag(close, 5) OVER w AS x, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n"
+        " FROM (SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(ts AS DATE) AS date, arg_max(value, (ts, event_id)) AS close FROM events WHERE value > 0 GROUP BY 1, 2) WINDOW w AS (PARTITION BY symbol ORDER BY date)) WHERE n = 1"
     )
     return o
 

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from .building_blocks import (
     centred,
-    decay_rows,
-    ewm,
+    decayed,
     line_slope,
     log_price,
     mean_of,
@@ -55,14 +54,7 @@ def log_bias(window: int = 20, price_column: str = "close") -> Factor:
     need(window >= 1, "window must be at least 1")
     alpha = span_alpha(window)
     logs = helper(f"ln_{price_column}", lambda w: ln(price_column))
-    source = logs.name
-    ema = helper(
-        f"ema_ln_{price_column}_{window}",
-        lambda pdf: ewm(pdf[source], alpha),
-        logs,
-        lookback=decay_rows(alpha),
-        kind="grouped",
-    )
+    ema = decayed(f"ema_ln_{price_column}_{window}", logs, alpha)
     return Factor(
         f"LogBIAS_{price_column}_{window}", lambda w: div(logs.name, ema.name) - 1, (ema, logs)
     )

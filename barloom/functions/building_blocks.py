@@ -11,9 +11,6 @@ from .factor import Factor, full, helper
 from .frames import last_n
 from .scalar import c, clip, div, ln
 
-# Rows after which an exponential weight (1 - alpha)^n is below double precision.
-DECAY_ROWS = 40
-
 
 def need(ok: bool, message: str) -> None:
     if not ok:
@@ -147,13 +144,9 @@ def over_windows(values, n: int, fn, block: int = 4096):
     return out
 
 
-def ewm(series, alpha: float, min_periods: int = 0):
-    """Exponential mean with the first value as seed; gaps decay the weight."""
-    return series.astype("float64").ewm(alpha=alpha, adjust=False, min_periods=min_periods).mean()
-
-
-def decay_rows(alpha: float) -> int:
-    return math.ceil(DECAY_ROWS / alpha)
+def decayed(name: str, source: Factor, alpha: float, min_periods: int = 0) -> Factor:
+    """Exponential mean of a column, from the first bar on."""
+    return helper(name, lambda: (source.name, alpha, min_periods), source, kind="decay")
 
 
 def span_alpha(span: int) -> float:

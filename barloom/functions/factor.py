@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .decay import Decay, carried, ewm
 from .frames import Bars, by_symbol, last_n, numbered, running, windowed
 from .scalar import c
 
@@ -26,8 +27,9 @@ class Factor:
 
     kind "window": build(w) -> Column reading at most `lookback` earlier rows.
     kind "running": build() -> (aggregate, Column), scanned from the first bar.
-    kind "grouped": build(pdf) -> Series for a true recursion; `lookback` is the
-    number of rows after which older input no longer changes a double.
+    kind "grouped": build(pdf) -> Series that reads at most `lookback` earlier rows.
+    kind "decay": build() -> (column, alpha, min_periods), an exponential mean
+    from the first bar on.
     """
 
     name: str
@@ -100,8 +102,11 @@ def with_factors(bars: Bars, factors: Sequence[Factor]) -> Bars:
     return bars.with_df(out.select(*[c(n) for n in keep]))
 
 
+PYTHON_KINDS = ("grouped", "decay")
+
+
 def _schedule(factors: Sequence[Factor]) -> list[list[Factor]]:
-    """Levels with the grouped recursions and what they need first, so that
+    """Levels with the Python stages and what they need first, so that
     the Python stage carries as few columns as possible."""
     levels = resolve(factors)
     early: set[str] = set()
@@ -112,7 +117,7 @@ def _schedule(factors: Sequence[Factor]) -> list[list[Factor]]:
             for d in f.deps:
                 mark(d)
 
-    for f in (f for lv in levels for f in lv if f.kind == "grouped"):
+    for f in (f for lv in levels for f in lv if f.kind in PYTHON_KINDS):
         mark(f)
     first = [[f for f in lv if f.name in early] for lv in levels]
     rest = [[f for f in lv if f.name not in early] for lv in levels]
@@ -123,7 +128,7 @@ def _in_one_pass(bars: Bars, factors: Sequence[Factor]) -> DataFrame:
     df = bars.df
     schedule = _schedule(factors)
     for i, level in enumerate(schedule):
-        if any(f.kind == "grouped" for f in level):
+        if any(f.kind in PYTHON_KINDS for f in level):
             wanted = {f.name for f in factors} | {d.name for lv in schedule[i:] for f in lv for d in f.deps}
             df = df.select(*[c(n) for n in df.columns if n in bars.df.columns or n in wanted])
         df = _apply(bars.with_df(df), level)
@@ -172,11 +177,18 @@ def _apply(bars: Bars, level: list[Factor]) -> DataFrame:
     grouped = [f for f in level if f.kind == "grouped"]
     if grouped:
         df = _apply_grouped(bars.with_df(df), grouped)
+    decays = [Decay(f.name, *f.build()) for f in level if f.kind == "decay"]
+    if decays and not bars.symbol_fits:
+        df = carried(bars.with_df(df), decays)
+    elif decays:
+        whole = [Factor(d.name, lambda pdf, d=d: ewm(pdf[d.column], d.alpha, d.min_periods), kind="grouped") for d in decays]
+        df = _apply_grouped(bars.with_df(df), whole)
     return df
 
 
 def _apply_grouped(bars: Bars, factors: list[Factor]) -> DataFrame:
-    """Recursions per symbol (or per chunk with enough history) over Arrow."""
+    """Functions of stacked rows per symbol (or per chunk with the rows before
+    it that they read) over Arrow."""
     back = max(f.lookback for f in factors)
     builders = [(f.name, f.build) for f in factors]
 

@@ -7,25 +7,26 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from .building_blocks import (
-    decay_rows,
-    ewm,
+    decayed,
     mean_of,
     need,
+    position,
     typical_price,
 )
 from .factor import Factor, full, helper, window_list
+from .frames import last_n
 from .scalar import c, clip, div
 
 
-def _wilder(values: pd.Series, n: int) -> pd.Series:
-    """Mean of the first n changes, then weight 1/n for each new one."""
-    out = pd.Series(np.nan, index=values.index, dtype="float64")
-    if len(values) <= n:
-        return out
-    tail = values.iloc[n:].astype("float64").copy()
-    tail.iloc[0] = values.iloc[1 : n + 1].mean()
-    out.iloc[n:] = ewm(tail, 1.0 / n)
-    return out
+def _wilder_seeded(source: Factor, n: int) -> Factor:
+    """Missing for n rows, then the mean of the n changes so far, then the
+    changes themselves: what weight 1/n for each new change starts from."""
+
+    def build(w):
+        at, x = F.col(position().name), F.col(source.name)
+        return F.when(at == n + 1, F.avg(x).over(last_n(w, n))).when(at > n + 1, x)
+
+    return helper(f"{source.name.lstrip('_')}_seeded_{n}", build, source, position(), lookback=n - 1)
 
 
 def rsi(window: int = 14, price_column: str = "close") -> Factor:
@@ -36,14 +37,8 @@ def rsi(window: int = 14, price_column: str = "close") -> Factor:
     loss = helper(f"loss_{col}", lambda w: clip(-c(ret.name), lo=0.0), ret)
 
     def smooth(source: Factor) -> Factor:
-        name = source.name
-        return helper(
-            f"{name.lstrip('_')}_rsi_{window}",
-            lambda pdf: _wilder(pdf[name], window),
-            source,
-            lookback=window + decay_rows(1.0 / window),
-            kind="grouped",
-        )
+        name = f"{source.name.lstrip('_')}_rsi_{window}"
+        return decayed(name, _wilder_seeded(source, window), 1.0 / window)
 
     up, down = smooth(gain), smooth(loss)
 

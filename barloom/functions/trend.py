@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from .building_blocks import (
     centred,
-    decay_rows,
-    ewm,
+    decayed,
     line_r2,
     line_slope,
     log_price,
@@ -143,8 +141,6 @@ def adx(window: int = 14, output: str = "adx") -> Factor:
     """Directional movement smoothed with weight 1/window from the first bar."""
     need(window >= 2, "window must be at least 2")
     need(output in ("adx", "plus_di", "minus_di", "dx"), "unknown output")
-    alpha, rows = 1.0 / window, decay_rows(1.0 / window)
-
     def moved(which: str):
         def build(w):
             up = F.col("high") - F.lag("high", 1).over(w)
@@ -155,28 +151,24 @@ def adx(window: int = 14, output: str = "adx") -> Factor:
         return helper(f"dm_{which}", build, lookback=1)
 
     tr, plus, minus = true_range(), moved("plus"), moved("minus")
-    tr_col, moves = tr.name, {"plus_di": plus.name, "minus_di": minus.name}
-
-    def chain(pdf: pd.DataFrame) -> pd.Series:
-        smooth = lambda x: ewm(x, alpha, window)
-        positive = lambda x: x.where(x != 0)
-        atr = positive(smooth(pdf[tr_col]))
-        di = {n: 100.0 * smooth(pdf[x]) / atr for n, x in moves.items()}
-        if output in di:
-            return di[output]
-        total = positive(di["plus_di"] + di["minus_di"])
-        dx = (di["plus_di"] - di["minus_di"]).abs() / total * 100.0
-        return dx if output == "dx" else smooth(dx)
-
-    # The index smooths smoothed values, so old rows fade in two stages.
-    depth = 2 if output == "adx" else 1
-    return Factor(
-        f"ADX_{window}_{output}",
-        chain,
-        (tr, plus, minus),
-        lookback=depth * rows,
-        kind="grouped",
-    )
+    smooth = lambda x: decayed(f"{x.name.lstrip('_')}_adx_{window}", x, 1.0 / window, window)
+    atr, up, down = smooth(tr), smooth(plus), smooth(minus)
+
+    def share(of: Factor):
+        return 100.0 * div(of.name, F.nullif(F.col(atr.name), F.lit(0.0)))
+
+    if output in ("plus_di", "minus_di"):
+        side = up if output == "plus_di" else down
+        return Factor(f"ADX_{window}_{output}", lambda w: share(side), (atr, side))
+
+    def spread(w):
+        return div(F.abs(share(up) - share(down)), share(up) + share(down)) * 100.0
+
+    if output == "dx":
+        return Factor(f"ADX_{window}_dx", spread, (atr, up, down))
+    dx = helper(f"dx_{window}", spread, atr, up, down)
+    index = smooth(dx)
+    return Factor(f"ADX_{window}_adx", lambda w: F.col(index.name), (index,))
 
 
 def _label(x: float) -> str:
@@ -301,14 +293,7 @@ def rsrs_derived(
         zdep = helper(f"src_{z.name}", lambda w: F.col(z.name), z)
 
         def ema(span: int) -> Factor:
-            alpha, source = span_alpha(span), zdep.name
-            return helper(
-                f"ema{span}_{z.name}",
-                lambda pdf: ewm(pdf[source], alpha),
-                zdep,
-                lookback=decay_rows(alpha),
-                kind="grouped",
-            )
+            return decayed(f"ema{span}_{z.name}", zdep, span_alpha(span))
 
         short, long = ema(short_ema_span), ema(long_ema_span)
         build = lambda w: F.when(

@@ -27,7 +27,7 @@ def avg_rank(
     keys: Sequence[str],
     value: str,
     out: str,
-    fits: bool = True,
+    fits: bool,
     pct: bool = False,
     ascending: bool = True,
 ) -> DataFrame:
@@ -93,7 +93,7 @@ def _distinct_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataF
 
 
 def position(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, fits: bool = True
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, fits: bool
 ) -> DataFrame:
     """row_number within the group; the order must be total."""
     if fits:
@@ -116,7 +116,7 @@ def position(
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str, fits: bool = True
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str, fits: bool
 ) -> DataFrame:
     """One row per group with the linear-interpolated quantiles as an array."""
     if fits:
@@ -149,7 +149,7 @@ def quantiles(
 
 
 def quantile_group(
-    df: DataFrame, keys: Sequence[str], value: str, n: int, out: str, fits: bool = True
+    df: DataFrame, keys: Sequence[str], value: str, n: int, out: str, fits: bool
 ) -> DataFrame:
     """1-based right-closed quantile bucket; equal edges merge, fewer than n
     values or a single edge give NULL."""
@@ -170,7 +170,7 @@ def quantile_group(
     return df.withColumn(out, F.when(usable, F.greatest(below, F.lit(1)))).drop("__edges", "__n")
 
 
-def min_max(df: DataFrame, keys: Sequence[str], value: str, out: str, fits: bool = True) -> DataFrame:
+def min_max(df: DataFrame, keys: Sequence[str], value: str, out: str, fits: bool) -> DataFrame:
     """(x - min) / (max - min) per group; flat groups give 0.5, fewer than two
     values give NULL."""
     v = c(value)

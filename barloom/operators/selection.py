@@ -65,7 +65,7 @@ def rebalance_dates(dates: DataFrame, interval: int) -> DataFrame:
 
 
 def eligible(
-    df: DataFrame, ranking: str, min_listing_days: int = 0, fits: bool = True
+    df: DataFrame, ranking: str, min_listing_days: int = 0, *, fits: bool
 ) -> DataFrame:
     """Flag bars later than listing + n days that have a ranking value."""
     first = F.min("date")
@@ -121,7 +121,7 @@ def raw_candidates(
 
 
 def apply_rank_filters(
-    df: DataFrame, filters: Sequence[RankFilter], keys: Sequence[str] = GROUP, fits: bool = True
+    df: DataFrame, filters: Sequence[RankFilter], keys: Sequence[str] = GROUP, *, fits: bool
 ) -> DataFrame:
     """In order, each on what the ones before left; skipped where the field is
     missing for the whole group."""
@@ -241,7 +241,8 @@ def composite_rank(
     out: str,
     method: str = "pct",
     keys: Sequence[str] = ("date",),
-    fits: bool = True,
+    *,
+    fits: bool,
 ) -> DataFrame:
     """Weighted mean of per-date rank shares (or min-max values); missing when
     any part is missing."""
@@ -269,7 +270,8 @@ def rotation_signal(
     min_score: float | None = None,
     drop_missing: bool = False,
     keys: Sequence[str] = ("date",),
-    fits: bool = True,
+    *,
+    fits: bool,
 ) -> DataFrame:
     """Target weights from a weighted mean of rank shares.
 

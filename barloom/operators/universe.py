@@ -16,9 +16,6 @@ from ..sources.session import cut_lineage
 from .crosssection import position, quantiles
 from .pairs import both_ways
 
-# Largest matrix one task may decompose.
-EIGEN_SYMBOLS = 2_000
-
 
 def connected_components(pairs: DataFrame) -> DataFrame:
     """(symbol, component): smallest symbol reachable over the pairs.
@@ -123,38 +120,44 @@ def concentration(pairs: DataFrame, n_symbols: int) -> DataFrame:
     )
 
 
-def dominant_share(pairs: DataFrame, n_symbols: int, rounds: int = 200, tolerance: float = 1e-10) -> DataFrame:
-    """Largest eigenvalue over the trace.
+def dominant_share(pairs: DataFrame, n_symbols: int, tolerance: float = 1e-10) -> DataFrame:
+    """Largest eigenvalue over the trace, by the Lanczos method.
 
-    A matrix of checked size is decomposed in one task. A larger one is handled
-    by power iteration: one join and one sum per round, vectors written out.
+    Each step multiplies the matrix with one vector (a join and a sum), removes
+    what lies along the vectors before, and stops when the largest value is known
+    to the tolerance, at the latest after as many steps as there are symbols. The
+    driver sees a few numbers per step. A symbol in no pair is uncorrelated: it
+    counts in the trace, and the largest value is never below its 1.
     """
-    if n_symbols <= EIGEN_SYMBOLS:
-
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            names = sorted(set(pdf["a"]) | set(pdf["b"]))
-            at = {s: i for i, s in enumerate(names)}
-            m = np.eye(len(names))
-            i, j = pdf["a"].map(at).to_numpy(), pdf["b"].map(at).to_numpy()
-            m[i, j] = m[j, i] = pdf["corr"].to_numpy()
-            top = float(np.linalg.eigvalsh(m)[-1])
-            return pd.DataFrame({"dominant_eigenvalue_ratio": [top / len(names)]})
-
-        one = pairs.select(F.lit(1).alias("g"), "a", "b", "corr")
-        return one.groupBy("g").applyInPandas(solve, "dominant_eigenvalue_ratio double")
-    full = both_ways(pairs.select("a", "b", "corr"))
-    vector = full.select(F.col("a").alias("b")).distinct().withColumn("x", F.lit(1.0 / math.sqrt(n_symbols)))
-    last = 0.0
-    for _ in range(rounds):
-        moved = full.join(vector, "b").groupBy("a").agg(F.sum(F.col("corr") * F.col("x")).alias("y"))
-        moved = moved.join(vector.withColumnRenamed("b", "a"), "a").select("a", (F.col("y") + F.col("x")).alias("y"))
+    full = cut_lineage(both_ways(pairs.select("a", "b", "corr")))
+    # An irregular start meets every direction.
+    start = full.select(F.col("a").alias("s")).distinct().withColumn("x", F.xxhash64("s") / F.lit(float(2**63)) + 0.1)
+    norm = start.agg(F.sum(F.col("x") * F.col("x"))).first()[0]
+    if not norm:
+        return pairs.sparkSession.range(1).select(F.lit(1.0 / max(1, n_symbols)).alias("dominant_eigenvalue_ratio"))
+    basis = cut_lineage(start.select("s", F.array(F.col("x") / math.sqrt(norm)).alias("q")))
+    matrix, top, steps = np.zeros((1, 1)), 1.0, basis.count()
+    for k in range(1, steps + 1):
+        last = basis.select(F.col("s").alias("b"), F.element_at("q", -1).alias("x"))
+        moved = full.join(last, "b").groupBy(F.col("a").alias("s")).agg(F.sum(F.col("corr") * F.col("x")).alias("y"))
+        moved = basis.join(moved, "s").select("s", "q", (F.col("y") + F.element_at("q", -1)).alias("y"))
+        along = [0.0] * k
+        for _ in range(2):  # the second time removes what rounding left
+            moved = cut_lineage(moved)
+            parts = moved.agg(*[F.sum(F.col("y") * F.get("q", j)) for j in range(k)]).first()
+            along = [a + p for a, p in zip(along, parts)]
+            moved = moved.withColumn("y", F.col("y") - sum((F.get("q", j) * p for j, p in enumerate(parts)), F.lit(0.0)))
         moved = cut_lineage(moved)
-        norm = math.sqrt(moved.agg(F.sum(F.col("y") * F.col("y"))).first()[0])
-        vector = moved.select(F.col("a").alias("b"), (F.col("y") / F.lit(norm)).alias("x"))
-        if abs(norm - last) <= tolerance * norm:
+        rest = math.sqrt(moved.agg(F.sum(F.col("y") * F.col("y"))).first()[0])
+        matrix[k - 1, k - 1] = along[-1]
+        values, vectors = np.linalg.eigh(matrix)
+        top = max(1.0, float(values[-1]))
+        if rest * abs(vectors[-1, -1]) <= tolerance * top or rest < 1e-13:
             break
-        last = norm
-    return pairs.sparkSession.range(1).select(F.lit(norm / n_symbols).alias("dominant_eigenvalue_ratio"))
+        matrix = np.pad(matrix, (0, 1))
+        matrix[k, k - 1] = matrix[k - 1, k] = rest
+        basis = moved.select("s", F.concat("q", F.array(F.col("y") / rest)).alias("q"))
+    return pairs.sparkSession.range(1).select(F.lit(top / n_symbols).alias("dominant_eigenvalue_ratio"))
 
 
 def distance(corr: str | Column = "corr") -> Column:
@@ -191,7 +194,7 @@ def neighbour_distances(dists: DataFrame, k: int = 5) -> DataFrame:
     return near.filter(F.col("__r") == k - 1).select(F.col("a").alias("symbol"), F.col("dist").alias("k_dist"))
 
 
-def estimate_eps(kdist: DataFrame, fits: bool = True) -> DataFrame:
+def estimate_eps(kdist: DataFrame, *, fits: bool) -> DataFrame:
     """Distance at the sharpest bend of the sorted neighbour distances; their
     median when there are fewer than three."""
     rows = position(kdist.withColumn("__g", F.lit(1)), ["__g"], [F.col("k_dist"), F.col("symbol")], "p", fits)
@@ -268,7 +271,7 @@ def cluster_correlations(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.groupBy("ga", "gb").agg(F.avg("corr").alias("corr_mean"), F.count(F.lit(1)).alias("n_pairs"))
 
 
-def cluster_correlation_medians(pairs: DataFrame, labels: DataFrame, fits: bool = True) -> DataFrame:
+def cluster_correlation_medians(pairs: DataFrame, labels: DataFrame, *, fits: bool) -> DataFrame:
     la = labels.select(F.col("symbol").alias("a"), F.col("cluster").alias("ga"))
     lb = labels.select(F.col("symbol").alias("b"), F.col("cluster").alias("gb"))
     rows = both_ways(pairs.select("a", "b", "corr")).join(la, "a").join(lb, "b")

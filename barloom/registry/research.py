@@ -301,7 +301,7 @@ def queries() -> dict:
     q["universe_dominant_share"] = lambda s, d: _round(U.dominant_share(_pairs(s, d), load_bars(s, d).symbols))
     q["universe_threshold_clusters"] = lambda s, d: U.threshold_clusters(_pairs(s, d, min_corr=1 - 0.98**2), _symbols(s, d), 0.98)
     q["universe_neighbour_distances"] = lambda s, d: _round(_kdist(s, d))
-    q["universe_estimate_eps"] = lambda s, d: _round(U.estimate_eps(_kdist(s, d)))
+    q["universe_estimate_eps"] = lambda s, d: _round(U.estimate_eps(_kdist(s, d), fits=load_bars(s, d).symbols_fit))
     q["universe_density_clusters"] = lambda s, d: U.density_clusters(_dist(s, d), _symbols(s, d), EPS, 4)
     q["universe_feature_clusters"] = lambda s, d: U.feature_clusters(
         reports.latest_values(
@@ -310,7 +310,7 @@ def queries() -> dict:
         ), ["Volatility_20", "KaufmanER_20", "VolumeRatio_5"], 3, 2,
     )[0]
     q["universe_cluster_correlation"] = lambda s, d: _round(U.cluster_correlations(_pairs(s, d), _labels(s, d)))
-    q["universe_cluster_medians"] = lambda s, d: _round(U.cluster_correlation_medians(_pairs(s, d), _labels(s, d)))
+    q["universe_cluster_medians"] = lambda s, d: _round(U.cluster_correlation_medians(_pairs(s, d), _labels(s, d), fits=load_bars(s, d).symbols ** 2 <= load_bars(s, d).limit))
     q["universe_cluster_stats"] = lambda s, d: _round(U.cluster_stats(_pairs(s, d), _labels(s, d), _one_index(s, d)))
     q["universe_cluster_summary"] = lambda s, d: _round(U.cluster_summary(_pairs(s, d), _labels(s, d)).drop("family"))
     q["universe_greedy_selection"] = lambda s, d: s.createDataFrame(

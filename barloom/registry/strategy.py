@@ -23,7 +23,7 @@ def _features(spark, sf):
     out = with_factors(bars, fs)
     names = dict(zip((f.name for f in fs), ("mom", "vol", "vr", "er")))
     out = out.with_df(out.df.withColumnsRenamed(names))
-    return out.with_df(S.eligible(out.df, "mom", 60, out.symbol_fits))
+    return out.with_df(S.eligible(out.df, "mom", 60, fits=out.symbol_fits))
 
 
 def _clusters(bars):
@@ -39,7 +39,7 @@ def _candidates(spark, sf):
 
 def _filtered(spark, sf):
     feats, reb, cand = _candidates(spark, sf)
-    cand = S.apply_rank_filters(cand, [S.RankFilter("vol", 0.1, 0.1), S.RankFilter("er", 0.2, 0.0)])
+    cand = S.apply_rank_filters(cand, [S.RankFilter("vol", 0.1, 0.1), S.RankFilter("er", 0.2, 0.0)], fits=load_bars(spark, sf).date_fits)
     return feats, reb, S.apply_threshold_filters(cand, [S.ThresholdFilter("vr", ">=", 0.5)])
 
 
@@ -301,7 +301,7 @@ def queries() -> dict:
     q["select_eligible"] = lambda s, d: _features(s, d).df.select("symbol", "date", "listing_date", "eligible")
     q["select_candidates"] = lambda s, d: _round(_candidates(s, d)[2].select("symbol", "date", "execution_date", "score"))
     q["select_rank_filters"] = lambda s, d: _round(
-        S.apply_rank_filters(_candidates(s, d)[2], [S.RankFilter("vol", 0.1, 0.1), S.RankFilter("er", 0.2, 0.0)]).select("symbol", "date", "score")
+        S.apply_rank_filters(_candidates(s, d)[2], [S.RankFilter("vol", 0.1, 0.1), S.RankFilter("er", 0.2, 0.0)], fits=load_bars(s, d).date_fits).select("symbol", "date", "score")
     )
     q["select_threshold_filter"] = lambda s, d: _round(
         S.apply_threshold_filters(_candidates(s, d)[2], [S.ThresholdFilter("vr", ">=", 0.5), S.ThresholdFilter("vol", "<", 2.0)]).select("symbol", "date", "score")
@@ -327,13 +327,13 @@ def queries() -> dict:
     q["select_recent_complete_date"] = lambda s, d: S.recent_complete_date(load_bars(s, d).df)
     q["select_exclusion_reasons"] = lambda s, d: S.exclusion_reasons(_features(s, d).df)
     q["rank_composite_pct"] = lambda s, d: _round(
-        S.composite_rank(_features(s, d).df, [("mom", 1.0), ("vol", -0.5)], "score").select("symbol", "date", "score")
+        S.composite_rank(_features(s, d).df, [("mom", 1.0), ("vol", -0.5)], "score", fits=load_bars(s, d).date_fits).select("symbol", "date", "score")
     )
     q["rank_composite_minmax"] = lambda s, d: _round(
-        S.composite_rank(_features(s, d).df, [("mom", 1.0), ("er", 2.0)], "score", "minmax").select("symbol", "date", "score")
+        S.composite_rank(_features(s, d).df, [("mom", 1.0), ("er", 2.0)], "score", "minmax", fits=load_bars(s, d).date_fits).select("symbol", "date", "score")
     )
     q["signal_rotation"] = lambda s, d: _round(
-        S.rotation_signal(_features(s, d).df, [("mom", 1.0), ("er", 0.5)], 3, "vr", 0.8, "score", 0.2).select("symbol", "date", "score", "weight")
+        S.rotation_signal(_features(s, d).df, [("mom", 1.0), ("er", 0.5)], 3, "vr", 0.8, "score", 0.2, fits=load_bars(s, d).date_fits).select("symbol", "date", "score", "weight")
     )
     q["signal_momentum"] = lambda s, d: _round(
         S.momentum_signal(_features(s, d).df, "mom", 0.05, 4).select("symbol", "date", "score", "weight")

@@ -160,7 +160,7 @@ def test_metrics(spark):
 def test_filters_and_allocators(spark):
     rows = [("v", "2020-01-01", f"s{i}", float(i), None if i == 0 else float(i)) for i in range(10)]
     df = spark.createDataFrame(rows, "variant string, date string, symbol string, score double, f double")
-    kept = S.apply_rank_filters(df, [S.RankFilter("f", 0.2, 0.2)])
+    kept = S.apply_rank_filters(df, [S.RankFilter("f", 0.2, 0.2)], fits=True)
     assert sorted(r["symbol"] for r in kept.collect()) == ["s2", "s3", "s4", "s5", "s6", "s7"]
     assert S.apply_threshold_filters(df, [S.ThresholdFilter("f", ">=", 0.0)]).count() == 9
     assert len(S.make_rank_filters("f", (0.1, 0.2))) == 8

@@ -34,6 +34,16 @@ def test_correlation_tiles(data, block_symbols, block_dates):
         assert r.n == (rets[r.a].notna() & rets[r.b].notna()).sum()
 
 
+@pytest.mark.parametrize("block_symbols", [256, 3])
+def test_only_wanted_pairs(spark, data, block_symbols):
+    _, bars, _, rets = data
+    corr, names = rets.corr(), sorted(rets.columns)
+    one, two = (spark.createDataFrame([(n,) for n in part], "symbol string") for part in (names[:2], names[1:6]))
+    got = PR.correlation_pairs(PR.daily_returns(bars), min_corr=-0.05, block_symbols=block_symbols, max_corr=0.05, sides=(one, two)).toPandas()
+    sides = {tuple(sorted((a, b))) for a in names[:2] for b in names[1:6] if a != b}
+    assert set(zip(got.a, got.b)) == {(a, b) for a, b in sides if -0.05 <= corr.loc[a, b] <= 0.05}
+
+
 def test_duplicate_pairs(data):
     _, bars, close, rets = data
     got = PR.duplicate_pairs(bars, 0.05, 50).toPandas()
@@ -85,15 +95,17 @@ def test_merged_clusters(spark):
     assert got["X"]["representative"] == "Y"
 
 
-def test_eigenvalue_share(data, monkeypatch):
+def test_eigenvalue_share(spark, data):
     _, bars, _, rets = data
     pairs = PR.correlation_pairs(PR.daily_returns(bars)).persist()
     want = np.linalg.eigvalsh(rets.corr().to_numpy())[-1] / 11
     assert abs(U.dominant_share(pairs, 11).first()[0] - want) < 1e-9
-    monkeypatch.setattr(U, "EIGEN_SYMBOLS", 0)
-    # The iteration adds the identity, so its norm is the eigenvalue plus one.
-    got = U.dominant_share(pairs, 11, rounds=12, tolerance=1e-3).first()[0]
-    assert got == pytest.approx(want + 1 / 11, rel=0.2) or got == pytest.approx(want, rel=0.2)
+    even = [(a, b, -0.3) for a, b in ("ab", "ac", "ad", "bc", "bd", "cd")]
+    even = spark.createDataFrame(even, "a string, b string, corr double")
+    assert abs(U.dominant_share(even, 4).first()[0] - 1.3 / 4) < 1e-9
+    # Symbols in no pair count in the trace.
+    assert abs(U.dominant_share(even, 6).first()[0] - 1.3 / 6) < 1e-9
+    assert U.dominant_share(even.limit(0), 5).first()[0] == 0.2
 
 
 def test_compatible_sets(data):
@@ -152,7 +164,7 @@ def test_density_clusters(spark):
     near = U.neighbour_distances(dists, 3).toPandas().set_index("symbol")["k_dist"]
     d = np.abs(pts[:, None] - pts[None, :])
     assert np.allclose(near[names].to_numpy(), np.sort(d, axis=1)[:, 2])
-    assert U.estimate_eps(U.neighbour_distances(dists, 3)).first()["eps"] > 0
+    assert U.estimate_eps(U.neighbour_distances(dists, 3), fits=True).first()["eps"] > 0
 
 
 def test_matrix_report(spark):

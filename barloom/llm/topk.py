@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .shared import written
 
 #: Pivots, the vectors they are picked from, and rows of a block.
-PIVOTS, PIVOT_SAMPLE = 48, 2_048
-CANDIDATE_BLOCK, QUERY_BLOCK = 4_096, 1_024
+PIVOTS, PIVOT_SAMPLE = 32, 2_048
+CANDIDATE_BLOCK, QUERY_BLOCK = 8_192, 256
 #: Candidates evaluated at a time for one query.
 STEP = 256
 
@@ -61,11 +61,10 @@ def _to_pivots(data: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((data - p) ** 2).sum(1)) for p in pivots], 1) if len(pivots) else np.zeros((len(data), 0))
 
 
-def _products(block: np.ndarray, vector: np.ndarray) -> np.ndarray:
+def _products(block: np.ndarray, vector: np.ndarray, small: bool) -> np.ndarray:
     """Exact inner products; outside the range of a long, the nearest long."""
-    most = float(np.abs(block.astype(np.float64)).max(initial=0)) * float(np.abs(vector.astype(np.float64)).max(initial=0)) * len(vector)
-    if most < 2**52:
-        return (block.astype(np.float64) @ vector.astype(np.float64)).astype(np.int64)
+    if small:
+        return (block @ vector).astype(np.int64)
     exact = block.astype(object) @ vector.astype(object)
     return np.array([min(max(x, -(2**63)), 2**63 - 1) for x in exact], np.int64)
 
@@ -73,31 +72,55 @@ def _products(block: np.ndarray, vector: np.ndarray) -> np.ndarray:
 def search_block(queries: dict, candidates: dict, k: int) -> list[tuple[np.ndarray, ...]]:
     """Per query: its number, and the k best candidates' rows and scores, ties to
     the smaller id, never itself; plus how many were evaluated."""
-    cand, far = candidates["data"], candidates["pivots"]
-    square = (cand.astype(np.float64) ** 2).sum(1)
-    rank = np.lexsort((candidates["uids"], candidates["ids"]))
-    by_id = np.empty(len(rank), np.int64)
-    by_id[rank] = np.arange(len(rank))
-    out = []
-    for q in range(len(queries["uids"])):
-        vector = queries["data"][q]
-        under = np.zeros(len(cand))
-        for p in range(far.shape[1]):
-            np.maximum(under, np.abs(far[:, p] - queries["pivots"][q, p]), out=under)
-        own = float((vector.astype(np.float64) ** 2).sum())
-        under = np.maximum(under * (1 - 1e-9) - 1e-6, 0)
-        bound = (square + own - under * under) / 2
+    cand, ask = candidates["data"], queries["data"]
+    values = cand.astype(np.float64)
+    most = float(np.abs(values).max(initial=0)) * float(np.abs(ask.astype(np.float64)).max(initial=0)) * cand.shape[1]
+    # Floating-point numbers hold such sums exactly.
+    small = most < 2**52
+    if small:
+        kind = np.float32 if most < 2**23 else np.float64
+        cand, ask = values.astype(kind), ask.astype(kind)
+    square = (values**2).sum(1)
+    far = np.ascontiguousarray(candidates["pivots"].T.astype(np.float32))
+    slack = np.float32(4e-7) * max(float(np.abs(far).max(initial=0)), float(np.abs(queries["pivots"]).max(initial=0))) + np.float32(1e-5)
+    by_id = np.empty(len(cand), np.int64)
+    by_id[np.lexsort((candidates["uids"], candidates["ids"]))] = np.arange(len(cand))
+    apart, out = np.empty_like(far), []
+    for q in range(len(ask)):
+        vector = ask[q]
+        under = np.zeros(len(cand), np.float32)
+        if len(far):
+            np.subtract(far, queries["pivots"][q].astype(np.float32)[:, None], out=apart)
+            np.abs(apart, out=apart)
+            apart.max(0, out=under)
+        under = np.maximum(under - slack, 0).astype(np.float64)
+        bound = (square + float((vector.astype(np.float64) ** 2).sum()) - under * under) / 2
         bound += np.abs(bound) * 1e-9 + 1e-6
-        order = np.argsort(-bound, kind="stable")
-        order = order[candidates["uids"][order] != queries["uids"][q]]
-        best, score, done = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-        while done < len(order) and (len(best) < k or bound[order[done]] >= score[-1]):
-            part = order[done : done + STEP]
-            done += len(part)
-            best = np.concatenate([best, part])
-            score = np.concatenate([score, _products(cand[part], vector)])
+        bound[candidates["uids"] == queries["uids"][q]] = -np.inf
+        # In order of the bounds: the first ones, and then, in order, those that
+        # the scores of the first ones don't rule out yet.
+        order = np.argpartition(-bound, STEP)[:STEP] if STEP < len(bound) else np.arange(len(bound))
+        order = order_first = order[bound[order] > -np.inf]
+        best, score, done, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, STEP
+        rest, at = None, 0
+        while len(order):
+            done += len(order)
+            found = _products(cand[order], vector, small)
+            if len(best) == k:
+                good = found >= score[-1]
+                order, found = order[good], found[good]
+            best, score = np.concatenate([best, order]), np.concatenate([score, found])
             top = np.lexsort((by_id[best], -score))[:k]
             best, score = best[top], score[top]
+            if rest is None:
+                bound[order_first] = -np.inf
+                rest = np.flatnonzero(bound >= score[-1]) if len(best) == k else np.flatnonzero(bound > -np.inf)
+                rest = rest[np.argsort(-bound[rest], kind="stable")]
+            order = rest[at : at + step]
+            if len(best) == k:
+                order = order[bound[order] >= score[-1]]
+            # Ever larger steps: few rounds if bounds rule out little.
+            at, step = at + step, 2 * step
         out.append((q, best, score, done))
     return out
 

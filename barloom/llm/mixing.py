@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: The fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
 #: Blocks have so many words at most, and a corpus so many blocks at least.
 BLOCK_WORDS, LEAST_BLOCKS = 1024, 1 << 17
 #: Documents that one task brings into order, and slots that one task ranks.
-STREAM_ROWS, SLOT_ROWS = 1 << 13, 1 << 14
+STREAM_ROWS, SLOT_ROWS = 1 << 11, 1 << 14
 #: A source table above so many rows is joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 
@@ -80,6 +82,8 @@ def mix(docs: DataFrame, weights: Sequence[float], epochs: int = 3, seed: int =
     driver holds a row per source."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"))
+    # Sizes come from texts, which are read once.
+    docs = written(docs, "mix-sizes")
     per_source = docs.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
     per_source.sort(key=lambda r: (r.source is None, r.source))
     sizes, rows, total = [r.s for r in per_source], sum(r.n for r in per_source), sum(r.s for r in per_source)

@@ -68,10 +68,11 @@ class Layout:
 def _layout() -> Layout:
     top = BANDS[1:] - 1
     need = most_apart(top, top) + 1
-    # Few segments are wide, but where there are few at all; and always as many
-    # segments as are needed, so that empty ones can make up for filled ones.
-    count = need + 2 + need // 4
-    wide = np.where(need <= 8, need + 3, 1 + need // 20)
+    # Few segments are wide, but where there are few at all; always as many
+    # segments as are needed, so that empty ones can make up for filled ones; and
+    # so many more that sets of the band hardly ever need empty ones.
+    count = need + 4 + need // 5 + 2 * np.sqrt(need).astype(np.int64)
+    wide = np.where(need <= 8, need + 4, 1 + need // 20)
     plain = np.where(need <= 8, 0, count - 2 * wide)
     whole = need <= 2
     return Layout(np.where(whole, 0, plain), np.where(whole, 1, wide))
@@ -243,10 +244,10 @@ def _rows(kind: int, a, b, key, cost, weight, spare, flags) -> pa.RecordBatch:
     )
 
 
-def _meet(few: int | None):
+def _meet(few: int):
     """Entries of a reducer -> candidate pairs (kind 0) of keys with up to `few`
     holders, all entries (kind 1) of other keys, with the number of their
-    partners; sets that were short of segments (kind 2). few None: no bound."""
+    partners; sets that were short of segments (kind 2)."""
 
     def part_rows(part: int, rows: list[tuple[bytes, bytes, bytes]]):
         nodes, spares, keys, flags = [], [], [], []
@@ -279,16 +280,11 @@ def _meet(few: int | None):
         # Partners of an entry: own ones meet all, others only own ones; two keys
         # that each leave an element out don't count as meeting.
         partners = np.where(is_own, np.where(whole, (all_whole + all_less)[group] - 1, all_whole[group]), np.where(whole, (own_whole + own_less)[group], own_whole[group]))
-        busy = size[group] > (few if few is not None else np.inf)
+        busy = size[group] > few
         out = np.flatnonzero(busy & (partners > 0))
         if len(out):
             number = (np.int64(part) << 40) | key[out]
             yield _rows(1, node[out], 0, number, partners[out], np.where(flag[out] & TWICE, 2, 1), spare[out], flag[out])
-        if few is None:
-            first_, last_ = first[size > 1], (first + size)[size > 1]
-            for lo, hi in zip(first_.tolist(), last_.tolist(), strict=True):
-                yield from _pairs(node[lo:hi], flag[lo:hi])
-            return
         # Entries of small groups meet at every distance up to the group's size.
         small = np.flatnonzero(~busy & (partners > 0))
         found = []
@@ -303,13 +299,6 @@ def _meet(few: int | None):
             pairs = np.unique(np.concatenate(found), axis=0)
             yield _rows(0, pairs[:, 0], pairs[:, 1], 0, 0, 0, 0, 0)
 
-    def _pairs(node, flag):
-        is_own, whole = (flag & OWN) > 0, (flag & LEFT_OUT) == 0
-        for i in range(len(node) - 1):
-            ok = np.flatnonzero((is_own[i] | is_own[i + 1 :]) & (whole[i] | whole[i + 1 :]) & (node[i + 1 :] != node[i])) + i + 1
-            if len(ok):
-                yield _rows(0, np.minimum(node[i], node[ok]), np.maximum(node[i], node[ok]), 0, 0, 0, 0, 0)
-
     def run(batches):
         # Rows come sorted by reducer number; a reducer's rows are its share of
         # all keys, as many as REDUCER_KEYS says.
@@ -387,6 +376,20 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
         return written(joined.mapInArrow(check, "a long, b long"), "links")
 
 
+def _entries(found: DataFrame) -> DataFrame:
+    rows = found.filter("kind = 1").select(F.col("a").alias("node"), "key", "cost", "weight", "spare", "flags")
+    flag = lambda f: F.col("flags").bitwiseAND(F.lit(f)) > 0
+    return rows.withColumn("own", flag(OWN)).withColumn("less", flag(LEFT_OUT))
+
+
+def _met_on(ask: DataFrame, holders: DataFrame, only=None) -> DataFrame:
+    """Pairs of sets that ask for a key with sets that hold it."""
+    other = holders.select("key", *[F.col(c).alias(f"{c}2") for c in holders.columns if c != "key"])
+    ok = (F.col("node") != F.col("node2")) & (F.col("own") | F.col("own2")) & ~(F.col("less") & F.col("less2"))
+    met = ask.join(other, "key").filter(ok if only is None else ok & only)
+    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+
+
 def _links(texts: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
     """Links (a, b) that connect just the sets which similar pairs connect."""
     spark = texts.sparkSession
@@ -406,13 +409,12 @@ def _links(texts: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
         # Sets almost all of whose segments are empty also look into the empty
         # ones: the number of segments of their bands is small.
         asked = {(int(b), s) for n in sizes for b in (np.searchsorted(BANDS, n, "right") - 1, np.searchsorted(BANDS, n, "right")) for s in range(int(LAYOUT.plain[b] + LAYOUT.wide[b]))}
-        ends = met(None, asked).filter("kind = 0").select("a", "b")
-        lone = short.select(F.col("a").alias("node"))
-        pairs = pairs.union(ends.join(lone, ends["a"] == lone["node"], "left_semi")).union(ends.join(lone, ends["b"] == lone["node"], "left_semi"))
+        empty = _entries(met(1, asked))
+        lone = empty.join(short.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+        pairs = pairs.union(_met_on(lone, empty))
     # The allocation: a set leaves out its most expensive keys while it can spare
     # what they count. A segment's keys count each for the whole of it.
-    entries = found.filter("kind = 1").select(F.col("a").alias("node"), "key", "cost", "weight", "spare", "flags")
-    entries = entries.withColumn("own", F.col("flags").bitwiseAND(F.lit(OWN)) > 0).withColumn("less", F.col("flags").bitwiseAND(F.lit(LEFT_OUT)) > 0)
+    entries = _entries(found)
     dearest = Window.partitionBy("node", "own").orderBy(F.desc("cost"), "key", "less")
     spent = F.sum("weight").over(dearest.rowsBetween(Window.unboundedPreceding, 0))
     kept = written(entries.withColumn("spent", spent).filter("spent > spare").select("node", "key", "own", "less"), "kept-keys")
@@ -431,10 +433,8 @@ def _links(texts: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
     holders = written(rooted(holders), "rooted-holders")
     torn = holders.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     torn = written(torn, "torn-keys")
-    ask = rooted(kept).join(torn, "key", "left_semi")
-    other = holders.select("key", F.col("node").alias("n2"), F.col("own").alias("o2"), F.col("less").alias("l2"), F.col("root").alias("r2")).join(torn, "key", "left_semi")
-    more = ask.join(other, "key").filter("root <> r2 and (own or o2) and not (less and l2)")
-    more = more.select(F.least("node", "n2").alias("a"), F.greatest("node", "n2").alias("b"))
+    ask, other = rooted(kept).join(torn, "key", "left_semi"), holders.join(torn, "key", "left_semi")
+    more = _met_on(ask, other, F.col("root") != F.col("root2"))
     return links.union(_verified(more, nodes, texts))
 
 

@@ -97,7 +97,8 @@ def mix(docs: DataFrame, weights: Sequence[float], epochs: int = 3, seed: int =
     placed = docs.join(table, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     # The shuffled stream of each source: parts of the key range, one after the other.
     bits = max(1, (rows // STREAM_ROWS).bit_length())
-    placed = placed.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("part", F.shiftrightunsigned("key", 64 - bits))
+    placed = placed.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), "size")))
+    placed = placed.withColumn("part", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - bits))
     inside = Window.partitionBy("sid", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, jaccard, langid, mixing, quality, sharding, simhash, topk, urlfilter, warc
-from .shared import chosen, held_out
+from .shared import chosen, held_out, written
 
 #: Vocabulary of op9.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Shards of op4; weights and epochs of op8; queries and results of op10.
-SHARDS, WEIGHTS, EPOCHS = 40, (5, 2, 1), 3
+SHARDS, WEIGHTS, EPOCHS, MIX_SEED = 40, (5, 2, 1), 3, 11
 QUERY_EVERY, TOP, SCALE = 20, 20, 64
 #: Hamming radius of op3's neighbours.
 RADIUS = 3
@@ -55,7 +55,8 @@ def op2_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.edited_fingerprints(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("f0", "f1")
+    prints = written(simhash.edited_fingerprints(_table(spark, sf_dir, "documents", "doc_id", "text")), "fingerprints")
+    return simhash.with_links(prints, RADIUS).drop("f0", "f1")
 
 
 def op4_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +96,7 @@ def sized(docs: DataFrame, *more: str) -> DataFrame:
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sized(_table(spark, sf_dir, "documents", "doc_id", "source", "text"))
-    made = mixing.mix(docs, WEIGHTS, EPOCHS, seed=11)
+    made = mixing.mix(docs, WEIGHTS, EPOCHS, MIX_SEED)
     return mixing.taken_words(made).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -126,5 +127,80 @@ def queries() -> dict:
     }
 
 
+_BASE32 = (
+    "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',"
+    " 1 + ((CAST('0x' || substr(sha, 5 * (i // 4) + 1, 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31), 1)), '')"
+)
+
+OP5_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS won FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = won THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> won THEN won END AS refers_to
+FROM w
+"""
+
+OP7_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+t AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS sh FROM s),
+l AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.sh = b.sh AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id
+FROM s JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) USING (doc_id)
+"""
+
+OP8_SQL = f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size
+  FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source),
+w AS (SELECT *, [{", ".join(map(str, WEIGHTS))}][sid % {len(WEIGHTS)} + 1] AS w, CAST(sum(ss) OVER () AS BIGINT) AS total FROM src),
+o AS (SELECT *, coalesce(sum({EPOCHS} * ss) OVER (ORDER BY CAST(ss AS DOUBLE) / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cut,
+             sum(w) OVER (ORDER BY CAST(ss AS DOUBLE) / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w FROM w),
+f AS (SELECT *, CAST(total - cut AS DOUBLE) / CAST(open_w AS DOUBLE) * w > {EPOCHS} * ss AS is_full FROM o),
+c AS (SELECT *, coalesce(sum({EPOCHS} * ss) FILTER (is_full) OVER (), 0) AS cuts, sum(w) FILTER (NOT is_full) OVER () AS ws FROM f),
+tg AS MATERIALIZED (
+  SELECT sid, source, ss, CASE WHEN is_full THEN CAST({EPOCHS} * ss AS DOUBLE) ELSE CAST(total - cuts AS DOUBLE) / CAST(ws AS DOUBLE) * w END AS target,
+         greatest(1, least({mixing.BLOCK_WORDS}, total // {mixing.LEAST_BLOCKS})) AS block, total FROM c),
+ends AS (
+  SELECT sid, sum(target) OVER (ORDER BY sid ROWS UNBOUNDED PRECEDING) / greatest(sum(target) OVER (), 1.0) AS hi, sid = max(sid) OVER () AS is_last FROM tg),
+spans AS (SELECT sid, lag(hi, 1, -1.0) OVER (ORDER BY sid) AS lo, CASE WHEN is_last THEN 2.0 ELSE hi END AS hi FROM ends),
+slots AS (
+  SELECT j, ((j >> 20) * (({mixing.GOLDEN!r}::DOUBLE * 1048576) % 1.0) + (j & 1048575) * {mixing.GOLDEN!r}::DOUBLE) % 1.0 AS x
+  FROM (SELECT unnest(range(CAST(ceil(CAST(any_value(total) AS DOUBLE) / any_value(block)) AS BIGINT))) AS j FROM tg)),
+sched AS MATERIALIZED (
+  SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY j) - 1 AS rank FROM slots JOIN spans ON x >= lo AND x < hi),
+placed AS MATERIALIZED (
+  SELECT d.doc_id, d.size, tg.*, row_number() OVER () AS row,
+         coalesce(sum(size) OVER (PARTITION BY sid ORDER BY md5(concat_ws(':', {MIX_SEED}, doc_id, size)), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN tg ON d.source IS NOT DISTINCT FROM tg.source),
+epochs AS (SELECT *, unnest(range(1 + least({EPOCHS - 1}, CAST(ceil(target / ss) AS BIGINT)))) * ss + start AS first FROM placed WHERE size > 0),
+pieces AS (SELECT row, sid, first, size, block, unnest(range(CAST(first // block AS BIGINT), CAST((first + size - 1) // block + 1 AS BIGINT))) AS rank FROM epochs),
+taken AS (
+  SELECT row, sum(least(first + size, (rank + 1) * block) - greatest(first, rank * block)) AS taken FROM pieces JOIN sched USING (sid, rank) GROUP BY row)
+SELECT doc_id, size, ss AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM placed LEFT JOIN taken USING (row)
+"""
+
+OP10_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {QUERY_EVERY} = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= {TOP}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can state the result; tests hold the others against brute force."""
+    return {"op5_warc": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op8_source_mix": OP8_SQL, "op10_pivot_top_k": OP10_SQL}

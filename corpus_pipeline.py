@@ -19,7 +19,7 @@ from barloom.llm.shared import written
 #: Least share of a text's letters in its language.
 LEAST_SHARE = 0.5
 #: A table of documents to leave out above so many rows is joined by a shuffle.
-BROADCAST_ROWS = 10_000
+BROADCAST_ROWS = 100_000
 
 
 def _judged(docs: DataFrame, judge, keep: Column) -> DataFrame:
@@ -65,13 +65,15 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words aren't taken."""
     key = F.struct("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"))
     sizes = q.sized(docs.withColumn("_key", key), "_key").drop("doc_id").withColumnRenamed("_key", "doc_id")
-    made = mixing.mix(sizes, q.WEIGHTS, q.EPOCHS, seed=11)
+    made = mixing.mix(sizes, q.WEIGHTS, q.EPOCHS, q.MIX_SEED)
     taken = made.pieces.groupBy("sid", "start", "epoch").agg(
         F.first("doc_id").alias("_taken"), F.min("from_word").alias("_from"), F.max("to_word").alias("_to"), F.first("size").alias("_size")
     )
     taken = taken.select("_taken.doc_id", "_taken.th", "_from", "_to", "_size").withColumnsRenamed({"doc_id": "_d", "th": "_h"})
-    # Repeated rows share their key; each epoch of each of them is one row here.
-    rows = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).dropDuplicates(["doc_id", "_th"])
+    rows = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    if not made.documents.filter("size > 0").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        # Repeated rows share their key; each epoch of each of them is in taken.
+        rows = rows.dropDuplicates(["doc_id", "_th"])
     rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")))
     words = F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
     part = F.concat_ws(" ", F.slice(words, F.col("_from").cast("int") + 1, (F.col("_to") - F.col("_from")).cast("int")))

@@ -65,7 +65,7 @@ def test_stages_one_by_one(spark, folder):
     for r in rows4:
         words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
         assert r.n_chars == len(r.text)
-    made = cp.mixing.mix(cp.q.sized(third), cp.q.WEIGHTS, cp.q.EPOCHS, seed=11)
+    made = cp.mixing.mix(cp.q.sized(third), cp.q.WEIGHTS, cp.q.EPOCHS, cp.q.MIX_SEED)
     assert all(w <= 3 * size[d] for d, w in words.items())
     taken = {r.sid: (r.taken, r.target) for r in cp.mixing.taken_words(made).groupBy("sid").agg({"taken": "sum", "target": "max"}).toDF("sid", "taken", "target").collect()}
     assert all(abs(a - b) < 8 for a, b in taken.values()) and abs(sum(words.values()) - sum(size.values())) < 20

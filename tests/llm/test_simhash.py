@@ -89,6 +89,13 @@ def test_all_neighbours_within_the_radius(spark):
         assert pairs == sorted((a, b) for a in every for b in every if a < b and (a ^ b).bit_count() <= radius)
 
 
+def test_links_count_other_fingerprints(spark):
+    rows = [(1, 0), (1, 0), (1, 1), (1, 3), (-1, -1)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "f0 long, f1 long, links string").drop("links")
+    found = sorted((r.f0, r.f1, r.links) for r in simhash.with_links(df, 1, 3).collect())
+    assert found == [(-1, -1, 0), (1, 0, 1), (1, 0, 1), (1, 1, 2), (1, 3, 1)]
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a", "x")], SCHEMA)
     plan = simhash.edited_fingerprints(df)._jdf.queryExecution().executedPlan().toString()

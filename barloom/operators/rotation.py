@@ -336,10 +336,15 @@ def stop_triggers(
     calendar, and spells are spread over tasks by variant and symbol.
     """
     days = bars.select("symbol", "date", "open", "close", *fields)
-    # A spell covers its own dates only: equi-join on symbol, then a date bound.
-    rows = spells.join(days, "symbol").filter(
-        (F.col("date") >= F.col("start")) & (F.col("end").isNull() | (F.col("date") < F.col("end")))
-    )
+    # A bar belongs to the last spell that began by its date: starts are rows
+    # among the bars, ahead of the bar of their day, and are carried forward.
+    held = spells.select("variant", "symbol").distinct()
+    starts = spells.select("variant", "symbol", F.col("start").alias("date"), F.struct("spell", "start", "end").alias("__s"))
+    rows = days.join(held, "symbol").withColumn("__bar", F.lit(True))
+    rows = rows.unionByName(starts.withColumn("__bar", F.lit(False)), allowMissingColumns=True)
+    so_far = W.partitionBy("variant", "symbol").orderBy("date", "__bar").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("__s", F.last("__s", ignorenulls=True).over(so_far)).filter("__bar and __s is not null")
+    rows = rows.select("*", "__s.*").drop("__s", "__bar").filter(F.col("end").isNull() | (F.col("date") < F.col("end")))
     w = W.partitionBy("variant", "symbol", "spell").orderBy("date")
     known = w.rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("entry_price", F.first("open").over(known))

@@ -158,10 +158,9 @@ def pick_top(
     (clusters below 0 are not limited). Adds rank 1..top_n."""
     order = [F.col("score").desc(), F.col("symbol")]
     if cluster_max is not None:
-        capped = df.filter(F.col("cluster") >= 0)
+        # One pass for both: what is above is computed once.
         seat = F.row_number().over(W.partitionBy(*keys, "cluster").orderBy(*order))
-        capped = capped.withColumn("__seat", seat).filter(F.col("__seat") <= cluster_max)
-        df = capped.drop("__seat").unionByName(df.filter(F.col("cluster") < 0))
+        df = df.withColumn("__seat", seat).filter((F.col("cluster") < 0) | (F.col("__seat") <= cluster_max)).drop("__seat")
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return df.withColumn("rank", rank).filter(F.col("rank") <= top_n)
 

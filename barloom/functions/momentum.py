@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from .building_blocks import daily_return, mean_of, need, span_return, std_of
-from .factor import Factor, full, helper, window_list
+from .factor import Factor, helper, window_list
 from .scalar import div
 
 

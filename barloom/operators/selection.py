@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import c, compare, div
-from .crosssection import avg_rank, min_max, position
+from .crosssection import avg_rank, min_max
 from .panel import calendar
 
 GROUP = ("variant", "date")

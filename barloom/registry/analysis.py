@@ -8,7 +8,6 @@ from ..functions.factor import with_factors
 from ..functions.library import make, param_grid
 from ..functions.scalar import c, rounded
 from ..operators import grouping, panel as P, predictive, quality
-from ..operators.crosssection import quantile_group
 from ..operators.crosscorr import pair_correlations
 from ..plans.trend_scan import cross_section_ic, symbol_rows, summarize
 from ..sources.demo import load_bars, ship_dates

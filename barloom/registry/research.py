@@ -14,9 +14,9 @@ from ..plans.factor_report import headline, run_factor_analysis
 from ..sources import bars as B, demo
 from ..sources.demo import load_bars, ship_dates, table, with_daily_change
 from ..streaming.bars import bars_from_ticks, dedupe_ticks, latest_signal, ticks_from_events
-from .analysis import _corr_pairs, _corr_sql, _round, _with_fwd, panel_sql, rounds
-from .factors import FACTOR_SQL, _line
-from .sqlbase import BARS, S0, factor_sql, full, lag, r, staged, with_bars
+from .analysis import _corr_pairs, _corr_sql, _round, rounds
+from .factors import _line
+from .sqlbase import BARS, S0, factor_sql, full, lag, r, staged
 
 PR20 = {"factor": "PriceReturn", "params": {"window": 20}}
 ER = {"factor": "KaufmanER"}

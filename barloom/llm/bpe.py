@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import on_workers
+from .shared import on_workers, slices, with_text
 
 #: Pieces and token pairs remembered by one worker; full memories start anew.
 MEMORY = 300_000
@@ -143,6 +143,11 @@ class Encoder:
         self.__dict__.update(state)
         self._memories()
 
+    def forget(self) -> None:
+        """Free what was memorised; a worker keeps the encoder between tasks."""
+        self.apart.clear()
+        self.piece_ids.clear()
+
     def merged(self, data: bytes, parts_left: int = 1) -> list[int]:
         """The definition: join the adjacent pair of lowest rank, leftmost
         first, until none is a token or so many parts are left."""
@@ -377,24 +382,25 @@ class Prefixes:
         return out[::-1]
 
 
-def _mapped(df: DataFrame, column: str, make, types: dict[str, str]) -> DataFrame:
+def _mapped(df: DataFrame, column: str, make, types: dict[str, str], after=lambda: None) -> DataFrame:
     """df without columns of the new names, plus the new ones: make gives a
-    dictionary for each of a list of values."""
+    dictionary for each of a list of values; after ends each partition."""
     rest = [c for c in dict.fromkeys(df.columns) if c not in types]
-    base = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{column}`").alias("_in"))
-    schema = base.drop("_in")
+    base, at = with_text(df, rest, column)
+    schema = base.select(*[F.col(f"`{c}`") for c in rest])
     for name, kind in types.items():
         schema = schema.withColumn(name, F.lit(None).cast(kind))
     arrow = {"binary": pa.binary(), "string": pa.string(), "bigint": pa.int64()}
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = {name: [] for name in types}
-            for made in make(batch.column(len(rest)).to_pylist()):
+            for made in make(batch.column(at).to_pylist()):
                 for name, value in made.items():
                     out[name].append(value)
             keep = [batch.column(i) for i in range(len(rest))]
             yield pa.RecordBatch.from_arrays([*keep, *(pa.array(out[n], arrow[t]) for n, t in types.items())], names=[*rest, *types])
+        after()
 
     return base.mapInArrow(run, schema.schema)
 
@@ -411,7 +417,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
         for ids in encoder().encode_all(values):
             yield {"n_tokens": len(ids) // 4, "ids": ids}
 
-    return _mapped(df, text, make, {"n_tokens": "bigint", "ids": "binary"})
+    return _mapped(df, text, make, {"n_tokens": "bigint", "ids": "binary"}, lambda: encoder().forget())
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "ids") -> DataFrame:
@@ -438,4 +444,4 @@ def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
                 "decoded_sha256": hashlib.sha256(encoder().decode(ids)).hexdigest(),
             }
 
-    return _mapped(df, text, make, {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"})
+    return _mapped(df, text, make, {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}, lambda: encoder().forget())

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import on_workers, sample_below
+from .shared import on_workers, sample_below, slices, with_text
 
 # First and last code point of the ranges of scripts.
 SCRIPT_RANGES = (
@@ -59,7 +59,7 @@ SCRIPT_SHARE = 0.005
 #: The most a word may speak against a language, and the cost of a change.
 WORD_LIMIT, SWITCH = 12.0, 16.0
 #: Characters handled at once, and scores (words times languages) kept at once.
-CHARS, SCORES = 1 << 18, 1 << 22
+CHARS, SCORES = 1 << 18, 1 << 21
 
 
 def _character_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +236,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for text_, lang_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = read_words([text_], *tables())
                 add = sums.setdefault(lang_, np.zeros(BUCKETS + len(SCRIPTS), np.int64))
@@ -275,14 +275,14 @@ def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = Fa
     shared = on_workers(docs.sparkSession, model)
     new = ["lang_pred", "score", "n_spans", *(["spans"] if spans else [])]
     rest = [c for c in dict.fromkeys(docs.columns) if c not in new]
-    base = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("_in"))
+    base, at = with_text(docs, rest, text)
     span = "array<struct<first:int,last:int,lang:string>>"
-    schema = base.drop("_in").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "n_spans": F.lit(0)} | ({"spans": F.lit(None).cast(span)} if spans else {})).schema
+    schema = base.select(*[F.col(f"`{c}`") for c in rest]).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "n_spans": F.lit(0)} | ({"spans": F.lit(None).cast(span)} if spans else {})).schema
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))
 
     def run(batches):
-        for batch in batches:
-            found = list(label_texts(batch.column(len(rest)).to_pylist(), shared()))
+        for batch in slices(batches):
+            found = list(label_texts(batch.column(at).to_pylist(), shared()))
             made = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([len(f[2]) for f in found], pa.int32())]
             made += [pa.array([f[2] for f in found], span_type)] if spans else []
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), *made], names=[*rest, *new])

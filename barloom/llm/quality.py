@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sample_below
+from .shared import sample_below, slices, with_text
 
 #: Labelled rows that a model is fitted on, about.
 SAMPLE_ROWS = 24_000
@@ -208,11 +208,11 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def _featured(docs: DataFrame, rest: list[str], text: str, made) -> tuple[DataFrame, object]:
-    base = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("_in"))
+    base, at = with_text(docs, rest, text)
 
     def run(batches):
-        for batch in batches:
-            values = batch.column(len(rest))
+        for batch in slices(batches):
+            values = batch.column(at)
             x = [features(v.as_py()) for v in values]
             new = made(np.array(x, np.float64).reshape(len(x), len(FEATURES)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), *new.values()], names=[*rest, *new])
@@ -249,4 +249,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return {"score": pa.array(p, pa.float64()), "predicted": pa.array((p >= 0.5).astype(np.int32), pa.int32())}
 
     base, run = _featured(docs, rest, text, made)
-    return base.mapInArrow(run, base.drop("_in").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema)
+    return base.mapInArrow(run, base.select(*[F.col(f"`{c}`") for c in rest]).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema)

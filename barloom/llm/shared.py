@@ -48,6 +48,22 @@ def sample_below(df: DataFrame, key, rows: int, total: int, seed: str):
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2**32)) < limit
 
 
+def slices(batches, rows: int = 1024):
+    """Arrow batches in pieces of so many rows: of what a worker receives at once,
+    it unpacks a part at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
+def with_text(df: DataFrame, rest: list[str], text: str) -> tuple[DataFrame, int]:
+    """The columns of rest, the text among them or behind them, and its place."""
+    columns = [F.col(f"`{c}`") for c in rest]
+    if text in rest:
+        return df.select(*columns), rest.index(text)
+    return df.select(*columns, F.col(f"`{text}`").alias("_text")), len(rest)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Jobs started inside hand Python workers so many rows at a time, at most:

@@ -24,8 +24,9 @@ BROADCAST_ROWS = 100_000
 
 def _judged(docs: DataFrame, judge, keep: Column) -> DataFrame:
     """Rows of docs that the judged text lets stay; columns can't clash."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    return judge(rows).filter(keep).select("_row.*")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    kept = judge(docs.select(F.struct(*others).alias("_row"), "text")).filter(keep)
+    return kept.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,8 +11,10 @@ the elements it may differ in, it misses no similar set.
 Every set has more segments than it needs, and so may leave some out. It leaves
 out those whose keys many others hold (the allocation by cost): keys of few sets
 give candidates at once; keys of many are looked into only where a set couldn't
-do without, first against one of their holders, and then only between sets that
-are not connected yet. Candidates are verified on their texts.
+do without, first against one of their holders. Sets that share such keys and are
+still not connected are dealt out once more, with a segment for each element, of
+which a set needs only the rarest, and compared in blocks. Candidates are verified
+on their texts.
 """
 
 from __future__ import annotations
@@ -25,15 +27,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow_rows, on_workers, written
+from .shared import arrow_rows, on_workers, release, slices, written
 from .shingles import batches_of, mix, set_id, shingle_sets
 
 #: Similar: 100 * intersection >= 75 * union.
 PERCENT = 75
 #: Keys that one reducer sorts, about, and holders of a key all paired at once.
-REDUCER_KEYS, FEW = 1_500_000, 12
+REDUCER_KEYS, FEW = 3_000_000, 12
 #: Buckets of the filter that finds the texts of candidates; a fixed size.
 FILTER = 1 << 22
+#: Sets of a block, elements counted as frequent, matrix columns at a time.
+BLOCK_SETS, OFTEN, COLUMNS = 2_048, 8, 2_048
+#: Counters of the table that tells rare elements from frequent ones.
+COUNTERS = 1 << 18
+#: A table of wanted documents above so many rows is joined by a shuffle.
+BROADCAST_ROWS = 50_000
 #: Pairs of texts that a Python worker holds at once.
 PAIR_ROWS = 500
 #: A key that holds more than this part of all rows is heavy; there are fewer
@@ -164,7 +172,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _set_rows(batches):
     """doc_id, text hash -> size, set number, signature."""
-    for batch in batches:
+    for batch in slices(batches):
         column = batch.column(2)
         nodes, sizes, signs = [], [], []
         for _, data, offsets in batches_of(column):
@@ -184,7 +192,7 @@ def _key_blobs(parts: int, only_empty: set[tuple[int, int]] | None = None):
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             for _, data, offsets in batches_of(batch.column(0)):
                 sets, nodes = [], []
                 for s in shingle_sets(data, offsets):
@@ -262,10 +270,12 @@ def _meet(few: int):
             nodes.append(own[index])
             flags.append(f)
             keys.append((high << 32) | low)
-            spares.append(np.where(f & OWN, spare[0][index], spare[1][index]))
+            spares.append(np.where(f & OWN, spare[0][index], spare[1][index]).astype(np.int16))
         node, flag, key, spare = map(np.concatenate, (nodes, flags, keys, spares))
+        del nodes, flags, keys, spares
         order = np.lexsort((flag, node, key))
         node, flag, key, spare = node[order], flag[order], key[order], spare[order]
+        del order
         same = (key[1:] == key[:-1]) & (node[1:] == node[:-1]) & (flag[1:] == flag[:-1])
         keep = np.concatenate([[True], ~same])
         node, flag, key, spare = node[keep], flag[keep], key[keep], spare[keep]
@@ -338,6 +348,7 @@ def _filtered(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     kind = dict(texts.dtypes)["doc_id"]
     passed = texts.select("doc_id", "th", "text", place.alias("p")).mapInArrow(run, f"doc_id {kind}, th long, text string")
     keyed = wanted.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "node")
+    keyed = F.broadcast(keyed) if wanted.count() <= BROADCAST_ROWS else keyed
     found = passed.join(keyed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("node", "text")
     return written(found.groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
 
@@ -382,24 +393,28 @@ def _entries(found: DataFrame) -> DataFrame:
     return rows.withColumn("own", flag(OWN)).withColumn("less", flag(LEFT_OUT))
 
 
-def _met_on(ask: DataFrame, holders: DataFrame, only=None) -> DataFrame:
+def _met_on(ask: DataFrame, holders: DataFrame) -> DataFrame:
     """Pairs of sets that ask for a key with sets that hold it."""
     other = holders.select("key", *[F.col(c).alias(f"{c}2") for c in holders.columns if c != "key"])
     ok = (F.col("node") != F.col("node2")) & (F.col("own") | F.col("own2")) & ~(F.col("less") & F.col("less2"))
-    met = ask.join(other, "key").filter(ok if only is None else ok & only)
+    met = ask.join(other, "key").filter(ok)
     return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
 
 
 def _links(texts: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
     """Links (a, b) that connect just the sets which similar pairs connect."""
     spark = texts.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // REDUCER_KEYS))
+    # A set costs its number in every part, so no more parts than memory asks for.
+    parts = max(1, -(-total // REDUCER_KEYS))
     schema = "part int, nodes binary, spare binary, entries binary"
 
     def met(few, only_empty=None) -> DataFrame:
         blobs = texts.select("text").mapInArrow(_key_blobs(parts, only_empty), schema)
         dealt = blobs.repartition(parts, "part").sortWithinPartitions("part")
-        return written(dealt.mapInArrow(_meet(few), _FOUND), "met")
+        out = written(dealt.mapInArrow(_meet(few), _FOUND), "met")
+        del blobs, dealt
+        release(spark)
+        return out
 
     found = met(FEW)
     pairs = found.filter("kind = 0").select("a", "b")
@@ -433,9 +448,176 @@ def _links(texts: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
     holders = written(rooted(holders), "rooted-holders")
     torn = holders.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     torn = written(torn, "torn-keys")
-    ask, other = rooted(kept).join(torn, "key", "left_semi"), holders.join(torn, "key", "left_semi")
-    more = _met_on(ask, other, F.col("root") != F.col("root2"))
-    return links.union(_verified(more, nodes, texts))
+    fine = written(holders.join(torn, "key", "left_semi").select("node", "root").distinct(), "fine-sets")
+    return links.union(_finer_links(fine, nodes, texts))
+
+
+def _finer_links(fine: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links among sets (node, root) that share frequent keys and aren't connected:
+    each element is now a segment of its own, and a set looks into its rarest ones,
+    as many as no similar set can lack all of. What is rare is counted among these
+    sets, in a table of fixed size; any order would find all similar pairs, this
+    one compares few others. Sets that share an element are compared in blocks
+    within tasks, which return no more links than connect them."""
+    wanted = nodes.join(fine, "node", "left_semi").select("node", "doc_id", "th")
+    found = _filtered(texts, written(wanted, "fine-documents"))
+    shift = np.uint64(64 - COUNTERS.bit_length() + 1)
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, data, offsets in batches_of(batch.column(0)):
+                for s in shingle_sets(data, offsets):
+                    np.add.at(total, (mix(s) >> shift).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["place", "n"])
+
+    counts = found.select("text").mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(COUNTERS, np.int64)
+    table[counts.place.to_numpy()] = counts.n.to_numpy()
+    shared = on_workers(texts.sparkSession, table)
+
+    def rarest(batches):
+        for batch in batches:
+            names, owner, elements = batch.column(0).to_numpy(), [], []
+            for at, data, offsets in batches_of(batch.column(1)):
+                for i, s in enumerate(shingle_sets(data, offsets)):
+                    looked = len(s) - -(-PERCENT * len(s) // 100) + 1
+                    order = np.lexsort((s, shared()[(mix(s) >> shift).astype(np.int64)]))[:looked]
+                    elements.append(s[order].astype(np.int64))
+                    owner.append(np.full(len(order), names[at + i]))
+            if owner:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owner)), pa.array(np.concatenate(elements))], names=["node", "element"])
+
+    rows = found.select("node", "text").mapInArrow(rarest, "node long, element long").join(fine, "node")
+    torn = rows.groupBy("element").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("element")
+    rows = written(rows.join(written(torn, "torn-elements"), "element", "left_semi"), "fine-elements")
+    # No longer than a document's share of rare elements.
+    listed = rows.groupBy("node").agg(F.collect_list("element").alias("elements"))
+    # A block, or two, of the sets that share an element meet in a task.
+    blocks = rows.groupBy("element").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    rows = rows.join(written(blocks, "element-blocks"), "element")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("element", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root")
+    # Signatures go first: two sets are compared at the first element they share,
+    # unless their bits rule it out. Only sets with a partner bring their texts.
+    about = nodes.select("node", "n_shingles", "sign").join(listed, "node")
+    signed = rows.join(about, "node").select("element", "i", "j", "node", "root", F.struct("n_shingles", "sign", F.expr("filter(elements, e -> e < element)").alias("smaller")).alias("what"))
+    signed = signed.repartition("element", "i", "j").sortWithinPartitions("element", "i", "j")
+    group = "element long, i int, j int, node long, root long"
+    rows = written(signed.mapInArrow(_by_group(_hopeful, group), group), "hopeful")
+    met = rows.join(found, "node").repartition("element", "i", "j").sortWithinPartitions("element", "i", "j")
+    met = met.select("element", "i", "j", "node", "root", F.col("text").alias("what"))
+    with arrow_rows(texts.sparkSession, PAIR_ROWS):
+        return written(met.mapInArrow(_by_group(_connecting, "a long, b long"), "a long, b long"), "fine-links")
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """Elements that each two of the sets share. Frequent elements are counted by
+    products of matrices, a bounded number of columns at a time, others pair by
+    pair."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, which, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    often = np.flatnonzero(counts >= OFTEN)
+    column = np.full(len(counts), -1, np.int64)
+    column[often] = np.arange(len(often))
+    for first in range(0, len(often), COLUMNS):
+        at = np.flatnonzero((column[which] >= first) & (column[which] < first + COLUMNS))
+        part = np.zeros((len(sets), min(COLUMNS, len(often) - first)), np.float32)
+        part[owner[at], column[which[at]] - first] = 1
+        out += part @ part.T
+    rest = np.flatnonzero((counts[which] > 1) & (counts[which] < OFTEN))
+    rest = rest[np.argsort(which[rest], kind="stable")]
+    for step in range(1, OFTEN - 1):
+        x, y = rest[:-step], rest[step:]
+        same = which[x] == which[y]
+        a, b = owner[x[same]], owner[y[same]]
+        np.add.at(out, (a, b), 1)
+        np.add.at(out, (b, a), 1)
+    return out
+
+
+def _by_group(make, schema: str):
+    """Rows sorted by (element, i, j) -> what make gives for each group of them:
+    its key and its rows of set, root, and text or signature. Two blocks of sets
+    at most are held."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32()}
+    types = [kinds[part.split()[1]] for part in schema.split(", ")]
+
+    def run(batches):
+        def done(key, held):
+            rows = make(key, held) if len({root for _, root, _ in held}) > 1 else []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+        key, held = None, []
+        for batch in batches:
+            for *group, node, root, what in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if group != key and held:
+                    yield from done(key, held)
+                    held = []
+                key = group
+                held.append((node, root, what))
+        if held:
+            yield from done(key, held)
+
+    return run
+
+
+def _hopeful(key: list, rows: list) -> list[tuple]:
+    """The rows that signatures leave a partner of another root with which they
+    share no smaller element."""
+    root = np.array([r for _, r, _ in rows])
+    size = np.array([w["n_shingles"] for *_, w in rows])
+    signs = [np.frombuffer(w["sign"], np.uint8) for *_, w in rows]
+    length = np.array([len(x) for x in signs])
+    hope = np.zeros(len(rows), bool)
+    smaller = [np.array(w["smaller"], np.int64) for *_, w in rows]
+    first_here = (common(smaller) == 0) & (root[:, None] != root[None, :])
+    for short in np.unique(length):
+        # Signatures are as long, or those of similar sets twice as long.
+        at = np.flatnonzero((length == short) | (length == 2 * short))
+        folded = np.stack([np.bitwise_xor.reduce(signs[i].reshape(-1, short), axis=0) for i in at])
+        ones = np.bitwise_count(folded).sum(1, dtype=np.float32)
+        shared = np.zeros((len(at), len(at)), np.float32)
+        for first in range(0, int(short), COLUMNS // 8):
+            bits = np.unpackbits(folded[:, first : first + COLUMNS // 8], axis=1).astype(np.float32)
+            shared += bits @ bits.T
+        apart = ones[:, None] + ones[None, :] - 2 * shared
+        n = size[at]
+        likely = (apart <= most_apart(n[:, None], n[None, :])) & (100 * np.minimum(n[:, None], n[None, :]) >= PERCENT * np.maximum(n[:, None], n[None, :]))
+        hope[at] |= (likely & first_here[np.ix_(at, at)]).any(1)
+    return [(*key, rows[i][0], rows[i][1]) for i in np.flatnonzero(hope)]
+
+
+def _connecting(key: list, rows: list) -> list[tuple[int, int]]:
+    """Links that connect the roots of a block's similar sets, no more."""
+    roots, root = np.unique([r for _, r, _ in rows], return_inverse=True)
+    sets: list[np.ndarray] = []
+    for _, data, offsets in batches_of(pa.array([t for *_, t in rows], pa.string())):
+        sets += shingle_sets(data, offsets)
+    size = np.array([len(s) for s in sets])
+    both = common(sets)
+    near = (100 * both >= PERCENT * (size[:, None] + size[None, :] - both)) & (root[:, None] < root[None, :])
+    i, j = np.nonzero(near)
+    _, first = np.unique(root[i] * len(roots) + root[j], return_index=True)
+    parent = list(range(len(roots)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for at in first.tolist():
+        x, y = top(int(root[i[at]])), top(int(root[j[at]]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((rows[i[at]][0], rows[j[at]][0]))
+    return out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import uuid
 from contextlib import contextmanager
@@ -48,6 +49,14 @@ def sample_below(df: DataFrame, key, rows: int, total: int, seed: str):
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2**32)) < limit
 
 
+def release(spark: SparkSession) -> None:
+    """Delete shuffle files nobody needs any more. Spark does so once the driver's
+    JVM has collected what refers to them; after a step with large ones that is
+    better done now than when memory runs short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batches, rows: int = 1024):
     """Arrow batches in pieces of so many rows: of what a worker receives at once,
     it unpacks a part at a time."""

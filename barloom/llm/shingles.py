@@ -110,7 +110,7 @@ def set_id(shingles: np.ndarray) -> int:
     return int(mix(np.array([total]))[0].astype(np.int64))
 
 
-def batches_of(texts: Sequence, most_bytes: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def batches_of(texts: Sequence, most_bytes: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Consecutive texts (an Arrow string array) as bytes and offsets, a bounded
     number of bytes at a time: first text, bytes, offsets. Nulls are empty."""
     at = 0

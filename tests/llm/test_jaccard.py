@@ -81,6 +81,7 @@ def test_equals_all_pairs(spark):
 
 def test_equals_all_pairs_when_every_key_is_expensive(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "FEW", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 5)
     rows = corpus(2)
     assert found(spark, rows) == expected(rows)
 
@@ -135,6 +136,16 @@ def test_keys_miss_no_similar_pair():
         assert kept in (None, True)
 
 
+def test_common_elements(monkeypatch):
+    monkeypatch.setattr(jaccard, "COLUMNS", 7)
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 60, int(rng.integers(1, 40))).astype(np.uint64)) for _ in range(30)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    got = jaccard.common(sets)
+    np.fill_diagonal(got, 0)
+    assert (got == np.array(want) * (1 - np.eye(30))).all()
+
+
 def test_signature_is_a_lower_bound():
     rng = np.random.default_rng(6)
     for _ in range(100):

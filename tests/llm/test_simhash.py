@@ -5,7 +5,7 @@ import struct
 
 import xxhash
 
-from barloom.llm import simhash
+from barloom.llm import queries, simhash
 
 SCHEMA = "doc_id long, text string, fingerprint string"
 SEED = 42
@@ -100,3 +100,38 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a", "x")], SCHEMA)
     plan = simhash.edited_fingerprints(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_links_beyond_the_radius_that_all_tables_cover(spark):
+    rnd = random.Random(8)
+    prints = [rnd.getrandbits(128) for _ in range(30)]
+    for p in list(prints):
+        prints += [p ^ sum(1 << b for b in rnd.sample(range(128), k)) for k in (1, 4, 9, 12, 18, 22, 23)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(signed(p & (2**64 - 1)), signed(p >> 64)) for p in prints]
+    edges = [128 * i // 14 for i in range(15)]
+    masks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+    meet = lambda d: 0 < d.bit_count() <= 22 and sum(not d & m for m in masks) >= 2
+    every = set(prints)
+    want = {p: sum(meet(p ^ q) for q in every) for p in every}
+    assert all(want[p] >= sum(0 < (p ^ q).bit_count() <= 12 for q in every) for p in every)
+    assert queries.RADIUS == 22
+    found = simhash.with_links(spark.createDataFrame(rows, "f0 long, f1 long"), 22, 14, 2).collect()
+    assert {(r.f0 & (2**64 - 1)) | ((r.f1 & (2**64 - 1)) << 64): r.links for r in found} == want
+
+
+def test_edited_texts_are_linked(spark):
+    """Near copies of texts, not of fingerprints: 1 or 4 of 300 words are others."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(40):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+        rows.append((i, " ".join(words)))
+        for at in rnd.sample(range(300), 1 if i < 20 else 4):
+            words[at] = "changed"
+        rows.append((100 + i, " ".join(words)))
+    prints = simhash.written(simhash.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")), "prints")
+    linked = {r.doc_id: r.links for r in simhash.with_links(prints, queries.RADIUS, queries.BLOCKS, queries.EQUAL_BLOCKS).collect()}
+    assert sum(linked[i] > 0 for i in range(20)) == 20
+    assert sum(linked[i] > 0 for i in range(20, 40)) >= 15
+    assert sum(linked.values()) <= 80

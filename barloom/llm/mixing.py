@@ -5,12 +5,18 @@ frac(j * golden ratio) in the cumulative target shares, which names its source;
 such points fill every interval of the shares evenly at any length. The r-th slot of a
 source takes the r-th block of that source's shuffled word stream, which goes
 round up to `epochs` times.
+
+The points of a source hit its share up to a few slots, which is nothing against
+thousands of slots and everything against a few. So a source with a target of less
+than FEW_BLOCKS blocks gets exactly the slots its target needs, evenly spread among
+the others' slots, and its last block ends at the target.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +29,8 @@ from .shared import written
 GOLDEN = 0.6180339887498949
 #: Blocks have so many words at most, and a corpus so many blocks at least.
 BLOCK_WORDS, LEAST_BLOCKS = 1024, 1 << 17
+#: A source with a target of fewer blocks has its slots dealt out by number.
+FEW_BLOCKS = 1 << 10
 #: Documents that one task brings into order, and slots that one task ranks.
 STREAM_ROWS, SLOT_ROWS = 1 << 11, 1 << 14
 #: A source table above so many rows is joined by a shuffle.
@@ -72,6 +80,21 @@ def _prefix(df: DataFrame, part: str, value, keys: list[str]) -> DataFrame:
     return sums.select(*keys, part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
 
 
+def _merged(schedule: DataFrame, dealt: DataFrame, slots: int, block: int, more: int) -> DataFrame:
+    """The schedule of `slots` slots with the `more` slots of dealt (sid, cut)
+    evenly among them, numbered anew. The golden ratio sets the sources apart."""
+    ranks = dealt.withColumn("n", F.expr(f"(cut + {block - 1}) div {block}")).withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    shift = (F.col("sid") * F.lit(GOLDEN)) % 1.0
+    ranks = ranks.select(((F.col("rank") + shift) / F.col("n")).alias("at"), "sid", "rank")
+    rows = schedule.select(((F.col("slot") + 0.5) / F.lit(float(max(slots, 1)))).alias("at"), "sid", F.col("rank").cast("long").alias("rank")).unionByName(ranks)
+    parts = (slots + more) // SLOT_ROWS + 1
+    rows = rows.withColumn("part", F.least(F.floor(F.col("at") * parts), F.lit(parts - 1)))
+    order = Window.partitionBy("part").orderBy("at", "sid", "rank")
+    # Parts have no key besides their number: one row each, in one window.
+    before = _prefix(rows.withColumn("all", F.lit(0)), "part", F.count("*"), ["all"]).drop("all")
+    return rows.withColumn("inside", F.row_number().over(order) - 1).join(before, "part").select((F.col("before") + F.col("inside")).alias("slot"), "sid", "rank")
+
+
 def mix(docs: DataFrame, weights: Sequence[float], epochs: int = 3, seed: int = 0, doc_id: str = "doc_id", source: str = "source", size: str = "size") -> Mix:
     """The mix of docs (doc_id, source, size in words; further columns are left).
 
@@ -89,9 +112,14 @@ def mix(docs: DataFrame, weights: Sequence[float], epochs: int = 3, seed: int =
     sizes, rows, total = [r.s for r in per_source], sum(r.n for r in per_source), sum(r.s for r in per_source)
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], total, epochs) if total else [0.0] * len(sizes)
     block = max(1, min(BLOCK_WORDS, total // LEAST_BLOCKS))
-    slots = -(-total // block)
-
-    table = spark.createDataFrame([(r.source, i, sizes[i], wanted[i]) for i, r in enumerate(per_source)], "name string, sid int, source_size long, target double")
+    few = [0 < t < FEW_BLOCKS * block for t in wanted]
+    # Where a source's part of the mix ends, if its slots are dealt out by number.
+    cuts = [ceil(t) if f else None for t, f in zip(wanted, few, strict=True)]
+    shared = [0.0 if f else t for t, f in zip(wanted, few, strict=True)]
+    slots = -(-(total - sum(c or 0 for c in cuts)) // block) if any(shared) else 0
+
+    table = spark.createDataFrame([(r.source, i, sizes[i], wanted[i], cuts[i]) for i, r in enumerate(per_source)], "name string, sid int, source_size long, target double, cut long")
+    dealt = table.filter("cut is not null").select("sid", "cut")
     if len(per_source) <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     placed = docs.join(table, F.col("source").eqNullSafe(F.col("name"))).drop("name")
@@ -103,10 +131,10 @@ def mix(docs: DataFrame, weights: Sequence[float], epochs: int = 3, seed: int =
     placed = (
         placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(_prefix(placed, "part", F.sum("size"), ["sid"]), ["sid", "part"])
-        .select("doc_id", "source", "size", "sid", "source_size", "target", (F.col("before") + F.col("inside")).alias("start"))
+        .select("doc_id", "source", "size", "sid", "source_size", "target", "cut", (F.col("before") + F.col("inside")).alias("start"))
     )
     # The schedule, and each slot's rank within its source.
-    ends = np.cumsum(wanted) / max(sum(wanted), 1.0) if wanted else np.zeros(0)
+    ends = np.cumsum(shared) / max(sum(shared), 1.0) if wanted else np.zeros(0)
 
     def named(batches):
         for batch in batches:
@@ -121,21 +149,25 @@ def mix(docs: DataFrame, weights: Sequence[float], epochs: int = 3, seed: int =
         .join(_prefix(schedule, "part", F.count("*"), ["sid"]), ["sid", "part"])
         .select("slot", "sid", (F.col("before") + F.col("inside")).alias("rank"))
     )
+    if any(few):
+        schedule = _merged(schedule, dealt, slots, block, sum(-(-c // block) for c in cuts if c))
+    last = F.least(F.col("first") + F.col("size"), (F.col("rank") + 1) * block, "cut")
     # Documents meet the blocks of their source's stream, epoch after epoch.
     epoch = F.sequence(F.lit(0), F.least(F.lit(epochs - 1), F.ceil(F.col("target") / F.col("source_size")).cast("int")))
     pieces = (
         placed.filter("size > 0")
         .withColumn("epoch", F.explode(epoch))
         .withColumn("first", F.col("epoch") * F.col("source_size") + F.col("start"))
-        .withColumn("rank", F.explode(F.sequence(F.expr(f"first div {block}"), F.expr(f"(first + size - 1) div {block}"))))
+        .filter("cut is null or first < cut")
+        .withColumn("rank", F.explode(F.sequence(F.expr(f"first div {block}"), F.expr(f"(least(first + size, cut) - 1) div {block}"))))
         .join(schedule, ["sid", "rank"])
         .select(
             "slot", "doc_id", "source", "size", "sid", "start", "epoch",
             (F.greatest("first", F.col("rank") * block) - F.col("first")).alias("from_word"),
-            (F.least(F.col("first") + F.col("size"), (F.col("rank") + 1) * block) - F.col("first")).alias("to_word"),
+            (last - F.col("first")).alias("to_word"),
         )
     )
-    return Mix(placed, schedule, pieces)
+    return Mix(placed.drop("cut"), schedule, pieces)
 
 
 def taken_words(made: Mix) -> DataFrame:

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import mixing
 
@@ -69,3 +70,35 @@ def test_empty(spark):
     assert mixing.taken_words(mixing.mix(none, (5, 2, 1))).collect() == []
     zero = spark.createDataFrame([(1, "a", 0)], "doc_id long, source string, size long")
     assert [r.taken for r in mixing.taken_words(mixing.mix(zero, (5, 2, 1))).collect()] == [0]
+
+
+def test_small_sources_meet_their_targets_in_long_blocks(spark):
+    """Blocks of 1,024 words: a hot source and a tail of 100 to 3,000 words."""
+    tail = [100, 300, 1000, 3000] * 5
+    words = 1 << 27
+    rows = [(i, "hot", words // 64) for i in range(64)]
+    rows += [(1000 * (s + 1) + i, f"t{s:02d}", 50) for s, n in enumerate(tail) for i in range(n // 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    made = mixing.mix(docs, (1, 10), epochs=1)
+    taken, target, sid = Counter(), {}, {}
+    for r in mixing.taken_words(made).collect():
+        taken[r.sid] += r.taken
+        target[r.sid] = r.target
+        assert 0 <= r.taken <= r["size"]
+    assert len(target) == 21 and all(target[s + 1] == n for s, n in enumerate(tail))
+    assert all(taken[s + 1] == n for s, n in enumerate(tail))
+    assert abs(taken[0] - target[0]) <= 8 * 1024
+    # The same with weights that cut the tail's targets.
+    made = mixing.mix(docs.withColumn("size", F.when(F.col("source") == "hot", F.col("size")).otherwise(F.col("size") * 20)), (1e6, 1), epochs=1)
+    taken, target = Counter(), {}
+    for r in mixing.taken_words(made).collect():
+        taken[r.sid] += r.taken
+        target[r.sid] = r.target
+    small = [s for s in target if s % 2]
+    assert small and all(0 <= taken[s] - target[s] < 1 for s in small)
+    slots = sorted((r.slot, r.sid, r["rank"]) for r in made.schedule.collect())
+    assert [s for s, _, _ in slots] == list(range(len(slots)))
+    last = {}
+    for _, s, rank in slots:
+        assert rank == last.get(s, -1) + 1
+        last[s] = rank

@@ -82,9 +82,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The small labelled table comes from the URLs that the rules decide."""
+    """The small labelled table is made; rules and pages have no part in it."""
     pages = _table(spark, sf_dir, "pages", "page_id", "url")
-    model = urlfilter.train(urlfilter.labelled_by_rules(pages, RULES))
+    model = urlfilter.train(urlfilter.labelled_table())
     return urlfilter.judge(pages, RULES, model)
 
 

@@ -3,6 +3,7 @@ n-grams of host and path."""
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
@@ -17,6 +18,21 @@ NGRAMS, BITS, PASSES = (2, 3, 4, 5), 16, 300
 #: The labelled table holds so many URLs, about.
 TABLE_ROWS = 4_000
 
+# The words of the labelled table.
+_JUNK = (
+    "casino", "poker", "bets", "betting", "jackpot", "slots", "roulette", "pills", "viagra", "cialis", "pharma", "adult", "porn", "xxx",
+    "escort", "spam", "ads", "adserver", "clickbait", "tracker", "loans", "payday", "replica", "warez", "cracked", "malware", "phishing", "lottery",
+)
+_ORDINARY = (
+    "library", "garden", "weather", "school", "museum", "music", "recipes", "science", "history", "travel", "health", "sports", "cinema", "books",
+    "kitchen", "physics", "village", "council", "theatre", "railway", "forest", "hospital", "journal", "letters", "animals", "winter", "harbour", "addresses",
+    "gardening", "cooking", "painting", "building",
+)
+_EITHER = ("free", "cheap", "best", "online", "win", "big", "new", "farm", "track", "world", "shop", "x", "24", "my")
+_SYLLABLES = tuple(c + v for c in "bcdfghjklmnprstvwz" for v in "aeiou") + ("st", "nd", "ing", "er", "ck", "sh", "th")
+_ENDS = ("com", "org", "net", "info", "io", "example.com", "example.org", "example.net")
+_FIRSTS, _LANGUAGES = ("", "www.", "m.", "blog."), ("en", "de", "fr", "es", "it", "pt")
+
 
 def parts(url: str):
     """Host and path as columns: the host stands after the first :// up to /, ?,
@@ -115,6 +131,31 @@ def train(table: Sequence[tuple[str, str, int]], l2: float = 1e-4, rate: float =
     return model
 
 
+def labelled_table(rows: int = TABLE_ROWS) -> list[tuple[str, str, int]]:
+    """A made labelled table of about `rows` rows: host, path and whether the URL
+    is ordinary (1) or junk (0), the same in every run.
+
+    A junk URL has a word for gambling, pills, adult pages, spam or the like in
+    its host or its path. Ordinary URLs have ordinary or made-up words there. All
+    else goes with both labels equally often: each pair has its domain's end,
+    first label, language, page number and further words in common. So neither the
+    rules nor a domain's end or a language decide."""
+    rnd = random.Random(20)
+    made = lambda: "".join(rnd.choice(_SYLLABLES) for _ in range(rnd.randint(2, 4)))
+    out = []
+    for i in range(rows // 2):
+        # Both layouts with every end, language and first label.
+        end, language, first = _ENDS[i % 8], _LANGUAGES[i // 8 % 6], _FIRSTS[i // 48 % 4]
+        more = rnd.choice((rnd.choice(_EITHER), made(), ""))
+        glue, in_front, in_path = rnd.choice(("-", "-", "")), rnd.random() < 0.5, rnd.random() < 0.3
+        number, other, tail = rnd.randrange(10_000), rnd.choice((made(), rnd.choice(_ORDINARY))), rnd.choice(("", "", "/", ".html"))
+        for word, allowed in ((rnd.choice(_JUNK), 0), (rnd.choice((made(), made(), rnd.choice(_ORDINARY))), 1)):
+            name = glue.join(x for x in ((more, word) if in_front else (word, more)) if x)
+            host, path = (other, f"/{name}/{number}{tail}") if in_path else (name, f"/{number}{tail}")
+            out.append((f"{first}{host}.{end}", f"/{language}{path}", allowed))
+    return out
+
+
 def judge(pages: DataFrame, rules: Iterable[Rule], model: Model, key: str = "page_id", url: str = "url") -> DataFrame:
     """key, host, path, rule (null without one), verdict and score.
 

@@ -1,6 +1,6 @@
 import random
 
-from barloom.llm import urlfilter
+from barloom.llm import queries, urlfilter
 from barloom.llm.urlfilter import Rule
 
 RULES = [Rule("org/", "allow"), Rule("example.org/es/", "block"), Rule("a.org/", "block"), Rule("org/ab", "allow"), Rule("com/de/", "block")]
@@ -56,3 +56,28 @@ def test_labelled_table_is_bounded_and_repeatable(spark):
     assert all(y == 1 for _, _, y in rows)
     assert urlfilter.labelled_by_rules(df.limit(0), RULES) == []
     assert urlfilter.judge(df.limit(0), RULES, urlfilter.train(rows)).collect() == []
+
+
+def test_clean_unruled_urls_stay_and_junk_goes(spark, tmp_path):
+    """Whatever the domain's end and the language, as op6 runs."""
+    ordinary = ["blog.tionsh", "ththan", "m.ththha", "www.riverbank", "old-bridge", "thering"]
+    junk = ["m.casino-win", "free-bets", "www.cheap-pills", "ads-track", "adult-x", "royalpoker"]
+    urls = [
+        (h, f"http://{h}.example.{end}/{language}/{n}")
+        for h in ordinary + junk for end in ("com", "net", "info") for language in ("en", "es", "de", "fr") for n in (17, 4470)
+    ]
+    spark.createDataFrame([(i, u) for i, (_, u) in enumerate(urls)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = {r.page_id: r for r in queries.op6_url_filter(spark, str(tmp_path)).collect()}
+    unruled = [(h, rows[i].verdict) for i, (h, _) in enumerate(urls) if rows[i].rule is None]
+    clean = [v for h, v in unruled if h in ordinary]
+    gone = [v for h, v in unruled if h in junk]
+    assert clean.count("allow") >= 0.98 * len(clean) and gone.count("block") >= 0.95 * len(gone)
+
+
+def test_made_table_is_balanced():
+    table = urlfilter.labelled_table()
+    assert len(table) == urlfilter.TABLE_ROWS and table == urlfilter.labelled_table()
+    for end in ("com", "org", "net"):
+        assert len({sum(h.endswith("." + end) and y == label for h, _, y in table) for label in (0, 1)}) == 1
+    for language in ("en", "de", "fr", "es"):
+        assert len({sum(p.startswith(f"/{language}/") and y == label for _, p, y in table) for label in (0, 1)}) == 1

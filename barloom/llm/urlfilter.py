@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Characters of an n-gram, weights of the model, passes over the table.
 NGRAMS, BITS, PASSES = (2, 3, 4, 5), 16, 300
 #: The labelled table holds so many URLs, about.
@@ -182,8 +184,9 @@ def judge(pages: DataFrame, rules: Iterable[Rule], model: Model, key: str = "pag
 
 def labelled_by_rules(pages: DataFrame, rules: Iterable[Rule], url: str = "url", rows: int = TABLE_ROWS) -> list[tuple[str, str, int]]:
     """A small labelled table from the URLs that rules decide: host, path and
-    whether the verdict is to allow. Distinct URLs, about `rows` of them, chosen by
-    hash, the same in every run; at most twice as many reach the driver."""
+    whether the verdict is to allow. Distinct URLs that a rule fits, about `rows`
+    of them, half of each label where there are as many, chosen by hash, the same
+    in every run; at most twice as many reach the driver."""
     host, path = parts(url)
     known = Rules(rules)
 
@@ -192,9 +195,14 @@ def labelled_by_rules(pages: DataFrame, rules: Iterable[Rule], url: str = "url",
             hit = [known.find(h, p) for h, p in zip(pdf.host, pdf.path, strict=True)]
             yield pd.DataFrame({"host": pdf.host, "path": pdf.path, "allowed": [int(r.verdict == "allow") if r else None for r in hit]}).dropna()
 
-    urls = pages.select(host.alias("host"), path.alias("path")).distinct()
-    total = urls.count()
-    share = min(1.0, rows / max(1, total))
-    picked = urls.filter(F.pmod(F.xxhash64("host", "path"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    found = picked.mapInPandas(label, "host string, path string, allowed int").orderBy("host", "path").limit(2 * rows).collect()
+    urls = pages.select(host.alias("host"), path.alias("path"))
+    labelled = written(urls.mapInPandas(label, "host string, path string, allowed int").distinct(), "labelled-urls")
+    totals = {r.allowed: r.n for r in labelled.groupBy("allowed").agg(F.count("*").alias("n")).collect()}
+    # What one label has less than half, the other has more.
+    wanted = {y: max(rows // 2, rows - totals.get(1 - y, 0)) for y in totals}
+    picked = F.lit(False)
+    for y, n in totals.items():
+        limit = int(min(1.0, wanted[y] / n) * (1 << 30))
+        picked = picked | ((F.col("allowed") == y) & (F.pmod(F.xxhash64("host", "path"), F.lit(1 << 30)) < limit))
+    found = labelled.filter(picked).orderBy("host", "path").limit(2 * rows).collect()
     return [(r.host, r.path, r.allowed) for r in found]

@@ -81,3 +81,13 @@ def test_made_table_is_balanced():
         assert len({sum(h.endswith("." + end) and y == label for h, _, y in table) for label in (0, 1)}) == 1
     for language in ("en", "de", "fr", "es"):
         assert len({sum(p.startswith(f"/{language}/") and y == label for _, p, y in table) for label in (0, 1)}) == 1
+
+
+def test_rule_labels_are_drawn_from_what_rules_decide(spark):
+    """Rules decide 300 of 6,300 URLs; the table has them all, of both labels."""
+    urls = [f"http://x{i}.net/{i}" for i in range(6000)] + [f"http://y.org/{i}" for i in range(200)] + [f"http://y.com/de/{i}" for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(urls + urls[-5:])), "page_id long, url string")
+    labels = [y for _, _, y in urlfilter.labelled_by_rules(df, RULES, rows=400)]
+    assert (labels.count(1), labels.count(0)) == (200, 100)
+    labels = [y for _, _, y in urlfilter.labelled_by_rules(df, RULES, rows=100)]
+    assert 25 < labels.count(1) < 80 and 25 < labels.count(0) < 80

@@ -202,19 +202,22 @@ def label_texts(texts: list[str | None], model: Model):
         parts = [p for w, s, a, b in words for p in np.split(s, np.searchsorted(w.text, np.arange(1, b - a)))]
         firsts = [p for w, _, a, b in words for p in np.split(w.first, np.searchsorted(w.text, np.arange(1, b - a)))]
         lasts = [p for w, _, a, b in words for p in np.split(w.last, np.searchsorted(w.text, np.arange(1, b - a)))]
-        for labels, first, last in zip(viterbi(parts, model.prior), firsts, lasts, strict=True):
-            yield _summary(labels, first, last, model.languages)
+        # Words in a script that no language uses.
+        strange = [p for w, _, a, b in words for p in np.split(~model.allowed[w.script].any(1), np.searchsorted(w.text, np.arange(1, b - a)))]
+        for labels, first, last, none in zip(viterbi(parts, model.prior), firsts, lasts, strange, strict=True):
+            yield _summary(labels, first, last, none, model.languages)
         at = stop
 
 
-def _summary(labels: np.ndarray, first: np.ndarray, last: np.ndarray, languages: list[str]):
+def _summary(labels: np.ndarray, first: np.ndarray, last: np.ndarray, none: np.ndarray, languages: list[str]):
+    """Letters of words without a language count for no language, but in the whole."""
     if not len(labels):
         return "und", 0.0, []
-    letters = np.bincount(labels, last - first, len(languages))
-    best = int(letters.argmax())
+    letters = np.bincount(labels, np.where(none, 0, last - first), len(languages))
+    best = int(letters.argmax()) if letters.any() else int(np.bincount(labels, last - first).argmax())
     edges = np.concatenate([[0], np.flatnonzero(np.diff(labels)) + 1, [len(labels)]])
     spans = [{"first": int(first[a]), "last": int(last[b - 1]), "lang": languages[labels[a]]} for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return languages[best], float(letters[best] / letters.sum()), spans
+    return languages[best], float(letters[best] / (last - first).sum()), spans
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", documents: int = SAMPLE_DOCUMENTS) -> Model:
@@ -268,8 +271,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = Fa
     """docs plus lang_pred, score and n_spans, and spans (array of first, last,
     lang in code points) if asked for.
 
-    lang_pred is the language of most letters, score its share of the letters. A
-    text that is null or has no letter, and every text under a model without
+    lang_pred is the language of most letters, score its share of all letters.
+    Letters of words in a script that no learned language uses are among all but
+    of no language; a text of such words only has score 0 and any learned language.
+    A text that is null or has no letter, and every text under a model without
     languages, is `und` with score 0. Texts of any length are labelled whole;
     repeated rows alike; columns of the new names are replaced."""
     shared = on_workers(docs.sparkSession, model)

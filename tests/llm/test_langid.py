@@ -78,3 +78,13 @@ def test_groups_do_not_matter(model, monkeypatch):
 def test_no_labels(spark):
     none = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in langid.identify(none, langid.fit(none)).collect()] == ["und"]
+
+
+def test_scripts_of_no_language_count_against_the_score(spark, model):
+    rnd = random.Random(6)
+    known = text("aa", 10, rnd)
+    n = sum(c.isalpha() for c in known)
+    rows = [(1, "数据" * 40), (2, known), (3, known + " " + "数" * n), (4, known + " " + "数" * 3 * n)]
+    found = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [found[i].score for i in (1, 2, 3, 4)] == pytest.approx([0.0, 1.0, 0.5, 0.25])
+    assert [found[i].lang_pred for i in (2, 3, 4)] == ["aa"] * 3

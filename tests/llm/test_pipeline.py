@@ -80,3 +80,11 @@ def test_whole_run_and_empty_table(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_in_unlearned_scripts_go(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    strange = spark.createDataFrame([(700, "Καλημέρα κόσμε " * 20, None, "s0", 300, "x", 1), (701, "数据处理 " * 9 + "the and", None, "s0", 52, "x", 1)], SCHEMA)
+    stage = dict(cp.STAGES)["language ID"]
+    kept = {r.doc_id for r in stage(spark, docs.unionByName(strange), folder).collect()}
+    assert not kept & {700, 701} and {1, 2, 3, 4} <= kept

@@ -225,6 +225,29 @@ def _opens_at_executions(bars: DataFrame, rebalances: DataFrame) -> DataFrame:
     return rows.groupBy("symbol", "period").agg(F.max_by("open", "date").alias("open"))
 
 
+def _overlap_marks(weights: DataFrame, rebalances: DataFrame, bars: DataFrame) -> DataFrame:
+    """(variant, period, symbol, weight, open) for the names in the target of this
+    rebalance, and with a missing weight for those only in the target of the one
+    before: no other name can be held. open is the latest known one."""
+    runs = rebalances.select("period", F.lead("period").over(W.orderBy("period")).alias("next"))
+    targets = weights.join(F.broadcast(runs), "period")
+    before = targets.dropna(subset=["next"]).select("variant", F.col("next").alias("period"), "symbol", F.lit(None).cast("double").alias("weight"))
+    marks = targets.select("variant", "period", "symbol", "weight").unionByName(before)
+    marks = marks.groupBy("variant", "period", "symbol").agg(F.max("weight").alias("weight"))
+    asked = marks.select("symbol", "period").distinct()
+    opens = _opens_at_executions(bars, rebalances).join(asked.select("symbol").distinct(), "symbol", "left_semi")
+    known = W.partitionBy("symbol").orderBy("period").rowsBetween(W.unboundedPreceding, 0)
+    opens = (
+        opens.withColumn("asked", F.lit(False))
+        .unionByName(asked.withColumn("open", F.lit(None).cast("double")).withColumn("asked", F.lit(True)))
+        .groupBy("symbol", "period")
+        .agg(F.max("open").alias("open"), F.max("asked").alias("asked"))
+        .withColumn("open", F.last("open", ignorenulls=True).over(known))
+        .filter("asked")
+    )
+    return marks.join(opens.select("symbol", "period", "open"), ["symbol", "period"])
+
+
 def hold_overlap_weights(
     weights: DataFrame, rebalances: DataFrame, bars: DataFrame, commission: float = 0.0
 ) -> DataFrame:
@@ -232,16 +255,9 @@ def hold_overlap_weights(
     share the cash the sold ones free.
 
     Each rebalance depends on the one before, so variants are folded in order
-    over the rebalance table: (rebalances x names a variant ever targets) rows.
+    over the names of each target and of the one before it.
     """
-    names = weights.select("variant", "symbol").distinct()
-    marks = names.join(F.broadcast(rebalances.select("period", "execution_date")), F.lit(True))
-    opens = _opens_at_executions(bars, rebalances)
-    marks = marks.join(opens, ["symbol", "period"], "left").join(
-        weights.select("variant", "period", "symbol", "weight"), ["variant", "period", "symbol"], "left"
-    )
-    known = W.partitionBy("variant", "symbol").orderBy("period").rowsBetween(W.unboundedPreceding, 0)
-    marks = marks.withColumn("open", F.last("open", ignorenulls=True).over(known))
+    marks = _overlap_marks(weights, rebalances, bars)
     fee = float(commission)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:

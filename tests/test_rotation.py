@@ -98,6 +98,20 @@ def test_hold_overlap_matches_simulation(setup):
         assert abs(r.weight - want[r.period, r.symbol]) < 1e-9
 
 
+def test_hold_overlap_reads_only_names_held_or_wanted(setup):
+    _, bars, reb, weights = setup
+    marks = RO._overlap_marks(weights, reb, bars.df)
+    targets = {}
+    for r in weights.collect():
+        targets.setdefault(r.period, set()).add(r.symbol)
+    want = {(p.period, s) for p in reb.collect() for s in targets.get(p.period, set()) | targets.get(p.period - 1, set())}
+    rows = marks.collect()
+    assert len(rows) == len(want) and {(r.period, r.symbol) for r in rows} == want
+    assert len(want) < reb.count() * weights.select("symbol").distinct().count()
+    plan = RO.hold_overlap_weights(weights, reb, bars.df)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_stop_triggers(setup):
     pdf, bars, reb, weights = setup
     spells = RO.holding_spells(weights, reb)

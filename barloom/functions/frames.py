@@ -87,7 +87,7 @@ def number_rows(df: DataFrame, out: str = "__idx") -> DataFrame:
     the whole symbol: block counts give offsets, blocks number themselves."""
     if out in df.columns:
         return df
-    blocked = df.withColumn("__blk", F.floor(F.unix_date("date") / F.lit(BLOCK_DAYS)))
+    blocked = df.withColumn("__blk", F.floor(F.unix_date(F.to_date("date")) / F.lit(BLOCK_DAYS)))
     offsets = (
         blocked.groupBy("symbol", "__blk")
         .agg(F.count(F.lit(1)).alias("__n"))

@@ -40,28 +40,34 @@ def pair_correlations(
     pairs = list(only) if only is not None else list(itertools.combinations(factors, 2))
     if not pairs:
         raise ValueError("no factor pairs")
+    daily = daily_correlations(bars.with_df(df), pairs, min_assets)
+    return daily.groupBy("a", "b").agg(
+        F.avg("rho").alias("mean_corr"),
+        F.when(F.count("rho") > 1, F.stddev_pop("rho")).alias("std_corr"),
+        F.count("rho").alias("n_dates"),
+    )
+
+
+def daily_correlations(bars: Bars, pairs: Sequence[tuple[str, str]], min_assets: int) -> DataFrame:
+    """(a, b, date, n, rho) of the pairs of columns on every date of the bars with
+    at least min_assets symbols that have both."""
     items = [
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), c(a).alias("x"), c(b).alias("y"))
         for a, b in pairs
     ]
     long = (
-        df.select("date", F.explode(F.array(*items)).alias("p"))
+        bars.df.select("date", F.explode(F.array(*items)).alias("p"))
         .select("date", "p.*")
         .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     )
     keys = ["a", "b", "date"]
     long = avg_rank(long, keys, "x", "rx", bars.date_fits)
     long = avg_rank(long, keys, "y", "ry", bars.date_fits)
-    daily = (
+    return (
         long.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"), corr_agg("rx", "ry").alias("rho"))
         .filter(F.col("n") >= min_assets)
     )
-    return daily.groupBy("a", "b").agg(
-        F.avg("rho").alias("mean_corr"),
-        F.when(F.count("rho") > 1, F.stddev_pop("rho")).alias("std_corr"),
-        F.count("rho").alias("n_dates"),
-    )
 
 
 def mirrored(pairs: DataFrame, factors: DataFrame | None = None) -> DataFrame:
@@ -109,17 +115,6 @@ def fingerprint(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()
 
 
-def data_version(bars: DataFrame) -> DataFrame:
-    """Hash of symbol count, row count and last date; changes with the data."""
-    per_symbol = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("last"))
-    part = F.xxhash64("symbol", "n", "last")
-    return per_symbol.agg(
-        F.sha2(
-            F.concat_ws("|", F.count(F.lit(1)), F.sum("n"), F.max("last"), F.bit_xor(part)), 256
-        ).alias("data_version")
-    )
-
-
 def pairs_to_compute(
     factors: Sequence[str], stored: DataFrame | None, same_config: bool
 ) -> list[tuple[str, str]]:

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..functions.factor import with_factors
 from ..functions.library import expand_transforms, from_recipe, make
 from ..functions.frames import Bars
 from ..functions.scalar import c, div, rounded
-from ..operators import crosscorr as X, joins, pairs as PR, panel as P, performance as R, predictive, reports, text as T
+from ..operators import corrstore, crosscorr as X, joins, pairs as PR, panel as P, performance as R, predictive, reports, text as T
 from ..operators import universe as U
 from ..plans.factor_report import headline, run_factor_analysis
 from ..sources import bars as B, demo
 from ..sources.demo import load_bars, ship_dates, table, with_daily_change
+from ..sources.session import shared_path
+from ..sources.store import BarStore
+from ..streaming import bars as ST
 from ..streaming.bars import bars_from_ticks, dedupe_ticks, latest_signal, ticks_from_events
 from .analysis import _corr_pairs, _corr_sql, _round, rounds
 from .factors import _line
@@ -275,6 +280,39 @@ def _tick_bars(s, d):
     return Bars.measure(bars.withColumn("date", F.to_date("start")).drop("start"))
 
 
+def _store(s, d):
+    """The update of `_old_new` as two batches into a bar store; the second leaves
+    the months before June alone."""
+    old, new = _old_new(s, d)
+    store = BarStore(s, shared_path(s, "bar-store"))
+    store.upsert(old)
+    store.upsert(new)
+    return store.read().select("symbol", "date", "open", "close", "volume")
+
+
+def _tick_stream(s, d):
+    # A pattern, as a stream's path may not be a single file.
+    events = table(s, d, "events")
+    return ticks_from_events(s.readStream.schema(events.schema).parquet(f"{d.rstrip('/')}/event[s].parquet"))
+
+
+def _stream_store(s, d):
+    """Ticks as a stream, each delivered twice, into a bar store."""
+    path, ticks = shared_path(s, "tick-store"), _tick_stream(s, d)
+    bars = bars_from_ticks(dedupe_ticks(ticks.unionByName(ticks), "60 days"), lateness=None)
+    ST.run_to_end(bars, ST.upsert_sink(s, path), shared_path(s, "stream"), mode="update")
+    return ST.read_version(s, path)
+
+
+def _stream_signals(s, d):
+    """From ticks to closed bars to the signal of each, as streams."""
+    folder, out = shared_path(s, "closed-bars"), shared_path(s, "signals")
+    ST.write_closed_bars(bars_from_ticks(_tick_stream(s, d)), folder, shared_path(s, "stream"))
+    stream, signals = ST.signal_stream(ST.read_closed_bars(s, folder), make("PriceReturn", window=5), "60 days")
+    ST.run_to_end(stream, lambda batch, i: signals(batch).write.mode("overwrite").parquet(f"{out}/batch={i}"), shared_path(s, "stream"))
+    return s.read.parquet(out).select("symbol", F.to_date("date").alias("date"), "signal")
+
+
 def queries() -> dict:
     q = {f"meta_{k}": _meta(v) for k, v in RECIPES.items()}
     q["meta_expanded_grid"] = _expanded
@@ -428,6 +466,8 @@ def queries() -> dict:
     q["corr_high_pairs"] = lambda s, d: _round(X.high_pairs(_corr_pairs(s, d), 0.05))
     q["corr_low_pairs"] = lambda s, d: _round(X.low_pairs(_corr_pairs(s, d), 0.05))
     q["corr_lookup"] = lambda s, d: _round(X.correlated_with(_corr_pairs(s, d), "VolumeRatio_5", 0.01))
+    q["corr_store_changed_factor"] = lambda s, d: _round(_store_changed_factor(s, d))
+    q["corr_store_changed_bars"] = lambda s, d: _round(_store_changed_bars(s, d))
     q["corr_incremental_update"] = lambda s, d: _round(_incremental(s, d))
     q["report_catalogue"] = lambda s, d: _round(reports.query_catalogue(_catalogue(s, d), search="vol", page_size=3))
     q["report_factor_run"] = lambda s, d: _round(headline(run_factor_analysis(
@@ -450,6 +490,9 @@ def queries() -> dict:
     q["report_add_list"] = lambda s, d: _round(_add_list(s, d))
     q["report_latest_values"] = lambda s, d: reports.latest_values(load_bars(s, d).df, ["close", "volume"])
     q["ticks_to_bars"] = lambda s, d: _round(bars_from_ticks(dedupe_ticks(_ticks(s, d))).withColumn("start", F.to_date("start")), 4)
+    q["bars_store_upsert"] = _store
+    q["ticks_stream_store"] = lambda s, d: _round(_stream_store(s, d).withColumn("start", F.to_date("start")), 4)
+    q["ticks_signal_stream"] = lambda s, d: _round(_stream_signals(s, d))
     q["ticks_latest_signal"] = lambda s, d: _round(
         latest_signal(_tick_bars(s, d), make("PriceReturn", window=5))
     )
@@ -461,6 +504,37 @@ def _cents(df):
     return df.withColumn("value", rounded("value", 2))
 
 
+STORED = {
+    "PriceReturn_20": {"factor": "PriceReturn", "params": {"window": 20}},
+    "Volatility_20": {"factor": "Volatility"},
+    "VolumeRatio_5": {"factor": "VolumeRatio"},
+    "KaufmanER_20": {"factor": "KaufmanER"},
+}
+
+
+def _store_run(s, d, path, bars=None, recipes=STORED):
+    bars = load_bars(s, d) if bars is None else bars
+    return corrstore.update(bars, recipes, path, interval=5, min_assets=5, dates=ship_dates(s, d))
+
+
+def _store_changed_factor(s, d):
+    """The store knows another parameter of a factor; its pairs are computed anew,
+    the others come from the store."""
+    path = shared_path(s, "correlations")
+    _store_run(s, d, path, recipes={**STORED, "PriceReturn_20": {"factor": "PriceReturn", "params": {"window": 60}}})
+    return _store_run(s, d, path).pairs
+
+
+def _store_changed_bars(s, d):
+    """The store was made before one symbol's bars of two months were corrected and
+    before the last year's bars came."""
+    path, bars = shared_path(s, "correlations"), load_bars(s, d)
+    wrong = (F.col("symbol") == "Brand#1") & F.trunc("date", "month").isin([dt.date(1997, 3, 1), dt.date(1999, 8, 1)])
+    old = bars.df.withColumn("close", F.when(wrong, F.col("close") * 2).otherwise(F.col("close"))).filter(F.col("date") < F.lit("2001-01-01"))
+    corrstore.update(bars.with_df(old), STORED, path, interval=5, min_assets=5)
+    return _store_run(s, d, path).pairs
+
+
 def _incremental(s, d):
     first = _corr_pairs(s, d, [("PriceReturn_20", "Volatility_20"), ("PriceReturn_20", "VolumeRatio_5"), ("Volatility_20", "VolumeRatio_5")])
     fs = [make("PriceReturn", window=20), make("Volatility"), make("VolumeRatio"), make("KaufmanER")]
@@ -706,6 +780,7 @@ def oracle_sql() -> dict[str, str]:
     o["corr_lookup"] = _corr_sql(
         f"SELECT {pc} (SELECT * FROM pc UNION ALL SELECT b, a, mean_corr, std_corr, n_dates FROM pc) x WHERE a = 'VolumeRatio_5' AND abs(x.mean_corr) >= 0.01"
     )
+    o["corr_store_changed_factor"] = o["corr_store_changed_bars"] = _corr_sql(f"SELECT {pc} pc")
     o["corr_incremental_update"] = _corr_sql(f"SELECT {pc} pc")
     fnames = {"PriceReturn_20": "f1", "Volatility_20": "f2", "VolumeRatio_5": "f3", "KaufmanER_20": "f4"}
     stacked = " UNION ALL ".join(f"SELECT symbol, date, t, '{n}' AS factor_name, {x} AS x, close FROM z" for n, x in fnames.items())
@@ -770,6 +845,11 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(ts AS DATE) AS start, {r('arg_min(value, (ts, event_id))', 4)} AS open, {r('max(value)', 4)} AS high, {r('min(value)', 4)} AS low, {r('arg_max(value, (ts, event_id))', 4)} AS close,"
         f" {r('count(*)', 4)} AS volume, {r('sum(value)', 4)} AS value FROM events WHERE value > 0 GROUP BY user_id, CAST(ts AS DATE)"
     )
+    o["bars_store_upsert"], o["ticks_stream_store"] = o["bars_upsert"], o["ticks_to_bars"]
+    o["ticks_signal_stream"] = (
+        f"SELECT symbol, date, {r('(close - lag(close, 5) OVER w) / lag(close, 5) OVER w')} AS signal FROM (SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(ts AS DATE) AS date, arg_max(value, (ts, event_id)) AS close"
+        " FROM events WHERE value > 0 GROUP BY 1, 2) WHERE date + INTERVAL 1 DAY <= (SELECT max(ts) FROM events WHERE value > 0) - INTERVAL 1 DAY WINDOW w AS (PARTITION BY symbol ORDER BY date)"
+    )
     o["ticks_latest_signal"] = (
         f"SELECT symbol, date, {r('x')} AS signal FROM (SELECT symbol, date, (close - lag(close, 5) OVER w) / lag(close, 5) OVER w AS x, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n"
         " FROM (SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(ts AS DATE) AS date, arg_max(value, (ts, event_id)) AS close FROM events WHERE value > 0 GROUP BY 1, 2) WINDOW w AS (PARTITION BY symbol ORDER BY date)) WHERE n = 1"

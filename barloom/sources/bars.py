@@ -60,9 +60,10 @@ def read_csv_bars(
     """One CSV per symbol, one scan per layout of columns.
 
     Columns are matched by name in any order, vendor names too; further columns
-    are kept as text. Columns a file lacks are missing; damaged rows, files
-    without a header and files that vanish do not stop the read. Text comes first:
-    a bad number becomes missing instead of failing the read."""
+    are kept as text. Columns a file lacks are missing; files without a header and
+    files that vanish do not stop the read, lines without a date or without any
+    number are left out. Text comes first: a bad number becomes missing instead of
+    failing the read."""
     parts = []
     for names, files in csv_layouts(spark, path, recursive).items():
         seen: list[str] = []
@@ -82,7 +83,7 @@ def read_csv_bars(
             .csv(files)
             .withColumn("symbol", symbol_from_path())
         )
-        parts.append(df.filter(F.col("_corrupt_record").isNull() & F.col("date").isNotNull()).drop("_corrupt_record"))
+        parts.append(df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record"))
     if not parts:
         empty = T.StructType([T.StructField(n, T.StringType()) for n in ("date", *NUMBERS, "symbol")])
         parts = [spark.createDataFrame([], empty)]
@@ -92,7 +93,9 @@ def read_csv_bars(
     df = df.withColumns({n: F.lit(None).cast("string") for n in NUMBERS if n not in df.columns})
     if symbols is not None:
         df = df.filter(F.col("symbol").isin(list(symbols)))
-    return typed(df)
+    df = typed(df)
+    # Lines that are no bars: no date, or not a single number.
+    return df.filter(F.col("date").isNotNull() & F.coalesce(*[F.col(n) for n in NUMBERS]).isNotNull())
 
 
 def read_parquet_bars(spark: SparkSession, path: str) -> DataFrame:
@@ -234,8 +237,9 @@ def write_bars(df: DataFrame, path: str, fmt: str = "parquet", min_rows: int = 0
     if min_rows:
         kept = df.groupBy("symbol").count().filter(F.col("count") >= min_rows).select("symbol")
         df = df.join(kept, "symbol", "left_semi")
-    # Clustered first: a folder gets a file from few tasks, not from all.
-    writer = df.repartition("symbol").write.mode(mode).partitionBy("symbol")
+    # Clustered first: a folder gets files from few tasks, not from all, and a hot
+    # symbol's history is written by a task for every few years.
+    writer = df.repartition("symbol", F.floor(F.year("date") / 8)).write.mode(mode).partitionBy("symbol")
     (writer.option("header", True).csv if fmt == "csv" else writer.parquet)(path)
 
 

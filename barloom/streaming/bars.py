@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.factor import Factor, with_factors
 from ..functions.frames import Bars
 from ..functions.scalar import c
-from ..sources.bars import upsert
+from ..operators.corrstore import UNBOUNDED, reach
+from ..sources.store import BarStore
+
+BAR_COLUMNS = ("open", "high", "low", "close", "volume", "value")
 
 
 def ticks_from_events(events: DataFrame) -> DataFrame:
@@ -24,24 +29,42 @@ def ticks_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def bars_from_ticks(ticks: DataFrame, width: str = "1 day", lateness: str | None = "1 day") -> DataFrame:
-    """Tumbling-window bars. The same plan serves streams (with a watermark,
-    append mode) and batch tables."""
+def bars_from_ticks(ticks: DataFrame, width: str = "1 day", lateness: str | None = "1 day", time: str = "start") -> DataFrame:
+    """Tumbling-window bars; `time` names the column of the window's start. The
+    same plan serves streams (with a watermark, append mode) and batch tables."""
     if ticks.isStreaming and lateness:
         ticks = ticks.withWatermark("ts", lateness)
     order = F.struct("ts", "tick_id")
-    return (
-        ticks.groupBy(F.window("ts", width).alias("w"), "symbol")
-        .agg(
-            F.min_by("price", order).alias("open"),
-            F.max("price").alias("high"),
-            F.min("price").alias("low"),
-            F.max_by("price", order).alias("close"),
-            F.count(F.lit(1)).cast("double").alias("volume"),
-            F.sum("price").alias("value"),
-        )
-        .select("symbol", F.col("w.start").alias("start"), "open", "high", "low", "close", "volume", "value")
+    bars = ticks.groupBy(F.window("ts", width).alias("w"), "symbol").agg(
+        F.min_by("price", order).alias("open"),
+        F.max("price").alias("high"),
+        F.min("price").alias("low"),
+        F.max_by("price", order).alias("close"),
+        F.count(F.lit(1)).cast("double").alias("volume"),
+        F.sum("price").alias("value"),
     )
+    return bars.select("symbol", F.col("w.start").alias(time), *BAR_COLUMNS)
+
+
+def write_closed_bars(bars: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Append the bars whose window the watermark has closed to a folder, each
+    once, until the input is used up. Later stages read it as a stream: Spark runs
+    no keyed Python state behind an aggregation of the same query. The bars of a
+    symbol that close together share a file, so readers that take few files at once
+    still meet them in order."""
+    query = bars.repartition("symbol").writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def read_closed_bars(spark: SparkSession, folder: str, time: str = "start", files_per_batch: int | None = None) -> DataFrame:
+    """The folder of closed bars as a stream."""
+    numbers = [T.StructField(n, T.DoubleType()) for n in BAR_COLUMNS]
+    schema = T.StructType([T.StructField("symbol", T.StringType()), T.StructField(time, T.TimestampType()), *numbers])
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(folder)
 
 
 def dedupe_ticks(ticks: DataFrame, lateness: str = "1 day") -> DataFrame:
@@ -54,49 +77,40 @@ def dedupe_ticks(ticks: DataFrame, lateness: str = "1 day") -> DataFrame:
 def upsert_sink(
     spark: SparkSession, path: str, keys: Sequence[str] = ("symbol", "start")
 ) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function that merges each batch into versions of a table.
-
-    Every batch writes a complete new version folder named by its id, so a
-    repeated batch replaces its own output. A version counts from its commit mark
-    on, so readers never see half a table. keys: what identifies a row; those of
-    `bars_from_ticks` by default.
+    """foreachBatch function that merges each batch into a bar store: a batch
+    rewrites the date partitions it touches, and counts once however often it is
+    delivered. keys: what identifies a row; those of `bars_from_ticks` by default.
     """
+    store = BarStore(spark, path, tuple(keys))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        old = read_version(spark, path, batch_id)
-        out = batch if old is None else upsert(old, batch, keys)
-        out.write.mode("overwrite").parquet(f"{path}/v={batch_id:010d}")
+        store.upsert(batch, batch_id)
 
     return merge
 
 
-def read_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """Latest version of the table, or the one written before a batch."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    if not fs.exists(root):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    ids = sorted(int(n[2:]) for n in names if n.startswith("v="))
-    done = lambda i: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/v={i:010d}/_SUCCESS"))
-    ids = [i for i in ids if (before is None or i < before) and done(i)]
-    return spark.read.parquet(f"{path}/v={ids[-1]:010d}") if ids else None
+def read_version(spark: SparkSession, path: str, before: int | None = None, keys: Sequence[str] = ("symbol", "start")) -> DataFrame | None:
+    """Latest version of the stored table, or the one written before a batch."""
+    store = BarStore(spark, path, tuple(keys))
+    known = store.versions(before)
+    return store.read(known[-1]) if known else None
 
 
 def signal_sink(
     spark: SparkSession, history: str, factor: Factor, emit: Callable[[DataFrame, int], None],
-    keys: Sequence[str] = ("symbol", "date"),
+    keys: Sequence[str] = ("symbol", "start"),
 ) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: the latest factor value of the symbols a batch
-    touched, computed from the stored bars plus the batch."""
+    touched, computed from the stored bars plus the batch. For factors that see
+    every earlier bar and for batches that correct the past; `signal_stream` keeps
+    only what a bounded factor needs."""
     merge = upsert_sink(spark, history, keys)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         merge(batch, batch_id)
         touched = batch.select("symbol").distinct()
-        bars = read_version(spark, history).join(touched, "symbol", "left_semi")
-        emit(latest_signal(Bars.measure(bars), factor), batch_id)
+        bars = read_version(spark, history, batch_id + 1, keys).join(touched, "symbol", "left_semi")
+        emit(latest_signal(Bars.measure(bars.withColumnRenamed(keys[-1], "date")), factor), batch_id)
 
     return run
 
@@ -108,6 +122,66 @@ def latest_signal(bars: Bars, factor: Factor) -> DataFrame:
     return computed.groupBy("symbol").agg(last.alias("x")).select("symbol", "x.*")
 
 
+def with_history(bars: DataFrame, rows: int, expiry: str | None = None, time: str = "start") -> DataFrame:
+    """A stream of closed bars, each batch of a symbol led by the `rows` bars before it.
+
+    Output: symbol, the time, the bar columns and is_new, false for the bars that
+    are repeated from the state. The state of a symbol is its last `rows` bars and
+    nothing else. A bar that is not later than the last known one corrects the
+    state if it is still there, and is not new. With an expiry a symbol's state goes
+    when the newest bar of all is so much later than its last one; bars that are
+    older than that are late and left out."""
+    numbers = [T.StructField(n, T.DoubleType()) for n in BAR_COLUMNS]
+    out = T.StructType([T.StructField("symbol", T.StringType()), T.StructField(time, T.TimestampType()), *numbers, T.StructField("is_new", T.BooleanType())])
+    state = T.StructType([T.StructField("times", T.ArrayType(T.LongType())), *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in BAR_COLUMNS]])
+    names, keep, expires = list(BAR_COLUMNS), rows, expiry is not None
+
+    def step(key, frames, held):
+        if held.hasTimedOut:
+            held.remove()
+            return
+        fresh = pd.concat([f.assign(__t=f[time].astype("datetime64[us]").astype("int64"))[["__t", *names]] for f in frames])
+        rows = fresh.drop_duplicates("__t", keep="last").set_index("__t")
+        new = set(rows.index)
+        if held.exists:
+            known = pd.DataFrame(dict(zip(["__t", *names], held.get, strict=True))).astype({"__t": "int64"}).set_index("__t")
+            new = {t for t in new if t > known.index.max()}
+            # Of the earlier bars only those count that the state still holds.
+            rows = rows[rows.index.isin(known.index) | rows.index.isin(new)]
+            rows = pd.concat([x for x in (known[~known.index.isin(rows.index)], rows) if len(x)])
+        known = rows.sort_index().reset_index()
+        tail = known.tail(keep)
+        held.update((tail["__t"].tolist(), *[tail[n].astype(float).tolist() for n in names]))
+        if expires:
+            held.setTimeoutTimestamp(max(int(known["__t"].max() // 1000), held.getCurrentWatermarkMs()) + 1)
+        if len(new):
+            made = known.assign(symbol=key[0], is_new=known["__t"].isin(new))
+            made[time] = pd.to_datetime(made["__t"], unit="us")
+            yield made[["symbol", time, *names, "is_new"]]
+
+    if expires:
+        bars = bars.withWatermark(time, expiry)
+    timeout = "EventTimeTimeout" if expires else "NoTimeout"
+    return bars.groupBy("symbol").applyInPandasWithState(step, out, state, "append", timeout)
+
+
+def signal_stream(bars: DataFrame, factor: Factor, expiry: str | None = None, time: str = "start") -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The stream of closed bars with the history the factor needs, and the
+    function that turns a batch of it into (symbol, date, signal) of its new bars.
+
+    Only factors of bounded reach: others have no last `reach` bars to keep; they
+    raise here and take `signal_sink`."""
+    rows = reach(factor)
+    if rows == UNBOUNDED:
+        raise ValueError(f"{factor.name} sees every earlier bar; use signal_sink")
+
+    def signals(batch: DataFrame) -> DataFrame:
+        computed = with_factors(Bars.measure(batch.withColumnRenamed(time, "date")), [factor]).df
+        return computed.filter("is_new").select("symbol", "date", c(factor.name).alias("signal"))
+
+    return with_history(bars, max(rows, 1), expiry, time), signals
+
+
 def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process what is available, then stop; state lives in the checkpoint."""
     query = (

@@ -30,6 +30,14 @@ def test_csv_bars(spark, tmp_path):
     assert B.normalize_bars(B.read_csv_bars(spark, str(tmp_path))).count() == 2
 
 
+def test_csv_lines_that_are_no_bars(spark, tmp_path):
+    head = "date,open,high,low,close,volume,value\n"
+    (tmp_path / "a.csv").write_text(head + "2020-01-02,1,2,0.5,1.5,10,15\nrubbish\n2020-01-03\n,1,1,1,1,1,1\n")
+    (tmp_path / "b.csv").write_text("# made by a vendor\n" + head + "2020-01-02,3,4,2,3.5,10,15\n")
+    rows = {(r["symbol"], r["date"], r["close"]) for r in B.read_csv_bars(spark, str(tmp_path)).collect()}
+    assert rows == {("a", dt.date(2020, 1, 2), 1.5), ("b", dt.date(2020, 1, 2), 3.5)}
+
+
 def test_csv_layouts_in_one_folder(spark, tmp_path):
     """Columns in another order, vendor names, further columns and bad files."""
     (tmp_path / "a.csv").write_text("date,open,close,high,low,volume,value,turnOver,gain,change\n2020-01-02,1,1.5,2,0.5,10,15,1,2,3\n")
@@ -119,7 +127,7 @@ def test_unfinished_versions_are_not_read(spark, tmp_path):
     store = tmp_path / "store"
     bars = bars_from_ticks(ticks_from_events(table(spark, SF, "events")))
     upsert_sink(spark, str(store))(bars, 0)
-    (store / "v=0000000001").mkdir()
+    (store / "manifest" / "v=0000000001").mkdir()
     assert read_version(spark, str(store)).count() == bars.count()
 
 
@@ -136,7 +144,7 @@ def test_signal_on_touched_symbols(spark, tmp_path):
     pdf = bar_frame(symbols=3, rows=40)
     bars = spark.createDataFrame(pdf)
     out = {}
-    sink = signal_sink(spark, str(tmp_path / "h"), make("PriceReturn", window=5), lambda df, i: out.update({i: {r["symbol"]: r["signal"] for r in df.collect()}}))
+    sink = signal_sink(spark, str(tmp_path / "h"), make("PriceReturn", window=5), lambda df, i: out.update({i: {r["symbol"]: r["signal"] for r in df.collect()}}), ("symbol", "date"))
     days = sorted(pdf.date.unique())
     sink(bars.filter(F.col("date") < F.lit(days[-2])), 0)
     sink(bars.filter((F.col("date") >= F.lit(days[-2])) & (F.col("symbol") == "S1")), 1)

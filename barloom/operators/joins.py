@@ -8,22 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.frames import Bars
+from ..functions.frames import Bars, running, windowed
 from ..functions.scalar import c
-from .panel import calendar, dense_grid, small
+from .panel import calendar, small
 
 
 def as_of(bars: Bars, columns: Sequence[str], dates: DataFrame | None = None) -> DataFrame:
-    """Every date from a symbol's first bar on, with the latest known values."""
-    grid = dense_grid(bars, dates)
-    rows = grid.join(bars.df.select("symbol", "date", *columns), ["symbol", "date"], "left")
-    if bars.symbol_fits:
-        known = W.partitionBy("symbol").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-        return rows.withColumns({x: F.last(x, ignorenulls=True).over(known) for x in columns})
-    from ..functions.frames import running
-
-    filled = running(bars.with_df(rows), {f"__k_{x}": ("last", F.col(x)) for x in columns})
-    return filled.select("symbol", "date", *[F.col(f"__k_{x}").alias(x) for x in columns])
+    """The latest known values on every asked date from a symbol's first bar on.
+
+    Each bar answers for the asked dates from its own to the next bar's, so a bar
+    is unfolded into just these and no symbol x date grid is built; dates nobody
+    asks for cost nothing. Missing values are carried forward first. Long symbols
+    run in chunks: the next bar is one row ahead."""
+    asked = calendar(bars.df if dates is None else dates)
+    # How many asked dates lie before each bar date: a walk over the calendar.
+    steps = bars.df.select("date").distinct().withColumn("__c", F.lit(0)).unionByName(asked.select("date", F.lit(1).alias("__c")))
+    before = F.sum("__c").over(W.orderBy("date").rangeBetween(W.unboundedPreceding, 0)) - F.max("__c").over(W.partitionBy("date"))
+    places = steps.withColumn("__t", before).filter("__c = 0").select("date", "__t")
+    known = running(bars, {f"__k_{x}": ("last", F.col(x)) for x in columns})
+    known = known.select("symbol", "date", *[F.col(f"__k_{x}").alias(x) for x in columns]).join(small(places, bars.dates), "date")
+    count = asked.agg(F.count(F.lit(1)).alias("__n"))
+
+    def build(df: DataFrame, w) -> DataFrame:
+        return df.withColumn("__next", F.lead("__t", 1).over(w))
+
+    rows = windowed(bars.with_df(known), 0, 1, build).join(F.broadcast(count), F.lit(True))
+    end = F.coalesce("__next", "__n")
+    rows = rows.filter(end > F.col("__t")).withColumn("t", F.explode(F.sequence(F.col("__t"), end - 1)))
+    return rows.drop("date").join(F.broadcast(asked), "t").select("symbol", "date", *columns)
 
 
 def next_bar(df: DataFrame, dates: DataFrame, column: str = "date", out: str = "execution_date") -> DataFrame:

@@ -134,16 +134,3 @@ def long_factors(bars: Bars, names: Sequence[str], keep: Sequence[str] = ()) ->
             "date", "symbol", *keep, "__x.factor_name", "__x.factor"
         )
     )
-
-
-def dense_grid(bars: Bars, dates: DataFrame | None = None) -> DataFrame:
-    """Every date paired with every symbol's first-to-last life, for coverage
-    and as-of prices. Dates are attached per symbol from its first bar on."""
-    cal = calendar(bars.df if dates is None else dates).select("date")
-    lives = bars.df.groupBy("symbol").agg(F.min("date").alias("__first"))
-    # One array of dates, bounded by the calendar, is exploded beside each symbol.
-    all_days = cal.agg(F.sort_array(F.collect_set("date")).alias("__days"))
-    return (
-        lives.join(F.broadcast(all_days), F.lit(True))
-        .select("symbol", F.explode(F.filter("__days", lambda d: d >= F.col("__first"))).alias("date"))
-    )

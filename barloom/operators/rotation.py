@@ -27,16 +27,7 @@ def holding_days(weights: DataFrame, rebalances: DataFrame, dates: DataFrame, ba
     execution_date). Prices are the latest known ones, starting at the open and
     close of the execution date. A holding has at most one interval of rows.
     """
-    cal = calendar(dates).select("date")
-    spans = rebalances.select(
-        "period",
-        F.col("execution_date").alias("start"),
-        F.lead("execution_date").over(W.orderBy("period")).alias("end"),
-    )
-    inside = (F.col("date") >= F.col("start")) & (
-        F.col("end").isNull() | (F.col("date") <= F.col("end"))
-    )
-    days = F.broadcast(spans).join(cal, inside).select("period", "date", "start", "end")
+    days = period_days(rebalances, dates)
     rows = weights.select("variant", "period", "symbol", "weight").join(F.broadcast(days), "period")
     rows = rows.join(bars.select("symbol", "date", "open", "close"), ["symbol", "date"], "left")
     spell = W.partitionBy("variant", "period", "symbol").orderBy("date")
@@ -51,6 +42,23 @@ def holding_days(weights: DataFrame, rebalances: DataFrame, dates: DataFrame, ba
     )
 
 
+def period_days(rebalances: DataFrame, dates: DataFrame) -> DataFrame:
+    """(period, date, start, end): the calendar dates of each period, the next
+    execution included. A running period number over the calendar, which has a row
+    per date, and a second row for the executions that end a period."""
+    spans = rebalances.select(
+        "period",
+        F.col("execution_date").alias("start"),
+        F.lead("execution_date").over(W.orderBy("period")).alias("end"),
+    )
+    marks = spans.select(F.col("start").alias("date"), F.struct("period", "start", "end").alias("__s"))
+    cal = calendar(dates).select("date").join(F.broadcast(marks), "date", "left")
+    now = F.last("__s", ignorenulls=True).over(W.orderBy("date").rowsBetween(W.unboundedPreceding, 0))
+    inside = cal.withColumn("__s", now).filter(F.col("__s").isNotNull()).select("__s.period", "date", "__s.start", "__s.end")
+    ends = spans.filter(F.col("end").isNotNull()).select("period", F.col("end").alias("date"), "start", "end")
+    return inside.unionByName(ends)
+
+
 def period_gross(holdings: DataFrame) -> DataFrame:
     """Value just before the next execution per unit invested (NULL while open),
     with the symbol weights drifted to that open."""
@@ -149,13 +157,7 @@ def equity_levels(run: Executed) -> DataFrame:
             F.lit(1.0),
         ),
     )
-    spans = run.rebalances.select(
-        "period",
-        F.col("execution_date").alias("start"),
-        F.lead("execution_date").over(W.orderBy("period")).alias("end"),
-    )
-    inside = (F.col("date") >= F.col("start")) & (F.col("end").isNull() | (F.col("date") < F.col("end")))
-    days = F.broadcast(spans).join(run.dates, inside).select("period", "date")
+    days = period_days(run.rebalances, run.dates).filter("end is null or date < end").select("period", "date")
     value = (
         run.holdings.filter(~F.coalesce("is_exit", F.lit(False)))
         .groupBy("variant", "period", "date")
@@ -189,7 +191,12 @@ def turnover(weights: DataFrame, rebalances: DataFrame) -> DataFrame:
 
 
 def rebalance_log(run: Executed, counts: DataFrame | None = None) -> DataFrame:
-    """One row per variant and rebalance: targets, turnover, costs, growth."""
+    """One row per variant and rebalance: weights, turnover, costs, growth.
+
+    target_weights; current_weights, what is held at the signal date's close, drifted
+    from the targets before; executed_weights, shares of what is left after costs at
+    the execution's open. counts (variant, date, ...): what `screened_counts` gives
+    for the signal dates. Maps hold the names of one rebalance."""
     weights, rebalances, scales = run.weights, run.rebalances, run.scales
     entry = F.map_from_entries(F.sort_array(F.collect_list(F.struct("symbol", "weight"))))
     targets = weights.groupBy("variant", "period").agg(entry.alias("target_weights"))
@@ -197,12 +204,17 @@ def rebalance_log(run: Executed, counts: DataFrame | None = None) -> DataFrame:
         scales.join(F.broadcast(rebalances), "period")
         .join(turnover(weights, rebalances), ["variant", "period"])
         .join(targets, ["variant", "period"], "left")
+        .join(current_weights(run), ["variant", "period"], "left")
         .select(
             "variant",
             "period",
             F.col("date").alias("signal_date"),
             "execution_date",
+            F.map_keys("target_weights").alias("selected_symbols"),
+            "current_weights",
             "target_weights",
+            # All is invested, so the shares after costs are those wanted.
+            F.when(F.col("scale") > 0, F.col("target_weights")).alias("executed_weights"),
             F.coalesce(F.size("target_weights"), F.lit(0)).alias("n_targets"),
             "turnover",
             (1.0 - F.col("scale")).alias("cost_share"),
@@ -210,10 +222,24 @@ def rebalance_log(run: Executed, counts: DataFrame | None = None) -> DataFrame:
         )
     )
     if counts is not None:
-        out = out.join(counts, ["variant", "period"], "left")
+        out = out.join(counts.withColumnRenamed("date", "signal_date"), ["variant", "signal_date"], "left")
+        out = out.fillna(0, ["candidate_count", "filtered_candidate_count"])
     return out
 
 
+def current_weights(run: Executed) -> DataFrame:
+    """(variant, period, current_weights): shares held at the close of the period's
+    signal date, of the holdings that the period before brought."""
+    signals = run.rebalances.select(F.col("period").alias("__p"), "date")
+    # A period's own signal lies before its execution, so these rows are of the one before.
+    rows = run.holdings.filter(~F.coalesce("is_exit", F.lit(False))).join(F.broadcast(signals), "date")
+    rows = rows.withColumn("__v", F.col("weight") * div("close", "entry_open"))
+    share = div("__v", F.sum("__v").over(W.partitionBy("variant", "__p")))
+    entry = F.map_from_entries(F.sort_array(F.collect_list(F.struct("symbol", F.col("__w").alias("weight")))))
+    rows = rows.withColumn("__w", share).groupBy("variant", F.col("__p").alias("period")).agg(entry.alias("current_weights"))
+    return rows
+
+
 def _opens_at_executions(bars: DataFrame, rebalances: DataFrame) -> DataFrame:
     """(symbol, period, open): the last open after the previous execution and
     up to this one; missing when the symbol had no bar in between."""

@@ -8,16 +8,18 @@ use row_number with a bound, which Spark applies before the shuffle as well.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.frames import Bars
 from ..functions.scalar import c, compare, div
 from .crosssection import avg_rank, min_max
-from .panel import calendar
+from .joins import as_of
+from .panel import calendar, small
 
 GROUP = ("variant", "date")
 
@@ -47,6 +49,43 @@ class RankFilter:
         return f"rank_{self.field}_trim_b{self.exclude_below_pct}_a{self.exclude_above_pct}"
 
 
+@dataclass(frozen=True)
+class Other:
+    """A field of another symbol as it was known on the signal date: the latest
+    value at or before it. `column` stands for it in a condition."""
+
+    symbol: str
+    field: str
+
+    @property
+    def name(self) -> str:
+        return f"__of_{self.symbol}_{self.field}"
+
+    @property
+    def column(self) -> Column:
+        return c(self.name)
+
+
+@dataclass(frozen=True)
+class Condition:
+    """A named condition on a candidate: a boolean column over its features and
+    over the fields of other symbols that it lists, or a function that gives it.
+    Missing is false."""
+
+    name: str
+    holds: Column | Callable[[], Column]
+    others: tuple[Other, ...] = ()
+
+    @property
+    def passed(self) -> Column:
+        holds = self.holds if isinstance(self.holds, Column) else self.holds()
+        return F.coalesce(holds, F.lit(False))
+
+    @classmethod
+    def of(cls, f: "ThresholdFilter | Condition") -> "Condition":
+        return f if isinstance(f, Condition) else cls(f"{f.field}{f.op}{f.value}", f.column)
+
+
 def make_rank_filters(field: str, trims: Sequence[float] = (0.1, 0.2, 0.3)) -> list[RankFilter]:
     """Every pair of lower and upper trims, none included."""
     sides = (0.0, *trims)
@@ -104,15 +143,18 @@ def raw_candidates(
     clusters: DataFrame | None = None,
     exclude_clusters: Sequence[int] = (),
     variant: str = "base",
+    checked: bool = True,
 ) -> DataFrame:
-    """Eligible symbols with a score and a positive open on the next bar."""
+    """Eligible symbols with a score and a positive open on the next bar. Not
+    checked: without the score, for callers that have several."""
     opens = features.select(
         "symbol", F.col("date").alias("execution_date"), F.col("open").alias("next_open")
     )
     df = features.drop("open").join(F.broadcast(rebalances), "date")
     df = df.join(opens, ["symbol", "execution_date"])
-    df = df.filter(F.col("eligible") & c(score).isNotNull() & (F.col("next_open") > 0))
-    df = df.withColumns({"score": c(score), "variant": F.lit(variant)})
+    df = df.filter(F.col("eligible") & (F.col("next_open") > 0))
+    if checked:
+        df = df.filter(c(score).isNotNull()).withColumns({"score": c(score), "variant": F.lit(variant)})
     if clusters is not None:
         df = df.join(clusters, "symbol", "left").fillna(-1, ["cluster"])
         if exclude_clusters:
@@ -144,6 +186,44 @@ def apply_threshold_filters(df: DataFrame, filters: Sequence[ThresholdFilter]) -
     return df
 
 
+def with_others(df: DataFrame, features: Bars, others: Sequence[Other]) -> DataFrame:
+    """Columns of the other symbols on each date of df: an as-of self join.
+
+    The other symbols' bars alone are read, and only df's dates are answered; the
+    result has a row per date, however many candidates there are."""
+    wanted = list(dict.fromkeys(others))
+    symbols, fields = sorted({o.symbol for o in wanted}), sorted({o.field for o in wanted})
+    rows = features.with_df(features.df.filter(F.col("symbol").isin(symbols)).select("symbol", "date", *[c(x) for x in fields]))
+    known = as_of(rows, fields, df.select("date"))
+    wide = known.groupBy("date").agg(*[F.max(F.when(F.col("symbol") == o.symbol, c(o.field))).alias(o.name) for o in wanted])
+    return df.join(small(wide, features.dates), "date", "left")
+
+
+def screen(df: DataFrame, conditions: Sequence[Condition | ThresholdFilter], features: Bars | None = None, out: str = "failed_at") -> DataFrame:
+    """Number of the first condition, from 0, that each candidate fails; missing
+    where it passes all. Conditions over other symbols need the features."""
+    conditions = [Condition.of(x) for x in conditions]
+    others = [o for x in conditions for o in x.others]
+    if others:
+        df = with_others(df, features, others)
+    first = F.lit(None).cast("int")
+    for i, x in reversed(list(enumerate(conditions))):
+        first = F.when(x.passed, first).otherwise(i)
+    return df.withColumn(out, first).drop(*{o.name for o in others})
+
+
+def screened_counts(screened: DataFrame, conditions: Sequence[Condition | ThresholdFilter], keys: Sequence[str] = GROUP, failed: str = "failed_at") -> DataFrame:
+    """candidate_count, the count after each condition (an array in their order)
+    and their names, per group: one aggregate over the first failures."""
+    after = [F.sum((F.col(failed).isNull() | (F.col(failed) > i)).cast("long")) for i in range(len(conditions))]
+    names = [Condition.of(x).name for x in conditions]
+    return screened.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("candidate_count"),
+        F.sum(F.col(failed).isNull().cast("long")).alias("filtered_candidate_count"),
+        F.array(*after).alias("counts_after") if after else F.array().cast("array<bigint>").alias("counts_after"),
+    ).withColumn("active_candidate_filters", F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>"))
+
+
 def min_momentum(df: DataFrame, value: float, score: str = "score") -> DataFrame:
     return apply_threshold_filters(df, [ThresholdFilter(score, ">=", value)])
 
@@ -167,7 +247,7 @@ def pick_top(
 
 def allocate(
     selected: DataFrame,
-    method: str = "equal",
+    method: str | Column | Callable[[], Column] = "equal",
     keys: Sequence[str] = GROUP,
     field: str | None = None,
     tiers: Sequence[tuple[int, float]] = (),
@@ -175,18 +255,31 @@ def allocate(
 ) -> DataFrame:
     """Weights over the selected rows that sum to one per group.
 
-    equal | score (proportional) | factor | inverse_factor | tiered (by rank).
+    equal | score (proportional) | factor | inverse_factor | tiered (by rank), or a
+    column of raw weights of one's own, or a function that gives it; missing or
+    negative ones count as 0.
     """
+    total = F.sum("__raw").over(W.partitionBy(*keys))
+    df = selected.withColumn("__raw", raw_weight(method, field, tiers, floor))
+    return df.withColumn("weight", div("__raw", total)).drop("__raw")
+
+
+def raw_weight(method: str | Column | Callable[[], Column] = "equal", field: str | None = None, tiers: Sequence[tuple[int, float]] = (), floor: float = 1e-8) -> Column:
+    """The allocator's weight of a selected row before scaling."""
+    if callable(method) and not isinstance(method, Column):
+        method = method()
+    if isinstance(method, Column):
+        return F.greatest(F.coalesce(method.cast("double"), F.lit(0.0)), F.lit(0.0))
     if method == "equal":
-        raw = F.lit(1.0)
-    elif method == "score":
-        raw = F.greatest(F.col("score").cast("double"), F.lit(floor))
-    elif method in ("factor", "inverse_factor"):
+        return F.lit(1.0)
+    if method == "score":
+        return F.greatest(F.col("score").cast("double"), F.lit(floor))
+    if method in ("factor", "inverse_factor"):
         size = F.greatest(F.abs(c(field)), F.lit(floor))
-        raw = F.when(c(field).isNull(), floor).otherwise(
+        return F.when(c(field).isNull(), floor).otherwise(
             div(F.lit(1.0), size) if method == "inverse_factor" else size
         )
-    elif method == "tiered":
+    if method == "tiered":
         raw, upto = F.lit(float(tiers[-1][1])), 0
         steps = []
         for count, weight in tiers:
@@ -194,11 +287,8 @@ def allocate(
             steps.append((upto, float(weight)))
         for bound, weight in reversed(steps):
             raw = F.when(F.col("rank") <= bound, weight).otherwise(raw)
-    else:
-        raise ValueError(f"unknown allocator {method!r}")
-    total = F.sum("__raw").over(W.partitionBy(*keys))
-    df = selected.withColumn("__raw", raw)
-    return df.withColumn("weight", div("__raw", total)).drop("__raw")
+        return raw
+    raise ValueError(f"unknown allocator {method!r}")
 
 
 def exposure_caps(

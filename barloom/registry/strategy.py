@@ -8,12 +8,13 @@ from ..functions.factor import with_factors
 from ..functions.library import make
 from ..functions.scalar import c
 from ..operators import joins, panel as P, performance as R, predictive, rotation as RO, selection as S
-from ..plans.rotation_run import run_grid
+from ..plans.rotation_run import grid, run_grid, run_variants, variant_targets
 from ..sources.demo import load_bars, ship_dates
 from .analysis import _round, ic_sql
 from .sqlbase import BARS, S0, r
 
 INTERVAL = 20
+RANGES = "SELECT 'early' AS period, DATE '1995-06-01' AS start, DATE '1996-12-31' AS end UNION ALL SELECT 'late', DATE '1999-01-01', DATE '2001-06-30'"
 FEATURES = ("PriceReturn", "Volatility", "VolumeRatio", "KaufmanER")
 
 
@@ -143,6 +144,41 @@ def _rotation_ctes(wt: str = "wt") -> tuple[str, ...]:
     )
 
 
+_TOPS = {"top1": ("1.0", 1, "FALSE"), "top3": ("greatest(sc, 1e-8)", 3, "seat > 1"), "top4": ("sqrt(vol) + rk * 0.1", 4, "FALSE")}
+_GROUP_ROWS = {
+    "strong": "SELECT *, mom AS sc FROM cb WHERE vr >= 0.5 AND mom > vol * 0.1 AND mom > bm",
+    "steady": "SELECT * EXCLUDE (pct), er AS sc FROM (SELECT *, CASE WHEN vol IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY vol NULLS LAST)"
+    " + (count(*) OVER (PARTITION BY date, vol) - 1) / 2.0) / count(vol) OVER (PARTITION BY date) END AS pct FROM cb WHERE vr >= 0.5 AND er IS NOT NULL) WHERE pct > 0.1 AND pct <= 0.9",
+}
+GRID_SQL = (
+    "cb AS MATERIALIZED (SELECT cand.*, b.bm FROM cand ASOF LEFT JOIN (SELECT date AS bd, mom AS bm FROM ft WHERE symbol = 'Brand#1' AND mom IS NOT NULL) b ON cand.date >= b.bd)",
+    "gw AS MATERIALIZED ("
+    + " UNION ALL ".join(
+        f"SELECT '{g}/{t}' AS v, period, date, symbol, ({w}) / sum({w}) OVER (PARTITION BY date) AS w FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY sc DESC, symbol) AS rk"
+        f" FROM (SELECT *, row_number() OVER (PARTITION BY date, cluster ORDER BY sc DESC, symbol) AS seat FROM ({rows})) WHERE cluster < 0 OR NOT ({out})) WHERE rk <= {n}"
+        for g, rows in _GROUP_ROWS.items()
+        for t, (w, n, out) in _TOPS.items()
+    )
+    + ")",
+)
+GRID_EQUITY_SQL = (
+    "sp AS MATERIALIZED (SELECT period, execution_date AS s, lead(execution_date) OVER (ORDER BY period) AS e FROM reb)",
+    "gh0 AS (SELECT h.v, h.period, h.symbol, h.w, cal.date, sp.e, b.open, b.close FROM gw h JOIN sp USING (period)"
+    " JOIN cal ON cal.date >= sp.s AND (sp.e IS NULL OR cal.date <= sp.e) LEFT JOIN bars b ON b.symbol = h.symbol AND b.date = cal.date)",
+    "gh AS MATERIALIZED (SELECT v, period, symbol, w, date, e, last_value(open IGNORE NULLS) OVER x AS open, last_value(close IGNORE NULLS) OVER x AS close, first_value(open IGNORE NULLS) OVER x AS eo"
+    " FROM gh0 WINDOW x AS (PARTITION BY v, period, symbol ORDER BY date ROWS UNBOUNDED PRECEDING))",
+    "gp AS MATERIALIZED (SELECT v, period, sum(w * open / eo) AS g FROM gh WHERE date = e GROUP BY v, period)",
+    "gb AS (SELECT v, r.period, coalesce(sum(ln(coalesce(g, 1))) OVER (PARTITION BY v ORDER BY r.period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lb"
+    " FROM (SELECT DISTINCT v FROM gw) CROSS JOIN reb r LEFT JOIN gp USING (v, period))",
+    "ge AS (SELECT gb.v, cal.date, lb + ln(coalesce(x, 1)) AS le FROM gb JOIN sp USING (period) JOIN cal ON cal.date >= sp.s AND (sp.e IS NULL OR cal.date < sp.e)"
+    " LEFT JOIN (SELECT v, period, date, sum(w * close / eo) AS x FROM gh WHERE e IS NULL OR date < e GROUP BY v, period, date) vd ON vd.v = gb.v AND vd.period = gb.period AND vd.date = cal.date)",
+    "gr0 AS MATERIALIZED (SELECT v, date, exp(le - lag(le) OVER (PARTITION BY v ORDER BY date)) - 1 AS ret FROM ge)",
+    "gr1 AS (SELECT gr0.*, p.period, exp(sum(ln(1 + ret)) OVER (PARTITION BY v, p.period ORDER BY date ROWS UNBOUNDED PRECEDING)) AS eq FROM gr0"
+    f" JOIN ({RANGES}) p ON date BETWEEN p.start AND p.\"end\" WHERE ret IS NOT NULL)",
+    "gd AS (SELECT *, eq / max(eq) OVER (PARTITION BY v, period ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM gr1)",
+)
+
+
 def _equity(spark, sf):
     feats, reb, w = _weights(spark, sf)
     return RO.equity_levels(RO.execute(w, reb, ship_dates(spark, sf), feats.df, COST))
@@ -285,6 +321,50 @@ def _summary(spark, sf):
     return run_grid(RO.execute(w, reb, ship_dates(spark, sf), feats.df, COST))
 
 
+BENCHMARK = S.Other("Brand#1", "mom")
+CONDITIONS = (
+    S.ThresholdFilter("vr", ">=", 0.5),
+    S.Condition("calmer_than_its_return", lambda: F.col("mom") > F.col("vol") * 0.1),
+    S.Condition("stronger_than_benchmark", lambda: F.col("mom") > BENCHMARK.column, (BENCHMARK,)),
+)
+GROUPS = {
+    "strong": {"score": "mom", "conditions": CONDITIONS},
+    "steady": {"score": "er", "conditions": CONDITIONS[:1], "rank_filters": (S.RankFilter("vol", 0.1, 0.1),)},
+}
+VARIANTS = {
+    "top1": {"top_n": 1},
+    "top3": {"top_n": 3, "allocator": "score", "cluster_max": 1},
+    "top4": {"top_n": 4, "allocator": lambda: F.sqrt(F.col("vol")) + F.col("rank") * 0.1},
+}
+def _grid_targets(spark, sf):
+    feats, reb = _features(spark, sf), S.rebalance_dates(ship_dates(spark, sf), INTERVAL)
+    return feats, reb, variant_targets(feats, reb, grid(GROUPS, VARIANTS), _clusters(load_bars(spark, sf)))
+
+
+def _grid_ranges(spark, sf):
+    feats, reb = _features(spark, sf), S.rebalance_dates(ship_dates(spark, sf), INTERVAL)
+    return run_variants(feats, reb, grid(GROUPS, VARIANTS), ship_dates(spark, sf), spark.sql(RANGES), _clusters(load_bars(spark, sf)))
+
+
+def _cells(x):
+    """A map of weights as text, in hundredths of a percent."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(x)), lambda e: F.concat(e["key"], F.lit(":"), F.round(e["value"] * 1e4).cast("long"))), ",")
+
+
+def _full_log(spark, sf):
+    feats, reb, made = _grid_targets(spark, sf)
+    one = made.weights.filter("variant = 'strong/top4'"), made.counts.filter("variant = 'strong/top4'")
+    log = RO.rebalance_log(RO.execute(one[0], reb, ship_dates(spark, sf), feats.df, 0.0), one[1])
+    return log.select(
+        "period", "signal_date", "execution_date", "candidate_count", "filtered_candidate_count",
+        F.array_join(F.transform("counts_after", lambda x: x.cast("string")), ",").alias("counts_after"),
+        F.array_join("active_candidate_filters", ",").alias("active_candidate_filters"),
+        F.array_join("selected_symbols", ",").alias("selected_symbols"),
+        _cells("current_weights").alias("current_weights"), _cells("target_weights").alias("target_weights"),
+        _cells("executed_weights").alias("executed_weights"), "turnover", "period_return",
+    )
+
+
 def _dynamic(spark, sf):
     feats = _features(spark, sf)
     feats = P.forward_returns(feats, [INTERVAL], ship_dates(spark, sf), column="fwd")
@@ -348,6 +428,14 @@ def queries() -> dict:
     q["rotation_log"] = lambda s, d: _round(
         _log(s, d).select("period", "signal_date", "execution_date", "n_targets", "turnover"), 5
     )
+    q["select_conditions"] = lambda s, d: _round(
+        S.screen(_candidates(s, d)[2], CONDITIONS, _features(s, d)).select("symbol", "date", "score", F.col("failed_at").cast("long").alias("failed_at"))
+    )
+    q["rotation_grid_weights"] = lambda s, d: _round(_grid_targets(s, d)[2].weights.select("variant", "period", "symbol", "weight"))
+    q["rotation_grid_ranges"] = lambda s, d: _round(
+        _grid_ranges(s, d).select("group", "variant", "period", "n", F.log1p("cumulative_return").alias("log_growth"), "annualised_volatility", "max_drawdown"), 4
+    )
+    q["rotation_log_full"] = lambda s, d: _round(_full_log(s, d), 4)
     q["rotation_hold_overlap"] = lambda s, d: _round(
         RO.hold_overlap_weights(_weights(s, d)[2], S.rebalance_dates(ship_dates(s, d), INTERVAL), load_bars(s, d).df, COST)
     )
@@ -486,6 +574,26 @@ def oracle_sql() -> dict[str, str]:
         " sum(abs(coalesce(a.w, 0) - coalesce(b.w, 0))) / 2 AS tv FROM wt a FULL JOIN wt b ON a.symbol = b.symbol AND a.period = b.period + 1 GROUP BY 1) t USING (period)",
         *_wsql(),
     )
+    o["select_conditions"] = sql(f"SELECT symbol, date, {r('score')} AS score, CAST(CASE WHEN NOT coalesce(vr >= 0.5, FALSE) THEN 0 WHEN NOT coalesce(mom > vol * 0.1, FALSE) THEN 1 WHEN NOT coalesce(mom > bm, FALSE) THEN 2 END AS BIGINT) AS failed_at FROM cb", *GRID_SQL[:1])
+    o["rotation_grid_weights"] = sql(f"SELECT v AS variant, CAST(period AS BIGINT) AS period, symbol, {r('w')} AS weight FROM gw", *GRID_SQL)
+    o["rotation_grid_ranges"] = sql(
+        f"SELECT split_part(v, '/', 1) AS \"group\", v AS variant, period, count(*) AS n, {r('sum(ln(1 + ret))', 4)} AS log_growth, {r('stddev_samp(ret) * sqrt(252)', 4)} AS annualised_volatility,"
+        f" {r('abs(min(dd))', 4)} AS max_drawdown FROM gd GROUP BY v, period",
+        *GRID_SQL, *GRID_EQUITY_SQL,
+    )
+    cells = lambda x: f"string_agg(symbol || ':' || CAST(round({x} * 1e4) AS BIGINT), ',' ORDER BY symbol)"
+    o["rotation_log_full"] = sql(
+        "SELECT CAST(r.period AS BIGINT) AS period, r.date AS signal_date, r.execution_date, coalesce(n, 0) AS candidate_count, coalesce(n3, 0) AS filtered_candidate_count,"
+        " n1 || ',' || n2 || ',' || n3 AS counts_after, CASE WHEN n IS NOT NULL THEN 'vr>=0.5,calmer_than_its_return,stronger_than_benchmark' END AS active_candidate_filters, names AS selected_symbols,"
+        f" cells AS current_weights, tw AS target_weights, tw AS executed_weights, {r('CASE WHEN r.period > 0 THEN coalesce(tv, 0) END', 4)} AS turnover, {r('g - 1', 4)} AS period_return FROM reb r"
+        " LEFT JOIN (SELECT date, count(*) AS n, sum(CAST(f1 AS INT)) AS n1, sum(CAST(f1 AND f2 AS INT)) AS n2, sum(CAST(f1 AND f2 AND f3 AS INT)) AS n3 FROM (SELECT date, coalesce(vr >= 0.5, FALSE) AS f1,"
+        " coalesce(mom > vol * 0.1, FALSE) AS f2, coalesce(mom > bm, FALSE) AS f3 FROM cb) GROUP BY date) c USING (date)"
+        f" LEFT JOIN (SELECT period, string_agg(symbol, ',' ORDER BY symbol) AS names, {cells('w')} AS tw FROM g4 GROUP BY period) t USING (period)"
+        f" LEFT JOIN (SELECT date, {cells('x')} AS cells FROM (SELECT h.date, h.symbol, h.v / sum(h.v) OVER (PARTITION BY h.date) AS x FROM (SELECT date, symbol, w * close / eo AS v FROM gh WHERE v = 'strong/top4' AND (e IS NULL OR date < e)) h SEMI JOIN reb USING (date)) GROUP BY date) k USING (date)"
+        " LEFT JOIN (SELECT coalesce(a.period, b.period + 1) AS period, sum(abs(coalesce(a.w, 0) - coalesce(b.w, 0))) / 2 AS tv FROM g4 a FULL JOIN g4 b ON a.symbol = b.symbol AND a.period = b.period + 1 GROUP BY 1) u USING (period)"
+        " LEFT JOIN (SELECT period, g FROM gp WHERE v = 'strong/top4') z USING (period)",
+        *GRID_SQL, "g4 AS MATERIALIZED (SELECT * FROM gw WHERE v = 'strong/top4')", *GRID_EQUITY_SQL,
+    )
     stops = (*_wsql(), *STOP_SQL)
     o["rotation_stop_triggers"] = sql(f"SELECT symbol, CAST(spell AS BIGINT) AS spell, date AS trigger_date, {r('ratio')} AS ratio FROM ff", *stops)
     o["rotation_stop_fills"] = sql(

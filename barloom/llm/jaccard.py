@@ -27,13 +27,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow_rows, on_workers, release, slices, written
+from .shared import arrow_rows, on_workers, release, slices, tidy, written
 from .shingles import batches_of, mix, set_id, shingle_sets
 
 #: Similar: 100 * intersection >= 75 * union.
 PERCENT = 75
 #: Keys that one reducer sorts, about, and holders of a key all paired at once.
 REDUCER_KEYS, FEW = 3_000_000, 12
+#: Entries of a reducer that are ordered at once, about; elements whose entries are
+#: made at once.
+ORDERED, BUNDLE = 750_000, 1 << 19
 #: Buckets of the filter that finds the texts of candidates; a fixed size.
 FILTER = 1 << 22
 #: Sets of a block, elements counted as frequent, matrix columns at a time.
@@ -194,7 +197,7 @@ def _key_blobs(parts: int, only_empty: set[tuple[int, int]] | None = None):
         seen: set[int] = set()
         for batch in slices(batches):
             for _, data, offsets in batches_of(batch.column(0)):
-                sets, nodes = [], []
+                sets, nodes, elements = [], [], 0
                 for s in shingle_sets(data, offsets):
                     node = set_id(s) if len(s) else None
                     # Copies within a task have the same entries.
@@ -202,12 +205,16 @@ def _key_blobs(parts: int, only_empty: set[tuple[int, int]] | None = None):
                         seen.add(node)
                         sets.append(s)
                         nodes.append(node)
+                        elements += len(s)
+                    if elements > BUNDLE:
+                        yield from _bundle(sets, np.array(nodes, np.int64), parts, only_empty)
+                        sets, nodes, elements = [], [], 0
                 if len(seen) > 1 << 18:
                     seen.clear()
-                for lo in range(0, len(sets), 1 << 15):
-                    yield from _bundle(sets[lo : lo + (1 << 15)], np.array(nodes[lo : lo + (1 << 15)], np.int64), parts, only_empty)
+                if sets:
+                    yield from _bundle(sets, np.array(nodes, np.int64), parts, only_empty)
 
-    return run
+    return tidy(run)
 
 
 def _bundle(sets: list[np.ndarray], nodes: np.ndarray, parts: int, only_empty):
@@ -258,19 +265,29 @@ def _meet(few: int):
     partners; sets that were short of segments (kind 2)."""
 
     def part_rows(part: int, rows: list[tuple[bytes, bytes, bytes]]):
+        # The entries stay packed; a share of the keys is unpacked and ordered at a
+        # time, however many a reducer has got.
+        shares = 1 + sum(len(e) // 8 for *_, e in rows) // ORDERED
+        for share in range(shares):
+            yield from share_rows(part, rows, share, shares)
+
+    def share_rows(part: int, rows: list[tuple[bytes, bytes, bytes]], share: int, shares: int):
         nodes, spares, keys, flags = [], [], [], []
         for n, s, e in rows:
             own = np.frombuffer(n, np.int64)
             spare = np.frombuffer(s, "<i2").reshape(2, -1)
             count = len(e) // 8
-            index = np.frombuffer(e, "<u2", count)
-            f = np.frombuffer(e, np.uint8, count, 2 * count)
-            low = np.frombuffer(e, "<u4", count, 3 * count).astype(np.int64)
-            high = np.frombuffer(e, np.uint8, count, 7 * count).astype(np.int64)
+            low = np.frombuffer(e, "<u4", count, 3 * count)
+            at = np.flatnonzero(low % np.uint32(shares) == share) if shares > 1 else slice(None)
+            index = np.frombuffer(e, "<u2", count)[at]
+            f = np.frombuffer(e, np.uint8, count, 2 * count)[at]
+            high = np.frombuffer(e, np.uint8, count, 7 * count)[at].astype(np.int64)
             nodes.append(own[index])
             flags.append(f)
-            keys.append((high << 32) | low)
+            keys.append((high << 32) | low[at].astype(np.int64))
             spares.append(np.where(f & OWN, spare[0][index], spare[1][index]).astype(np.int16))
+        if not sum(map(len, keys)):
+            return
         node, flag, key, spare = map(np.concatenate, (nodes, flags, keys, spares))
         del nodes, flags, keys, spares
         order = np.lexsort((flag, node, key))
@@ -327,7 +344,7 @@ def _meet(few: int):
         if held:
             yield from part_rows(part, held)
 
-    return run
+    return tidy(run)
 
 
 def _filtered(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -384,7 +401,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
 
     joined = likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
     with arrow_rows(texts.sparkSession, PAIR_ROWS):
-        return written(joined.mapInArrow(check, "a long, b long"), "links")
+        return written(joined.mapInArrow(tidy(check), "a long, b long"), "links")
 
 
 def _entries(found: DataFrame) -> DataFrame:
@@ -633,7 +650,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     of any length are read whole."""
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     kind = dict(texts.dtypes)["doc_id"]
-    sets = texts.select("doc_id", "th", "text").mapInArrow(_set_rows, f"doc_id {kind}, th long, node long, n_shingles long, sign binary")
+    sets = texts.select("doc_id", "th", "text").mapInArrow(tidy(_set_rows), f"doc_id {kind}, th long, node long, n_shingles long, sign binary")
     sets = written(sets, "sets")
     # One document stands for each set: the smallest doc_id, then text hash.
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import pickle
 import uuid
+import weakref
 from contextlib import contextmanager
 
 from pyspark import cloudpickle
@@ -57,6 +59,26 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy(work):
+    """The task function, which hands its memory back to the system when it ends:
+    workers live on, and what they once needed would count against the executor."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+    return run
+
+
 def slices(batches, rows: int = 1024):
     """Arrow batches in pieces of so many rows: of what a worker receives at once,
     it unpacks a part at a time."""
@@ -86,11 +108,22 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+_broadcasts: weakref.WeakSet = weakref.WeakSet()
+
+
+def relieve() -> None:
+    """Take the objects of earlier steps from the executors; who still needs one
+    fetches it again."""
+    for held in list(_broadcasts):
+        held.unpersist()
+
+
 def on_workers(spark: SparkSession, made: object):
     """A function that gives the object inside tasks. It is broadcast with its
     class, so workers need not have this package, and a worker keeps it, and what
     it has memorised, from task to task. For objects of bounded size."""
     held = spark.sparkContext.broadcast({"pickled": cloudpickle.dumps(made)})
+    _broadcasts.add(held)
 
     def get():
         value = held.value

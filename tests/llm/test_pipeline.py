@@ -88,3 +88,25 @@ def test_texts_in_unlearned_scripts_go(spark, folder):
     stage = dict(cp.STAGES)["language ID"]
     kept = {r.doc_id for r in stage(spark, docs.unionByName(strange), folder).collect()}
     assert not kept & {700, 701} and {1, 2, 3, 4} <= kept
+
+
+@pytest.mark.parametrize("stage", ["n-gram Jaccard join", "mixing sources to target weights", "language ID"])
+def test_columns_of_any_name_and_long_texts(spark, folder, stage):
+    rnd = random.Random(3)
+    names = ["_th", "_d", "_h", "_key", "_size", "_from", "_to", "_taken", "th", "d", "h", "node", "size", "first", "last", "sid", "start", "of", "epoch"]
+    rows = [(i, prose(rnd, "en", 30), "en", f"s{i % 3}", 1, *[f"{n}{i}" for n in names]) for i in range(40)]
+    long = prose(rnd, "en", 300_000)
+    rows += [(100, long, "en", "s1", len(long), *names), (101, rows[3][1], "en", "s0", 1, *names), (102, None, "en", None, 0, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    got = dict(cp.STAGES)[stage](spark, docs, folder)
+    assert got.columns == docs.columns
+    known = {r.doc_id: r for r in docs.collect()}
+    kept = got.collect()
+    assert all(r[n] == known[r.doc_id][n] for r in kept for n in names)
+    ids = {r.doc_id for r in kept}
+    if stage == "n-gram Jaccard join":
+        assert ids == set(known) - {101} and {r.doc_id: r.text for r in kept}[100] == long
+    elif stage == "language ID":
+        assert ids == set(known) - {102}
+    else:
+        assert 100 in ids and 102 not in ids

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import jaccard, langid, mixing, quality
 from barloom.llm import queries as q
-from barloom.llm.shared import written
+from barloom.llm.shared import relieve, written
 
 #: Least share of a text's letters in its language.
 LEAST_SHARE = 0.5
@@ -29,64 +29,79 @@ def _judged(docs: DataFrame, judge, keep: Column) -> DataFrame:
     return kept.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
+def _row(docs: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
+def _hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages stay: those go that have no
     letter, or no language for at least LEAST_SHARE of their letters."""
+    relieve()
     model = q.language_model(docs)
     return _judged(docs, lambda rows: langid.identify(rows, model), (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay that the quality model finds more likely good than not."""
+    relieve()
     model = q.quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _judged(docs, lambda rows: quality.score(rows, model), F.col("predicted") == 1)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates stays: the one with the
-    smallest doc_id. Documents without words stay all."""
+    smallest doc_id. Documents without words stay all. Columns of any name are
+    carried along."""
+    relieve()
     found = written(jaccard.near_duplicates(docs).filter("n_shingles > 0").select("doc_id", "th", "stays"), "near-duplicates")
-    rows = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    rows = docs.select(_row(docs), "doc_id", _hash().alias("th"))
 
     def without(rows: DataFrame, which: DataFrame, how: str) -> DataFrame:
-        which = which.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h")).distinct()
+        which = which.select(F.col("doc_id").alias("d"), F.col("th").alias("h")).distinct()
         which = F.broadcast(which) if which.count() <= BROADCAST_ROWS else which
-        return rows.join(which, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), how)
+        return rows.join(which, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), how)
 
     rows = without(rows, found.filter("not stays"), "left_anti")
     again = written(found.filter("stays").groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
     if not again.isEmpty():
-        rows = without(rows, again, "left_anti").unionByName(without(rows, again, "left_semi").dropDuplicates(["doc_id", "_th"]))
-    return rows.drop("_th")
+        rows = without(rows, again, "left_anti").unionByName(without(rows, again, "left_semi").dropDuplicates(["doc_id", "th"]))
+    return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: a row for each epoch that takes
     words of it, cut to these words (joined by blanks) if they aren't all.
-    Documents without words aren't taken."""
-    key = F.struct("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"))
-    sizes = q.sized(docs.withColumn("_key", key), "_key").drop("doc_id").withColumnRenamed("_key", "doc_id")
-    made = mixing.mix(sizes, q.WEIGHTS, q.EPOCHS, q.MIX_SEED)
+    Documents without words aren't taken. Columns of any name are carried along."""
+    relieve()
+    # The row travels whole beside columns of our own names, which can't clash.
+    rows = docs.select(_row(docs), F.struct("doc_id", _hash().alias("th")).alias("doc_id"), "source", "text")
+    made = mixing.mix(q.sized(rows), q.WEIGHTS, q.EPOCHS, q.MIX_SEED)
     taken = made.pieces.groupBy("sid", "start", "epoch").agg(
-        F.first("doc_id").alias("_taken"), F.min("from_word").alias("_from"), F.max("to_word").alias("_to"), F.first("size").alias("_size")
+        F.first("doc_id").alias("of"), F.min("from_word").alias("first"), F.max("to_word").alias("last"), F.first("size").alias("size")
     )
-    taken = taken.select("_taken.doc_id", "_taken.th", "_from", "_to", "_size").withColumnsRenamed({"doc_id": "_d", "th": "_h"})
-    rows = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    taken = taken.select(F.col("of.doc_id").alias("d"), F.col("of.th").alias("h"), "first", "last", "size")
+    rows = rows.select("_row", "text", "doc_id.doc_id", "doc_id.th")
     if not made.documents.filter("size > 0").groupBy("doc_id").count().filter("count > 1").isEmpty():
         # Repeated rows share their key; each epoch of each of them is in taken.
-        rows = rows.dropDuplicates(["doc_id", "_th"])
-    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")))
+        rows = rows.dropDuplicates(["doc_id", "th"])
+    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")))
     words = F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
-    part = F.concat_ws(" ", F.slice(words, F.col("_from").cast("int") + 1, (F.col("_to") - F.col("_from")).cast("int")))
-    cut = (F.col("_from") > 0) | (F.col("_to") < F.col("_size"))
+    part = F.concat_ws(" ", F.slice(words, F.col("first").cast("int") + 1, (F.col("last") - F.col("first")).cast("int")))
+    cut = (F.col("first") > 0) | (F.col("last") < F.col("size"))
     rows = rows.withColumn("text", F.when(cut, part).otherwise(F.col("text")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return rows.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document of the mix."""
+    relieve()
     return q.bpe_round_trip(docs)
 
 

@@ -14,6 +14,7 @@ from ..functions.scalar import c, div
 from ..sources.session import cut_lineage
 from .crosssection import position, quantiles
 from .pairs import both_ways
+from .panel import small
 
 
 def connected_components(pairs: DataFrame) -> DataFrame:
@@ -159,6 +160,13 @@ def dominant_share(pairs: DataFrame, n_symbols: int, tolerance: float = 1e-10) -
     return pairs.sparkSession.range(1).select(F.lit(top / n_symbols).alias("dominant_eigenvalue_ratio"))
 
 
+def concentration_score(pairs: DataFrame, n_symbols: int) -> DataFrame:
+    """The dominant share and its product with the mean correlation."""
+    mean = pairs.agg(F.avg("corr").alias("__m"))
+    share = dominant_share(pairs, n_symbols).join(F.broadcast(mean), F.lit(True))
+    return share.withColumn("portfolio_concentration_score", F.col("dominant_eigenvalue_ratio") * F.col("__m")).drop("__m")
+
+
 def distance(corr: str | Column = "corr") -> Column:
     x = F.least(F.greatest(c(corr), F.lit(-1.0)), F.lit(1.0))
     return F.sqrt(F.greatest(1.0 - x, F.lit(0.0)))
@@ -407,9 +415,13 @@ def pair_table(pairs: DataFrame, symbols: DataFrame, threshold: float | None = N
 
 
 def base_conflicts(
-    pairs: DataFrame, base: DataFrame, extensions: DataFrame, threshold: float, lower: float | None = None
+    pairs: DataFrame, base: DataFrame, extensions: DataFrame, threshold: float, lower: float | None = None,
+    metrics: DataFrame | None = None,
 ) -> DataFrame:
-    """For every extension the base symbols it is too close to."""
+    """For every extension the base symbols it is too close to, and how close it is
+    to the base at most and at least; the compatible ones first, then by rising
+    correlation. metrics: (symbol, ...), columns to add. The base is a portfolio:
+    its symbols fit a cell, the extensions may be a universe."""
     full = both_ways(pairs.select("a", "b", "corr"))
     rows = (
         full.join(extensions.select(F.col("symbol").alias("a")), "a", "left_semi")
@@ -417,16 +429,20 @@ def base_conflicts(
     )
     clash = F.when(~compatible("corr", threshold, lower), F.col("b"))
     per = rows.groupBy(F.col("a").alias("symbol")).agg(
-        F.sort_array(F.collect_list(clash)).alias("conflicts"), F.max("corr").alias("max_base_corr")
+        F.sort_array(F.collect_list(clash)).alias("conflicts"), F.max("corr").alias("max_base_corr"), F.min("corr").alias("min_base_corr")
     )
     out = extensions.select("symbol").join(per, "symbol", "left")
     empty = F.array().cast("array<string>")
-    return out.select(
+    out = out.select(
         "symbol",
         F.coalesce("conflicts", empty).alias("conflicts"),
         "max_base_corr",
+        "min_base_corr",
         (F.size(F.coalesce("conflicts", empty)) == 0).alias("compatible_with_base"),
     )
+    if metrics is not None:
+        out = out.join(metrics, "symbol", "left")
+    return out.orderBy(F.col("compatible_with_base").desc(), "max_base_corr", "symbol")
 
 
 def largest_compatible_sets(
@@ -434,8 +450,10 @@ def largest_compatible_sets(
 ) -> DataFrame:
     """The largest sets in which every pair is compatible, as sorted arrays.
 
-    Level-wise: a set grows by one later symbol that is compatible with its
-    last member and, through its neighbour list, with all others.
+    Symbols are numbered by rising degree, so that few follow those with many
+    neighbours. Each has a bitmap of the later ones it is compatible with. A set
+    carries the bitmap of what may extend it: its own and the new member's, and-ed.
+    So a set meets one row per candidate, and no neighbour list travels along edges.
     """
     edges = (
         pairs.filter(compatible("corr", threshold, lower))
@@ -444,19 +462,33 @@ def largest_compatible_sets(
         .select("a", "b")
     )
     edges = cut_lineage(edges)
-    lower_side = edges.groupBy("b").agg(F.collect_list("a").alias("before"))
-    steps = cut_lineage(edges.join(lower_side, "b"))
-    level = symbols.select(F.array("symbol").alias("members")).distinct()
+    degree = edges.select(F.col("a").alias("symbol")).unionByName(edges.select(F.col("b").alias("symbol"))).groupBy("symbol").count()
+    names = symbols.select("symbol").distinct().join(degree, "symbol", "left")
+    order = W.orderBy(F.coalesce("count", F.lit(0)), "symbol")
+    names = cut_lineage(names.select("symbol", (F.row_number().over(order) - 1).alias("v")))
+    n = names.count()
+    words = max(1, -(-n // 64))
+    side = lambda x: names.select(F.col("symbol").alias(x), F.col("v").alias(f"v{x}"))
+    ends = edges.join(side("a"), "a").join(side("b"), "b").select(F.least("va", "vb").alias("v"), F.greatest("va", "vb").alias("u"))
+    bit = F.expr("shiftleft(1L, cast(u % 64 as int))")
+    maps = ends.groupBy("v", F.expr("cast(u div 64 as int)").alias("w")).agg(F.bit_or(bit).alias("bits"))
+    maps = maps.groupBy("v").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("__m"))
+    word = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.coalesce(F.try_element_at("__m", i), F.lit(0).cast("long")))
+    empty = F.array_repeat(F.lit(0).cast("long"), words)
+    vertices = names.join(maps, "v", "left").select("v", "symbol", F.when(F.col("__m").isNull(), empty).otherwise(word).alias("later"))
+    vertices = cut_lineage(vertices)
+    # The bitmaps take n * n / 8 bytes.
+    known = small(vertices, n * words // 8)
+    level = vertices.select(F.array("symbol").alias("members"), F.col("later").alias("open"))
     while True:
-        grown = (
-            level.withColumn("a", F.element_at("members", -1))
-            .join(steps, "a")
-            .filter(F.size(F.array_except("members", "before")) == 0)
-            .select(F.concat("members", F.array("b")).alias("members"))
-        )
+        filled = level.select("members", "open", F.posexplode("open").alias("w", "bits")).filter("bits <> 0")
+        filled = filled.withColumn("i", F.explode(F.expr("filter(sequence(0, 63), i -> getbit(bits, i) = 1)")))
+        filled = filled.select("members", "open", (F.col("w") * 64 + F.col("i")).alias("v"))
+        both = F.zip_with("open", "later", lambda x, y: x.bitwiseAND(y))
+        grown = filled.join(known, "v").select(F.concat("members", F.array("symbol")).alias("members"), both.alias("open"))
         grown = cut_lineage(grown)
         if grown.isEmpty():
-            return level
+            return level.select(F.array_sort("members").alias("members"))
         level = grown
 
 

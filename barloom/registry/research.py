@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions import expansion
 from ..functions.factor import with_factors
 from ..functions.library import expand_transforms, from_recipe, make
 from ..functions.frames import Bars
@@ -104,6 +105,42 @@ def _meta(recipe):
 GRID_NAMES = ("PriceReturn", "KaufmanER", "RSI", "ATR")
 
 
+#: Combinations, conditions and switches over grids of windows and thresholds.
+COMBOS = {
+    "efficient": {"combine": "product", "a": {"factor": "PriceReturn", "params": {"window": {"any": [20, 60]}}}, "b": ER},
+    "spread": {"combine": "diff", "a": PR20, "b": {"factor": "PriceReturn", "params": {"window": 60}}},
+}
+CONDITIONALS = (
+    {"signal": {"any": [PR20, VOL]}, "when": [{"factor": ER, "op": {"any": ["gt", "lte"]}, "threshold": {"any": [0.05, 0.1]}}], "false_value": {"any": ["nan"]}},
+    {"signal": {"ref": "spread"}, "when": [{"factor": ER, "op": "gt", "threshold": 0.05}, {"factor": VOL, "op": "lt", "threshold": 1.5}], "logic": "or"},
+    {"switch": {"ref": "efficient"}, "else": VOL, "when": [{"factor": ER, "op": "gte", "threshold": 0.1}], "false_negate": True},
+)
+
+
+def _expansion(s, d):
+    fs = expansion.expand_all((), COMBOS, CONDITIONALS)
+    long = expansion.evaluate(load_bars(s, d), fs, most=12)
+    return _round(long.groupBy("factor_name").agg(F.count("factor").alias("n"), F.avg("factor").alias("mean")), 4)
+
+
+def _expansion_sql() -> str:
+    pr, er, vol = "PriceReturn_20", "KaufmanER_20", "Volatility_20"
+    wide = {"20": "x", "60": "x60"}
+    cols = {f"PriceReturn_{n}__product_{er}": f"{x} * er" for n, x in wide.items()}
+    spread = f"{pr}__diff_PriceReturn_60"
+    cols[spread] = "x - x60"
+    for name, x in ((pr, "x"), (vol, "vol")):
+        for op, sign in (("gt", ">"), ("lte", "<=")):
+            for cut in (0.05, 0.1):
+                cols[f"{name}__if_{er}_{op}_{cut}"] = f"CASE WHEN er {sign} {cut} THEN {x} END"
+    cols[f"{spread}__if_{er}_gt_0.05_or_{vol}_lt_1.5"] = "CASE WHEN coalesce(er > 0.05, FALSE) OR coalesce(vol < 1.5, FALSE) THEN x - x60 END"
+    for n, x in wide.items():
+        cols[f"PriceReturn_{n}__product_{er}__if_{er}_gte_0.1__else_{vol}_neg"] = f"CASE WHEN er >= 0.1 THEN {x} * er ELSE -vol END"
+    ctes, last = staged(_M, _M2)
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS factor_name, count({e}) AS n, {r(f'avg({e})', 4)} AS mean FROM z" for n, e in cols.items())
+    return f"WITH {BARS},\n{S0}{ctes},\nz AS MATERIALIZED (SELECT x, x60, vol, er FROM {last})\n{rows}"
+
+
 def _expanded(s, d):
     """The whole expansion as one job: wide in the pass, long at the end."""
     fs = expand_transforms(GRID_NAMES, param_grids={"PriceReturn": {"window": [20, 60]}})
@@ -316,6 +353,7 @@ def _stream_signals(s, d):
 def queries() -> dict:
     q = {f"meta_{k}": _meta(v) for k, v in RECIPES.items()}
     q["meta_expanded_grid"] = _expanded
+    q["meta_expansion"] = _expansion
     q["universe_return_correlation"] = lambda s, d: _round(_pairs(s, d))
     q["universe_common_window_correlation"] = lambda s, d: _round(
         PR.correlation_pairs(PR.log_returns(PR.common_dates(demo.weekly(s, d)))), 5
@@ -336,6 +374,7 @@ def queries() -> dict:
         )
     )
     q["universe_concentration"] = lambda s, d: _round(U.concentration(_pairs(s, d), load_bars(s, d).symbols))
+    q["universe_concentration_score"] = lambda s, d: _round(U.concentration_score(_pairs(s, d), load_bars(s, d).symbols))
     q["universe_dominant_share"] = lambda s, d: _round(U.dominant_share(_pairs(s, d), load_bars(s, d).symbols))
     q["universe_threshold_clusters"] = lambda s, d: U.threshold_clusters(_pairs(s, d, min_corr=1 - 0.98**2), _symbols(s, d), 0.98)
     q["universe_neighbour_distances"] = lambda s, d: _round(_kdist(s, d))
@@ -599,6 +638,18 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT {r('avg(corr)')} AS average_pairwise_correlation, {r('max(corr)')} AS max_pairwise_correlation, {r('min(corr)')} AS min_pairwise_correlation,"
         f" {r('(SELECT count(*) FROM sy) * (SELECT count(*) FROM sy) / ((SELECT count(*) FROM sy) + 2 * sum(corr * corr))')} AS effective_diversification_number FROM cp", *cp
     )
+    powers = (
+        "mr AS (SELECT x.symbol AS s, list(CASE WHEN x.symbol = y.symbol THEN 1.0 ELSE coalesce(cb.corr, 0.0) END ORDER BY y.symbol) AS r FROM sy x CROSS JOIN sy y LEFT JOIN cb ON cb.a = x.symbol AND cb.b = y.symbol GROUP BY 1)",
+        "mx AS MATERIALIZED (SELECT list(r ORDER BY s) AS m, count(*) AS n FROM mr)",
+        "pw AS (SELECT 0 AS k, list_transform(range(n), lambda i: 1.0::DOUBLE + i * 0.01) AS v, 0.0::DOUBLE AS top FROM mx UNION ALL"
+        " SELECT k + 1, list_transform(y, lambda x: x / sqrt(list_dot_product(y, y))), sqrt(list_dot_product(y, y))"
+        " FROM (SELECT k, list_transform(m, lambda r: list_dot_product(r, v)) AS y FROM pw CROSS JOIN mx WHERE k < 4000))",
+        "tp AS (SELECT top / n AS share FROM pw CROSS JOIN mx WHERE k = 4000)",
+    )
+    o["universe_dominant_share"] = usql(f"SELECT {r('share')} AS dominant_eigenvalue_ratio FROM tp", *cp, *powers)
+    o["universe_concentration_score"] = usql(
+        f"SELECT {r('share')} AS dominant_eigenvalue_ratio, {r('share * (SELECT avg(corr) FROM cp)')} AS portfolio_concentration_score FROM tp", *cp, *powers
+    )
     o["universe_threshold_clusters"] = usql(
         "SELECT sy.symbol, coalesce(component, sy.symbol) AS cluster FROM sy LEFT JOIN cm USING (symbol)", *cp, *_components("sqrt(greatest(1 - corr, 0)) < 0.98")
     )
@@ -645,7 +696,7 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT a AS left_symbol, b AS right_symbol, {r('corr')} AS correlation, corr < 0.02 AND corr > -0.05 AS passes_threshold FROM cp", *cp
     )
     o["universe_base_conflicts"] = usql(
-        f"SELECT a AS symbol, coalesce(string_agg(CASE WHEN corr >= 0.02 THEN b END, ',' ORDER BY b), '') AS conflicts, {r('max(corr)')} AS max_base_corr, count(CASE WHEN corr >= 0.02 THEN 1 END) = 0 AS compatible_with_base"
+        f"SELECT a AS symbol, coalesce(string_agg(CASE WHEN corr >= 0.02 THEN b END, ',' ORDER BY b), '') AS conflicts, {r('max(corr)')} AS max_base_corr, {r('min(corr)')} AS min_base_corr, count(CASE WHEN corr >= 0.02 THEN 1 END) = 0 AS compatible_with_base"
         " FROM cb WHERE b IN ('Brand#1', 'Brand#2') AND a NOT IN ('Brand#1', 'Brand#2') GROUP BY a", *cp
     )
     cliques = (
@@ -769,7 +820,10 @@ def oracle_sql() -> dict[str, str]:
     o["join_held"] = usql("SELECT symbol, date FROM bars JOIN lb USING (symbol) WHERE cluster = 1", SYMS, LABELS)
     o["join_not_held"] = usql("SELECT symbol, date FROM bars JOIN lb USING (symbol) WHERE cluster <> 1", SYMS, LABELS)
     o["join_keep_symbols"] = usql("SELECT symbol, date FROM bars WHERE symbol IN (SELECT symbol FROM bars GROUP BY 1 HAVING count(*) >= 1550)")
-    o["join_keep_where_any"] = usql("SELECT symbol, date FROM bars WHERE symbol IN (SELECT symbol FROM bars WHERE volume > 150)")
+    o["join_keep_where_any"] = (
+        "SELECT symbol, date FROM (SELECT symbol, date, max(v) OVER (PARTITION BY symbol) AS m FROM"
+        " (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)) WHERE m > 150"
+    )
     o["join_symbol_predicate"] = usql("SELECT symbol, count(*) > 1550 AND max(volume) > 150 AS keep, CAST(NULL AS VARCHAR) AS error FROM bars GROUP BY symbol")
     o["join_parameter_grid"] = usql(
         f"SELECT symbol, CAST(k AS BIGINT) AS k, {r('avg(close * w)', 4)} AS m FROM bars CROSS JOIN (VALUES (1, 0.5::DOUBLE), (2, 1.5::DOUBLE)) g(k, w) GROUP BY 1, 2"
@@ -845,6 +899,7 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(ts AS DATE) AS start, {r('arg_min(value, (ts, event_id))', 4)} AS open, {r('max(value)', 4)} AS high, {r('min(value)', 4)} AS low, {r('arg_max(value, (ts, event_id))', 4)} AS close,"
         f" {r('count(*)', 4)} AS volume, {r('sum(value)', 4)} AS value FROM events WHERE value > 0 GROUP BY user_id, CAST(ts AS DATE)"
     )
+    o["meta_expansion"] = _expansion_sql()
     o["bars_store_upsert"], o["ticks_stream_store"] = o["bars_upsert"], o["ticks_to_bars"]
     o["ticks_signal_stream"] = (
         f"SELECT symbol, date, {r('(close - lag(close, 5) OVER w) / lag(close, 5) OVER w')} AS signal FROM (SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(ts AS DATE) AS date, arg_max(value, (ts, event_id)) AS close"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -213,16 +213,66 @@ def latest_values(bars: DataFrame, columns: Sequence[str]) -> DataFrame:
     return bars.groupBy("symbol").agg(last.alias("x")).select("symbol", "x.*")
 
 
-def summary_of_reports(reports: DataFrame) -> DataFrame:
-    """The latest report per factor, nested figures as columns.
-
-    reports: (factor_name, report_date, ic map<string, struct>, ...) as read
-    from JSON files.
-    """
-    latest = reports.groupBy("factor_name").agg(
-        F.max_by(F.struct(*[c(x) for x in reports.columns]), "report_date").alias("x")
-    )
-    return latest.select("x.*")
+#: Figures of the index: column -> path in a report.
+INDEX_FIGURES = {
+    "factor_type": ("$.meta.factor_type", "string"),
+    "analysis_date": ("$.meta.analysis_date", "string"),
+    "n_symbols": ("$.panel_summary.n_symbols", "long"),
+    "start_date": ("$.panel_summary.start_date", "string"),
+    "end_date": ("$.panel_summary.end_date", "string"),
+    "coverage_mean": ("$.panel_summary.coverage_mean", "double"),
+    "longshort_sharpe_5d": ('$.layer3_grouping["5"].longshort.sharpe', "double"),
+}
+#: Groups of figures by period: prefix -> path of the periods.
+INDEX_PERIODS = {"ic_rank": "rank_ic", "ic_pearson": "pearson_ic", "top_ic": "top_ic"}
+PERCENTILES = ("p5", "p10", "p25", "p50", "p75", "p90", "p95")
+
+
+def read_report_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, factor_name, report) of every JSON report below path, the report as
+    a variant: reports of any layout share a column. The factor is the one the
+    report names, or else its folder; files that are no JSON objects are left out."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("ignoreMissingFiles", True).text(path)
+    docs = files.select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("report"))
+    docs = docs.filter(F.schema_of_variant("report").startswith("OBJECT"))
+    folder = F.url_decode(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
+    named = F.try_variant_get("report", "$.meta.factor_name", "string")
+    return docs.select("path", F.coalesce(named, folder).alias("factor_name"), "report")
+
+
+def latest_reports(documents: DataFrame) -> DataFrame:
+    """The newest report of every factor: by its date, then by its file's name.
+    Names and dates are compared first, reports themselves move once."""
+    date = F.try_variant_get("report", "$.meta.analysis_date", "string")
+    order = F.struct(F.coalesce(date, F.lit("")).alias("d"), "path")
+    newest = documents.groupBy("factor_name").agg(F.max(order).alias("o")).select(F.col("o.path").alias("path"))
+    return documents.join(newest, "path", "left_semi")
+
+
+def report_index(documents: DataFrame, periods: Sequence[int] = (5, 10, 20, 60)) -> DataFrame:
+    """A row per factor from its newest report: what INDEX_FIGURES names, mean and
+    ir of each kind of IC per period, and the mean over dates of the daily
+    percentiles. What a layout doesn't hold is missing."""
+    latest = latest_reports(documents)
+    figures = {k: (p, t) for k, (p, t) in INDEX_FIGURES.items()}
+    for prefix, key in INDEX_PERIODS.items():
+        for period in periods:
+            for x in ("mean", "ir"):
+                figures[f"{prefix}_{period}_{x}"] = (f'$.layer2_predictive.{key}["{period}"].{x}', "double")
+    rows = latest.select("factor_name", *[F.try_variant_get("report", p, t).alias(k) for k, (p, t) in figures.items()])
+    return rows.join(percentile_means(latest), "factor_name", "left")
+
+
+def percentile_means(documents: DataFrame) -> DataFrame:
+    """(factor_name, p5 ... p95): the mean over dates of each daily percentile, from
+    reports that list the dates' figures and from those that key them by date."""
+    at = "$.layer1_quality.daily_percentiles"
+    listed = F.try_variant_get("report", at, "array<map<string,double>>")
+    keyed = F.map_values(F.try_variant_get("report", at, "map<string,map<string,double>>"))
+    days = documents.select("factor_name", F.explode(F.coalesce(listed, keyed)).alias("day"))
+    values = days.select("factor_name", F.explode("day").alias("name", "x")).filter(~F.isnan("x"))
+    name = F.lower("name")
+    return values.groupBy("factor_name").agg(*[F.avg(F.when(name == p, F.col("x"))).alias(p) for p in PERCENTILES])
 
 
 def variant_rows(variants: Sequence[Mapping]) -> list[dict]:

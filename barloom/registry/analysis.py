@@ -9,7 +9,7 @@ from ..functions.library import make, param_grid
 from ..functions.scalar import c, rounded
 from ..operators import grouping, panel as P, predictive, quality
 from ..operators.crosscorr import pair_correlations
-from ..plans.trend_scan import cross_section_ic, symbol_rows, summarize
+from ..plans.trend_scan import cross_section_ic, summarize, symbol_rows, with_cross_section
 from ..sources.demo import load_bars, ship_dates
 from .flagship import rank_ic_weekly
 from .sqlbase import BARS, S0, r
@@ -207,6 +207,11 @@ def _scan(spark, sf):
     return symbol_rows(load_bars(spark, sf), *SCAN, min_valid_samples=100)
 
 
+def _summary_with_ic(spark, sf):
+    rows, eligible = _scan(spark, sf)
+    return with_cross_section(summarize(rows), cross_section_ic(eligible, 3))
+
+
 def _scan_sql(body: str) -> str:
     parts = []
     for n in SCAN[0]:
@@ -313,6 +318,7 @@ def queries() -> dict:
     q["corr_factor_pairs"] = lambda s, d: _round(_corr_pairs(s, d))
     q["scan_symbol_rows"] = lambda s, d: _round(_scan(s, d)[0], 5)
     q["scan_summary"] = lambda s, d: _round(summarize(_scan(s, d)[0]), 5)
+    q["scan_summary_with_ic"] = lambda s, d: _round(_summary_with_ic(s, d), 5)
     q["scan_cross_section_ic"] = lambda s, d: _round(cross_section_ic(_scan(s, d)[1], 3))
     return q
 
@@ -485,4 +491,8 @@ def oracle_sql() -> dict[str, str]:
         " (SELECT formation_window, holding_window, date, CASE WHEN stddev_samp(r2) * stddev_samp(fwd) > 0 THEN corr(r2, fwd) END AS ic FROM sl"
         " JOIN sr USING (symbol, formation_window, holding_window) WHERE eligible GROUP BY ALL HAVING count(*) >= 3) GROUP BY ALL"
     )
+    o["scan_summary_with_ic"] = (
+        "SELECT s.*, " + ", ".join(f"{r(x, 5)} AS {x}" for x in ("mean_daily_xs_ic", "positive_share")) + ", valid_dates, eligible_dates"
+        f" FROM ({o['scan_summary']}) s LEFT JOIN ({o['scan_cross_section_ic']}) x USING (formation_window, holding_window)"
+    )
     return o

@@ -508,6 +508,11 @@ def queries() -> dict:
     q["corr_store_changed_factor"] = lambda s, d: _round(_store_changed_factor(s, d))
     q["corr_store_changed_bars"] = lambda s, d: _round(_store_changed_bars(s, d))
     q["corr_incremental_update"] = lambda s, d: _round(_incremental(s, d))
+    q["bars_written"] = lambda s, d: _round(_bars_on_disk(s, d))
+    q["bars_dimension"] = _dimension
+    q["report_files"] = _report_files
+    q["report_tagged_logs"] = _tagged_logs
+    q["report_index"] = lambda s, d: _round(_report_index(s, d))
     q["report_catalogue"] = lambda s, d: _round(reports.query_catalogue(_catalogue(s, d), search="vol", page_size=3))
     q["report_factor_run"] = lambda s, d: _round(headline(run_factor_analysis(
         load_bars(s, d), make("PriceReturn", window=20), (1, 5), 5, top_pct=0.5, dates=ship_dates(s, d)
@@ -574,6 +579,72 @@ def _store_changed_bars(s, d):
     return _store_run(s, d, path).pairs
 
 
+def _written_reports(s, d):
+    """Two reports per factor in two layouts, as text files of one JSON object. The
+    newer one of the factors whose names end in _20 keys its percentiles by date, the
+    other ones' lists them; an older report with other figures lies beside it."""
+    path = shared_path(s, "reports")
+    ic = _catalogue(s, d).select("factor_name", "ic_mean", "ic_ir")
+    share = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
+    days = load_bars(s, d).df.groupBy(F.year("date").cast("string").alias("day")).agg(F.expr(f"percentile(close, array({', '.join(map(str, share))}))").alias("q"))
+    at = {f"p{int(x * 100)}": F.col("q")[i] for i, x in enumerate(share)}
+    upper = F.struct(*[at[p].alias(p.upper()) for p in ("p5", "p25", "p50", "p75", "p95")])
+    lower = F.create_map(*[v for p in ("p10", "p25", "p50", "p75", "p90") for v in (F.lit(p), at[p])])
+    found = days.agg(F.collect_list(upper).alias("listed"), F.map_from_entries(F.collect_list(F.struct("day", lower))).alias("keyed"))
+
+    def report(rows, day, scale, layer1):
+        stats = F.create_map(F.lit("5"), F.struct((F.col("ic_mean") * scale).alias("mean"), F.col("ic_ir").alias("ir")))
+        body = F.struct(
+            F.struct("factor_name", F.lit(day).alias("analysis_date")).alias("meta"),
+            F.struct(stats.alias("rank_ic")).alias("layer2_predictive"), F.struct(layer1.alias("daily_percentiles")).alias("layer1_quality"),
+        )
+        out = rows.join(F.broadcast(found), F.lit(True)).select(F.col("factor_name").alias("folder"), F.to_json(body).alias("value"))
+        out.write.mode("append").partitionBy("folder").text(path)
+
+    ends = F.col("factor_name").endswith("_20")
+    report(ic.filter(ends), "2021-01-02", 1, F.col("keyed"))
+    report(ic.filter(ends), "2020-01-02", 7, F.col("listed"))
+    report(ic.filter(~ends), "2021-01-02", 1, F.col("listed"))
+    report(ic.filter(~ends), "2020-01-02", 7, F.col("keyed"))
+    return path
+
+
+def _report_index(s, d):
+    rows = reports.report_index(reports.read_report_documents(s, _written_reports(s, d)), (5,))
+    return rows.select("factor_name", "analysis_date", "ic_rank_5_mean", "ic_rank_5_ir", *reports.PERCENTILES)
+
+
+def _bars_on_disk(s, d):
+    """Bars with a factor, a folder per symbol, read again."""
+    path, f = shared_path(s, "bars-by-symbol"), make("Volatility")
+    B.write_bars(with_factors(load_bars(s, d), [f]).df, path, min_rows=1550)
+    return s.read.parquet(path).select("symbol", "date", "volume", c(f.name).alias("value"))
+
+
+def _dimension(s, d):
+    path = shared_path(s, "nations")
+    rows = table(s, d, "nation").select(F.col("n_nationkey").alias("symbol"), "n_name", F.when(F.col("n_regionkey") < 2, " Yes ").otherwise("no").alias("enabled"))
+    rows.write.option("header", True).csv(path)
+    return B.read_dimension(s, path, enabled="enabled").select("symbol", "n_name")
+
+
+def _report_files(s, d):
+    """Nested rows as JSON reports and read again."""
+    path = shared_path(s, "symbol-reports")
+    rows = load_bars(s, d).df.groupBy("symbol").agg(F.struct(F.count(F.lit(1)).alias("n"), F.max("date").cast("string").alias("last")).alias("figures"), F.max(F.when(F.col("volume") > 150, F.col("volume"))).alias("peak"))
+    B.write_report(rows, path)
+    return B.read_reports(s, path).select("symbol", F.col("figures.n").alias("n"), "figures.last", F.col("peak").cast("double").alias("peak"))
+
+
+def _tagged_logs(s, d):
+    """Logs of runs in folders named by group and grid."""
+    path = shared_path(s, "logs")
+    number = F.regexp_extract("symbol", r"(\d+)", 1)
+    rows = load_bars(s, d).df.groupBy(number.alias("brand"), F.year("date").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    rows.write.option("header", True).partitionBy("brand", "y").csv(path)
+    return B.read_tagged_logs(s, path, r"brand=([^/]+)/y=(\d+)/", ["group", "grid"]).select("group", "grid", F.col("n").cast("long").alias("n"))
+
+
 def _incremental(s, d):
     first = _corr_pairs(s, d, [("PriceReturn_20", "Volatility_20"), ("PriceReturn_20", "VolumeRatio_5"), ("Volatility_20", "VolumeRatio_5")])
     fs = [make("PriceReturn", window=20), make("Volatility"), make("VolumeRatio"), make("KaufmanER")]
@@ -846,6 +917,19 @@ def oracle_sql() -> dict[str, str]:
         " SELECT st.factor_name, st.date, st.x, n.close / st.close - 1 AS y FROM st JOIN z n ON n.symbol = st.symbol AND n.t = st.t + 5 WHERE st.x IS NOT NULL)) GROUP BY 1, 2)"
         " WHERE contains(lower(factor_name), 'vol') GROUP BY 1"
     )
+    o["bars_written"] = usql(f"SELECT symbol, date, volume, {r(full('stddev_samp', 'ret', 20))} AS value FROM s0 WHERE symbol IN (SELECT symbol FROM bars GROUP BY 1 HAVING count(*) >= 1550)")
+    o["bars_dimension"] = "SELECT lpad(CAST(n_nationkey AS VARCHAR), 6, '0') AS symbol, n_name FROM nation WHERE n_regionkey < 2"
+    o["report_files"] = usql("SELECT symbol, count(*) AS n, CAST(max(date) AS VARCHAR) AS last, CAST(max(CASE WHEN volume > 150 THEN volume END) AS DOUBLE) AS peak FROM bars GROUP BY symbol")
+    o["report_tagged_logs"] = usql("SELECT regexp_extract(symbol, '(\\d+)', 1) AS \"group\", CAST(year(date) AS VARCHAR) AS grid, count(*) AS n FROM bars GROUP BY 1, 2")
+    marks = {"p5": 0.05, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
+    both = {p: p if p in ("p25", "p50", "p75") else f"CASE WHEN {'NOT ' if p in ('p5', 'p95') else ''}ends_with(factor_name, '_20') THEN {p} END" for p in marks}
+    o["report_index"] = (
+        f"WITH {BARS},\npy AS (SELECT {', '.join(f'quantile_cont(close, {x}) AS {p}' for p, x in marks.items())} FROM bars GROUP BY year(date)),\n"
+        f"pm AS (SELECT {', '.join(f'avg({p}) AS {p}' for p in marks)} FROM py)\n"
+        f"SELECT factor_name, '2021-01-02' AS analysis_date, ic_mean AS ic_rank_5_mean, ic_ir AS ic_rank_5_ir, {', '.join(f'{r(x)} AS {p}' for p, x in both.items())} FROM ("
+        + o["report_catalogue"].replace(" WHERE contains(lower(factor_name), 'vol') GROUP BY 1", " GROUP BY 1")
+        + ") CROSS JOIN pm"
+    )
     from .strategy import SCALED, timing_sql
 
     o["report_compare_strategies"] = timing_sql(

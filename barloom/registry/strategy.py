@@ -351,6 +351,16 @@ def _cells(x):
     return F.array_join(F.transform(F.array_sort(F.map_entries(x)), lambda e: F.concat(e["key"], F.lit(":"), F.round(e["value"] * 1e4).cast("long"))), ",")
 
 
+TRIMS = (0.1, 0.25)
+
+
+def _trimmed(spark, sf):
+    """How many candidates each pair of trims leaves, all pairs in one plan."""
+    feats, reb = _features(spark, sf), S.rebalance_dates(ship_dates(spark, sf), INTERVAL)
+    variants = {f.name: {"score": "mom", "rank_filters": (f,), "top_n": 1_000_000} for f in S.make_rank_filters("vol", TRIMS)}
+    return variant_targets(feats, reb, variants).weights.groupBy("variant").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _full_log(spark, sf):
     feats, reb, made = _grid_targets(spark, sf)
     one = made.weights.filter("variant = 'strong/top4'"), made.counts.filter("variant = 'strong/top4'")
@@ -431,6 +441,7 @@ def queries() -> dict:
     q["select_conditions"] = lambda s, d: _round(
         S.screen(_candidates(s, d)[2], CONDITIONS, _features(s, d)).select("symbol", "date", "score", F.col("failed_at").cast("long").alias("failed_at"))
     )
+    q["select_rank_filter_grid"] = _trimmed
     q["rotation_grid_weights"] = lambda s, d: _round(_grid_targets(s, d)[2].weights.select("variant", "period", "symbol", "weight"))
     q["rotation_grid_ranges"] = lambda s, d: _round(
         _grid_ranges(s, d).select("group", "variant", "period", "n", F.log1p("cumulative_return").alias("log_growth"), "annualised_volatility", "max_drawdown"), 4
@@ -575,6 +586,11 @@ def oracle_sql() -> dict[str, str]:
         *_wsql(),
     )
     o["select_conditions"] = sql(f"SELECT symbol, date, {r('score')} AS score, CAST(CASE WHEN NOT coalesce(vr >= 0.5, FALSE) THEN 0 WHEN NOT coalesce(mom > vol * 0.1, FALSE) THEN 1 WHEN NOT coalesce(mom > bm, FALSE) THEN 2 END AS BIGINT) AS failed_at FROM cb", *GRID_SQL[:1])
+    sides = (0.0, *TRIMS)
+    o["select_rank_filter_grid"] = sql(
+        " UNION ALL ".join(f"SELECT 'rank_vol_trim_b{lo}_a{hi}' AS variant, count(*) AS n FROM k1 WHERE pct_k1 > {lo} AND pct_k1 <= {1 - hi}" for lo in sides for hi in sides if lo + hi > 0),
+        _pct("vol", "cand", "k1"),
+    )
     o["rotation_grid_weights"] = sql(f"SELECT v AS variant, CAST(period AS BIGINT) AS period, symbol, {r('w')} AS weight FROM gw", *GRID_SQL)
     o["rotation_grid_ranges"] = sql(
         f"SELECT split_part(v, '/', 1) AS \"group\", v AS variant, period, count(*) AS n, {r('sum(ln(1 + ret))', 4)} AS log_growth, {r('stddev_samp(ret) * sqrt(252)', 4)} AS annualised_volatility,"

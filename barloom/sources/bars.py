@@ -257,8 +257,10 @@ def write_report(df: DataFrame, path: str, fmt: str = "json", mode: str = "overw
     df.select(*flat).write.mode(mode).option("header", True).csv(path)
 
 
-def read_reports(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    reader = spark.read.option("multiLine", True).option("recursiveFileLookup", True)
+def read_reports(spark: SparkSession, path: str, schema: T.StructType | None = None, whole_files: bool = False) -> DataFrame:
+    """Reports as `write_report` leaves them, a row per line; or, with whole_files,
+    files of one object over many lines each."""
+    reader = spark.read.option("multiLine", whole_files).option("recursiveFileLookup", True)
     return (reader.schema(schema) if schema else reader).json(path).withColumn("path", F.input_file_name())
 
 

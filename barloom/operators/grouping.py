@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.frames import Bars
 from ..functions.scalar import div
-from .crosssection import quantile_group
+from .crosssection import avg_rank, quantile_group
 from .performance import return_metrics
 
 
@@ -104,3 +105,55 @@ def monotonicity(long: DataFrame) -> DataFrame:
         .otherwise("none")
         .alias("monotonic_direction"),
     )
+
+
+def trend_test(long: DataFrame) -> DataFrame:
+    """Rank trend of the returns over the ordered groups: of all pairs of a lower
+    and a higher group's returns, how many rise (equal ones count half), its
+    standard score with the variance corrected for ties, and the two-sided normal
+    probability. A row of nulls where fewer than two groups have returns.
+
+    Pairs are not formed: each group is ranked among itself and those below it, and
+    its rank sum gives the number of its rising pairs. A ranking holds a row per
+    date and group."""
+    rows = long.filter(F.col("ret").isNotNull()).select(F.col("group").cast("int").alias("g"), "ret")
+    groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    every = groups.agg(F.sort_array(F.collect_list("g")).alias("__all"))
+    among = rows.join(F.broadcast(every), F.lit(True)).withColumn("h", F.explode(F.filter("__all", lambda h: h >= F.col("g"))))
+    ranked = avg_rank(among.drop("__all"), ["h"], "ret", "__r", True)
+    n = F.col("n").cast("double")
+    rising = ranked.filter("g = h").groupBy("h").agg(F.sum("__r").alias("__s"), F.count(F.lit(1)).alias("n"))
+    rising = rising.agg(F.sum(F.col("__s") - n * (n + 1) / 2).alias("rising"))
+    t = F.col("t").cast("double")
+    tied = rows.groupBy("ret").agg(F.count(F.lit(1)).alias("t"))
+
+    def sums(x: Column, name: str) -> list[Column]:
+        parts = (x * (x - 1) * (2 * x + 5), x * (x - 1) * (x - 2), x * (x - 1))
+        return [F.sum(p).alias(f"{name}{i}") for i, p in enumerate(parts)]
+
+    totals = groups.agg(F.sum(n).alias("m"), F.sum(n * n).alias("squares"), F.count(F.lit(1)).alias("k"), *sums(n, "n"))
+    row = totals.join(F.broadcast(tied.agg(*sums(t, "t"))), F.lit(True)).join(F.broadcast(rising), F.lit(True))
+    m = F.col("m")
+    spread = (
+        (m * (m - 1) * (2 * m + 5) - F.col("n0") - F.col("t0")) / 72
+        + F.coalesce(div(F.col("n1") * F.col("t1"), 36 * m * (m - 1) * (m - 2)), F.lit(0.0))
+        + F.coalesce(div(F.col("n2") * F.col("t2"), 8 * m * (m - 1)), F.lit(0.0))
+    )
+    row = row.withColumn("z", F.when(spread > 0, (F.col("rising") - (m * m - F.col("squares")) / 4) / F.sqrt(spread)))
+    usable = F.col("k") >= 2
+    return row.select(
+        F.when(usable, F.col("rising")).alias("jt_statistic"), F.when(usable, F.col("z")).alias("jt_z"),
+        F.when(usable, normal_tails("z")).alias("jt_pvalue"),
+    )
+
+
+def normal_tails(z: str) -> Column:
+    """Probability of a standard normal value at least as far out on either side;
+    the usual rational approximation of the error function (error below 2e-7)."""
+    x = F.abs(F.col(z)) / math.sqrt(2.0)
+    t = 1.0 / (1.0 + 0.3275911 * x)
+    # Coefficients of the approximation.
+    series = F.lit(0.0)
+    for a in (1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592):
+        series = (series + a) * t
+    return series * F.exp(-x * x)

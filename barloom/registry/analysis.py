@@ -315,6 +315,9 @@ def queries() -> dict:
         )
     )
     q["group_monotonicity"] = lambda s, d: _round(grouping.monotonicity(grouping.quantile_returns(_with_fwd(s, d))))
+    q["group_trend_test"] = lambda s, d: _round(
+        grouping.trend_test(grouping.quantile_returns(_with_fwd(s, d)).withColumn("ret", F.round("ret", 7))), 4
+    )
     q["corr_factor_pairs"] = lambda s, d: _round(_corr_pairs(s, d))
     q["scan_symbol_rows"] = lambda s, d: _round(_scan(s, d)[0], 5)
     q["scan_summary"] = lambda s, d: _round(summarize(_scan(s, d)[0]), 5)
@@ -473,6 +476,15 @@ def oracle_sql() -> dict[str, str]:
         *g5,
         "md AS (SELECT date, list(ret ORDER BY grp) FILTER (ret IS NOT NULL) AS v FROM qr GROUP BY date)",
     )
+    o["group_trend_test"] = panel_sql(
+        f"SELECT {r('j', 4)} AS jt_statistic, {r('z', 4)} AS jt_z, {r('(((((1.061405429 * t - 1.453152027) * t) + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-z * z / 2)', 4)} AS jt_pvalue"
+        " FROM (SELECT j, z, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM (SELECT j, (j - (m * m - sq) / 4) / sqrt((m * (m - 1) * (2 * m + 5) - n0 - t0) / 72 + n1 * t1 / (36 * m * (m - 1) * (m - 2)) + n2 * t2 / (8 * m * (m - 1))) AS z"
+        " FROM (SELECT sum(CASE WHEN a.x < b.x THEN 1.0 WHEN a.x = b.x THEN 0.5 ELSE 0.0 END) AS j FROM rd a JOIN rd b ON a.grp < b.grp)"
+        " CROSS JOIN (SELECT sum(n) AS m, sum(n * n) AS sq, sum(n * (n - 1) * (2 * n + 5)) AS n0, sum(n * (n - 1) * (n - 2)) AS n1, sum(n * (n - 1)) AS n2 FROM (SELECT count(*)::DOUBLE AS n FROM rd GROUP BY grp))"
+        " CROSS JOIN (SELECT sum(n * (n - 1) * (2 * n + 5)) AS t0, sum(n * (n - 1) * (n - 2)) AS t1, sum(n * (n - 1)) AS t2 FROM (SELECT count(*)::DOUBLE AS n FROM rd GROUP BY x))))",
+        *g5,
+        "rd AS MATERIALIZED (SELECT grp, round(ret, 7) AS x FROM qr WHERE ret IS NOT NULL)",
+    )
     o["corr_factor_pairs"] = _corr_sql(f"SELECT a, b, {rounds('mean_corr', 'std_corr')}, n_dates FROM pc")
     o["scan_symbol_rows"] = _scan_sql(
         "SELECT symbol, CAST(formation_window AS BIGINT) AS formation_window, CAST(holding_window AS BIGINT) AS holding_window, valid_pair_count, eligible,"

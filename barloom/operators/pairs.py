@@ -103,14 +103,15 @@ def correlation_pairs(
     blocks = max(1, math.ceil(symbols / block_symbols))
     spans = max(1, math.ceil(dates / block_dates))
     # Two aggregations over the same rows instead of a window per symbol.
-    means = series.df.groupBy("symbol").agg(F.avg("x").alias("__m"))
+    means = _with_sides(series.df.groupBy("symbol").agg(F.avg("x").alias("__m")), sides)
     df = series.df.filter(F.col("x").isNotNull()).join(means, "symbol")
     df = df.select(
         "symbol",
         F.unix_date("date").alias("day"),
         (F.col("x") - F.col("__m")).alias("x"),
         F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int").alias("block"),
-        *_side_flags(sides),
+        "in1",
+        "in2",
     )
     if sides is not None:
         df = df.filter("in1 or in2")
@@ -169,12 +170,15 @@ def correlation_pairs(
     return out if max_corr is None else out.filter(F.col("corr") <= max_corr)
 
 
-def _side_flags(sides: tuple[DataFrame, DataFrame] | None) -> list:
-    """Whether a row's symbol is on the first and on the second side. A side is a
-    list of symbols such as holdings, not a universe."""
+def _with_sides(symbols: DataFrame, sides: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    """Whether a symbol is on the first and on the second side, beside each symbol.
+    The sides are joined, so they may be parts of a universe."""
     if sides is None:
-        return [F.lit(True).alias("in1"), F.lit(True).alias("in2")]
-    return [F.col("symbol").isin([r.symbol for r in side.select("symbol").distinct().collect()]).alias(f"in{i}") for i, side in enumerate(sides, 1)]
+        return symbols.withColumns({"in1": F.lit(True), "in2": F.lit(True)})
+    for i, side in enumerate(sides, 1):
+        listed = side.select("symbol").distinct().withColumn(f"in{i}", F.lit(True))
+        symbols = symbols.join(listed, "symbol", "left")
+    return symbols.fillna(False, ["in1", "in2"])
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:

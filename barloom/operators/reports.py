@@ -35,7 +35,9 @@ def query_catalogue(
 def factor_trend(bars: Bars, factor: Factor, symbol: str, days: int = 365, end=None) -> DataFrame:
     """One symbol's factor values over its last days.
 
-    The symbol filter is on the partition key, so it reaches the scan.
+    The symbol filter reaches the scan; where the bars lie in a folder per symbol
+    (`write_bars`), only that folder is read. The factor needs the days before the
+    first one asked for, so the history is not cut.
     """
     one = with_factors(bars.with_df(bars.df.filter(F.col("symbol") == symbol)), [factor]).df
     rows = one.select("symbol", "date", c(factor.name).alias("value"))

@@ -216,6 +216,12 @@ def estimate_eps(kdist: DataFrame, *, fits: bool) -> DataFrame:
     return sharpest.join(F.broadcast(middle), F.lit(True)).select(F.coalesce("eps", F.col("q")[0]).alias("eps"))
 
 
+def least_correlation(most: float) -> float:
+    """Pairs of at most this distance have at least this correlation (a little
+    less, for rounding): the bound that `correlation_pairs` takes."""
+    return 1.0 - most * most - 1e-9
+
+
 def density_clusters(dists: DataFrame, symbols: DataFrame, eps: float, min_samples: int = 5) -> DataFrame:
     """(symbol, cluster, is_core): components of core points, border points at
     their smallest cluster, noise NULL."""

@@ -180,8 +180,8 @@ def _first_dates(s, d):
     return load_bars(s, d).df.groupBy("symbol").agg(F.min("date").alias("first_date"))
 
 
-def _dist(s, d):
-    return _pairs(s, d).select("a", "b", U.distance().alias("dist"))
+def _dist(s, d, **bounds):
+    return _pairs(s, d, **bounds).select("a", "b", U.distance().alias("dist"))
 
 
 CORR = (
@@ -379,7 +379,7 @@ def queries() -> dict:
     q["universe_threshold_clusters"] = lambda s, d: U.threshold_clusters(_pairs(s, d, min_corr=1 - 0.98**2), _symbols(s, d), 0.98)
     q["universe_neighbour_distances"] = lambda s, d: _round(_kdist(s, d))
     q["universe_estimate_eps"] = lambda s, d: _round(U.estimate_eps(_kdist(s, d), fits=load_bars(s, d).symbols_fit))
-    q["universe_density_clusters"] = lambda s, d: U.density_clusters(_dist(s, d), _symbols(s, d), EPS, 4)
+    q["universe_density_clusters"] = lambda s, d: U.density_clusters(_dist(s, d, min_corr=U.least_correlation(EPS)), _symbols(s, d), EPS, 4)
     q["universe_feature_clusters"] = lambda s, d: U.feature_clusters(
         reports.latest_values(
             with_factors(load_bars(s, d), [make("Volatility"), make("KaufmanER"), make("VolumeRatio")]).df,

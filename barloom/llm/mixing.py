@@ -1,22 +1,21 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-The mix is a sequence of slots of equally many words. Slot j takes the point
-frac(j * golden ratio) in the cumulative target shares, which names its source;
-such points fill every interval of the shares evenly at any length. The r-th slot of a
-source takes the r-th block of that source's shuffled word stream, which goes
-round up to `epochs` times.
-
-The points of a source hit its share up to a few slots, which is nothing against
-thousands of slots and everything against a few. So a source with a target of less
-than FEW_BLOCKS blocks gets exactly the slots its target needs, evenly spread among
-the others' slots, and its last block ends at the target.
+The mix is a sequence of slots of equally many words. A source with a target of t
+blocks, rounded up, has t of the slots, and its last block ends at the target. The
+sources' shares lie one after the other on a ring of all slots. Slot j takes the
+place j * step on it, which names its source; step is coprime to the number of
+slots and as close to the golden ratio of it as makes no long stretch uneven. So
+the points frac(j * golden ratio) are rounded to the ring, every place is taken
+once, and any stretch of the schedule holds a source about as often as its share.
+The r-th slot of a source takes the r-th block of that source's shuffled word
+stream, which goes round up to `epochs` times.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import ceil
+from math import ceil, gcd
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +28,8 @@ from .shared import written
 GOLDEN = 0.6180339887498949
 #: Blocks have so many words at most, and a corpus so many blocks at least.
 BLOCK_WORDS, LEAST_BLOCKS = 1024, 1 << 17
-#: A source with a target of fewer blocks has its slots dealt out by number.
-FEW_BLOCKS = 1 << 10
+#: Steps near the golden ratio that are looked at.
+STEPS = 64
 #: Documents that one task brings into order, and slots that one task ranks.
 STREAM_ROWS, SLOT_ROWS = 1 << 11, 1 << 14
 #: A source table above so many rows is joined by a shuffle.
@@ -50,27 +49,43 @@ class Mix:
 
 def targets(sizes: Sequence[int], weights: Sequence[float], total: float, epochs: int) -> list[float]:
     """Shares of total by weight; nobody gets more than epochs times its size,
-    and what is cut is shared again among the others."""
-    out, open_ = [0.0] * len(sizes), list(range(len(sizes)))
-    left = float(total)
-    while open_:
-        each = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if each * weights[i] > epochs * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = each * weights[i]
+    and what is cut is shared again among the others. Who is cut first has the
+    smallest size for its weight, so one sorted pass finds all."""
+    out, order = [0.0] * len(sizes), sorted(range(len(sizes)), key=lambda i: (sizes[i] / weights[i], i))
+    # Weights of a place and all after it, added from the end.
+    open_ = np.cumsum(np.array([weights[i] for i in reversed(order)], dtype=np.float64))[::-1]
+    left = total
+    for at, i in enumerate(order):
+        if left / open_[at] * weights[i] <= epochs * sizes[i]:
+            each = left / open_[at]
+            for k in order[at:]:
+                out[k] = float(each * weights[k])
             break
-        for i in full:
-            out[i] = float(epochs * sizes[i])
-            left -= epochs * sizes[i]
-        open_ = [i for i in open_ if i not in set(full)]
+        out[i] = float(epochs * sizes[i])
+        left -= epochs * sizes[i]
     return out
 
 
-def _points(first: np.ndarray) -> np.ndarray:
-    # In two parts, so that no digits are lost for large slot numbers.
-    high, low = first >> 20, first & ((1 << 20) - 1)
-    return (high * ((GOLDEN * (1 << 20)) % 1.0) + low * GOLDEN) % 1.0
+def golden_step(slots: int) -> int:
+    """A number coprime to slots, near slots times the golden ratio: of those
+    nearest the one whose ratio to slots has the smallest quotients as a continued
+    fraction, for these bound how uneven a stretch of its multiples is."""
+
+    def largest(step: int) -> int:
+        a, b, out = slots, step, 0
+        while b:
+            out, a, b = max(out, a // b), b, a % b
+        return out
+
+    middle = round(slots * GOLDEN)
+    near = sorted(range(max(1, middle - STEPS), min(slots, middle + STEPS) + 1), key=lambda m: (abs(m - middle), m))
+    return min((m for m in near if gcd(m, slots) == 1), key=largest)
+
+
+def _places(slot: np.ndarray, step: int, slots: int) -> np.ndarray:
+    # In two parts, so that products stay within 64 bits for large slot numbers.
+    high, low = slot >> 20, slot & ((1 << 20) - 1)
+    return (high * ((step << 20) % slots) + low * step) % slots
 
 
 def _prefix(df: DataFrame, part: str, value, keys: list[str]) -> DataFrame:
@@ -80,21 +95,6 @@ def _prefix(df: DataFrame, part: str, value, keys: list[str]) -> DataFrame:
     return sums.select(*keys, part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
 
 
-def _merged(schedule: DataFrame, dealt: DataFrame, slots: int, block: int, more: int) -> DataFrame:
-    """The schedule of `slots` slots with the `more` slots of dealt (sid, cut)
-    evenly among them, numbered anew. The golden ratio sets the sources apart."""
-    ranks = dealt.withColumn("n", F.expr(f"(cut + {block - 1}) div {block}")).withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    shift = (F.col("sid") * F.lit(GOLDEN)) % 1.0
-    ranks = ranks.select(((F.col("rank") + shift) / F.col("n")).alias("at"), "sid", "rank")
-    rows = schedule.select(((F.col("slot") + 0.5) / F.lit(float(max(slots, 1)))).alias("at"), "sid", F.col("rank").cast("long").alias("rank")).unionByName(ranks)
-    parts = (slots + more) // SLOT_ROWS + 1
-    rows = rows.withColumn("part", F.least(F.floor(F.col("at") * parts), F.lit(parts - 1)))
-    order = Window.partitionBy("part").orderBy("at", "sid", "rank")
-    # Parts have no key besides their number: one row each, in one window.
-    before = _prefix(rows.withColumn("all", F.lit(0)), "part", F.count("*"), ["all"]).drop("all")
-    return rows.withColumn("inside", F.row_number().over(order) - 1).join(before, "part").select((F.col("before") + F.col("inside")).alias("slot"), "sid", "rank")
-
-
 def mix(docs: DataFrame, weights: Sequence[float], epochs: int = 3, seed: int = 0, doc_id: str = "doc_id", source: str = "source", size: str = "size") -> Mix:
     """The mix of docs (doc_id, source, size in words; further columns are left).
 
@@ -112,14 +112,15 @@ def mix(docs: DataFrame, weights: Sequence[float], epochs: int = 3, seed: int =
     sizes, rows, total = [r.s for r in per_source], sum(r.n for r in per_source), sum(r.s for r in per_source)
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], total, epochs) if total else [0.0] * len(sizes)
     block = max(1, min(BLOCK_WORDS, total // LEAST_BLOCKS))
-    few = [0 < t < FEW_BLOCKS * block for t in wanted]
-    # Where a source's part of the mix ends, if its slots are dealt out by number.
-    cuts = [ceil(t) if f else None for t, f in zip(wanted, few, strict=True)]
-    shared = [0.0 if f else t for t, f in zip(wanted, few, strict=True)]
-    slots = -(-(total - sum(c or 0 for c in cuts)) // block) if any(shared) else 0
-
-    table = spark.createDataFrame([(r.source, i, sizes[i], wanted[i], cuts[i]) for i, r in enumerate(per_source)], "name string, sid int, source_size long, target double, cut long")
-    dealt = table.filter("cut is not null").select("sid", "cut")
+    # Where a source's part of the mix ends, and the slots up to there.
+    cuts = np.array([ceil(t) for t in wanted], dtype=np.int64)
+    ends = np.cumsum(-(-cuts // block))
+    slots = int(ends[-1]) if len(ends) else 0
+
+    table = spark.createDataFrame(
+        pa.table({"name": pa.array([r.source for r in per_source], pa.string()), "sid": pa.array(range(len(sizes)), pa.int32()),
+                  "source_size": pa.array(sizes, pa.int64()), "target": pa.array(wanted, pa.float64()), "cut": pa.array(cuts, pa.int64())})
+    )
     if len(per_source) <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     placed = docs.join(table, F.col("source").eqNullSafe(F.col("name"))).drop("name")
@@ -134,12 +135,11 @@ def mix(docs: DataFrame, weights: Sequence[float], epochs: int = 3, seed: int =
         .select("doc_id", "source", "size", "sid", "source_size", "target", "cut", (F.col("before") + F.col("inside")).alias("start"))
     )
     # The schedule, and each slot's rank within its source.
-    ends = np.cumsum(shared) / max(sum(shared), 1.0) if wanted else np.zeros(0)
+    step = golden_step(slots) if slots else 0
 
     def named(batches):
         for batch in batches:
-            slot = batch.column(0).to_numpy()
-            sid = np.minimum(np.searchsorted(ends, _points(slot), "right"), len(ends) - 1)
+            sid = np.searchsorted(ends, _places(batch.column(0).to_numpy(), step, slots), "right")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sid.astype(np.int32))], names=["slot", "sid"])
 
     schedule = spark.range(slots).toDF("slot").mapInArrow(named, "slot long, sid int").withColumn("part", F.expr(f"slot div {SLOT_ROWS}"))
@@ -149,8 +149,6 @@ def mix(docs: DataFrame, weights: Sequence[float], epochs: int = 3, seed: int =
         .join(_prefix(schedule, "part", F.count("*"), ["sid"]), ["sid", "part"])
         .select("slot", "sid", (F.col("before") + F.col("inside")).alias("rank"))
     )
-    if any(few):
-        schedule = _merged(schedule, dealt, slots, block, sum(-(-c // block) for c in cuts if c))
     last = F.least(F.col("first") + F.col("size"), (F.col("rank") + 1) * block, "cut")
     # Documents meet the blocks of their source's stream, epoch after epoch.
     epoch = F.sequence(F.lit(0), F.least(F.lit(epochs - 1), F.ceil(F.col("target") / F.col("source_size")).cast("int")))
@@ -158,7 +156,7 @@ def mix(docs: DataFrame, weights: Sequence[float], epochs: int = 3, seed: int =
         placed.filter("size > 0")
         .withColumn("epoch", F.explode(epoch))
         .withColumn("first", F.col("epoch") * F.col("source_size") + F.col("start"))
-        .filter("cut is null or first < cut")
+        .filter("first < cut")
         .withColumn("rank", F.explode(F.sequence(F.expr(f"first div {block}"), F.expr(f"(least(first + size, cut) - 1) div {block}"))))
         .join(schedule, ["sid", "rank"])
         .select(

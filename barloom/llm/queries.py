@@ -220,24 +220,13 @@ o AS (SELECT *, coalesce(sum({EPOCHS} * ss) OVER (ORDER BY CAST(ss AS DOUBLE) /
 f AS (SELECT *, CAST(total - cut AS DOUBLE) / CAST(open_w AS DOUBLE) * w > {EPOCHS} * ss AS is_full FROM o),
 c AS (SELECT *, coalesce(sum({EPOCHS} * ss) FILTER (is_full) OVER (), 0) AS cuts, sum(w) FILTER (NOT is_full) OVER () AS ws FROM f),
 tg AS MATERIALIZED (
-  SELECT sid, source, ss, CASE WHEN is_full THEN CAST({EPOCHS} * ss AS DOUBLE) ELSE CAST(total - cuts AS DOUBLE) / CAST(ws AS DOUBLE) * w END AS target,
-         greatest(1, least({mixing.BLOCK_WORDS}, total // {mixing.LEAST_BLOCKS})) AS block, total FROM c),
-ends AS (
-  SELECT sid, sum(target) OVER (ORDER BY sid ROWS UNBOUNDED PRECEDING) / greatest(sum(target) OVER (), 1.0) AS hi, sid = max(sid) OVER () AS is_last FROM tg),
-spans AS (SELECT sid, lag(hi, 1, -1.0) OVER (ORDER BY sid) AS lo, CASE WHEN is_last THEN 2.0 ELSE hi END AS hi FROM ends),
-slots AS (
-  SELECT j, ((j >> 20) * (({mixing.GOLDEN!r}::DOUBLE * 1048576) % 1.0) + (j & 1048575) * {mixing.GOLDEN!r}::DOUBLE) % 1.0 AS x
-  FROM (SELECT unnest(range(CAST(ceil(CAST(any_value(total) AS DOUBLE) / any_value(block)) AS BIGINT))) AS j FROM tg)),
-sched AS MATERIALIZED (
-  SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY j) - 1 AS rank FROM slots JOIN spans ON x >= lo AND x < hi),
+  SELECT sid, source, ss, CASE WHEN is_full THEN CAST({EPOCHS} * ss AS DOUBLE) ELSE CAST(total - cuts AS DOUBLE) / CAST(ws AS DOUBLE) * w END AS target FROM c),
 placed AS MATERIALIZED (
   SELECT d.doc_id, d.size, tg.*, row_number() OVER () AS row,
          coalesce(sum(size) OVER (PARTITION BY sid ORDER BY md5(concat_ws(':', {MIX_SEED}, doc_id, size)), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN tg ON d.source IS NOT DISTINCT FROM tg.source),
-epochs AS (SELECT *, unnest(range(1 + least({EPOCHS - 1}, CAST(ceil(target / ss) AS BIGINT)))) * ss + start AS first FROM placed WHERE size > 0),
-pieces AS (SELECT row, sid, first, size, block, unnest(range(CAST(first // block AS BIGINT), CAST((first + size - 1) // block + 1 AS BIGINT))) AS rank FROM epochs),
-taken AS (
-  SELECT row, sum(least(first + size, (rank + 1) * block) - greatest(first, rank * block)) AS taken FROM pieces JOIN sched USING (sid, rank) GROUP BY row)
+epochs AS (SELECT *, unnest(range({EPOCHS})) * ss + start AS first FROM placed),
+taken AS (SELECT row, sum(greatest(0, least(first + size, CAST(ceil(target) AS BIGINT)) - first)) AS taken FROM epochs GROUP BY row)
 SELECT doc_id, size, ss AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM placed LEFT JOIN taken USING (row)
 """
 

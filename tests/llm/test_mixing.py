@@ -1,5 +1,7 @@
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +104,36 @@ def test_small_sources_meet_their_targets_in_long_blocks(spark):
     for _, s, rank in slots:
         assert rank == last.get(s, -1) + 1
         last[s] = rank
+
+
+def test_every_place_is_taken_once_and_evenly():
+    for slots in (*range(1, 40), 1000, 65_536, 99_991, 131_072):
+        step = mixing.golden_step(slots)
+        places = mixing._places(np.arange(slots), step, slots)
+        assert len(set(places.tolist())) == slots
+    # Stretches of the schedule hold any part of the ring about as often as its share.
+    for end in (10, 1000, 50_000, 131_072):
+        first = np.sort(places[:end]) / slots
+        assert np.abs(first - np.arange(end) / end).max() * end < 12
+    slots = 10_000_000_019
+    step = mixing.golden_step(slots)
+    some = [0, 1, (1 << 33) + 5, slots - 1]
+    assert mixing._places(np.array(some), step, slots).tolist() == [j * step % slots for j in some]
+
+
+def test_targets_of_many_sources():
+    began = time.monotonic()
+    sizes = [(i * 7919) % 1000 for i in range(1_000_000)]
+    out = mixing.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))], sum(sizes), 3)
+    assert time.monotonic() - began < 20
+    assert abs(sum(out) - sum(sizes)) < 1 and all(0 <= t <= 3 * n for t, n in zip(out, sizes))
+
+
+def test_one_law_for_all_sources(docs):
+    """Large or small, a source's words are those of its stream up to its target."""
+    rows = rows_of(docs)
+    want = Counter()
+    for r in rows:
+        cut = int(-(-r.target // 1))
+        want[r] += sum(max(0, min(e * r.source_size + r.start + r["size"], cut) - e * r.source_size - r.start) for e in range(3))
+    assert all(r.taken * n == want[r] for r, n in Counter(rows).items())

@@ -292,9 +292,11 @@ def cluster_correlation_medians(pairs: DataFrame, labels: DataFrame, *, fits: bo
     return marks.select("ga", "gb", F.col("q")[0].alias("corr_median"))
 
 
-def cluster_stats(pairs: DataFrame, labels: DataFrame, index_names: DataFrame | None = None) -> DataFrame:
-    """Size, within and between correlation, and how one tracked index dominates."""
-    table = cluster_correlations(pairs, labels)
+def cluster_stats(table: DataFrame, labels: DataFrame, index_names: DataFrame | None = None) -> DataFrame:
+    """Size, within and between correlation, and how one tracked index dominates.
+
+    table: (ga, gb, corr_mean), from cluster_correlations or, without pairs, from
+    pairs.group_correlations."""
     within = table.filter(F.col("ga") == F.col("gb")).select(F.col("ga").alias("cluster"), F.col("corr_mean").alias("intra"))
     between = (
         table.filter(F.col("ga") != F.col("gb"))
@@ -333,14 +335,27 @@ def cluster_stats(pairs: DataFrame, labels: DataFrame, index_names: DataFrame |
 
 
 def cluster_summary(pairs: DataFrame, labels: DataFrame, families: DataFrame | None = None) -> DataFrame:
-    """Mean correlation in the cluster and to the universe (self included there),
-    the 0.65 / 0.35 score, and the rank inside the cluster (lowest first)."""
+    """The summary of a table of pairs, for clusters that fit a task."""
     la = labels.select(F.col("symbol").alias("a"), F.col("cluster").alias("ca"))
     lb = labels.select(F.col("symbol").alias("b"), F.col("cluster").alias("cb"))
     rows = both_ways(pairs.select("a", "b", "corr")).join(la, "a").join(lb, "b")
     per = rows.groupBy(F.col("a").alias("symbol")).agg(
-        ((F.sum("corr") + 1.0) / (F.count(F.lit(1)) + 1)).alias("avg_corr_to_universe"),
-        F.avg(F.when(F.col("ca") == F.col("cb"), F.col("corr"))).alias("avg_corr_in_cluster"),
+        F.sum("corr").alias("corr_sum"), F.count(F.lit(1)).alias("n"),
+        F.avg(F.when(F.col("ca") == F.col("cb"), F.col("corr"))).alias("corr_in_group"),
+    )
+    return summary_of_clusters(per, labels, families, fits=True)
+
+
+def summary_of_clusters(per: DataFrame, labels: DataFrame, families: DataFrame | None = None, *, fits: bool) -> DataFrame:
+    """Mean correlation in the cluster and to the universe (self included there),
+    the 0.65 / 0.35 score, and the rank inside the cluster (lowest first).
+
+    per: (symbol, corr_sum, n, corr_in_group), see pairs.symbol_correlations; a
+    symbol without a row there has no pair."""
+    per = per.select(
+        "symbol",
+        ((F.col("corr_sum") + 1.0) / (F.col("n") + 1)).alias("avg_corr_to_universe"),
+        F.col("corr_in_group").alias("avg_corr_in_cluster"),
     )
     sizes = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
     out = labels.select("symbol", "cluster").join(per, "symbol", "left").join(sizes, "cluster")
@@ -348,8 +363,8 @@ def cluster_summary(pairs: DataFrame, labels: DataFrame, families: DataFrame | N
     out = out.withColumn(
         "selection_score", 0.65 * F.col("avg_corr_in_cluster") + 0.35 * F.col("avg_corr_to_universe")
     )
-    order = W.partitionBy("cluster").orderBy("selection_score", "avg_corr_to_universe", "symbol")
-    out = out.withColumn("cluster_rank", F.row_number().over(order))
+    order = [F.col("selection_score"), F.col("avg_corr_to_universe"), F.col("symbol")]
+    out = position(out, ["cluster"], order, "cluster_rank", fits)
     if families is not None:
         return out.join(families, "symbol", "left").fillna("diversified", ["family"])
     return out.withColumn("family", F.lit("diversified"))

@@ -155,8 +155,31 @@ def _expanded(s, d):
 THRESHOLD = 0.03
 
 
+def _returns(s, d):
+    return PR.daily_returns(load_bars(s, d))
+
+
 def _pairs(s, d, **bounds):
-    return PR.correlation_pairs(PR.daily_returns(load_bars(s, d)), min_rows=100, **bounds)
+    return PR.correlation_pairs(_returns(s, d), min_rows=100, **bounds)
+
+
+def _groups(s, d):
+    return PR.group_correlations(_returns(s, d), _labels(s, d), min_rows=100)
+
+
+def _cluster_summary(s, d):
+    names = table(s, d, "part").groupBy(F.col("p_brand").alias("symbol")).agg(F.min("p_name").alias("name"))
+    families = names.select("symbol", T.family("name", FAMILIES).alias("family"))
+    per = PR.symbol_correlations(_returns(s, d), _labels(s, d), min_rows=100)
+    return U.summary_of_clusters(per, _labels(s, d), families, fits=load_bars(s, d).symbols_fit)
+
+
+def _combos(s, d, outside):
+    """Only the pairs inside the sets are asked for again."""
+    sets = U.cut_lineage(U.largest_compatible_sets(_pairs(s, d, max_corr=-0.01), outside, -0.01))
+    fixed = ["Brand#1", "Brand#2"]
+    members = sets.select(F.explode(F.concat("members", F.array(*map(F.lit, fixed)))).alias("symbol")).distinct()
+    return U.combo_summary(sets, _pairs(s, d, sides=(members, members)), fixed, _profile(s, d).select("symbol", "avg_value"), None).drop("symbols")
 
 
 def _symbols(s, d):
@@ -211,7 +234,8 @@ K = 5
 
 
 def _kdist(s, d):
-    return U.neighbour_distances(_dist(s, d), K)
+    near = PR.nearest_partners(_returns(s, d), K - 1, min_rows=100)
+    return near.filter(F.col("place") == K - 1).select(F.col("a").alias("symbol"), U.distance().alias("k_dist"))
 
 
 KD = (
@@ -386,10 +410,10 @@ def queries() -> dict:
             ["Volatility_20", "KaufmanER_20", "VolumeRatio_5"],
         ), ["Volatility_20", "KaufmanER_20", "VolumeRatio_5"], 3, 2,
     )[0]
-    q["universe_cluster_correlation"] = lambda s, d: _round(U.cluster_correlations(_pairs(s, d), _labels(s, d)))
+    q["universe_cluster_correlation"] = lambda s, d: _round(_groups(s, d))
     q["universe_cluster_medians"] = lambda s, d: _round(U.cluster_correlation_medians(_pairs(s, d), _labels(s, d), fits=load_bars(s, d).symbols ** 2 <= load_bars(s, d).limit))
-    q["universe_cluster_stats"] = lambda s, d: _round(U.cluster_stats(_pairs(s, d), _labels(s, d), _one_index(s, d)))
-    q["universe_cluster_summary"] = lambda s, d: _round(U.cluster_summary(_pairs(s, d), _labels(s, d)).drop("family"))
+    q["universe_cluster_stats"] = lambda s, d: _round(U.cluster_stats(_groups(s, d), _labels(s, d), _one_index(s, d)))
+    q["universe_cluster_summary"] = lambda s, d: _round(_cluster_summary(s, d))
     q["universe_greedy_selection"] = lambda s, d: s.createDataFrame(
         list(enumerate(U.greedy_low_correlation(_pairs(s, d), U.cluster_summary(_pairs(s, d), _labels(s, d)), 6, 2), 1)),
         "selection_order long, symbol string",
@@ -403,12 +427,7 @@ def queries() -> dict:
     q["universe_compatible_sets"] = lambda s, d: U.largest_compatible_sets(_pairs(s, d, max_corr=-0.01), _symbols(s, d), -0.01).select(
         F.array_join("members", ",").alias("members")
     )
-    q["universe_combo_summary"] = lambda s, d: _round(
-        U.combo_summary(
-            U.largest_compatible_sets(_pairs(s, d), ext(s, d), -0.01), _pairs(s, d), ["Brand#1", "Brand#2"],
-            _profile(s, d).select("symbol", "avg_value"), None,
-        ).drop("symbols"), 4
-    )
+    q["universe_combo_summary"] = lambda s, d: _round(_combos(s, d, ext(s, d)), 4)
     q["text_normalize"] = lambda s, d: _funds(s, d).select("id", T.normalize_name("name").alias("normal"))
     q["text_tracked_index"] = lambda s, d: _funds(s, d).select("id", T.tracked_index_name("name", ISSUERS).alias("index_name"))
     q["text_tokens"] = lambda s, d: _funds(s, d).select(
@@ -528,7 +547,7 @@ def queries() -> dict:
         {"1996-07-01": "q1", "1999-01-01": "q2"}
     )
     q["report_compare_strategies"] = lambda s, d: _round(
-        reports.compare_strategies(_strategies(s, d)).select("strategy", "symbols_total", "coverage", "composite_score", "win_rate_median", "rank"), 4
+        reports.compare_strategies(_strategies(s, d)), 4
     )
     q["report_holdings_by_cluster"] = lambda s, d: _round(reports.holdings_by_cluster(_holdings(s, d)), 4)
     q["report_add_list"] = lambda s, d: _round(_add_list(s, d))
@@ -702,8 +721,10 @@ def oracle_sql() -> dict[str, str]:
         *_components("corr >= 0.045"),
     )
     o["universe_matrix_report"] = usql(
-        f"SELECT (SELECT count(*) FROM sy) AS asset_count, 0.0::DOUBLE AS symmetry_error, 0.0::DOUBLE AS diagonal_error, {r('least(min(corr), 1)')} AS min_correlation, 1.0::DOUBLE AS max_correlation,"
-        " count(*) = (SELECT count(*) * (count(*) - 1) FROM sy) AS is_valid FROM cb", *cp
+        f"SELECT count(DISTINCT x.a) AS asset_count, {r('max(abs(x.corr - y.corr))')} AS symmetry_error, {r('max(CASE WHEN x.a = x.b THEN abs(x.corr - 1) END)')} AS diagonal_error,"
+        f" {r('min(x.corr)')} AS min_correlation, {r('max(x.corr)')} AS max_correlation,"
+        " count(y.a) = count(DISTINCT x.a) * count(DISTINCT x.a) AND max(abs(x.corr - y.corr)) <= 1e-8 AND max(CASE WHEN x.a = x.b THEN abs(x.corr - 1) END) <= 1e-8 AS is_valid"
+        " FROM mt x LEFT JOIN mt y ON y.a = x.b AND y.b = x.a", *cp, "mt AS MATERIALIZED (SELECT a, b, corr FROM cb UNION ALL SELECT symbol, symbol, 1.0::DOUBLE FROM sy)"
     )
     o["universe_concentration"] = usql(
         f"SELECT {r('avg(corr)')} AS average_pairwise_correlation, {r('max(corr)')} AS max_pairwise_correlation, {r('min(corr)')} AS min_pairwise_correlation,"
@@ -761,7 +782,9 @@ def oracle_sql() -> dict[str, str]:
     )
     o["universe_cluster_summary"] = usql(
         f"SELECT symbol, CAST(cluster AS BIGINT) AS cluster, {r('u')} AS avg_corr_to_universe, {r('i')} AS avg_corr_in_cluster, count(*) OVER (PARTITION BY cluster) AS cluster_size, {r('sc')} AS selection_score,"
-        " row_number() OVER (PARTITION BY cluster ORDER BY sc, u, symbol) AS cluster_rank FROM cs", *cp, *summary
+        " row_number() OVER (PARTITION BY cluster ORDER BY sc, u, symbol) AS cluster_rank,"
+        " CASE WHEN regexp_matches(name, 'ring|gear') THEN 'round' WHEN regexp_matches(name, 'red|blue') THEN 'coloured' WHEN contains(name, 'small') THEN 'little' ELSE 'diversified' END AS family"
+        " FROM cs JOIN (SELECT p_brand AS symbol, min(p_name) AS name FROM part GROUP BY 1) USING (symbol)", *cp, *summary
     )
     o["universe_pair_table"] = usql(
         f"SELECT a AS left_symbol, b AS right_symbol, {r('corr')} AS correlation, corr < 0.02 AND corr > -0.05 AS passes_threshold FROM cp", *cp
@@ -892,8 +915,8 @@ def oracle_sql() -> dict[str, str]:
     o["join_not_held"] = usql("SELECT symbol, date FROM bars JOIN lb USING (symbol) WHERE cluster <> 1", SYMS, LABELS)
     o["join_keep_symbols"] = usql("SELECT symbol, date FROM bars WHERE symbol IN (SELECT symbol FROM bars GROUP BY 1 HAVING count(*) >= 1550)")
     o["join_keep_where_any"] = (
-        "SELECT symbol, date FROM (SELECT symbol, date, max(v) OVER (PARTITION BY symbol) AS m FROM"
-        " (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)) WHERE m > 150"
+        "WITH t AS MATERIALIZED (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
+        " SELECT symbol, date FROM t WHERE symbol IN (SELECT symbol FROM t WHERE v > 150)"
     )
     o["join_symbol_predicate"] = usql("SELECT symbol, count(*) > 1550 AND max(volume) > 150 AS keep, CAST(NULL AS VARCHAR) AS error FROM bars GROUP BY symbol")
     o["join_parameter_grid"] = usql(
@@ -933,10 +956,12 @@ def oracle_sql() -> dict[str, str]:
     from .strategy import SCALED, timing_sql
 
     o["report_compare_strategies"] = timing_sql(
-        "SELECT strategy, 25 AS symbols_total, 1.0::DOUBLE AS coverage,"
-        f" {r('0.5 * zi + 0.35 * ze - 0.1 * zm + 0.05 * zw', 4)} AS composite_score, {r('wm', 4)} AS win_rate_median, row_number() OVER (ORDER BY 0.5 * zi + 0.35 * ze - 0.1 * zm + 0.05 * zw DESC, strategy) AS rank FROM (SELECT strategy, wm,"
+        "SELECT strategy, n AS symbols_total, n AS symbols_valid, 1.0::DOUBLE AS coverage,"
+        f" {r('i', 4)} AS information_ratio_mean, {r('im', 4)} AS information_ratio_median, {r('e', 4)} AS excess_cumulative_return_mean, {r('em', 4)} AS excess_cumulative_return_median,"
+        f" {r('m', 4)} AS max_drawdown_pct_mean, {r('mm', 4)} AS max_drawdown_pct_median, {r('w', 4)} AS win_rate_mean,"
+        f" {r('0.5 * zi + 0.35 * ze - 0.1 * zm + 0.05 * zw', 4)} AS composite_score, {r('wm', 4)} AS win_rate_median, row_number() OVER (ORDER BY 0.5 * zi + 0.35 * ze - 0.1 * zm + 0.05 * zw DESC, strategy) AS rank FROM (SELECT *,"
         " (i - avg(i) OVER ()) / stddev_pop(i) OVER () AS zi, (e - avg(e) OVER ()) / stddev_pop(e) OVER () AS ze, (m - avg(m) OVER ()) / stddev_pop(m) OVER () AS zm, (w - avg(w) OVER ()) / stddev_pop(w) OVER () AS zw FROM"
-        " (SELECT strategy, avg(ir) AS i, avg(ex) AS e, avg(dd) AS m, avg(wr) AS w, quantile_cont(wr, 0.5) AS wm FROM (SELECT strategy, symbol, product(1 + ret) AS grown,"
+        " (SELECT strategy, avg(ir) AS i, avg(ex) AS e, avg(dd) AS m, avg(wr) AS w, quantile_cont(wr, 0.5) AS wm, quantile_cont(ir, 0.5) AS im, quantile_cont(ex, 0.5) AS em, quantile_cont(dd, 0.5) AS mm, count(*) AS n FROM (SELECT strategy, symbol, product(1 + ret) AS grown,"
         " avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS wr, abs(min(eq / pk - 1)) * 100 AS dd FROM (SELECT *, max(eq) OVER (PARTITION BY strategy, symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS pk FROM"
         " (SELECT *, product(1 + ret) OVER (PARTITION BY strategy, symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS eq FROM xs)) GROUP BY 1, 2) JOIN (SELECT strategy, symbol, (pow(product(1 + xs.ret - b1.ret), 252.0 / count(*)) - 1) / (stddev_samp(xs.ret - b1.ret) * sqrt(252)) AS ir, product(1 + b1.ret) AS bg FROM xs JOIN b1 USING (date) GROUP BY 1, 2) USING (strategy, symbol)"
         " CROSS JOIN LATERAL (SELECT grown / bg - 1 AS ex) GROUP BY 1))",

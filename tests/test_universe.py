@@ -44,6 +44,49 @@ def test_only_wanted_pairs(spark, data, block_symbols):
     assert set(zip(got.a, got.b)) == {(a, b) for a, b in sides if -0.05 <= corr.loc[a, b] <= 0.05}
 
 
+@pytest.mark.parametrize("block_symbols,block_dates", [(256, 16384), (3, 16384), (3, 40)])
+def test_figures_of_tiles_equal_those_of_pairs(spark, data, block_symbols, block_dates):
+    """Groups, symbols and nearest partners, made without a table of pairs."""
+    _, bars, _, rets = data
+    size = {"block_symbols": block_symbols, "block_dates": block_dates}
+    series, names = PR.daily_returns(bars), sorted(rets.columns)
+    # One symbol has no label row, two have a null label.
+    label = {n: None if i < 2 else i % 3 for i, n in enumerate(names[:-1])}
+    labels = spark.createDataFrame([(n, g, "x") for n, g in label.items()], "symbol string, cluster long, label string")
+    pairs = PR.correlation_pairs(series).select("a", "b", "corr")
+    got = {(r.ga, r.gb): (r.corr_mean, r.n_pairs) for r in PR.group_correlations(series, labels, **size).collect()}
+    want = {(r.ga, r.gb): (r.corr_mean, r.n_pairs) for r in U.cluster_correlations(pairs, labels).collect()}
+    assert set(got) == set(want) and (None, None) in got
+    for key, (mean, n) in want.items():
+        assert got[key][1] == n and abs(got[key][0] - mean) < 1e-9
+    corr = rets.corr()
+    for r in PR.symbol_correlations(series, labels, **size).collect():
+        others = [n for n in label if n != r.symbol]
+        own = [corr.loc[r.symbol, n] for n in others if label[n] == label[r.symbol] and label[n] is not None]
+        assert r.n == len(others) and abs(r.corr_sum - corr.loc[r.symbol, others].sum()) < 1e-9
+        assert r.corr_in_group is None if not own else abs(r.corr_in_group - np.mean(own)) < 1e-9
+    near = PR.nearest_partners(series, 4, **size).collect()
+    assert len(near) == 4 * len(names)
+    for r in near:
+        best = corr.loc[r.a].drop(r.a).sort_values(ascending=False)
+        assert best.index[r.place - 1] == r.b and abs(best.iloc[r.place - 1] - r.corr) < 1e-9
+    known = labels.filter("cluster is not null")
+    per = PR.symbol_correlations(series, known, **size)
+    order = lambda df: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*sorted(df.columns)).orderBy("symbol").collect()]
+    whole = order(U.cluster_summary(pairs, known))
+    assert whole == order(U.summary_of_clusters(per, known, fits=True)) == order(U.summary_of_clusters(per, known, fits=False))
+
+
+def test_tiles_without_pairs(spark):
+    bars = to_bars(spark, bar_frame(symbols=1, rows=9, seed=1))
+    series = PR.daily_returns(bars)
+    labels = bars.df.select("symbol", F.lit(1).alias("cluster")).distinct()
+    assert PR.group_correlations(series, labels).collect() == []
+    assert PR.symbol_correlations(series, labels).collect() == PR.nearest_partners(series, 3).collect() == []
+    summary = U.summary_of_clusters(PR.symbol_correlations(series, labels), labels, fits=True).collect()
+    assert [(r.cluster_size, r.avg_corr_to_universe, r.cluster_rank) for r in summary] == [(1, 1.0, 1)]
+
+
 def test_duplicate_pairs(data):
     _, bars, close, rets = data
     got = PR.duplicate_pairs(bars, 0.05, 50).toPandas()

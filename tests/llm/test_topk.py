@@ -77,3 +77,41 @@ def test_bounds_save_work():
 @pytest.mark.parametrize("n", [0, 1, 3])
 def test_pivots_of_few(n):
     assert len(topk.spread_pivots(np.eye(3)[:n], 8)) == n
+
+
+def test_pages_cells_and_one_hot_cluster(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(topk, "PAGE", 3)
+    rows = vectors(90) + [(100 + i, [3.0 + i % 3 / 64] * 6) for i in range(60)]
+    assert run(spark, rows, k=7) == brute(rows, 4, 7)
+
+
+def test_floor_rules_out_blocks():
+    rng = np.random.default_rng(5)
+    data = np.concatenate([rng.normal(0, 2, (300, 8)) + 60 * c for c in range(5)]).astype(np.int64)
+    pivots = topk.spread_pivots(data.astype(float), 16)
+    far = topk._to_pivots(data, pivots)
+    parts = [slice(300 * c, 300 * c + 300) for c in range(5)]
+    page = [{"block": c, "n": 300, "low": far[p].min(0), "high": far[p].max(0), "longest": float((data[p] ** 2).sum(1).max())} for c, p in enumerate(parts)]
+    asked = np.arange(0, 1500, 50)
+    exact = np.sort(data[asked] @ data.T, 1)[:, ::-1]
+    queries = {"uids": asked, "data": data[asked], "pivots": far[asked], "floors": exact[:, 20]}
+    first, then = topk.routes(queries, page, 20)
+    assert (first.sum(1) == 1).all() and not (first & then).any()
+    # No block that holds one of the 20 best is left out.
+    for q in range(len(asked)):
+        needed = {int(i) // 300 for i in np.flatnonzero(data @ data[asked[q]] >= exact[q, 19])}
+        assert needed <= set(np.flatnonzero(first[q] | then[q]).tolist())
+    assert (first | then).mean() < 0.9
+
+
+@pytest.mark.parametrize("sign", [1, -1])
+def test_scores_beyond_a_long_tie_at_its_end(spark, sign):
+    rows = [(i, [sign * (-1.0) ** i * 1e12 * (1 + i % 5), 1e9 * i]) for i in range(40)]
+    assert run(spark, rows, k=6) == brute(rows, 4, 6)
+
+
+def test_narrowest_integers():
+    assert topk._narrowest(-128, 127) is np.int8 and topk._narrowest(0, 128) is np.int16
+    assert topk._narrowest(-(2**31), 0) is np.int32 and topk._narrowest(0, 2**31) is np.int64

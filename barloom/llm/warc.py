@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from .shared import shared_path, written
 
 MAGIC = b"WARC/1.1\r\n"
-#: Bytes of a block, and records of an archive.
-BLOCK, ARCHIVE_RECORDS = 1 << 20, 1_000
+#: Bytes of a block.
+BLOCK = 1 << 20
+#: Records and unpacked bytes of an archive, at most; a longer record is alone.
+ARCHIVE_RECORDS, ARCHIVE_BYTES = 1_000, 64 << 20
 #: A table of revisits above so many rows meets the pages by a shuffle.
 BROADCAST_ROWS = 10_000
 #: Copies of a group's winner, so that no group's rows meet in one task.
@@ -92,15 +94,26 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, key: str = "page_
     else:
         rows = rows.withColumn("revisit", F.lit(False)).withColumn("of", F.lit(None).cast("long"))
 
+    most, bytes_most = ARCHIVE_RECORDS, ARCHIVE_BYTES
+
     def records(batches):
+        archive, held, size = 0, 0, 0
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
             # The text writer ends each row with the record's last byte.
             made = [record(k, u, p, r, o)[:-1] for k, u, p, r, o in zip(*columns, strict=True)]
-            yield _batch({"value": made}, {"value": "binary"})
-
-    lines = rows.select("key", "url", "payload", "revisit", "of").mapInArrow(records, "value binary").select(F.col("value").cast("string"))
-    lines.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(folder)
+            archives = []
+            for raw in made:
+                if held and (held == most or size + len(raw) > bytes_most):
+                    archive, held, size = archive + 1, 0, 0
+                held, size = held + 1, size + len(raw) + 1
+                archives.append(archive)
+            yield _batch({"value": made, "archive": archives}, {"value": "binary", "archive": "int"})
+
+    # Archives are numbered within a task; each of its numbers is a file.
+    lines = rows.select("key", "url", "payload", "revisit", "of").mapInArrow(records, "value binary, archive int")
+    lines = lines.select(F.col("value").cast("string"), "archive")
+    lines.write.partitionBy("archive").option("lineSep", "\n").option("compression", "gzip").text(folder)
 
 
 def _batch(columns: dict[str, list], types: dict[str, str]):

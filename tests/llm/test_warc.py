@@ -80,3 +80,18 @@ def test_pointer_jumping_equals_walking():
             a = nexts[a]
         assert at[warc.chained(at, following)].tolist() == last
         assert at[warc.reached(at, following, int(at[0]))].tolist() == walk
+
+
+def test_archives_are_rolled_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3_000)
+    rows = [(i, "u", f"{i} " + "x" * (7_000 if i % 10 == 0 else 900)) for i in range(60)]
+    folder = shared_path(spark, "warc-test")
+    df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).coalesce(1)
+    warc.write(df, folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).collect()
+    unpacked = [warc.inflated(f.content) for f in files]
+    counts = [raw.count(warc.MAGIC) for raw in unpacked]
+    assert sum(counts) == 60 and len(files) > 10
+    assert all(len(raw) <= 3_000 or n == 1 for raw, n in zip(unpacked, counts, strict=True))
+    found = warc.read(spark, folder, True).collect()
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in found) == [(i, html) for i, _, html in rows]

@@ -3,6 +3,7 @@ import random
 import re
 import struct
 
+import pytest
 import xxhash
 
 from barloom.llm import queries, simhash
@@ -135,3 +136,22 @@ def test_edited_texts_are_linked(spark):
     assert sum(linked[i] > 0 for i in range(20)) == 20
     assert sum(linked[i] > 0 for i in range(20, 40)) >= 15
     assert sum(linked.values()) <= 80
+
+
+def near_group(size, seed, bits=4):
+    """Fingerprints a few random bits from a common one, as signed halves."""
+    rnd = random.Random(seed)
+    centre = rnd.getrandbits(128)
+    made = {centre ^ sum(1 << b for b in rnd.sample(range(128), bits)) for _ in range(size)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return made, [(signed(p & (2**64 - 1)), signed(p >> 64)) for p in made]
+
+
+@pytest.mark.parametrize("array", [1, 7, 512])
+def test_a_group_dealt_into_parts(spark, monkeypatch, array):
+    monkeypatch.setattr(simhash, "ARRAY", array)
+    made, rows = near_group(60, 3)
+    lone = [(5, 5), (-5, 1 << 40)]
+    found = simhash.with_links(spark.createDataFrame(rows + lone, "f0 long, f1 long"), 22, 14, 2).collect()
+    # Eight bits apart at most, so at least six blocks are equal: all are linked.
+    assert sorted((r.f0, r.f1, r.links) for r in found) == sorted([(a, b, len(made) - 1) for a, b in rows] + [(a, b, 0) for a, b in lone])

@@ -27,7 +27,7 @@ BLOCKS, EQUAL_BLOCKS = 14, 2
 RULES = (
     urlfilter.Rule("org/", "allow"),
     urlfilter.Rule("example.org/es/", "block"),
-    urlfilter.Rule("example.org/en/1", "allow"),
+    urlfilter.Rule("example.org/en/1", "block"),
     urlfilter.Rule("com/fr/", "allow"),
     urlfilter.Rule("com/de/", "block"),
 )

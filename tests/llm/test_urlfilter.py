@@ -91,3 +91,14 @@ def test_rule_labels_are_drawn_from_what_rules_decide(spark):
     assert (labels.count(1), labels.count(0)) == (200, 100)
     labels = [y for _, _, y in urlfilter.labelled_by_rules(df, RULES, rows=100)]
     assert 25 < labels.count(1) < 80 and 25 < labels.count(0) < 80
+
+
+def test_op6_rules_are_the_contracts(spark, tmp_path):
+    """Each rule's verdict by a URL that it decides, as the contract lists them."""
+    want = {
+        "http://a.org/x": ("org/", "allow"), "http://example.org/es/2": ("example.org/es/", "block"), "http://www.example.org/en/17": ("example.org/en/1", "block"),
+        "http://b.com/fr/": ("com/fr/", "allow"), "http://b.com/de/1": ("com/de/", "block"), "http://example.org/en/2": ("org/", "allow"),
+    }
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = queries.op6_url_filter(spark, str(tmp_path)).collect()
+    assert {(r.rule, r.verdict) for r in rows} == set(want.values()) and len(rows) == len(want)

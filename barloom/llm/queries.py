@@ -17,9 +17,9 @@ PACKING_RANKS = "byte_bpe_50k.tiktoken"
 SHARDS, WEIGHTS, EPOCHS, MIX_SEED = 40, (5, 2, 1), 3, 11
 QUERY_EVERY, TOP, SCALE = 20, 20, 64
 #: Jaccard similarity that op3's neighbours should have, their Hamming radius (22
-#: of 128 bits), and the blocks and those in common: all neighbours within 12 bits
-#: meet, of the others most. The README has the recall. More blocks would find
-#: more, at comparisons that don't fit the limits at 30 GB.
+#: of 128 bits); op3 counts all of them. The blocks and those in common are for
+#: simhash.with_links, which is quicker: all neighbours within 12 bits meet, of the
+#: others most.
 SIMILARITY = 0.75
 RADIUS = simhash.expected_distance(SIMILARITY)
 BLOCKS, EQUAL_BLOCKS = 14, 2
@@ -64,7 +64,7 @@ def op2_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = written(simhash.edited_fingerprints(_table(spark, sf_dir, "documents", "doc_id", "text")), "fingerprints")
     release(spark)
-    return simhash.with_links(prints, RADIUS, BLOCKS, EQUAL_BLOCKS).drop("f0", "f1")
+    return simhash.with_all_links(prints, RADIUS).drop("f0", "f1")
 
 
 def op4_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

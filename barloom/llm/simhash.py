@@ -20,7 +20,7 @@ from math import acos, pi
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import release, written
 
 WORDS, BITS = 5, 128
 #: Votes that a 16-bit lane can hold without touching the sign of a long.
@@ -31,6 +31,8 @@ _HALVES = 0x0000FFFF0000FFFF
 RANGE_ROWS, RANGES = 2_048, 1 << 16
 #: Fingerprints of an array; those of a key that has more are dealt into several.
 ARRAY = 512
+#: Rows of a key up to which it is joined, at least; rows in an array of others.
+COMMON, CELL = 64, 2_048
 #: A table of counts above so many rows is joined by a shuffle.
 BROADCAST_ROWS = 10_000
 _BLANKS = "[\\x20\\x09-\\x0D]+"
@@ -208,6 +210,93 @@ def with_links(prints: DataFrame, radius: int = 3, blocks: int = 5, equal: int |
     return prints.join(counts, ["f0", "f1"], "left").fillna(0, ["links"])
 
 
+def _thresholds(radius: int) -> list[int]:
+    """Differing bits that a block may have, -1 for none to look at: of two
+    fingerprints within the radius at least one block keeps to its number, as
+    otherwise they were radius + 1 bits apart. Two bits are the most."""
+    count = max(4, -(-(radius + 1) // 3))
+    return [(radius + 1) // count + (i < (radius + 1) % count) - 1 for i in range(count)]
+
+
+def with_all_links(prints: DataFrame, radius: int) -> DataFrame:
+    """prints (with f0 and f1, read twice: a written table) plus links: how many
+    other fingerprints are within radius, all of them. Equal fingerprints are one.
+
+    Each block's value is written with at most one bit turned, so two values at
+    most two bits apart meet in a common key. The blocks are joined one after the
+    other, which bounds the shuffle to one block's rows. Keys with far more rows than
+    chance gives them (groups of near copies) are dealt into a grid of parts and
+    counted in arrays, so they make no rows of pairs and need not fit a task. Comparisons
+    grow with the square of the fingerprints: within 22 bits about 3 per cent of
+    the ordered pairs are compared."""
+    if radius < 0 or radius >= BITS // 2:
+        raise ValueError("the radius must be below half of the bits")
+    spark = prints.sparkSession
+    allowed = _thresholds(radius)
+    edges = [BITS * i // len(allowed) for i in range(len(allowed) + 1)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    masks = [(1 << hi) - (1 << lo) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+    halves = [(signed(m & ((1 << 64) - 1)), signed(m >> 64)) for m in masks]
+    known = written(prints.select("f0", "f1").distinct(), "distinct-fingerprints")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def keyed(b: int) -> DataFrame:
+        """key, turn, f0, f1: a block's value, and with each bit turned. Turn 0
+        leaves the value alone, turn i turns its bit i - 1."""
+        value, width = F.lit(0).cast("long"), edges[b + 1] - edges[b]
+        for word, base in (("f0", 0), ("f1", 64)):
+            low, high = max(edges[b] - base, 0), min(edges[b + 1] - base, 64)
+            if low < high:
+                piece = F.shiftrightunsigned(word, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+                value = value.bitwiseOR(F.shiftleft(piece, base + low - edges[b]))
+        turned = known.select("f0", "f1", value.alias("value"), F.explode(F.sequence(F.lit(0), F.lit(width if allowed[b] else 0))).alias("turn"))
+        turn = F.when(F.col("turn") == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("turn") - 1))
+        return turned.select(F.col("value").bitwiseXOR(turn).alias("key"), F.col("turn").cast("short").alias("turn"), "f0", "f1")
+
+    def linked(b: int, t: Column, f0: Column, f1: Column, u: Column, g0: Column, g1: Column) -> Column:
+        """Whether a pair that meets in a key of the block counts there. Of its keys
+        one counts, of the blocks the first."""
+        d0, d1 = f0.bitwiseXOR(g0), f1.bitwiseXOR(g1)
+        apart = F.bit_count(d0) + F.bit_count(d1)
+        within = lambda i: F.bit_count(d0.bitwiseAND(F.lit(halves[i][0]))) + F.bit_count(d1.bitwiseAND(F.lit(halves[i][1]))) <= allowed[i]
+        once = (t < u) | ((t == 0) & (u == 0))
+        return reduce(lambda x, y: x & y, [~within(i) for i in range(b)], once & (apart <= radius) & (apart > 0))
+
+    used = [b for b, bits in enumerate(allowed) if bits >= 0]
+    sizes = reduce(DataFrame.unionByName, [keyed(b).select(F.lit(b).alias("block"), "key") for b in used]).groupBy("block", "key").agg(F.count("*").alias("n"))
+    width = BITS // len(allowed)
+    common = max(COMMON, 4 * known.count() * (width + 1) >> width)
+    hot_keys = written(sizes.filter(F.col("n") > common), "hot-keys")
+    hot_count = hot_keys.count()
+    c, found = F.col, []
+    for b in used:
+        hot = hot_keys.filter(c("block") == b).select("key", "n")
+        rows = keyed(b).join(F.broadcast(hot) if hot_count <= BROADCAST_ROWS else hot, "key", "left")
+        # With at most one bit apart, one of the two values is not turned.
+        mine = rows if allowed[b] == 2 else rows.filter("turn = 0")
+        left = mine.filter("n is null").select("key", "turn", "f0", "f1").repartition(parts, "key")
+        right = rows.filter("n is null").select("key", c("turn").alias("u"), c("f0").alias("g0"), c("f1").alias("g1")).repartition(parts, "key")
+        met = left.join(right.hint("merge"), "key").filter(linked(b, *[c(x) for x in ("turn", "f0", "f1", "u", "g0", "g1")]))
+        counts = met.groupBy("f0", "f1").agg(F.count("*").alias("n"))
+        if hot_count:
+            one = F.struct("turn", "f0", "f1")
+
+            def cells(side: DataFrame, own: str, other: str, name: str) -> DataFrame:
+                dealt = side.filter("n is not null").withColumn("parts", F.ceil(c("n") / CELL).cast("int"))
+                dealt = dealt.withColumn(own, F.pmod(F.xxhash64("f1", "f0"), c("parts")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), c("parts") - 1)))
+                return dealt.repartition(parts, "key", "i", "j").groupBy("key", "i", "j").agg(F.collect_list(one).alias(name))
+
+            pairs = cells(mine, "i", "j", "x").join(cells(rows, "j", "i", "y"), ["key", "i", "j"])
+            near = lambda x: F.size(F.filter("y", lambda y: linked(b, x["turn"], x["f0"], x["f1"], y["turn"], y["f0"], y["f1"])))  # noqa: E731, B023
+            ends = pairs.select(F.explode(F.transform("x", lambda x: F.struct(x["f0"].alias("f0"), x["f1"].alias("f1"), near(x).alias("n")))).alias("e"))
+            counts = counts.unionByName(ends.select("e.f0", "e.f1", c("e.n").cast("long").alias("n")).filter("n > 0"))
+        found.append(written(counts, "block-links"))
+        release(spark)
+    counts = written(reduce(DataFrame.unionByName, found).groupBy("f0", "f1").agg(F.sum("n").alias("links")), "near-fingerprints")
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
+    return prints.join(counts, ["f0", "f1"], "left").fillna(0, ["links"])
+
+
 def _ranges(docs: DataFrame, key: str):
     """The number of a document's range: consecutive keys, about equally many in
     each, found by bisection in the limits. A null key lies in the first."""

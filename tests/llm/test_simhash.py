@@ -155,3 +155,40 @@ def test_a_group_dealt_into_parts(spark, monkeypatch, array):
     found = simhash.with_links(spark.createDataFrame(rows + lone, "f0 long, f1 long"), 22, 14, 2).collect()
     # Eight bits apart at most, so at least six blocks are equal: all are linked.
     assert sorted((r.f0, r.f1, r.links) for r in found) == sorted([(a, b, len(made) - 1) for a, b in rows] + [(a, b, 0) for a, b in lone])
+
+
+@pytest.mark.parametrize(("radius", "common"), [(22, 12), (3, 64)])
+def test_all_links_within_the_radius(spark, monkeypatch, radius, common):
+    """Also those whose differing bits leave no two of 14 blocks alone."""
+    monkeypatch.setattr(simhash, "COMMON", common)
+    monkeypatch.setattr(simhash, "CELL", 5)
+    rnd = random.Random(11)
+    prints = [rnd.getrandbits(128) for _ in range(6)]
+    for p in list(prints):
+        prints += [p ^ sum(1 << b for b in rnd.sample(range(128), k)) for k in (1, 2, 3, 4, 9, 12, 18, 21, 22, 22, 23)]
+        # Two bits in every sixth, spread over all blocks.
+        prints += [p ^ sum(1 << b for b in range(start, 128, 6)) for start in range(6)]
+    prints += [p for p in prints[:3]]
+    unsigned = lambda r: (r.f0 & (2**64 - 1)) | ((r.f1 & (2**64 - 1)) << 64)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(signed(p & (2**64 - 1)), signed(p >> 64)) for p in prints]
+    every = set(prints)
+    want = sorted((p, sum(0 < (p ^ q).bit_count() <= radius for q in every)) for p in prints)
+    found = simhash.with_all_links(spark.createDataFrame(rows, "f0 long, f1 long").repartition(3), radius).collect()
+    assert sorted((unsigned(r), r.links) for r in found) == want
+
+
+def test_op3_counts_every_neighbour(spark, tmp_path):
+    rnd = random.Random(6)
+    rows = []
+    for i in range(60):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(120)]
+        rows.append((i, " ".join(words)))
+        for k in range(1, 5):
+            words[rnd.randrange(120)] = "changed"
+            rows.append((100 * k + i, " ".join(words)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op3_simhash(spark, str(tmp_path)).collect()
+    prints = {int(r.fingerprint, 16) for r in found}
+    near = lambda p: sum(0 < (p ^ q).bit_count() <= queries.RADIUS for q in prints)
+    assert [(r.doc_id, r.links) for r in found] == [(r.doc_id, near(int(r.fingerprint, 16))) for r in found]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -73,18 +73,34 @@ def tracked_index_name(
     return F.when(F.contains(full, F.lit(marker)), cut).otherwise(full)
 
 
-def name_tokens(name: str | Column, keywords: Sequence[str] = ()) -> Column:
-    """Known keywords, alphanumeric runs in upper case and digit runs; the whole
-    name when there are none."""
-    norm = normalize_name(name)
-    known = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(norm, k)) if keywords else (
-        F.array().cast("array<string>")
-    )
+def _once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x computed once per row, however often it is used; Spark finds
+    no common expressions inside lambdas."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def _normal_text(keyword: str) -> str:
+    """normalize_name of a given text."""
+    return re.sub(r"[()\-_/·\s]+", "", keyword.strip(" ").replace("（", "(").replace("）", ")"), flags=re.ASCII)
+
+
+def _strings(items: Sequence[Column]) -> Column:
+    return F.array(*items).cast("array<string>")
+
+
+def _tokens(norm: Column, keywords: Sequence[str]) -> Column:
+    known = F.array_compact(_strings([F.when(F.contains(norm, F.lit(k)), F.lit(k)) for k in keywords]))
     runs = F.regexp_extract_all(F.upper(norm), F.lit(r"([A-Za-z]+\d*|\d+[A-Za-z]*)"), F.lit(1))
     digits = F.regexp_extract_all(norm, F.lit(r"(\d+)"), F.lit(1))
     tokens = F.array_union(F.array_union(known, runs), digits)
-    whole = F.when(norm == "", F.array().cast("array<string>")).otherwise(F.array(norm))
-    return F.when(F.size(tokens) > 0, tokens).otherwise(whole)
+    whole = F.when(norm == "", _strings([])).otherwise(F.array(norm))
+    return _once(tokens, lambda t: F.when(F.size(t) > 0, t).otherwise(whole))
+
+
+def name_tokens(name: str | Column, keywords: Sequence[str] = ()) -> Column:
+    """Known keywords, alphanumeric runs in upper case and digit runs; the whole
+    name when there are none."""
+    return _once(normalize_name(name), lambda norm: _tokens(norm, keywords))
 
 
 @F.pandas_udf(DoubleType())
@@ -120,13 +136,16 @@ def name_distance(a: str | Column, b: str | Column, keywords: Sequence[str] = ()
 
 def match_keywords(name: str | Column, keywords: Sequence[str]) -> Column:
     """Keywords found in the normalised name or among its tokens, in list order."""
-    norm = normalize_name(name)
-    tokens = F.transform(name_tokens(name, keywords), lambda t: normalize_name(t))
-    items = F.array_distinct(F.array(*[F.lit(k) for k in keywords]))
-    found = lambda k: (normalize_name(k) != "") & (
-        F.contains(norm, normalize_name(k)) | F.array_contains(tokens, normalize_name(k))
-    )
-    return F.when(norm == "", F.array().cast("array<string>")).otherwise(F.filter(items, found))
+    items = [(k, _normal_text(k)) for k in dict.fromkeys(keywords)]
+
+    def found(norm: Column) -> Column:
+        # A token's text without brackets, dashes and spaces: keywords may have them.
+        tokens = F.transform(_tokens(norm, keywords), lambda t: normalize_name(t))
+        hits = lambda t: [F.when(F.contains(norm, F.lit(n)) | F.array_contains(t, F.lit(n)), F.lit(k)) for k, n in items if n]
+        none = _strings([])
+        return F.when(norm == "", none).otherwise(_once(tokens, lambda t: F.array_compact(_strings(hits(t)))))
+
+    return _once(normalize_name(name), found)
 
 
 def family(name: str | Column, words=FAMILY_WORDS, default: str = "diversified") -> Column:

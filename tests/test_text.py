@@ -71,3 +71,15 @@ def test_keywords_family_codes(spark):
 def test_dedupe_prefers_marker_then_length(spark):
     df = spark.createDataFrame([("1", "long plain name"), ("1", "x ETF"), ("1", "xy ETF"), ("2", "a")], "symbol string, name string")
     assert {r["symbol"]: r["name"] for r in T.dedupe_names(df).collect()} == {"1": "xy ETF", "2": "a"}
+
+
+def test_keywords_normalise_a_name_once(spark):
+    """Not once per keyword and use: the work of a row must not grow with them."""
+    keys = ["red", "A-B", "", "()", "red", "ring 5", "x1"]
+    names = ["red（A-B）ring5", "RING 5 ab", " x-1 ", "", "（）", None, "a/b·x1"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id int, name string")
+    out = df.select("id", T.match_keywords("name", keys).alias("k"), T.name_tokens("name", keys).alias("t"))
+    want = [["red", "A-B", "ring 5"], ["A-B"], ["x1"], [], [], [], ["x1"]]
+    assert [r["k"] for r in sorted(out.collect())] == want
+    plan = df.select(T.match_keywords("name", keys).alias("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 2

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -103,19 +103,26 @@ def name_tokens(name: str | Column, keywords: Sequence[str] = ()) -> Column:
     return _once(normalize_name(name), lambda norm: _tokens(norm, keywords))
 
 
+#: Pairs that a task remembers at a time.
+KNOWN_PAIRS = 100_000
+
+
 @F.pandas_udf(DoubleType())
-def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of characters in matching blocks, over distinct pairs of a batch."""
+def _sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Share of characters in matching blocks, over distinct pairs of a task."""
     seen: dict[tuple, float] = {}
 
     def ratio(x, y):
         if x is None or y is None:
             return None
         if (x, y) not in seen:
+            if len(seen) >= KNOWN_PAIRS:
+                seen.clear()
             seen[x, y] = SequenceMatcher(None, x, y).ratio()
         return seen[x, y]
 
-    return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+    for a, b in batches:
+        yield pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def name_similarity(a: str | Column, b: str | Column, keywords: Sequence[str] = ()) -> Column:

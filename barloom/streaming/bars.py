@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,24 +141,27 @@ def with_history(bars: DataFrame, rows: int, expiry: str | None = None, time: st
         if held.hasTimedOut:
             held.remove()
             return
-        fresh = pd.concat([f.assign(__t=f[time].astype("datetime64[us]").astype("int64"))[["__t", *names]] for f in frames])
-        rows = fresh.drop_duplicates("__t", keep="last").set_index("__t")
-        new = set(rows.index)
+        # Plain values: a symbol has few bars, and a frame costs more than they do.
+        rows: dict[int, tuple] = {}
+        for f in frames:
+            times = f[time].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+            rows.update(zip(times, zip(*[f[n].tolist() for n in names]), strict=True))
+        new = set(rows)
         if held.exists:
-            known = pd.DataFrame(dict(zip(["__t", *names], held.get, strict=True))).astype({"__t": "int64"}).set_index("__t")
-            new = {t for t in new if t > known.index.max()}
+            times, *columns = held.get
+            known = dict(zip(times, zip(*columns), strict=True))
+            last = max(known)
+            new = {t for t in new if t > last}
             # Of the earlier bars only those count that the state still holds.
-            rows = rows[rows.index.isin(known.index) | rows.index.isin(new)]
-            rows = pd.concat([x for x in (known[~known.index.isin(rows.index)], rows) if len(x)])
-        known = rows.sort_index().reset_index()
-        tail = known.tail(keep)
-        held.update((tail["__t"].tolist(), *[tail[n].astype(float).tolist() for n in names]))
+            rows = known | {t: r for t, r in rows.items() if t in known or t in new}
+        order = sorted(rows)
+        values = np.array([rows[t] for t in order], dtype=float)
+        held.update((order[-keep:], *values[-keep:].T.tolist()))
         if expires:
-            held.setTimeoutTimestamp(max(int(known["__t"].max() // 1000), held.getCurrentWatermarkMs()) + 1)
-        if len(new):
-            made = known.assign(symbol=key[0], is_new=known["__t"].isin(new))
-            made[time] = pd.to_datetime(made["__t"], unit="us")
-            yield made[["symbol", time, *names, "is_new"]]
+            held.setTimeoutTimestamp(max(order[-1] // 1000, held.getCurrentWatermarkMs()) + 1)
+        if new:
+            at = np.array(order, dtype="datetime64[us]").astype("datetime64[ns]")
+            yield pd.DataFrame({"symbol": key[0], time: at, **dict(zip(names, values.T, strict=True)), "is_new": [t in new for t in order]})
 
     if expires:
         bars = bars.withWatermark(time, expiry)

@@ -3,6 +3,7 @@
 import re
 from difflib import SequenceMatcher
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,11 @@ def test_keywords_normalise_a_name_once(spark):
     assert [r["k"] for r in sorted(out.collect())] == want
     plan = df.select(T.match_keywords("name", keys).alias("k"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") <= 2
+
+
+def test_ratios_are_remembered_over_batches(monkeypatch):
+    made = []
+    monkeypatch.setattr(T, "SequenceMatcher", lambda *x: made.append(x) or SequenceMatcher(*x))
+    batches = [(pd.Series(["ab", "cd", None]), pd.Series(["abc", "cx", "q"]))] * 3
+    found = [list(x.fillna(-1)) for x in T._sequence_ratio.func(iter(batches))]
+    assert found == [[0.8, 0.5, -1.0]] * 3 and len(made) == 2

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import on_workers, slices, with_text
+from .shared import on_workers, slices, tidy, with_text
 
 #: Pieces and token pairs remembered by one worker; full memories start anew.
 MEMORY = 300_000
@@ -402,7 +402,7 @@ def _mapped(df: DataFrame, column: str, make, types: dict[str, str], after=lambd
             yield pa.RecordBatch.from_arrays([*keep, *(pa.array(out[n], arrow[t]) for n, t in types.items())], names=[*rest, *types])
         after()
 
-    return base.mapInArrow(run, schema.schema)
+    return base.mapInArrow(tidy(run), schema.schema)
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import on_workers, sample_below, slices, with_text
+from .shared import on_workers, sample_below, slices, tidy, with_text
 
 # First and last code point of the ranges of scripts.
 SCRIPT_RANGES = (
@@ -249,7 +249,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["lang", "bucket", "n"])
 
-    counted = known.filter(chosen).select("text", "lang").mapInArrow(count, "lang string, bucket int, n long")
+    counted = known.filter(chosen).select("text", "lang").mapInArrow(tidy(count), "lang string, bucket int, n long")
     sums = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     column = {name: i for i, name in enumerate(languages)}
     dense = np.zeros((BUCKETS + len(SCRIPTS), len(languages)))
@@ -292,4 +292,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = Fa
             made += [pa.array([f[2] for f in found], span_type)] if spans else []
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), *made], names=[*rest, *new])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)

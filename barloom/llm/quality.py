@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sample_below, slices, with_text
+from .shared import sample_below, slices, tidy, with_text
 
 #: Labelled rows that a model is fitted on, about.
 SAMPLE_ROWS = 24_000
@@ -232,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, key: str =
     # At most about `rows` rows, by the sample: small enough for every task.
     chosen = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(known), "_key")
     base, run = _featured(chosen, ["_label"], "text", lambda x: {"x": pa.array(list(x), pa.list_(pa.float64()))})
-    found = base.mapInArrow(run, "_label int, x array<double>").collect()
+    found = base.mapInArrow(tidy(run), "_label int, x array<double>").collect()
     found.sort(key=lambda r: (r._label, r.x))
     x = np.array([r.x for r in found], np.float64).reshape(len(found), len(FEATURES))
     return train(x, np.array([r._label for r in found], np.float64))
@@ -249,4 +249,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return {"score": pa.array(p, pa.float64()), "predicted": pa.array((p >= 0.5).astype(np.int32), pa.int32())}
 
     base, run = _featured(docs, rest, text, made)
-    return base.mapInArrow(run, base.select(*[F.col(f"`{c}`") for c in rest]).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema)
+    return base.mapInArrow(tidy(run), base.select(*[F.col(f"`{c}`") for c in rest]).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema)

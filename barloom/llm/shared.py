@@ -61,20 +61,26 @@ def release(spark: SparkSession) -> None:
 
 def tidy(work):
     """The task function, which hands its memory back to the system when it ends:
-    workers live on, and what they once needed would count against the executor."""
+    workers live on, and what they once needed would count against the executor.
+    It does so before it begins as well, when Spark has just taken the objects of
+    earlier steps from the worker."""
+
+    def trim():
+        import pyarrow
+
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
 
     def run(batches):
+        trim()
         try:
             yield from work(batches)
         finally:
-            import pyarrow
-
-            gc.collect()
-            pyarrow.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):
-                pass  # another C library
+            trim()
 
     return run
 
@@ -128,7 +134,7 @@ def on_workers(spark: SparkSession, made: object):
     def get():
         value = held.value
         if "object" not in value:
-            value["object"] = pickle.loads(value["pickled"])
+            value["object"] = pickle.loads(value.pop("pickled"))
         return value["object"]
 
     return get

@@ -226,9 +226,10 @@ def with_all_links(prints: DataFrame, radius: int) -> DataFrame:
     most two bits apart meet in a common key. The blocks are joined one after the
     other, which bounds the shuffle to one block's rows. Keys with far more rows than
     chance gives them (groups of near copies) are dealt into a grid of parts and
-    counted in arrays, so they make no rows of pairs and need not fit a task. Comparisons
-    grow with the square of the fingerprints: within 22 bits about 3 per cent of
-    the ordered pairs are compared."""
+    counted in arrays, so they make no rows of pairs and need not fit a task; the
+    fingerprints of a value move there as lists, a row for each of the value's keys
+    and not for each of the fingerprints'. Comparisons grow with the square of the
+    fingerprints: within 22 bits about 3 per cent of the ordered pairs are compared."""
     if radius < 0 or radius >= BITS // 2:
         raise ValueError("the radius must be below half of the bits")
     spark = prints.sparkSession
@@ -240,18 +241,27 @@ def with_all_links(prints: DataFrame, radius: int) -> DataFrame:
     known = written(prints.select("f0", "f1").distinct(), "distinct-fingerprints")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def keyed(b: int) -> DataFrame:
-        """key, turn, f0, f1: a block's value, and with each bit turned. Turn 0
-        leaves the value alone, turn i turns its bit i - 1."""
-        value, width = F.lit(0).cast("long"), edges[b + 1] - edges[b]
+    def valued(b: int) -> DataFrame:
+        """f0, f1, value: a block's bits."""
+        value = F.lit(0).cast("long")
         for word, base in (("f0", 0), ("f1", 64)):
             low, high = max(edges[b] - base, 0), min(edges[b + 1] - base, 64)
             if low < high:
                 piece = F.shiftrightunsigned(word, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
                 value = value.bitwiseOR(F.shiftleft(piece, base + low - edges[b]))
-        turned = known.select("f0", "f1", value.alias("value"), F.explode(F.sequence(F.lit(0), F.lit(width if allowed[b] else 0))).alias("turn"))
+        return known.select("f0", "f1", value.alias("value"))
+
+    def turned(rows: DataFrame, b: int, name: str) -> DataFrame:
+        """rows (with value) and what their value becomes: turn 0 leaves it alone,
+        turn i turns its bit i - 1."""
+        width = edges[b + 1] - edges[b] if allowed[b] else 0
+        rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("turn"))
         turn = F.when(F.col("turn") == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("turn") - 1))
-        return turned.select(F.col("value").bitwiseXOR(turn).alias("key"), F.col("turn").cast("short").alias("turn"), "f0", "f1")
+        return rows.withColumn(name, F.col("value").bitwiseXOR(turn)).withColumn("turn", F.col("turn").cast("short"))
+
+    def keyed(b: int) -> DataFrame:
+        """key, turn, f0, f1: a block's value, and with each bit turned."""
+        return turned(valued(b), b, "key").select("key", "turn", "f0", "f1")
 
     def linked(b: int, t: Column, f0: Column, f1: Column, u: Column, g0: Column, g1: Column) -> Column:
         """Whether a pair that meets in a key of the block counts there. Of its keys
@@ -267,7 +277,9 @@ def with_all_links(prints: DataFrame, radius: int) -> DataFrame:
     width = BITS // len(allowed)
     common = max(COMMON, 4 * known.count() * (width + 1) >> width)
     hot_keys = written(sizes.filter(F.col("n") > common), "hot-keys")
-    hot_count = hot_keys.count()
+    hot_count, most = hot_keys.agg(F.count("*"), F.max("n")).first()
+    # Powers of two, so that the parts of every key are made of whole lists.
+    dealt = lambda n: F.pow(F.lit(2), F.greatest(F.ceil(F.log2(n / CELL)), F.lit(0))).cast("int")
     c, found = F.col, []
     for b in used:
         hot = hot_keys.filter(c("block") == b).select("key", "n")
@@ -279,14 +291,21 @@ def with_all_links(prints: DataFrame, radius: int) -> DataFrame:
         met = left.join(right.hint("merge"), "key").filter(linked(b, *[c(x) for x in ("turn", "f0", "f1", "u", "g0", "g1")]))
         counts = met.groupBy("f0", "f1").agg(F.count("*").alias("n"))
         if hot_count:
-            one = F.struct("turn", "f0", "f1")
+            small = F.broadcast if hot_count <= BROADCAST_ROWS else lambda x: x
+            around = turned(hot.select("key", dealt(c("n")).alias("parts"), c("key").alias("value")), b, "near")
+            around = around.select("key", "parts", "turn", c("near").alias("value"))
+            own = valued(b).join(small(around.select("value").distinct()), "value", "left_semi")
+            # Lists as long as a cell at most, about: the longest key has so many parts.
+            lists = own.groupBy("value", F.pmod(F.xxhash64("f1", "f0"), dealt(F.lit(most))).cast("int").alias("place")).agg(F.collect_list(F.struct("f0", "f1")).alias("list"))
+            lists = lists.join(small(around), "value").withColumn("part", c("place") % c("parts"))
 
             def cells(side: DataFrame, own: str, other: str, name: str) -> DataFrame:
-                dealt = side.filter("n is not null").withColumn("parts", F.ceil(c("n") / CELL).cast("int"))
-                dealt = dealt.withColumn(own, F.pmod(F.xxhash64("f1", "f0"), c("parts")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), c("parts") - 1)))
-                return dealt.repartition(parts, "key", "i", "j").groupBy("key", "i", "j").agg(F.collect_list(one).alias(name))
+                each = F.transform("list", lambda x: F.struct(c("turn"), x["f0"].alias("f0"), x["f1"].alias("f1")))
+                made = side.groupBy("key", "parts", c("part").alias(own)).agg(F.flatten(F.collect_list(each)).alias(name))
+                return made.select("key", own, F.explode(F.sequence(F.lit(0), c("parts") - 1)).alias(other), name).repartition(parts, "key", "i", "j")
 
-            pairs = cells(mine, "i", "j", "x").join(cells(rows, "j", "i", "y"), ["key", "i", "j"])
+            left = lists if allowed[b] == 2 else lists.filter("turn = 0")
+            pairs = cells(left, "i", "j", "x").join(cells(lists, "j", "i", "y"), ["key", "i", "j"])
             near = lambda x: F.size(F.filter("y", lambda y: linked(b, x["turn"], x["f0"], x["f1"], y["turn"], y["f0"], y["f1"])))  # noqa: E731, B023
             ends = pairs.select(F.explode(F.transform("x", lambda x: F.struct(x["f0"].alias("f0"), x["f1"].alias("f1"), near(x).alias("n")))).alias("e"))
             counts = counts.unionByName(ends.select("e.f0", "e.f1", c("e.n").cast("long").alias("n")).filter("n > 0"))

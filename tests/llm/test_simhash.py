@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import struct
+from collections import Counter
 
 import pytest
 import xxhash
@@ -192,3 +193,39 @@ def test_op3_counts_every_neighbour(spark, tmp_path):
     prints = {int(r.fingerprint, 16) for r in found}
     near = lambda p: sum(0 < (p ^ q).bit_count() <= queries.RADIUS for q in prints)
     assert [(r.doc_id, r.links) for r in found] == [(r.doc_id, near(int(r.fingerprint, 16))) for r in found]
+
+
+def executions(spark):
+    """Spark's status store, its executions, and what makes Python lists of Scala's."""
+    listed = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    store = spark._jsparkSession.sharedState().statusStore()
+    return store, list(listed(store.executionsList())), listed
+
+
+def joined_rows(spark, known):
+    """The most rows that the broadcast joins of one plan line made, without known
+    executions. Left joins with unique keys make no rows, they keep what they are given;
+    keys of few rows are joined by merging."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, found, listed = executions(spark)
+    made = Counter()
+    for job in found:
+        if job.executionId() in known:
+            continue
+        values = {k: v for k, v in listed(store.executionMetrics(job.executionId())).items()}
+        for node in listed(store.planGraph(job.executionId()).allNodes()):
+            for metric in listed(node.metrics()):
+                if "BroadcastHashJoin" in node.name() and "LeftOuter" not in node.desc() and metric.name() == "number of output rows" and metric.accumulatorId() in values:
+                    made[re.sub(r"#\d+L?|\d+", "", node.desc())] += int(values[metric.accumulatorId()].replace(",", ""))
+    return max(made.values())
+
+
+def test_rows_of_hot_keys(spark):
+    """Fingerprints of a group of near copies move in lists: a row for each of
+    them and block, not for each of its keys."""
+    made, rows = near_group(1_000, 4)
+    prints = simhash.written(spark.createDataFrame(rows, "f0 long, f1 long"), "prints")
+    known = {x.executionId() for x in executions(spark)[1]}
+    found = simhash.with_all_links(prints, queries.RADIUS).collect()
+    assert {(r.f0, r.f1): r.links for r in found} == {x: len(made) - 1 for x in rows}
+    assert joined_rows(spark, known) <= 18 * len(rows)
